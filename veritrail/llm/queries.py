@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from veritrail.llm import bpe_codec, license_scan, simhash, token_count, url_filter
+from veritrail.llm import bpe_codec, license_scan, simhash, token_count, topk, url_filter
 
 #: (host, path, verdict) of the URL filter.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -35,6 +36,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), limit=1024)
 
 
+def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -48,6 +53,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_url_filters": op1_url_filters,
         "op4_bpe_codec": op4_bpe_codec,
         "op7_token_counts": op7_token_counts,
+        "op8_exact_topk": op8_exact_topk,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
         "op10_license_scan": op10_license_scan,
     }
@@ -56,5 +62,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_url_filters": url_filter.duckdb_sql(URL_RULES),
+        "op8_exact_topk": topk.duckdb_sql(),
         "op10_license_scan": license_scan.duckdb_sql(),
     }
