@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritrail.llm import bpe_codec, license_scan, simhash, token_count, topk, url_filter
+from veritrail.llm import bpe_codec, license_scan, simhash, span_dedup, token_count, topk, url_filter
 
 #: (host, path, verdict) of the URL filter.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -28,6 +28,10 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages"), rules)
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.round_trip(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
@@ -51,6 +55,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filters": op1_url_filters,
+        "op2_substring_dedup": op2_substring_dedup,
         "op4_bpe_codec": op4_bpe_codec,
         "op7_token_counts": op7_token_counts,
         "op8_exact_topk": op8_exact_topk,
@@ -62,6 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_url_filters": url_filter.duckdb_sql(URL_RULES),
+        "op2_substring_dedup": span_dedup.duckdb_sql(),
         "op8_exact_topk": topk.duckdb_sql(),
         "op10_license_scan": license_scan.duckdb_sql(),
     }
