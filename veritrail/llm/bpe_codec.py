@@ -13,9 +13,11 @@ Runs as one scan, without a shuffle; memory per task is one Arrow batch and the
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -74,14 +76,23 @@ def codec(path: str) -> Codec:
     return _CODECS[path]
 
 
+def _lists(flat: array, counts: list[int]) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(flat, np.int32) if flat else [], pa.int32()))
+
+
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Returns id_col, ids ARRAY<INT> for each row of ``docs``; [] for a null or empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(path)
         for batch in batches:
-            ids = pa.array([coder.encode(t or "") for t in batch.column(1).to_pylist()], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=[id_col, "ids"])
+            flat, counts = array("i"), []
+            for text in batch.column(1):
+                ids = coder.encode(text.as_py() or "")
+                counts.append(len(ids))
+                flat.extend(ids)
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(flat, counts)], names=[id_col, "ids"])
 
     rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col))
     return rows.mapInArrow(run, f"{id_col} long, ids array<int>")
@@ -105,23 +116,24 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
     return encoded.select(F.col(id_col).cast("long").alias(id_col), F.col("ids").cast("array<int>").alias("ids")).mapInArrow(run, f"{id_col} long, text string")
 
 
-def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encodes, decodes from the ids and digests both in one pass: id_col, n_tokens, ids_sha256, decoded_sha256.
-
-    The ids need not leave the worker, so nothing but the digests is written.
-    """
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
+    """Encodes, decodes from the ids and digests both in one pass: id_col, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(path)
         numbers = coder.numbers.__getitem__
         for batch in batches:
-            counts, digests, decoded = [], [], []
+            flat, counts, digests, decoded = array("i"), [], [], []
             for scalar in batch.column(1):
                 ids = coder.encode(scalar.as_py() or "")
                 counts.append(len(ids))
                 digests.append(hashlib.sha256(" ".join(map(numbers, ids)).encode()).hexdigest())
                 decoded.append(hashlib.sha256(coder.decode(ids).encode("utf-8")).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(digests), pa.array(decoded)], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+                if keep_ids:
+                    flat.extend(ids)
+            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
+            yield pa.RecordBatch.from_arrays([*columns, *([_lists(flat, counts)] if keep_ids else [])], names=names)
 
+    names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if keep_ids else [])]
     rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col))
-    return rows.mapInArrow(run, f"{id_col} long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(run, f"{id_col} long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids)

@@ -3,18 +3,31 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def _folder(spark: SparkSession) -> str:
+    """The shared folder: ``spark.checkpoint.dir``, else what the context has, else a temporary one, as in local tests."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        context = spark.sparkContext
+        if context.getCheckpointDir() is None:
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoints-"))
+        named = context.getCheckpointDir()
+    return named
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to ``spark.checkpoint.dir`` and returns what was written.
+    """Checkpoints ``df`` in the shared folder and returns what was written."""
+    _folder(df.sparkSession)
+    return df.checkpoint(eager=True)
 
-    The setting is read from the session; only where it is unset, as in local
-    tests, is a temporary folder set instead.
-    """
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Writes ``df`` as Parquet to the shared folder and reads it again."""
     spark = df.sparkSession
-    context = spark.sparkContext
-    if spark.conf.get("spark.checkpoint.dir", None) is None and context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoints-"))
-    return df.checkpoint(eager=True)
+    path = f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)

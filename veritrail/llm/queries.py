@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritrail.llm import bpe_codec, decontaminate, license_scan, simhash, span_dedup, token_count, topk, url_filter
+from veritrail.llm import bpe_codec, decontaminate, lang_id, license_scan, pii, simhash, span_dedup, token_count, topk, url_filter
 
 #: (host, path, verdict) of the URL filter.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -40,6 +40,16 @@ def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.round_trip(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return lang_id.predict(docs, lang_id.train(docs)).drop("text_hash")
+
+
+def op6_pii_skip_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return pii.find(docs, pii.train(docs))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), limit=1024)
 
@@ -62,6 +72,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_substring_dedup": op2_substring_dedup,
         "op3_benchmark_decontamination": op3_benchmark_decontamination,
         "op4_bpe_codec": op4_bpe_codec,
+        "op5_language_id": op5_language_id,
+        "op6_pii_skip_chain": op6_pii_skip_chain,
         "op7_token_counts": op7_token_counts,
         "op8_exact_topk": op8_exact_topk,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
