@@ -67,14 +67,18 @@ def reason_summary(checks: DataFrame, findings: DataFrame, mandatory: list[str])
 
 def verdict(checks: DataFrame, findings: DataFrame, mandatory: list[str]) -> DataFrame:
     """One row: counts and the first verdict that applies."""
-    must = F.col("id").isin(mandatory)
-    a = checks.agg(
-        F.count_if(must & (F.col("status") == "failed")).alias("failed_mandatory"),
-        F.count_if(must & (F.col("status") == "skipped")).alias("skipped_mandatory"),
-        F.count_if(~must & (F.col("status") == "skipped")).alias("skipped_optional"),
-    )
-    b = findings.agg(F.count_if(F.col("severity") == "blocker").alias("blockers"), F.count_if(F.col("severity") == "major").alias("majors"))
-    one = a.join(b)  # one row each
+    must, status, severity = F.col("id").isin(mandatory), F.col("status"), F.col("severity")
+    marks = {
+        "failed_mandatory": must & (status == "failed"),
+        "skipped_mandatory": must & (status == "skipped"),
+        "skipped_optional": ~must & (status == "skipped"),
+        "blockers": severity == "blocker",
+        "majors": severity == "major",
+    }
+    from_checks = list(marks)[:3]
+    rows = checks.select(*[(c if n in from_checks else F.lit(False)).alias(n) for n, c in marks.items()])
+    rows = rows.unionByName(findings.select(*[(F.lit(False) if n in from_checks else c).alias(n) for n, c in marks.items()]))
+    one = rows.agg(*[F.count_if(n).alias(n) for n in marks])
     ladder = (
         F.when((F.col("blockers") > 0) | (F.col("failed_mandatory") > 0), "not-ready-security-blocker-remains")
         .when(F.col("skipped_mandatory") >= MOST_SKIPPED, "inconclusive-audit-environment-incomplete")
