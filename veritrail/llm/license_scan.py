@@ -5,7 +5,8 @@ letters and digits is one space) and compared with licence templates by
 2|A & B| / (|A| + |B|) over distinct word bigrams. As |A & B| <= min(|A|, |B|),
 a score of t needs |A| between t/(2-t) and (2-t)/t times |B|. A line of w words,
 d of them distinct, has between d-1 and w-1 bigrams, so most lines are left
-before any bigram is made. The others meet the templates in a hash join on
+before any bigram is made. With few templates, a text is first looked through
+for the words that a match cannot do without. The others meet the templates in a hash join on
 bigrams with the bounds of each template, so a line that shares no bigram with
 a template of a fitting size is never compared.
 
@@ -24,6 +25,9 @@ and document.
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +35,8 @@ from veritrail.llm.licenses import TEMPLATES
 
 THRESHOLD = 0.8
 BROADCAST_BIGRAMS = 200_000
+#: With so few template bigrams, texts that lack every anchor word are left before anything else.
+ANCHORED_BIGRAMS = 1_000
 
 
 def default_templates(spark: SparkSession) -> DataFrame:
@@ -48,12 +54,12 @@ def words_of(line: Column) -> Column:
 
 def bigrams(words: Column) -> Column:
     """Distinct adjacent word pairs; none for fewer than two words."""
-    return F.array_distinct(F.transform(F.slice(words, 2, F.size(words)), lambda w, i: F.concat_ws(" ", F.get(words, i), w)))
+    return F.array_distinct(F.transform(F.slice(words, 2, F.size(words)), lambda w, i: F.concat(F.get(words, i), F.lit(" "), w)))
 
 
 def _template_bigrams(templates: DataFrame, threshold: float) -> DataFrame:
     pairs = F.flatten(F.transform(F.split(normalised(F.col("notice")), "\n"), lambda line: bigrams(words_of(line))))
-    sized = templates.select("template_id", "license", F.array_distinct(pairs).alias("_pairs")).where(F.size("_pairs") > 0)
+    sized = templates.select("template_id", "license", F.array_distinct(pairs).alias("_pairs"))
     size = F.size("_pairs")
     return sized.select(
         "template_id",
@@ -61,8 +67,30 @@ def _template_bigrams(templates: DataFrame, threshold: float) -> DataFrame:
         size.alias("t_size"),
         F.ceil(size * F.lit(threshold / (2 - threshold)) - F.lit(1e-9)).cast("int").alias("t_low"),
         F.floor(size * F.lit((2 - threshold) / threshold) + F.lit(1e-9)).cast("int").alias("t_high"),
-        F.explode("_pairs").alias("t_pair"),
-    )
+        F.explode_outer("_pairs").alias("t_pair"),
+    ).where("t_pair IS NOT NULL")
+
+
+def _anchors(table: DataFrame, threshold: float) -> list[str]:
+    """Bigrams of which every matching line holds one.
+
+    A match shares at least m = threshold * (|B| + t_low) / 2 bigrams with its
+    template, so of any |B| - m + 1 of them it has one. The longest are taken.
+    """
+    own: dict[tuple, list[str]] = {}
+    for r in table.collect():
+        own.setdefault((r["template_id"], r["t_size"], r["t_low"]), []).append(r["t_pair"])
+    chosen: set[str] = set()
+    for (_, size, low), pairs in own.items():
+        least = max(1, math.ceil(threshold * (size + low) / 2 - 1e-9))
+        chosen.update(sorted(pairs, key=lambda p: (p not in chosen, -len(p), p))[: size - least + 1])
+    return sorted(chosen)
+
+
+def _holds_any(text: Column, pairs: list[str]) -> Column:
+    """Whether the text holds both words of some pair, in any place; the one-element list has it lower-cased once."""
+    both = lambda t, p: reduce(lambda a, b: a & b, [t.contains(w) for w in sorted(p.split(" "), key=len, reverse=True)])
+    return F.exists(F.array(F.lower(text)), lambda t: reduce(lambda a, b: a | b, [both(t, p) for p in pairs], F.lit(False)))
 
 
 def scan(docs: DataFrame, templates: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -70,13 +98,19 @@ def scan(docs: DataFrame, templates: DataFrame, threshold: float = THRESHOLD, id
     bounds = table.agg(F.min("t_low"), F.max("t_high"), F.count(F.lit(1))).first()
     low, high, n_pairs = bounds[0] or 1, bounds[1] or 0, bounds[2]
     text = F.col(text_col).cast("string")
-    lines = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_text"), F.posexplode(F.split(normalised(text), "\n")).alias("_line", "_words"))
-    words = lines.withColumn("_words", words_of(F.col("_words"))).where((F.size("_words") > low) & (F.size(F.array_distinct("_words")) - 1 <= high))
-    pairs = words.withColumn("_pairs", bigrams(F.col("_words"))).withColumn("_size", F.size("_pairs")).where(F.col("_size").between(low, high))
-    made = pairs.select("_id", "_text", "_line", "_size", F.explode("_pairs").alias("_pair"))
+    anchors = _anchors(table, threshold) if n_pairs <= ANCHORED_BIGRAMS else None
+    # What each line carries along is made once per text, before lines and bigrams are dealt out.
+    holding = docs if anchors is None else docs.where(_holds_any(text, anchors))
+    texts = holding.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_text"), F.split(normalised(text), "\n").alias("_lines"))
+    lines = texts.select("_id", "_text", F.posexplode_outer("_lines").alias("_line", "_raw")).withColumn("_raw", F.trim("_raw"))
+    gaps = F.length("_raw") - F.length(F.replace("_raw", F.lit(" ")))  # one less than the words
+    fitting = lines.where((gaps >= low) & ((gaps <= high) | (F.size(F.array_distinct(F.split("_raw", " "))) - 1 <= high)))
+    pairs = fitting.select("_id", "_text", "_line", F.split("_raw", " ").alias("_words")).select("_id", "_text", "_line", bigrams(F.col("_words")).alias("_pairs"))
+    made = pairs.select("_id", "_text", "_line", F.size("_pairs").alias("_size"), "_pairs").select("_id", "_text", "_line", "_size", F.explode_outer("_pairs").alias("_pair"))  # outer, else Spark would make the list again to test its size
     if n_pairs <= BROADCAST_BIGRAMS:
         table = F.broadcast(table)
-    met = made.join(table, (F.col("_pair") == F.col("t_pair")) & F.col("_size").between(F.col("t_low"), F.col("t_high")))
+    # As a CASE the bounds give Spark no null test to push below, where it would make every list again.
+    met = made.join(table, F.col("_pair") == F.col("t_pair")).where(F.when(F.col("_size").between(F.col("t_low"), F.col("t_high")), True).otherwise(False))
     counted = met.groupBy("_id", "_text", "_line", "_size", "template_id", "license", "t_size").agg(F.collect_set("_pair").alias("_set"), F.count(F.lit(1)).alias("_n"))
     shared = F.size("_set")
     scored = counted.withColumn("_shared", shared).withColumn("score", 2.0 * F.col("_shared") / (F.col("_size") + F.col("t_size")))
