@@ -33,6 +33,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veritrail.llm.lineage import cut
+
 WINDOW = 5
 SHARE = 0.8
 BROADCAST_WINDOWS = 200_000
@@ -40,24 +42,34 @@ BROADCAST_WINDOWS = 200_000
 UNITS = ["km", "m", "cm", "mm", "kg", "g", "mg", "s", "ms", "min", "h", "hours?", "minutes?", "seconds?", "days?", "weeks?", "months?", "years?", "miles?", "metres?", "meters?", "feet", "inches", "dollars?", "euros?", "cents?", "percent", "litres?", "liters?", "degrees?"]
 
 
+#: A capitalised word inside a sentence; the capital comes first, as most places fail there at once.
+_NAME = r"\p{Lu}(?<=[\p{Ll},;] .)\p{Ll}+"
+#: Digit runs, also in groups as in ``1 000``, are one number.
+_NUMBER = r"(?<![^ ])([0-9]+)(?: ([0-9]+))*(?![^ ])"
+_UNIT = f"(?:{'|'.join(UNITS)})(?![^ ])"
+
+
+def _plain(text: Column, name: str) -> Column:
+    """Names to ``name``, then lower-case words with single spaces."""
+    return F.trim(F.regexp_replace(F.lower(F.regexp_replace(text, _NAME, name)), "[^\\p{L}\\p{N}\u0003]+", " "))
+
+
 def _tokens(text: Column) -> Column:
-    """Marks slots in a text: \\u0001 before a number, \\u0002 before a unit, \\u0003 before a name; words in lower case with single spaces."""
-    marked = F.regexp_replace(text, r"(?<=[\p{Ll},;] )(\p{Lu}\p{Ll}+)", "\u0003$1")
-    marked = F.regexp_replace(F.lower(marked), "[^\\p{L}\\p{N}\u0003]+", " ")
-    marked = F.when(marked.rlike("[0-9]"), _numbers(marked)).otherwise(marked)
-    return F.trim(marked)
+    """Words with slots marked: \\u0001 before a number, \\u0002 before a unit, \\u0003 before a name."""
+    numbered = F.regexp_replace(_plain(text, "\u0003$0"), _NUMBER, "\u0001$0")
+    joined = F.regexp_replace(numbered, r"(?<=[0-9]) (?=[0-9])", "_")
+    return F.when(text.rlike("[0-9]"), F.regexp_replace(joined, f"(?<=[0-9] ){_UNIT}", "\u0002$0")).otherwise(_plain(text, "\u0003$0"))
 
 
-def _numbers(text: Column) -> Column:
-    """Digit runs, also in groups as in ``1 000``, are one number; a unit word right after is a unit."""
-    joined = F.regexp_replace(text, r"(?<![^ ])([0-9]+)(?: ([0-9]+))*(?![^ ])", "\u0001$0")
-    joined = F.regexp_replace(joined, r"(?<=[0-9]) (?=[0-9])", "_")
-    return F.regexp_replace(joined, f"(?<=[0-9] )({'|'.join(UNITS)})(?![^ ])", "\u0002$1")
+def _template(token: Column) -> Column:
+    """A slot to its type alone."""
+    return F.when(token.rlike("^[\u0001-\u0003]"), F.substring(token, 1, 1)).otherwise(token)
 
 
-def _template(tokens: Column) -> Column:
-    """Slots to their type alone."""
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(tokens, "\u0001[^ ]+", "\u0001"), "\u0002[^ ]+", "\u0002"), "\u0003[^ ]+", "\u0003")
+def _template_text(text: Column) -> Column:
+    """``_template`` of all ``_tokens`` of a text, in fewer passes: without digits there are only names."""
+    numbered = F.regexp_replace(_plain(text, "\u0003"), _NUMBER, "\u0001")
+    return F.when(text.rlike("[0-9]"), F.regexp_replace(numbered, f"(?<=\u0001 ){_UNIT}", "\u0002")).otherwise(_plain(text, "\u0003"))
 
 
 def _item_windows(items: DataFrame, item_col: str, text_col: str) -> DataFrame:
@@ -68,21 +80,24 @@ def _item_windows(items: DataFrame, item_col: str, text_col: str) -> DataFrame:
 
 def _windows(words: DataFrame, keep: list[str]) -> DataFrame:
     """Every window of the words ``t``: keep..., pos, total, n_words, h, slots."""
-    made = words.withColumn("k", F.transform("t", _template)).withColumn("total", F.size("t") - (WINDOW - 1))
+    typed = words.withColumn("k", F.transform("t", _template)).withColumn("total", F.size("t") - (WINDOW - 1))
     starts = F.when(F.col("total") > 0, F.sequence(F.lit(1), F.col("total"))).otherwise(F.array().cast("array<int>"))
-    flat = made.withColumn("pos", F.explode(starts))
-    own = F.slice("t", F.col("pos"), WINDOW)
-    return flat.select(*keep, "pos", "total", F.size("t").alias("n_words"), F.xxhash64(F.array_join(F.slice("k", F.col("pos"), WINDOW), " ")).alias("h"), F.filter(own, lambda w: w.rlike("^[\u0001-\u0003]")).alias("slots"))
+    slots = lambda i: F.filter(F.slice("t", i, WINDOW), lambda w: w.rlike("^[\u0001-\u0003]"))
+    # Windows are made within the row, so that a long text is not carried along with each of them.
+    made = F.transform(starts, lambda i: F.struct(i.alias("pos"), F.xxhash64(F.array_join(F.slice("k", i, WINDOW), " ")).alias("h"), slots(i).alias("slots")))
+    sized = typed.select(*keep, "total", F.size("t").alias("n_words"), made.alias("w"))
+    # The outer form keeps Spark from testing the list's size below, where it would make the list anew for every window.
+    return sized.select(*keep, "total", "n_words", F.inline_outer("w")).where("pos IS NOT NULL")
 
 
 def _met(docs: DataFrame, windows: DataFrame, short_items: bool) -> DataFrame:
     """(no_id, key, hash, item) of documents that hold a window of an item at every WINDOW-th word."""
-    text = _template(_tokens(F.col("text")))
+    text = _template_text(F.col("text"))
     first = F.regexp_extract_all(F.concat(text, F.lit(" ")), F.lit(f"(?:[^ ]+ ){{{WINDOW}}}"), F.lit(0))
     if short_items:
         phases = [F.regexp_extract_all(F.regexp_replace(F.concat(text, F.lit(" ")), f"^(?:[^ ]+ ){{{k}}}", ""), F.lit(f"(?:[^ ]+ ){{{WINDOW}}}"), F.lit(0)) for k in range(1, WINDOW)]
         first = F.concat(first, *phases)
-    made = docs.select("no_id", "key", "hash", F.explode(first).alias("w")).select("no_id", "key", "hash", F.xxhash64(F.rtrim("w")).alias("h"))
+    made = docs.select("no_id", "key", "hash", F.explode_outer(first).alias("w")).where("w IS NOT NULL").select("no_id", "key", "hash", F.xxhash64(F.rtrim("w")).alias("h"))
     return made.join(windows.select("h", "item"), "h").select("no_id", "key", "hash", "item").distinct()
 
 
@@ -100,7 +115,8 @@ def leaks(docs: DataFrame, items: DataFrame, share: float = SHARE, id_col: str =
     again = rows.join(chosen, doc_key).dropDuplicates(doc_key)
     words = again.select(*doc_key, "items", F.split(_tokens(F.col("text")), " ").alias("t"))
     own = _windows(words, [*doc_key, "items"]).select(*doc_key, "items", F.col("pos").alias("d_pos"), "h", F.col("slots").alias("d_slots"))
-    pairs = own.join(windows, "h").where(F.array_contains("items", F.col("item")))
+    # Few rows by now; they are read twice below.
+    pairs = cut(own.join(windows, "h").where(F.array_contains("items", F.col("item"))))
     # A stretch is twice an item long and begins at every length of one, so any copy lies within one.
     stretch = F.expr("d_pos div n_words")
     placed = pairs.select(*doc_key, "item", "total", "pos", "slots", "d_slots", F.explode(F.array(stretch, stretch - 1)).alias("stretch"))
