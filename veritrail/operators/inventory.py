@@ -36,7 +36,8 @@ COMPLEXITY = {
 def scan(spark: SparkSession, root: str, excluded: list[str] | None = None) -> DataFrame:
     """path (below the root), size_bytes, content (null above the line-count limit) of every file below ``root``.
 
-    Folder and size limits are filters on the listing, so excluded files are never read.
+    Folder and size limits are filters on the listing, so excluded files are
+    never read. Spark's listing itself leaves out files of no bytes.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = root.rstrip("/").split(":", 1)[-1]

@@ -20,14 +20,15 @@ def failures(raw: DataFrame, kind: str) -> DataFrame:
     v = F.try_parse_json("raw")
     version = F.try_variant_get(v, "$.schemaVersion", "string")
     named = F.try_variant_get(v, "$.artifactKind", "string")
+    failure = lambda code, path="$": F.struct(F.lit(code).alias("code"), F.lit(path).alias("field_path"))
     code = (
-        F.when(F.coalesce("raw", F.lit("")) == "", F.struct(F.lit("empty").alias("code"), F.lit("$").alias("field_path")))
-        .when(v.isNull(), F.struct(F.lit("invalid-json"), F.lit("$")))
-        .when(~F.schema_of_variant(v).startswith("OBJECT"), F.struct(F.lit("not-an-object"), F.lit("$")))
-        .when(named.isNotNull() & (named != kind), F.struct(F.lit("wrong-kind"), F.lit("$.artifactKind")))
-        .when(version.isNull(), F.struct(F.lit("missing-field"), F.lit("$.schemaVersion")))
-        .when(version_parts(version).isNull(), F.struct(F.lit("malformed-version"), F.lit("$.schemaVersion")))
-        .when(~supported_major_one(version), F.struct(F.lit("unsupported-version"), F.lit("$.schemaVersion")))
+        F.when(F.coalesce("raw", F.lit("")) == "", failure("empty"))
+        .when(v.isNull(), failure("invalid-json"))
+        .when(~F.schema_of_variant(v).startswith("OBJECT"), failure("not-an-object"))
+        .when(named.isNotNull() & (named != kind), failure("wrong-kind", "$.artifactKind"))
+        .when(version.isNull(), failure("missing-field", "$.schemaVersion"))
+        .when(version_parts(version).isNull(), failure("malformed-version", "$.schemaVersion"))
+        .when(~supported_major_one(version), failure("unsupported-version", "$.schemaVersion"))
     )
     return raw.select("source", code.alias("f")).where("f IS NOT NULL").select("source", "f.code", "f.field_path")
 
