@@ -196,3 +196,44 @@ def claims_without_hedge(docs: DataFrame, claim: str, hedge: str, detector: str,
     at = F.instr("content", F.col("_m"))
     before = F.substr("content", F.greatest(at - reach, F.lit(1)), F.least(F.lit(reach), at - 1) + F.length("_m"))
     return rows.where(~before.rlike(hedge)).select(*issue(detector, cue, severity, "medium", F.col("path"), F.col("_m"), F.col("path")))
+
+
+def feature_claims(docs: DataFrame, features: list[tuple[str, str, bool]]) -> DataFrame:
+    """Lines that claim a feature to be there or planned, against whether it is. features: (id, subject pattern, implemented).
+
+    A line that says both is ambiguous; a current claim without the feature is
+    high, a planned one with it medium. The few features come with the call.
+    """
+    cells = F.array(*[F.struct(F.lit(i).alias("id"), F.lit(p).alias("subject"), F.lit(done).alias("done")) for i, p, done in features])
+    rows = lines(docs).select("path", "line", "text", F.explode(cells).alias("f"))
+    says = lambda words: F.regexp_like("text", F.concat(F.lit("(?i)"), F.col("f.subject"), F.lit(rf"[^.]*\b(?:{words})\b|\b(?:{words})\b[^.]*"), F.col("f.subject")))
+    now, later = says("supports?|is implemented|is available|provides|now includes"), says("planned|future|not yet|roadmap|coming soon")
+    kind = F.when(now & later, "ambiguous").when(now & ~F.col("f.done"), "current-but-missing").when(later & F.col("f.done"), "planned-but-implemented")
+    found = rows.withColumn("kind", kind).where("kind IS NOT NULL")
+    issues = found.select("kind", *issue("docs-code-mismatch", "claim", "info", "medium", F.concat_ws(":", "path", F.col("line").cast("string"), "f.id", "kind"), F.col("text"), F.col("path"), F.col("line")))
+    severity = F.when(F.col("kind") == "ambiguous", "info").when(F.col("kind") == "current-but-missing", "high").otherwise("medium")
+    return issues.withColumn("severity", severity)
+
+
+def package_manager_mismatch(docs: DataFrame, reach: int = 150) -> DataFrame:
+    """Documents that tell to install with another manager than npm, with no npm install within ``reach`` characters of it. For projects with an npm lockfile."""
+    rows = docs.select("path", "content", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"(?i)\b((?:yarn|pnpm|bun) (?:install|add))\b"), F.lit(1)))).alias("command"))
+    at = F.instr("content", F.col("command"))
+    start = F.greatest(at - reach, F.lit(1))
+    window = F.substr("content", start, at - start + F.length("command") + reach)
+    return rows.where(~window.rlike(r"(?i)npm (?:install|ci)\b")).select(*issue("dependency-environment-rot", "package-manager-mismatch", "medium", "medium", F.concat_ws(":", "path", F.lower("command")), F.col("command"), F.col("path")))
+
+
+def node_versions(workflows: DataFrame) -> DataFrame:
+    """path, version: inline ``node-version`` values and the items of a list below such a key, up to the first line that is none.
+
+    A run of list items belongs to the key before it if only items lie between:
+    each key and each other line starts a new island.
+    """
+    w = W.partitionBy("path").orderBy("line")
+    item = F.regexp_extract("text", r"""^\s*-\s*["']?([\w.]+)["']?\s*$""", 1)
+    rows = lines(workflows).withColumns({"_item": item, "_key": F.col("text").rlike(r"node-version:\s*$"), "_inline": F.regexp_extract("text", r"""node-version:\s*["']?([\w.]+)["']?\s*$""", 1)})
+    rows = rows.withColumn("_island", F.sum(F.when(F.col("_item") == "", 1).otherwise(0)).over(w))
+    keyed = rows.withColumn("_listed", F.max("_key").over(W.partitionBy("path", "_island")))
+    version = F.when(F.col("_inline") != "", F.col("_inline")).when(F.col("_listed") & (F.col("_item") != ""), F.col("_item"))
+    return keyed.select("path", version.alias("version")).where("version IS NOT NULL").distinct()
