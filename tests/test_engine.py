@@ -135,6 +135,39 @@ def test_states_and_determinism(spark):
     assert d == {"x": ("available", False, [3]), "y": ("not-applicable", None, [])}
 
 
+def test_evidence_and_consistency(spark):
+    a = spark.createDataFrame([("i1", ["a.ts", "a.ts", None], [("s1", 3)])], "source_instance string, files array<string>, symbols array<struct<id:string,line:int>>")
+    got = rows(expectations.flatten_evidence(a, {"files": ("file", ""), "symbols": ("symbol", "id")}, "context-capsule").select("category", "target", "source_field_path"))
+    assert got == [("file", "a.ts", "files[0]"), ("file", "a.ts", "files[1]"), ("symbol", "s1", "symbols[0]")]
+    m = spark.createDataFrame([("mapped",), ("missing",), ("not-applicable",), ("not-applicable",)], "mapping_status string")
+    r = expectations.responsibility_completeness(m).first()
+    assert (r.availability, r.rate, r.not_applicable) == ("available", 0.5, 2)
+    assert expectations.responsibility_completeness(m.where("mapping_status = 'not-applicable'")).first().availability == "not-applicable"
+    side = "struct<x:int,y:array<int>,z:string>"
+    p = spark.createDataFrame([(1, (1, [1], None), (1, [2], None))], f"pair_id int, capsule {side}, audit {side}")
+    assert [c.field for c in expectations.field_consistency(p, ["x", "y", "z"]).collect()] == ["y"]
+    t = spark.createDataFrame([("context-capsule", "source-range", ("p", 1, 9)), ("full-workflow-library", "file", ("q", 1, 2)), ("x", "odd", ("r", 1, 2))], "a string, c string, m struct<filePath:string,startLine:int,endLine:int>")
+    keyed = t.select("a", "c", F.struct(F.col("m.*"), F.col("m.filePath").alias("path"), *[F.lit("v").alias(n) for n in ("symbolId", "responsibilityId", "name", "commandText", "id", "evidenceId")]).alias("m"))
+    assert [k[0] for k in keyed.select(expectations.target_key(F.col("a"), F.col("c"), F.col("m"))).collect()] == ["context-capsule|source-range|filePath:p|startLine:1|endLine:9", "full-workflow-library|file|path:q", None]
+    size = spark.createDataFrame([("a", 5), ("a", 1), ("b", 0)], "k string, n_chars int")
+    assert rows(expectations.context_size(size, ["k"])) == [("a", 2, 6, 3), ("b", 1, 0, 0)]
+
+
+def test_chains_and_orders(spark):
+    b = spark.createDataFrame([("app", "release", "rel"), ("lib", "release", "none"), ("dyn", "release", "d"), ("app", "debug", "rel")], "module string, build_type string, signing_config string")
+    c = spark.createDataFrame([("rel", "../keys/k.jks", True, False), ("d", "k.jks", True, True)], "name string, store_file string, literal_credential boolean, dynamic boolean")
+    f = spark.createDataFrame([("app/keys/k.jks",)], "path string")
+    assert {r.module: r.state for r in security.signing_chain(b, c, f).collect()} == {"app": "committed", "lib": "missing", "dyn": "unresolved"}
+    k = spark.createDataFrame([("b", "r", None, "p", None, None, "f2"), ("b", "r", None, "p", None, None, "f1"), ("a", "z", "m", "p", 3, 1, "f"), ("a", "z", None, "p", 9, 1, "f")], "category string, rule_id string, module_path string, path string, line int, col int, fingerprint string")
+    assert [(r.category, r.module_path, r.fingerprint) for r in k.orderBy(*security.candidate_order()).collect()] == [("a", None, "f"), ("a", "m", "f"), ("b", None, "f1"), ("b", None, "f2")]
+    modules = spark.createDataFrame([("library", "views", "low"), ("application", "compose", "high")], "kind string, ui_toolkit string, confidence string")
+    assert tuple(security.project_kind(modules).first()) == ("application", "mixed", "high")
+    outcomes = spark.createDataFrame([("r1", "failed", ["w1", "w2"]), ("r2", "skipped", [])], "run_id string, status string, warnings array<string>")
+    assert rows(audit.tagged_findings(outcomes)) == [("r1", "failure", "outcome failed"), ("r1", "warning", "w1"), ("r1", "warning", "w2"), ("r2", "skipped", "outcome was skipped")]
+    a, b2 = spark.createDataFrame([(1, "x"), (2, "y")], "ord int, v string"), spark.createDataFrame([(1, "y"), (2, "z")], "ord int, v string")
+    assert [r.v for r in audit.union_distinct([a, b2], "v").orderBy("first_seen").collect()] == ["x", "y", "z"]
+
+
 def test_snapshots(spark):
     schema = "path string, sha256 string"
     before = spark.createDataFrame([("same", "1"), ("gone", "1"), ("null", None), ("changed", "1")], schema)
