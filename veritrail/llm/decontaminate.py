@@ -125,7 +125,7 @@ def leaks(docs: DataFrame, items: DataFrame, share: float = SHARE, id_col: str =
     found = found.withColumn("share", F.col("n") / F.col("total")).where(F.col("share") >= share)
     slots = placed.where(F.size("slots") > 0).select(*group, F.explode(F.arrays_zip("slots", "d_slots")).alias("z")).select(*group, F.col("z.slots").alias("a"), F.col("z.d_slots").alias("b"))
     votes = slots.groupBy(*group, "a", "b").agg(F.count(F.lit(1)).alias("n"))
-    best = votes.groupBy(*group, "a").agg(F.max("n").alias("top"), F.sum("n").alias("all"), F.max_by(F.col("a") == F.col("b"), "n").alias("same"))
+    best = votes.groupBy(*group, "a").agg(F.max("n").alias("top"), F.sum("n").alias("all"), F.coalesce(F.max(F.when(F.col("a") == F.col("b"), F.col("n"))) == F.max("n"), F.lit(False)).alias("same"))
     fits = best.groupBy(*group).agg((F.sum("top") / F.sum("all")).alias("consistency"), F.bool_and("same").alias("same"))
     judged = found.join(fits, group, "left").withColumn("consistency", F.coalesce("consistency", F.lit(1.0))).where(F.col("consistency") >= share)
     one = judged.groupBy(*doc_key, "item").agg(F.max(F.struct("share", "consistency", F.coalesce("same", F.lit(True)).alias("same"))).alias("m"))
@@ -145,3 +145,29 @@ def remove_leaking(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
     raw = F.col(id_col).cast("long")
     keyed = docs.select(F.struct("*").alias("row"), raw.isNull().alias("no_id"), F.coalesce(raw, F.lit(0)).alias("key"), F.xxhash64(F.col(text_col).cast("string")).alias("hash"))
     return keyed.join(gone, ["no_id", "key", "hash"], "left_anti").select("row.*")
+
+
+def duckdb_sql(share: float = SHARE) -> str:
+    """The same rows by joining all windows of all documents; names, numbers and units are marked in repeated passes, as the dialect has no look-behind."""
+    name = r"regexp_replace({}, '([\p{{Ll}},;] )(\p{{Lu}}\p{{Ll}}+)', '\1' || chr(3) || '\2', 'g')"
+    plain = r"trim(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}\x03]+', ' ', 'g'))".format(name.format(name.format("text")))
+    numbered = rf"trim(regexp_replace(' ' || ({plain}) || ' ', ' ([0-9]+(?: [0-9]+)*) ', ' ' || chr(1) || '\1 ', 'g'))"
+    digits = r"regexp_replace({}, '([0-9]) ([0-9])', '\1_\2', 'g')"
+    units = rf"regexp_replace({digits.format(digits.format(numbered))}, '([0-9] )({'|'.join(UNITS)})( |$)', '\1' || chr(2) || '\2\3', 'g')"
+    last = WINDOW - 1
+    windows = f"SELECT id, i, n, array_to_string(k[i:i + {last}], ' ') AS h, list_filter(t[i:i + {last}], lambda w: w[1] IN (chr(1), chr(2), chr(3))) AS slots FROM (SELECT id, t, k, len(t) AS n, unnest(range(1, len(t) - {last} + 1)) AS i FROM {{}})"
+    return f"""
+WITH s AS (SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark),
+t AS (SELECT side, id, string_split(CASE WHEN regexp_matches(text, '[0-9]') THEN {units} ELSE {plain} END, ' ') AS t FROM s),
+k AS (SELECT *, list_transform(t, lambda w: CASE WHEN w[1] IN (chr(1), chr(2), chr(3)) THEN w[1] ELSE w END) AS k FROM t),
+d AS ({windows.format("(SELECT * FROM k WHERE side = 'd')")}),
+b AS ({windows.format("(SELECT * FROM k WHERE side = 'b')")}),
+m AS (SELECT d.id AS doc_id, b.id AS item_id, b.n - {last} AS total, b.i AS pos, b.slots AS x, d.slots AS y, d.i // b.n - o AS stretch FROM d JOIN b USING (h), (VALUES (0), (1)) AS v(o)),
+f AS (SELECT doc_id, item_id, stretch, count(DISTINCT pos) / total AS share FROM m GROUP BY doc_id, item_id, stretch, total HAVING count(DISTINCT pos) / total >= {share}),
+z AS (SELECT doc_id, item_id, stretch, unnest(x) AS x, unnest(y) AS y FROM m WHERE len(x) > 0),
+v AS (SELECT doc_id, item_id, stretch, x, y, count(*) AS n FROM z GROUP BY ALL),
+w AS (SELECT doc_id, item_id, stretch, x, max(n) AS top, sum(n) AS every, coalesce(max(n) FILTER (x = y) = max(n), false) AS same FROM v GROUP BY ALL),
+c AS (SELECT doc_id, item_id, stretch, sum(top) / sum(every) AS consistency, bool_and(same) AS same FROM w GROUP BY ALL),
+g AS (SELECT f.*, coalesce(consistency, 1.0)::DOUBLE AS consistency, coalesce(same, true) AS same FROM f LEFT JOIN c USING (doc_id, item_id, stretch)),
+r AS (SELECT * FROM g WHERE consistency >= {share} QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY share DESC, consistency DESC, same DESC) = 1)
+SELECT doc_id, item_id, share::DOUBLE AS share, consistency, CASE WHEN same THEN 'verbatim' ELSE 'reparameterised' END AS kind FROM r"""

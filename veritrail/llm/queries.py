@@ -85,6 +85,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_url_filters": url_filter.duckdb_sql(URL_RULES),
         "op2_substring_dedup": span_dedup.duckdb_sql(),
+        "op3_benchmark_decontamination": decontaminate.duckdb_sql(),
         "op8_exact_topk": topk.duckdb_sql(),
         "op10_license_scan": license_scan.duckdb_sql(),
     }
