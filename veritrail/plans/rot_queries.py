@@ -14,7 +14,7 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as source files that import the file of the next-but-two part."""
     k = F.col("p_partkey")
     folder = F.get(F.array(*[F.lit(x) for x in ("src/a", "src/b", "scripts/c", "benchmarks/d")]), (k % 4).cast("int"))
-    content = F.concat(F.lit("import x from './f"), ((k + 3) % 60).cast("string"), F.lit(".js'\nexport function g"), (k % 45).cast("string"), F.lit("() {}\nfunction own() {}\n"))
+    content = F.concat(F.lit("import x from './f"), ((k + 3) % 60).cast("string"), F.lit(".js'\nexport function g"), (k % 440).cast("string"), F.lit("() {}\nfunction own() {}\n"))
     path = F.concat(folder, F.lit("/f"), (k % 75).cast("string"), F.lit("."), F.when(k % 2 == 0, "ts").otherwise("mts"))
     return table(spark, sf_dir, "part").select(path.alias("path"), content.alias("content"), F.length(content).alias("size_bytes"), F.lit("typescript").alias("language"), F.lit("source").alias("role"))
 
@@ -95,8 +95,8 @@ def detector_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (unreferenced_files, duplicate_basenames, duplicate_exports, stale_commands, npm_audit_findings, malformed_outputs, exported_components, candidate_summary, token_usage, detector_report)}
 
 _FILES = """
-p AS (SELECT ['src/a', 'src/b', 'scripts/c', 'benchmarks/d'][p_partkey % 4 + 1] AS d, 'f' || (p_partkey % 75) AS b, CASE WHEN p_partkey % 2 = 0 THEN 'ts' ELSE 'mts' END AS e, 'f' || ((p_partkey + 3) % 60) AS i, 'g' || (p_partkey % 45) AS g,
-  length('import x from ''./f' || ((p_partkey + 3) % 60) || '.js''' || 'export function g' || (p_partkey % 45) || '() {}function own() {}') + 3 AS n FROM part)"""
+p AS (SELECT ['src/a', 'src/b', 'scripts/c', 'benchmarks/d'][p_partkey % 4 + 1] AS d, 'f' || (p_partkey % 75) AS b, CASE WHEN p_partkey % 2 = 0 THEN 'ts' ELSE 'mts' END AS e, 'f' || ((p_partkey + 3) % 60) AS i, 'g' || (p_partkey % 440) AS g,
+  length('import x from ''./f' || ((p_partkey + 3) % 60) || '.js''' || 'export function g' || (p_partkey % 440) || '() {}function own() {}') + 3 AS n FROM part)"""
 
 ORACLE_SQL = {
     "unreferenced_files": f"WITH {_FILES} SELECT DISTINCT 'dead-code-candidate:unreferenced-source-file:' || d || '/' || b || '.' || e AS id, d || '/' || b || '.' || e AS file, 'low' AS severity FROM p WHERE d <> 'benchmarks/d' AND b NOT IN (SELECT i FROM p) AND d || '/' || b || '.' || e <> 'src/a/f64.ts'",
