@@ -59,7 +59,8 @@ def runs(docs: DataFrame) -> DataFrame:
             (x["n"] + sum((at(i + k, "n") for k in range(2, SPAN)), at(i + 1, "n"))).alias("words"),
         ),
     )
-    flat = units.select("id", "hash", F.posexplode(made).alias("pos", "r"))
+    # The outer form keeps Spark from testing the list's size below, where it would cut and hash every text twice.
+    flat = units.select("id", "hash", F.posexplode_outer(made).alias("pos", "r"))
     return flat.where(F.col("r.words") >= LEAST_WORDS).select("id", "hash", "pos", F.col("r.h1").alias("h1"), F.col("r.h2").alias("h2"))
 
 
