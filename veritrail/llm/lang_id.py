@@ -91,8 +91,12 @@ def _softmax(logits: np.ndarray) -> np.ndarray:
 
 
 def fit(counts: np.ndarray, labels: np.ndarray, languages: list[str], seed: int = 7) -> Model:
-    """counts: documents by buckets; labels: index into ``languages``. Every fifth document calibrates, the others train."""
-    shares = (counts / np.maximum(1, counts.sum(axis=1, keepdims=True))).astype(np.float32)
+    """counts: documents by buckets; labels: index into ``languages``. Every fifth document calibrates, the others train.
+
+    A float32 ``counts`` is turned into shares in place, so that one matrix is held.
+    """
+    shares = counts.astype(np.float32, copy=False)
+    shares /= np.maximum(1, shares.sum(axis=1, keepdims=True))
     calibrate = np.arange(len(labels)) % 5 == 4
     if len(labels) < 10:
         calibrate[:] = False
@@ -152,13 +156,14 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     chosen = known.where(wanted).mapInArrow(run, "lang string, buckets array<short>, counts array<int>")
     rows = chosen.limit(2 * sample).toArrow()
-    n = rows.num_rows
-    counts = np.zeros((n, BUCKETS), np.float32)
-    for i, (b, c) in enumerate(zip(rows["buckets"], rows["counts"])):
-        counts[i, b.values.to_numpy()] = c.values.to_numpy()
     labels = np.array([languages.index(x) for x in rows["lang"].to_pylist()], np.int64)
-    order = np.lexsort((counts.sum(axis=1), labels))  # the same order however rows arrive
-    return fit(counts[order], labels[order], languages)
+    sizes = np.array([c.values.to_numpy().sum() for c in rows["counts"]], np.int64)
+    order = np.lexsort((sizes, labels))  # the same order however rows arrive
+    counts = np.zeros((rows.num_rows, BUCKETS), np.float32)
+    for k, i in enumerate(order.tolist()):
+        counts[k, rows["buckets"][i].values.to_numpy()] = rows["counts"][i].values.to_numpy()
+    del rows
+    return fit(counts, labels[order], languages)
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
