@@ -385,3 +385,30 @@ def test_license_scan_against_plain(spark, odd, empty):
     assert license_scan.scan(odd, license_scan.default_templates(spark)).count() == 0
     assert license_scan.scan(empty, license_scan.default_templates(spark)).count() == 0
     assert license_scan.scan(table, license_scan.default_templates(spark).limit(0)).count() == 0
+
+
+def test_license_scan_finds_wrapped_and_inline_notices(spark):
+    import textwrap
+
+    notice = {t: n for t, _, n in license_scan.TEMPLATES + license_scan.NOTICES}
+    comment = lambda t, mark: "\n".join(mark + x for x in textwrap.wrap(notice[t], 78 - len(mark)))
+    inline = "This project was written by Ann Smith in 2020 and is released under the MIT License."
+    rows = [
+        (1, "int a;\n\n" + comment("mit-grant", "") + "\nint b;"),
+        (2, inline),
+        (3, "/*\n" + comment("gpl-2-header", " * ") + "\n */\nint main"),
+        (4, "MIT License\n\n" + comment("mit-full", "# ") + "\nx = 1"),
+        (5, comment("bsd-3-full", "// ")),
+        (6, comment("apache-2-header", "; ")),
+        (7, f"One. {inline} Two is licensed under CC BY 4.0. and more of it, {inline}"),
+        (8, "released under\nthe sun, by the MIT press; license it"),
+        (9, "released under the MIT license\n" + "words before " * 30 + "is\nlicensed under\nCC BY-SA\n4.0"),
+    ]
+    table = docs(spark, [(i, t, None) for i, t in rows] + [(2, inline, None), (None, inline, None)])
+    for many in (license_scan.ANCHORED_BIGRAMS, 0):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(license_scan, "ANCHORED_BIGRAMS", many)
+            got = license_scan.scan(table, license_scan.default_templates(spark)).collect()
+        found = sorted((r.doc_id or 0, r.line_no, r.template_id) for r in got)
+        assert found == [(0, 0, "mit-released"), (1, 2, "mit-grant"), (2, 0, "mit-released"), (2, 0, "mit-released"), (3, 1, "gpl-2-header"), (4, 2, "mit-full"), (5, 0, "bsd-3-full"), (6, 0, "apache-2-header"), (7, 0, "cc-by-4"), (7, 0, "mit-released"), (7, 0, "mit-released"), (9, 0, "mit-released"), (9, 2, "cc-by-sa-4")]
+        assert all(r.score == 1.0 for r in got if r.doc_id in (1, 2, 4, 5, 6, 7))

@@ -10,8 +10,18 @@ for the words that a match cannot do without. The others meet the templates in a
 bigrams with the bounds of each template, so a line that shares no bigram with
 a template of a fitting size is never compared.
 
-Returns one row per matching line: doc_id, line_no (from 0), template_id,
-license, score. The best template is named, of equal ones the smallest id.
+A notice that is wrapped over lines, or stands inside a longer line, is found in
+a second pass over windows of the whole text's words. A template's bigrams give
+places in the text; those that lie within one stretch of the template's longest
+window are scored as soon as they could be enough. The best window of a template begins where
+a row of such places begins and ends where one ends, as a shared bigram more
+never lowers the score, so only those are scored. Of windows that overlap, the
+one that shares most bigrams is reported, then the best, then the smallest id.
+A window within a line that matches by itself, or over one that matches the same
+template, is not reported again.
+
+Returns one row per match: doc_id, line_no (from 0, where it begins), template_id,
+license, score. For a line the best template is named, of equal ones the smallest id.
 
 Cases: null and empty texts have no match, nor has a line of fewer than two
 words; repeated rows are each reported; a null doc_id is kept; other columns
@@ -31,16 +41,20 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritrail.llm.licenses import TEMPLATES
+from veritrail.llm.licenses import NOTICES, TEMPLATES
+from veritrail.llm.lineage import cut
 
 THRESHOLD = 0.8
 BROADCAST_BIGRAMS = 200_000
+#: Texts that are looked at again for windows; fewer are found by their keys without a shuffle.
+BROADCAST_KEYS = 200_000
 #: With so few template bigrams, texts that lack every anchor word are left before anything else.
 ANCHORED_BIGRAMS = 1_000
 
 
 def default_templates(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(TEMPLATES, "template_id string, license string, notice string")
+    """Those with ``whole`` are met by windows alone, a line that holds one included; lines would all fit their size."""
+    return spark.createDataFrame([(*t, False) for t in TEMPLATES] + [(*t, True) for t in NOTICES], "template_id string, license string, notice string, whole boolean")
 
 
 def normalised(text: Column) -> Column:
@@ -52,9 +66,24 @@ def words_of(line: Column) -> Column:
     return F.split(F.trim(line), " ")
 
 
+def adjacent(words: Column) -> Column:
+    """Adjacent word pairs; none for fewer than two words."""
+    return F.transform(F.slice(words, 2, F.size(words)), lambda w, i: F.concat(F.get(words, i), F.lit(" "), w))
+
+
 def bigrams(words: Column) -> Column:
-    """Distinct adjacent word pairs; none for fewer than two words."""
-    return F.array_distinct(F.transform(F.slice(words, 2, F.size(words)), lambda w, i: F.concat(F.get(words, i), F.lit(" "), w)))
+    """Distinct adjacent word pairs."""
+    return F.array_distinct(adjacent(words))
+
+
+def _once(value: Column, use) -> Column:
+    """``use`` of a value that is made once; written into a lambda, it would be made for every element."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _all_words(text: Column) -> Column:
+    """The words of the whole text, over line breaks."""
+    return words_of(F.regexp_replace(normalised(text), "[ \n]+", " "))
 
 
 def _template_bigrams(templates: DataFrame, threshold: float) -> DataFrame:
@@ -88,13 +117,61 @@ def _anchors(table: DataFrame, threshold: float) -> list[str]:
 
 
 def _holds_any(text: Column, pairs: list[str]) -> Column:
-    """Whether the text holds both words of some pair, in any place; the one-element list has it lower-cased once."""
-    both = lambda t, p: reduce(lambda a, b: a & b, [t.contains(w) for w in sorted(p.split(" "), key=len, reverse=True)])
-    return F.exists(F.array(F.lower(text)), lambda t: reduce(lambda a, b: a | b, [both(t, p) for p in pairs], F.lit(False)))
+    """Whether the text holds both words of some pair, in any place; the longer words are looked for first, each once, and the one-element list has it lower-cased once."""
+    others: dict[str, list[str]] = {}
+    for p in pairs:
+        short, long = sorted(p.split(" "), key=len)
+        others.setdefault(long, []).append(short)
+    either = lambda found: reduce(lambda a, b: a | b, found, F.lit(False))
+    return F.exists(F.array(F.lower(text)), lambda t: either([t.contains(long) & either([t.contains(w) for w in short]) for long, short in others.items()]))
+
+
+def _windows(docs: DataFrame, templates: DataFrame, threshold: float, text: Column, id_col: str) -> DataFrame:
+    """_id, _text, _from and _to (lines), template_id, license, score of the windows that match, for each row of ``docs``."""
+    whole = templates.withColumn("notice", F.array_join(_all_words(F.col("notice")), " "))
+    spans = whole.select("template_id", F.floor((F.size(F.split("notice", " ")) - 1) * F.lit((2 - threshold) / threshold) + F.lit(1e-9)).cast("int").alias("t_span"))
+    table = _template_bigrams(whole, threshold).join(F.broadcast(spans), "template_id").withColumn("t_k", F.xxhash64("t_pair"))
+    n_pairs = table.count()
+    holding = docs if n_pairs > ANCHORED_BIGRAMS else docs.where(_holds_any(text, _anchors(table, threshold)))
+    if n_pairs <= BROADCAST_BIGRAMS:
+        table = F.broadcast(table)
+    rows = holding.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_text"), text.alias("_raw"))
+    made = rows.select("_id", "_text", _all_words(F.col("_raw")).alias("_words")).select("_id", "_text", F.posexplode_outer(adjacent(F.col("_words"))).alias("_pos", "_pair"))
+    stretch = F.expr("_pos div t_span").cast("int")
+    met = made.join(table, F.col("_pair") == F.col("t_pair")).select("_id", "_text", "template_id", "license", "t_size", "t_low", "t_span", "_pos", "t_k", F.explode(F.array(stretch, stretch - 1)).alias("_stretch"))
+    near = met.groupBy("_id", "_text", "template_id", "license", "t_size", "t_low", "t_span", "_stretch").agg(F.collect_set(F.struct("_pos", "t_k")).alias("_hits"))
+    enough = near.where(F.size(F.array_distinct("_hits.t_k")) >= F.lit(threshold / 2) * (F.col("t_size") + F.col("t_low")) - F.lit(1e-9))
+    chosen = cut(enough.groupBy("_id", "_text").agg(F.collect_list(F.struct("template_id", "license", "t_size", "t_low", "t_span", F.array_sort("_hits").alias("hits"))).alias("_near")).withColumnsRenamed({"_id": "_c_id", "_text": "_c_text"}))
+    same = F.col("_id").eqNullSafe(F.col("_c_id")) & (F.col("_text") == F.col("_c_text"))
+    if chosen.count() <= BROADCAST_KEYS:  # else the texts are shuffled
+        rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_text"), text.alias("_raw")).join(F.broadcast(chosen.select("_c_id", "_c_text")), same, "left_semi")
+    again = rows.join(chosen, same)
+    lines = F.transform(F.split(normalised(F.col("_raw")), "\n"), lambda x: F.trim(x))
+    line_of = F.flatten(F.transform(lines, lambda x, i: F.array_repeat(i, F.when(x == "", 0).otherwise(F.size(F.split(x, " "))))))
+
+    def scored(m: Column, words: Column) -> Column:
+        """Every window of one stretch from the beginning of a row of places to the end of one."""
+        at = m["hits"]["_pos"]
+        begins, ends = F.array_except(at, F.transform(at, lambda p: p + 1)), F.array_except(at, F.transform(at, lambda p: p - 1))
+        fits = lambda b, ends: F.filter(ends, lambda e: (e - b < m["t_span"]) & (e - b + 1 >= m["t_low"]))
+        spans = _once(ends, lambda ends: F.flatten(F.transform(begins, lambda b: F.transform(fits(b, ends), lambda e: F.struct(b.alias("b"), e.alias("e"))))))
+        shared = lambda w: F.size(F.array_distinct(F.transform(F.filter(m["hits"], lambda h: h["_pos"].between(w["b"], w["e"])), lambda h: h["t_k"])))
+        counted = F.transform(spans, lambda w: F.struct(w["b"].alias("b"), w["e"].alias("e"), shared(w).alias("s")))
+        likely = F.filter(counted, lambda w: 2.0 * w["s"] >= F.lit(threshold) * (m["t_size"] + m["t_low"]) - F.lit(1e-9))
+        score = lambda w: 2.0 * w["s"] / (F.size(bigrams(F.slice(words, w["b"] + 1, w["e"] - w["b"] + 2))) + m["t_size"])
+        return F.transform(likely, lambda w: F.struct((-w["s"]).alias("less"), (-score(w)).alias("worse"), m["template_id"].alias("template_id"), w["b"].alias("b"), w["e"].alias("e"), m["license"].alias("license")))
+
+    good = _once(_all_words(F.col("_raw")), lambda words: F.filter(F.flatten(F.transform("_near", lambda m: scored(m, words))), lambda w: -w["worse"] >= threshold))
+    # From the best on, each window that meets no better one; windows meet if they share a word.
+    free = lambda kept, w: ~F.exists(kept, lambda k: (k["b"] <= w["e"] + 1) & (w["b"] <= k["e"] + 1))
+    kept = _once(F.array_sort(F.array_distinct(good)), lambda g: F.aggregate(g, F.slice(g, 1, 0), lambda a, w: F.when(free(a, w), F.concat(a, F.array(w))).otherwise(a)))
+    placed = _once(line_of, lambda at: F.transform(kept, lambda w: F.struct(w.alias("w"), F.get(at, w["b"]).alias("from"), F.get(at, w["e"] + 1).alias("to"))))
+    flat = again.select("_id", "_text", F.explode_outer(placed).alias("_w")).where("_w IS NOT NULL")
+    return flat.select("_id", "_text", F.col("_w.from").alias("_from"), F.col("_w.to").alias("_to"), F.col("_w.w.template_id").alias("template_id"), F.col("_w.w.license").alias("license"), (-F.col("_w.w.worse")).alias("score"))
 
 
 def scan(docs: DataFrame, templates: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    table = _template_bigrams(templates, threshold)
+    table = _template_bigrams(templates.where("NOT whole") if "whole" in templates.columns else templates, threshold)
     bounds = table.agg(F.min("t_low"), F.max("t_high"), F.count(F.lit(1))).first()
     low, high, n_pairs = bounds[0] or 1, bounds[1] or 0, bounds[2]
     text = F.col(text_col).cast("string")
@@ -119,17 +196,19 @@ def scan(docs: DataFrame, templates: DataFrame, threshold: float = THRESHOLD, id
         F.min(F.struct((-F.col("score")).alias("s"), "template_id", "license")).alias("_best"),
         F.min(F.expr("_n div _shared")).alias("_copies"),  # each copy of a row brought all shared bigrams once
     )
-    return best.select(
-        F.col("_id").alias(id_col),
-        F.col("_line").cast("long").alias("line_no"),
-        F.col("_best.template_id").alias("template_id"),
-        F.col("_best.license").alias("license"),
-        (-F.col("_best.s")).alias("score"),
-        F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy"),
-    ).drop("_copy")
+    # Few rows by now; they are read twice below.
+    by_line = cut(best.select("_id", "_text", "_line", "_best.template_id", "_best.license", (-F.col("_best.s")).alias("score"), "_copies"))
+    own = by_line.groupBy("_id", "_text").agg(F.collect_list(F.struct("_line", "template_id")).alias("_own")).withColumnsRenamed({"_id": "_o_id", "_text": "_o_text"})
+    windows = _windows(docs, templates, threshold, text, id_col).join(own, F.col("_id").eqNullSafe(F.col("_o_id")) & (F.col("_text") == F.col("_o_text")), "left")
+    said = F.exists("_own", lambda x: x["_line"].between(F.col("_from"), F.col("_to")) & ((F.col("_from") == F.col("_to")) | (x["template_id"] == F.col("template_id"))))
+    rest = windows.where(~F.coalesce(said, F.lit(False)))
+    columns = ["template_id", "license", "score"]
+    copied = by_line.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return copied.select(F.col("_id").alias(id_col), F.col("_line").cast("long").alias("line_no"), *columns).unionByName(rest.select(F.col("_id").alias(id_col), F.col("_from").cast("long").alias("line_no"), *columns))
 
 
 def duckdb_sql(threshold: float = THRESHOLD) -> str:
+    """The line matches of TEMPLATES alone: neither windows nor NOTICES."""
     rows = ", ".join("('{}', '{}', '{}')".format(*(x.replace("'", "''") for x in t)) for t in TEMPLATES)
     norm = "trim(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g'))"
     pairs = "list_distinct(list_transform(range(1, len({0})), lambda i: {0}[i] || ' ' || {0}[i + 1]))"
