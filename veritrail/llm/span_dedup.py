@@ -1,15 +1,24 @@
 """Operator 2: substring dedup over sliding sentence spans.
 
-A text is cut into sentences: after ``.``, ``!`` or ``?`` at the end of a word,
-at a line break, and after ``LONGEST`` words of a sentence that goes on. Every
-run of ``SPAN`` consecutive sentences is hashed on its lower-cased words and
-joined with all other runs of the table. A hash that occurs more than once has
-one first occurrence, by (doc_id, place in the text); sentences covered by any
-other occurrence are removed, the rest of the text stays as it is. Runs of
-fewer than ``LEAST_WORDS`` words repeat by chance and are not looked at.
-
-A passage of over 2 * LONGEST words that begins at a sentence holds a run of
-its own, so no repeat of such a passage stays.
+A text is cut into sentences: after a word that ends in ``.``, ``!``, ``?``, an
+ellipsis or a CJK full stop (up to ``CLOSERS`` closing quotes and brackets may
+follow), and at line breaks. A sentence of over ``LONGEST`` words is cut further
+at places that depend on its words alone: after every word that is the longest
+(the last of equally long ones) of some ``CUT_WINDOW`` words in a row. Wherever
+a passage stands, it is so cut at the same places, save near its ends.
+
+A run is the fewest consecutive sentences from one on that are ``SPAN`` or more
+and hold ``LEAST_WORDS`` words or more. Every run is hashed on its lower-cased
+words and joined with all other runs of the table. A hash that occurs more than
+once has one first occurrence, by (doc_id, place in the text); sentences covered
+by any other occurrence are removed, the rest of the text stays as it is.
+
+A passage of over 50 words always holds a run of its own: at most LONGEST words
+are lost at either end (a shorter sentence that the passage begins within, or the
+words up to the first full window), and the 35 or more left hold a run, as three
+sentences have 3 * LONGEST = 24 words at most and a run of more ends within
+LEAST_WORDS + LONGEST - 1 = 35. For this count each word is one; a run
+counts a word of over 24 bytes once for every 24 begun, for texts without spaces.
 
 Returns doc_id, text (what is left), n_sentences, n_removed for each row.
 
@@ -19,85 +28,191 @@ others; rows that share doc_id and text are one document to the search, so
 they do not remove each other, and each is returned; repeats within one text
 count like those between texts; other columns are left out.
 
-Scale: the runs are counted with map-side combine, and only hashes with several
-occurrences go on, one row each; their join with the runs has a unique side, so
-Spark splits a hot hash over tasks. The text is shuffled once, by document.
+Scale: a first pass sends one narrow row per run, counted with map-side combine;
+hashes with several occurrences are written to the shared folder. A second pass
+meets them, broadcast while a bounded count says that they are few; beyond that
+both sides are shuffled, and Spark splits the runs of a hot hash over tasks. The
+text is shuffled once, by document.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-SPAN = 3
-LONGEST = 24
-LEAST_WORDS = 8
-#: White space and other characters of a word, spelled out so that every regex dialect agrees.
-_SPACE = r"[ \t\n\x0B\f\r]"
-_WORD = r"[^ \t\n\x0B\f\r]"
-SENTENCE = rf"(?:{_WORD}*[^ \t\n\x0B\f\r.!?][ \t]+){{0,{LONGEST - 1}}}{_WORD}+{_SPACE}*"
-
+from collections.abc import Iterator
+from dataclasses import dataclass
 
-def sentences(text: Column) -> Column:
-    """The sentences with the white space after them; joined they give the text without its leading white space."""
-    return F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0))
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from veritrail.llm.lineage import cut
 
-def _normal(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(sentence), rf"{_SPACE}+", " "))
+SPAN = 3
+LEAST_WORDS = 28
+LONGEST = 8
+CUT_WINDOW = 8
+CLOSERS = 16
+WORD_BYTES = 24
+BROADCAST_RUNS = 500_000
+_SPACE, _BREAK, _STOP, _CLOSE = (np.zeros(256, bool) for _ in range(4))
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BREAK[[10, 13]] = True
+_STOP[list(b".!?")] = True
+_CLOSE[list(b"\"')]}")] = True
+#: Stops and closing quotes of several bytes in UTF-8.
+_LONG_STOPS, _LONG_CLOSE = [c.encode() for c in "…。！？"], [c.encode() for c in "”’»"]
+
+
+@dataclass
+class Cut:
+    raw: bytes
+    first: np.ndarray  # where each sentence begins in ``raw``; the last entry is the end
+    words: bytes  # lower-cased, single spaces
+    begin: np.ndarray  # where each sentence begins and ends in ``words``
+    end: np.ndarray
+    size: np.ndarray  # words of each sentence
+
+
+def _ends_with(raw: np.ndarray, at: np.ndarray, mark: bytes) -> np.ndarray:
+    """Whether ``mark`` stands in ``raw`` up to each place, the place included."""
+    fits = at >= len(mark) - 1
+    for k, byte in enumerate(reversed(mark)):
+        fits &= raw[np.maximum(at - k, 0)] == byte
+    return fits
+
+
+def _stops(raw: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Which words end a sentence; ``last`` is the place of each word's last byte."""
+    at, many = last.copy(), bool((raw >= 128).any())
+    for _ in range(CLOSERS):
+        step = _CLOSE[raw[at]].astype(np.int64)
+        for mark in _LONG_CLOSE if many else ():
+            step = np.where(_ends_with(raw, at, mark), len(mark), step)
+        if not step.any():
+            break
+        at = np.maximum(at - step, 0)
+    found = _STOP[raw[at]]
+    for mark in _LONG_STOPS if many else ():
+        found |= _ends_with(raw, at, mark)
+    return found
+
+
+def sentences(text: str) -> Cut | None:
+    """The sentences of a text; None if it has no word."""
+    raw = text.encode()
+    data = np.frombuffer(raw, np.uint8)
+    edge = np.flatnonzero(np.diff(_SPACE[data].astype(np.int8), prepend=1, append=1))
+    start, stop = edge[::2], edge[1::2]
+    n = len(start)
+    if not n:
+        return None
+    low = text.lower().encode().split()
+    sizes = np.fromiter(map(len, low), np.int64, n)
+    breaks = np.concatenate([[0], np.cumsum(_BREAK[data])])
+    after = np.append(start[1:], len(raw))
+    ends = _stops(data, stop - 1) | (breaks[after] > breaks[stop])
+    ends[-1] = True
+    of = np.cumsum(ends) - ends
+    if n >= CUT_WINDOW and CUT_WINDOW == 8:
+        key = (sizes << 32) + np.arange(n)
+        for shift in (1, 2, 4):
+            key = np.maximum(key[:-shift], key[shift:])
+        inside = (of[: n - 7] == of[7:]) & (np.bincount(of)[of[: n - 7]] > LONGEST)
+        ends[key[inside] & 0xFFFFFFFF] = True
+    last = np.flatnonzero(ends)
+    head = np.append(0, last[:-1] + 1)
+    place = np.cumsum(sizes + 1)
+    weights = np.append(0, np.cumsum((sizes + (WORD_BYTES - 1)) // WORD_BYTES))
+    return Cut(raw, np.append(start[head], len(raw)), b" ".join(low), place[head] - sizes[head] - 1, place[last] - 1, weights[last + 1] - weights[head])
+
+
+def run_ends(size: np.ndarray) -> np.ndarray:
+    """For each sentence that begins a run the run's last sentence; the others, at the end of the text, have none."""
+    total = np.cumsum(size)
+    last = np.maximum(np.searchsorted(total, total - size + LEAST_WORDS), np.arange(len(size)) + (SPAN - 1))
+    return last[last < len(size)]
 
 
 def runs(docs: DataFrame) -> DataFrame:
-    """docs: id, hash, parts. One row per run: id, hash, pos (from 0), h1, h2."""
-    units = docs.select("id", "hash", F.transform("parts", lambda s: F.struct(F.xxhash64(_normal(s)).alias("h"), F.size(F.split(_normal(s), " ")).alias("n"))).alias("u"))
-    at = lambda i, name: F.get(F.col("u"), i)[name]
-    made = F.transform(
-        F.slice("u", 1, F.greatest(F.size("u") - (SPAN - 1), F.lit(0))),
-        lambda x, i: F.struct(
-            F.xxhash64(x["h"], *[at(i + k, "h") for k in range(1, SPAN)]).alias("h1"),
-            F.hash(x["h"], *[at(i + k, "h") for k in range(1, SPAN)]).alias("h2"),
-            (x["n"] + sum((at(i + k, "n") for k in range(2, SPAN)), at(i + 1, "n"))).alias("words"),
-        ),
-    )
-    # The outer form keeps Spark from testing the list's size below, where it would cut and hash every text twice.
-    flat = units.select("id", "hash", F.posexplode_outer(made).alias("pos", "r"))
-    return flat.where(F.col("r.words") >= LEAST_WORDS).select("id", "hash", "pos", F.col("r.h1").alias("h1"), F.col("r.h2").alias("h2"))
-
-
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs: id, hash, text. One row per run: id, hash, pos (of its first sentence, from 0), h1, h2 (128 bits of its words)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_128_digest
+        for batch in batches:
+            counts, hashes = np.zeros(batch.num_rows, np.int64), []
+            for k, text in enumerate(batch.column(2)):
+                made = sentences(text.as_py()) if text.is_valid else None
+                if made is not None:
+                    last = run_ends(made.size)
+                    counts[k] = len(last)
+                    hashes += [digest(made.words[a:b]) for a, b in zip(made.begin[: len(last)].tolist(), made.end[last].tolist())]
+            rows = np.repeat(np.arange(batch.num_rows), counts)
+            halves = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
+            pos = np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)), pa.array(pos.astype(np.int32)), pa.array(halves[:, 0]), pa.array(halves[:, 1])], names=["id", "hash", "pos", "h1", "h2"])
+
+    return docs.select("id", "hash", "text").mapInArrow(run, "id long, hash long, pos int, h1 long, h2 long")
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_runs: int = BROADCAST_RUNS) -> DataFrame:
     text = F.col(text_col).cast("string")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.hash(text).alias("hash"), text.alias("text"))
-    found = runs(rows.select("id", "hash", sentences(F.col("text")).alias("parts")))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"))
+    found = runs(rows)
     place = F.struct("id", "hash", "pos")
     repeated = found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1").select("h1", "h2", "first")
-    later = found.join(repeated, ["h1", "h2"]).where(F.struct("id", "hash", "pos") != F.col("first"))
+    repeated = cut(repeated)  # a plain input of the join, which leaves Spark free to split a hot hash
+    if repeated.limit(broadcast_runs + 1).count() <= broadcast_runs:
+        repeated = F.broadcast(repeated)
+    later = found.join(repeated, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
     key = [F.col("id").isNull().alias("no_id"), F.coalesce("id", F.lit(0)).alias("key"), "hash"]
     gone = later.select(*key, "pos").groupBy("no_id", "key", "hash").agg(F.collect_set("pos").alias("starts"))
     joined = rows.select(*key, "id", "text").join(gone, ["no_id", "key", "hash"], "left")
-    parts = joined.withColumn("parts", F.coalesce(sentences(F.col("text")), F.array().cast("array<string>")))
-    covered = F.array_distinct(F.flatten(F.transform("starts", lambda p: F.sequence(p, p + (SPAN - 1)))))
-    marked = parts.withColumn("covered", F.array_sort(covered))
-    # Marks by map lookup would cost the square of a long text's sentences; the kept places are a set difference instead.
-    places = F.when(F.size("parts") > 0, F.sequence(F.lit(0), F.size("parts") - 1)).otherwise(F.array().cast("array<int>"))
-    left = F.transform(F.array_except(places, F.col("covered")), lambda i: F.get(F.col("parts"), i))
-    return marked.select(
-        F.col("id").alias(id_col),
-        F.when(F.col("starts").isNull(), F.col("text")).otherwise(F.array_join(left, "")).alias("text"),
-        F.size("parts").cast("long").alias("n_sentences"),
-        F.coalesce(F.size("covered"), F.lit(0)).cast("long").alias("n_removed"),
-    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, n_all, n_gone = [], [], []
+            for text, starts in zip(batch.column(1), batch.column(2)):
+                value, made = text.as_py(), None
+                if value:
+                    made = sentences(value)
+                n_all.append(0 if made is None else len(made.size))
+                if made is None or not starts.is_valid:
+                    texts.append(value)
+                    n_gone.append(0)
+                    continue
+                marks, last, begin = np.zeros(len(made.size) + 1, np.int64), run_ends(made.size), np.asarray(starts.values)
+                np.add.at(marks, begin, 1)
+                np.add.at(marks, last[begin] + 1, -1)
+                covered = np.cumsum(marks[:-1]) > 0
+                n_gone.append(int(covered.sum()))
+                kept = [made.raw[a:b] for a, b in zip(made.first[:-1][~covered].tolist(), made.first[1:][~covered].tolist())]
+                texts.append(b"".join([made.raw[: made.first[0]], *kept]).decode())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(n_all, pa.int64()), pa.array(n_gone, pa.int64())], names=[id_col, "text", "n_sentences", "n_removed"])
+
+    return joined.select("id", "text", "starts").mapInArrow(run, f"{id_col} long, text string, n_sentences long, n_removed long")
 
 
 def duckdb_sql() -> str:
-    normal = r"trim(regexp_replace(lower({}), '[ \t\n\x0B\f\r]+', ' ', 'g'))"
-    keys = ", ".join(f"u[i + {k}]" for k in range(SPAN))
+    space = r"[ \t\n\x0B\f\r]"
+    word = r"[^ \t\n\x0B\f\r]"
+    stop = rf"[.!?…。！？][\"'')\]}}”’»]{{0,{CLOSERS}}}$"
+    window = f"ORDER BY i ROWS BETWEEN CURRENT ROW AND {CUT_WINDOW - 1} FOLLOWING"
     return rf"""
-WITH d AS (SELECT doc_id, text, coalesce(regexp_extract_all(text, '{SENTENCE}'), []) AS parts FROM documents),
-n AS (SELECT doc_id, list_transform(parts, lambda s: {normal.format("s")}) AS u FROM d),
-i AS (SELECT doc_id, u, unnest(range(1, len(u) - {SPAN - 2})) AS i FROM n),
-r AS (SELECT doc_id, i, concat_ws(chr(10), {keys}) AS h, {" + ".join(f"len(string_split(u[i + {k}], ' '))" for k in range(SPAN))} AS words FROM i),
-f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS k FROM r WHERE words >= {LEAST_WORDS}),
-g AS (SELECT doc_id, list_sort(list_distinct(flatten(list(range(i, i + {SPAN}))))) AS c FROM f WHERE k > 1 GROUP BY doc_id)
-SELECT doc_id, CASE WHEN c IS NULL THEN text ELSE array_to_string(list_transform(list_filter(range(1, len(parts) + 1), lambda j: NOT list_contains(c, j)), lambda j: parts[j]), '') END AS text,
-  len(parts) AS n_sentences, coalesce(len(c), 0) AS n_removed
-FROM d LEFT JOIN g USING (doc_id)""".replace("u[i + 0]", "u[i]")
+WITH t AS (SELECT doc_id, row_number() OVER () AS d, text, regexp_extract_all(coalesce(text, ''), '{word}+{space}*') AS parts FROM documents),
+w0 AS (SELECT d, doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM t),
+w1 AS (SELECT d, doc_id, i, part, regexp_extract(part, '^{word}+') AS w FROM w0),
+w2 AS (SELECT *, regexp_matches(w, '{stop}') OR regexp_matches(part, '[\n\r]') AS ends, strlen(lower(w)) AS k FROM w1),
+w3 AS (SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY d ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM w2),
+c AS (SELECT DISTINCT d, best % 4294967296 AS i FROM (SELECT d, max(k * 4294967296 + i) OVER (PARTITION BY d, s {window}) AS best, count(*) OVER (PARTITION BY d, s {window}) AS m, count(*) OVER (PARTITION BY d, s) AS n FROM w3) WHERE m = {CUT_WINDOW} AND n > {LONGEST}),
+w4 AS (SELECT w3.*, ends OR c.i IS NOT NULL AS final FROM w3 LEFT JOIN c ON w3.d = c.d AND w3.i = c.i),
+w5 AS (SELECT *, coalesce(sum(final::INT) OVER (PARTITION BY d ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS u FROM w4),
+u AS (SELECT d, any_value(doc_id) AS doc_id, u, string_agg(part, '' ORDER BY i) AS raw, string_agg(lower(w), ' ' ORDER BY i) AS low, sum((k + {WORD_BYTES - 1}) // {WORD_BYTES})::BIGINT AS n FROM w5 GROUP BY d, u),
+v AS (SELECT *, sum(n) OVER (PARTITION BY d ORDER BY u)::BIGINT AS total, max(u) OVER (PARTITION BY d) AS top FROM u),
+e AS (SELECT a.d, a.doc_id, a.u, greatest(b.u, a.u + {SPAN - 1}) AS last, a.top FROM v AS a ASOF JOIN v AS b ON a.d = b.d AND a.total - a.n + {LEAST_WORDS} <= b.total),
+r AS (SELECT e.d, e.doc_id, e.u, e.last, string_agg(u.low, ' ' ORDER BY u.u) AS h FROM e JOIN u ON u.d = e.d AND u.u BETWEEN e.u AND e.last WHERE e.last <= e.top GROUP BY ALL),
+f AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id, u) AS place FROM r),
+g AS (SELECT DISTINCT f.d, u.u FROM f JOIN u ON u.d = f.d AND u.u BETWEEN f.u AND f.last WHERE place > 1),
+l AS (SELECT u.d, count(*) AS n_sentences, count(g.u) AS n_removed, string_agg(raw, '' ORDER BY u.u) FILTER (g.u IS NULL) AS rest FROM u LEFT JOIN g ON u.d = g.d AND u.u = g.u GROUP BY u.d)
+SELECT doc_id, CASE WHEN coalesce(n_removed, 0) = 0 THEN text ELSE regexp_extract(text, '^{space}*') || coalesce(rest, '') END AS text, coalesce(n_sentences, 0) AS n_sentences, coalesce(n_removed, 0) AS n_removed
+FROM t LEFT JOIN l USING (d)"""
