@@ -161,6 +161,47 @@ def test_decontamination_short_items(spark):
     assert sorted(r.doc_id for r in decontaminate.leaks(docs(spark, rows), items).collect()) == list(range(7))
 
 
+def _by_sql(sql, **tables):
+    duckdb = pytest.importorskip("duckdb")
+    connection = duckdb.connect()
+    for name, rows in tables.items():
+        connection.register(name, rows.toPandas())
+    return connection.execute(sql).fetchdf()
+
+
+PEN = "Each red box holds 12 pens for the class, each blue box holds 30 pens for the class, each green box holds 45 pens for the class. How many pens?"
+SUM = "What is 12 times 7? A) it is equal to 84 B) it is equal to 74 and that is all there is to it"
+
+
+def test_decontamination_against_sql(spark):
+    """Short items changed at any place and phase, items that repeat themselves, worksheets of variants, names of two words, odd digits."""
+    rnd = random.Random(6)
+    short = ["mako sila tuno reva dolu pesa kiro vanu belo", "tasi gora mela punu siko rade zulo fema nilo kabu", " ".join(f"word{chr(97 + i)}" for i in range(20))]
+    items = [*enumerate([*short, PEN, SUM, "we saw that Anna Maria Smith paid 1,000.50 dollars for x1 2b days", "12 13 14 15 16 17 18", "say 5 and 6 and 7 then"])]
+    rows = []
+    for item in short:
+        words = item.split()
+        for place in range(len(words)):
+            for offset in range(5):
+                rows.append(" ".join(["pad"] * offset + words[:place] + ["other"] + words[place + 1 :] + ["more"]))
+    rows += [PEN, SUM, "x " + SUM.replace("12", "9").replace("84", "63"), "we saw that Bob paid 7 dollars for x1 2b days"]
+    variants = [PEN.replace("12", str(a)).replace("30", str(b)).replace("45", str(c)) for a, b, c in [(1, 2, 3), (4, 5, 6), (7, 8, 9), (10, 11, 13)]]
+    rows += [" ".join(rnd.sample(variants, n)) for n in (2, 3, 4) for _ in range(3)]
+    rows += ["12 13 14 15 16 17 18", "22 23 24 25 26 27 28", "say 5 and 5 and 5 then", "say 8 and 9 and 1 then", None, "", "12 " * 3000]
+    table, bench = docs(spark, [(i, t, None) for i, t in enumerate(rows)]), spark.createDataFrame(items, "item_id long, text string")
+    want = {(r.doc_id, r.item_id, round(r.share, 9), round(r.consistency, 9), r.kind) for r in _by_sql(decontaminate.duckdb_sql(), documents=table, benchmark=bench).itertuples()}
+    for bound in (0, 500_000):
+        found = decontaminate.leaks(table, bench, broadcast_anchors=bound, broadcast_keys=bound).collect()
+        assert {(r.doc_id, r.item_id, round(r.share, 9), round(r.consistency, 9), r.kind) for r in found} == want and len(found) == len(want)
+    hit = {(rows[d], i): k for d, i, _, _, k in want}
+    assert hit[PEN, 3] == hit[SUM, 4] == hit["12 13 14 15 16 17 18", 6] == "verbatim" and hit["x " + SUM.replace("12", "9").replace("84", "63"), 4] == "reparameterised"
+    assert all((r, 3) in hit for r in rows if r and r.count("pens for the class") > 3)
+    assert ("we saw that Bob paid 7 dollars for x1 2b days", 5) in hit and ("22 23 24 25 26 27 28", 6) not in hit
+    assert ("say 5 and 5 and 5 then", 7) not in hit and ("say 8 and 9 and 1 then", 7) in hit
+    # Nine words have five windows; a changed first or last word leaves four, which is 0.8.
+    assert sum(i == 0 for _, i, *_ in want) == 10
+
+
 def test_decontamination_odd(spark, odd, empty):
     items = spark.createDataFrame([(1, LONG[:300])], "item_id long, text string")
     assert {r.doc_id for r in decontaminate.leaks(odd, items).collect()} == {4, 5}

@@ -1,20 +1,24 @@
 """Operator 3: benchmark decontamination by template canonicalisation.
 
 Texts become templates: numbers, units after a number, and names (capitalised
-words inside a sentence) turn into typed placeholders, the rest into lower-case
-words. Windows of ``WINDOW`` = 5 template words are joined by hash with those of
-the benchmark items, so a question asked again with other numbers or names
-still meets its original. An item leaks into a document if at least ``SHARE`` =
-0.8 of its windows occur within one stretch of the document, and its slots are
-consistent there: each slot value of the item stands for one value of the
-document in at least ``SHARE`` of its uses.
-
-Search: a document gives windows at every ``WINDOW``-th word only, the items
-at every word. That is enough: with 0.8 of an item's windows in a document, the
-words left alone hold a run of 2 * WINDOW - 1, and such a run holds a whole
-window at any phase. Items of fewer words than that are met at every word
-instead, when there are any. Only documents met so get all their windows made,
-and only windows of items met there are compared further.
+words inside a sentence, several in a row being one) turn into typed
+placeholders, the rest into lower-case words. Windows of ``WINDOW`` = 5 template
+words are joined by hash with those of the benchmark items, so a question asked
+again with other numbers or names still meets its original. A window of
+placeholders alone says nothing and keeps its values, so it meets only copies.
+
+An item leaks into a document if at least ``SHARE`` = 0.8 of its windows occur
+within one stretch of the document, and its slots are consistent there: each
+slot value of the item stands for one value of the document, and each of these
+for one of the item, in at least ``SHARE`` of their uses. A window that occurs
+several times in a stretch is taken where it lies in line with the most others,
+so neither repeated phrases of an item nor variants that follow each other vote
+against themselves, and a copy always agrees with itself.
+
+Search: of an item with W windows, a leak lacks W - ceil(SHARE * W) at most, so
+of any one more than that it has one. The rarest in the benchmark are taken as
+anchors. Every window of every document meets the anchors; only documents met so
+get their windows made with slots, and only met items are compared further.
 
 Returns one row per leak: doc_id, item_id, share, consistency and kind,
 ``verbatim`` if every slot keeps its value, else ``reparameterised``.
@@ -22,112 +26,131 @@ Returns one row per leak: doc_id, item_id, share, consistency and kind,
 Cases: null and empty texts have no leak; an item of fewer than WINDOW words,
 or a null one, has no window and leaks nowhere; rows that share doc_id and text
 are one document and give one row per item; a null doc_id is kept as null;
-items with one text are each reported; other columns are left out.
-
-Native: SQL functions only. The item windows are broadcast only while a bounded
-count says that they are few. Windows that meet no item never leave their task.
+items with one text are each reported, and rows that share item_id but not the
+text are items of their own, of which the best is reported; a null item_id leaks
+nowhere; other columns are left out. A name that begins a sentence is a word.
+
+Native: SQL functions only. Anchors, and the keys of documents met, are broadcast
+only while a bounded count says that they are few, and shuffled beyond that; then
+a hot anchor is a skewed key of a plain join, which Spark splits. Windows that
+meet no anchor never leave their task when anchors are broadcast.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritrail.llm.lineage import cut
 
 WINDOW = 5
 SHARE = 0.8
-BROADCAST_WINDOWS = 200_000
+BROADCAST_ANCHORS = 500_000
+BROADCAST_KEYS = 200_000
 #: Unit words that become a placeholder after a number.
 UNITS = ["km", "m", "cm", "mm", "kg", "g", "mg", "s", "ms", "min", "h", "hours?", "minutes?", "seconds?", "days?", "weeks?", "months?", "years?", "miles?", "metres?", "meters?", "feet", "inches", "dollars?", "euros?", "cents?", "percent", "litres?", "liters?", "degrees?"]
 
-
+#: Marks around a number, before a unit, around a name; \\u0004 joins what a number holds.
+NUMBER, UNIT, NAME, JOIN = "\u0001", "\u0002", "\u0003", "\u0004"
+_UNIT = f"(?:{'|'.join(UNITS)})"
 #: A capitalised word inside a sentence; the capital comes first, as most places fail there at once.
-_NAME = r"\p{Lu}(?<=[\p{Ll},;] .)\p{Ll}+"
-#: Digit runs, also in groups as in ``1 000``, are one number.
-_NUMBER = r"(?<![^ ])([0-9]+)(?: ([0-9]+))*(?![^ ])"
-_UNIT = f"(?:{'|'.join(UNITS)})(?![^ ])"
+_NAME = r"\p{Lu}(?<=[\p{Ll},;] .)\p{Ll}"
+
+
+def tokens(text: Column) -> Column:
+    """The words of a text; slots begin with their type's mark."""
+    digits = text.rlike("[0-9]")
+    named = F.regexp_replace(text, _NAME, f"{NAME}$0")
+    joined = F.when(digits, F.regexp_replace(named, "(?<=[0-9])[.,](?=[0-9])", JOIN)).otherwise(named)
+    plain = F.trim(F.regexp_replace(F.lower(joined), f"[^\\p{{L}}\\p{{N}}{NAME}{JOIN}]+", " "))
+    whole = F.replace(F.regexp_replace(plain, f"{NAME}([^ ]+)", f"{NAME}$1{NAME}"), F.lit(f"{NAME} {NAME}"), F.lit("_"))
+    numbered = F.regexp_replace(whole, f"(?<![^ ])[0-9][0-9{JOIN}]*+(?![^ ])", f"{NUMBER}$0{NUMBER}")
+    return F.split(F.when(digits, F.regexp_replace(numbered, f"(?<={NUMBER} ){_UNIT}(?![^ ])", f"{UNIT}$0")).otherwise(whole), " ")
 
 
-def _plain(text: Column, name: str) -> Column:
-    """Names to ``name``, then lower-case words with single spaces."""
-    return F.trim(F.regexp_replace(F.lower(F.regexp_replace(text, _NAME, name)), "[^\\p{L}\\p{N}\u0003]+", " "))
+def is_slot(token: Column) -> Column:
+    return token < JOIN
 
 
-def _tokens(text: Column) -> Column:
-    """Words with slots marked: \\u0001 before a number, \\u0002 before a unit, \\u0003 before a name."""
-    numbered = F.regexp_replace(_plain(text, "\u0003$0"), _NUMBER, "\u0001$0")
-    joined = F.regexp_replace(numbered, r"(?<=[0-9]) (?=[0-9])", "_")
-    return F.when(text.rlike("[0-9]"), F.regexp_replace(joined, f"(?<=[0-9] ){_UNIT}", "\u0002$0")).otherwise(_plain(text, "\u0003$0"))
+def _once(value: Column, use) -> Column:
+    """``use`` of a value that is made once; written into a lambda, it would be made for every element."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
-def _template(token: Column) -> Column:
-    """A slot to its type alone."""
-    return F.when(token.rlike("^[\u0001-\u0003]"), F.substring(token, 1, 1)).otherwise(token)
+def window_hashes(tokens_: Column) -> Column:
+    """The hash of every window. A word counts by its hash, a slot by its type's number; windows of slots alone by their values."""
 
+    def of(t: Column) -> Column:
+        typed = F.transform(t, lambda w: F.when(is_slot(w), F.ascii(w).cast("long")).otherwise(F.xxhash64(w)))
 
-def _template_text(text: Column) -> Column:
-    """``_template`` of all ``_tokens`` of a text, in fewer passes: without digits there are only names."""
-    numbered = F.regexp_replace(_plain(text, "\u0003"), _NUMBER, "\u0001")
-    return F.when(text.rlike("[0-9]"), F.regexp_replace(numbered, f"(?<=\u0001 ){_UNIT}", "\u0002")).otherwise(_plain(text, "\u0003"))
+        def windows(k: Column) -> Column:
+            slots = lambda i: F.get(k, i).between(1, 3)
+            alone = lambda i: slots(i) & slots(i + 1) & slots(i + 2) & slots(i + 3) & slots(i + 4)
+            values = lambda i: F.xxhash64(F.lit(0), *[F.get(t, i + j) for j in range(WINDOW)])
+            return F.transform(F.slice(k, 1, F.greatest(F.size(k) - (WINDOW - 1), F.lit(0))), lambda x, i: F.when(alone(i), values(i)).otherwise(F.xxhash64(x, *[F.get(k, i + j) for j in range(1, WINDOW)])))
 
+        return _once(typed, windows)
 
-def _item_windows(items: DataFrame, item_col: str, text_col: str) -> DataFrame:
-    """item, pos, total, n_words, h, slots ARRAY<STRING> (the window's slot values in order)."""
-    words = items.select(F.col(item_col).alias("item"), F.split(_tokens(F.col(text_col).cast("string")), " ").alias("t"))
-    return _windows(words, ["item"]).where("total > 0")
+    return _once(tokens_, of)
 
 
-def _windows(words: DataFrame, keep: list[str]) -> DataFrame:
-    """Every window of the words ``t``: keep..., pos, total, n_words, h, slots."""
-    typed = words.withColumn("k", F.transform("t", _template)).withColumn("total", F.size("t") - (WINDOW - 1))
-    starts = F.when(F.col("total") > 0, F.sequence(F.lit(1), F.col("total"))).otherwise(F.array().cast("array<int>"))
-    slots = lambda i: F.filter(F.slice("t", i, WINDOW), lambda w: w.rlike("^[\u0001-\u0003]"))
+def _windows(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """Every window of the column ``text``: keep..., total, n_words, pos (from 0), h, slots ARRAY<STRING> (its slot values in order)."""
+    split = rows.select(*keep, tokens(F.col("text")).alias("t"))
+    made = split.select(*keep, F.size("t").alias("n_words"), "t", window_hashes(F.col("t")).alias("hs"))
+    slots = lambda i: F.filter(F.slice("t", i + 1, WINDOW), is_slot)
     # Windows are made within the row, so that a long text is not carried along with each of them.
-    made = F.transform(starts, lambda i: F.struct(i.alias("pos"), F.xxhash64(F.array_join(F.slice("k", i, WINDOW), " ")).alias("h"), slots(i).alias("slots")))
-    sized = typed.select(*keep, "total", F.size("t").alias("n_words"), made.alias("w"))
+    sized = made.select(*keep, F.size("hs").alias("total"), "n_words", F.transform("hs", lambda h, i: F.struct(i.alias("pos"), h.alias("h"), slots(i).alias("slots"))).alias("w"))
     # The outer form keeps Spark from testing the list's size below, where it would make the list anew for every window.
     return sized.select(*keep, "total", "n_words", F.inline_outer("w")).where("pos IS NOT NULL")
 
 
-def _met(docs: DataFrame, windows: DataFrame, short_items: bool) -> DataFrame:
-    """(no_id, key, hash, item) of documents that hold a window of an item at every WINDOW-th word."""
-    text = _template_text(F.col("text"))
-    first = F.regexp_extract_all(F.concat(text, F.lit(" ")), F.lit(f"(?:[^ ]+ ){{{WINDOW}}}"), F.lit(0))
-    if short_items:
-        phases = [F.regexp_extract_all(F.regexp_replace(F.concat(text, F.lit(" ")), f"^(?:[^ ]+ ){{{k}}}", ""), F.lit(f"(?:[^ ]+ ){{{WINDOW}}}"), F.lit(0)) for k in range(1, WINDOW)]
-        first = F.concat(first, *phases)
-    made = docs.select("no_id", "key", "hash", F.explode_outer(first).alias("w")).where("w IS NOT NULL").select("no_id", "key", "hash", F.xxhash64(F.rtrim("w")).alias("h"))
-    return made.join(windows.select("h", "item"), "h").select("no_id", "key", "hash", "item").distinct()
-
-
-def leaks(docs: DataFrame, items: DataFrame, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    windows = _item_windows(items, item_col, item_text)
-    size = windows.agg(F.count(F.lit(1)), F.min("n_words")).first()
-    if size[0] <= BROADCAST_WINDOWS:
-        windows = F.broadcast(windows)
+def _item_windows(items: DataFrame, item_col: str, text_col: str, share: float) -> DataFrame:
+    """item, i_hash, total, n_words, pos, h, slots, anchor."""
+    text = F.col(text_col).cast("string")
+    rows = items.select(F.col(item_col).alias("item"), F.xxhash64(text).alias("i_hash"), text.alias("text")).where("item IS NOT NULL AND text IS NOT NULL").dropDuplicates(["item", "i_hash"])
+    made = _windows(rows, ["item", "i_hash"])
+    common = made.groupBy("h").agg(F.count(F.lit(1)).alias("uses"))
+    order = Window.partitionBy("item", "i_hash").orderBy("uses", "pos")
+    ranked = made.join(common, "h").withColumn("place", F.row_number().over(order))
+    least = F.ceil(F.col("total") * F.lit(share) - F.lit(1e-9))
+    return ranked.withColumn("anchor", F.col("place") <= F.col("total") - least + 1).drop("uses", "place")
+
+
+def leaks(docs: DataFrame, items: DataFrame, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", broadcast_anchors: int = BROADCAST_ANCHORS, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+    windows = cut(_item_windows(items, item_col, item_text, share))
+    anchors = windows.where("anchor").select("h", "item", "i_hash")
+    if anchors.limit(broadcast_anchors + 1).count() <= broadcast_anchors:
+        anchors = F.broadcast(anchors)
     text = F.col(text_col).cast("string")
     raw = F.col(id_col).cast("long")
+    doc_key, item_key = ["no_id", "key", "hash"], ["item", "i_hash"]
     rows = docs.select(raw.isNull().alias("no_id"), F.coalesce(raw, F.lit(0)).alias("key"), F.xxhash64(text).alias("hash"), text.alias("text"))
-    met = _met(rows, windows, short_items=(size[1] or 0) < 2 * WINDOW - 1)
-    doc_key = ["no_id", "key", "hash"]
-    chosen = met.groupBy(*doc_key).agg(F.collect_set("item").alias("items"))
-    again = rows.join(chosen, doc_key).dropDuplicates(doc_key)
-    words = again.select(*doc_key, "items", F.split(_tokens(F.col("text")), " ").alias("t"))
-    own = _windows(words, [*doc_key, "items"]).select(*doc_key, "items", F.col("pos").alias("d_pos"), "h", F.col("slots").alias("d_slots"))
-    # Few rows by now; they are read twice below.
-    pairs = cut(own.join(windows, "h").where(F.array_contains("items", F.col("item"))))
+    met = rows.select(*doc_key, F.explode_outer(window_hashes(tokens(F.col("text")))).alias("h")).where("h IS NOT NULL").join(anchors, "h").select(*doc_key, *item_key).distinct()
+    met = cut(met)
+    keys = met.select(*doc_key).distinct()
+    if keys.limit(broadcast_keys + 1).count() <= broadcast_keys:
+        keys = F.broadcast(keys)
+    again = rows.join(keys, doc_key, "left_semi").dropDuplicates(doc_key)
+    own = _windows(again, doc_key).select(*doc_key, F.col("pos").alias("d_pos"), "h", F.col("slots").alias("d_slots"))
+    wanted = met.join(windows.drop("anchor"), item_key)
+    hits = wanted.join(own, [*doc_key, "h"]).repartition(*doc_key, *item_key)  # the groupings below keep this partitioning
     # A stretch is twice an item long and begins at every length of one, so any copy lies within one.
-    stretch = F.expr("d_pos div n_words")
-    placed = pairs.select(*doc_key, "item", "total", "pos", "slots", "d_slots", F.explode(F.array(stretch, stretch - 1)).alias("stretch"))
-    group = [*doc_key, "item", "stretch"]
-    found = placed.groupBy(*group, "total").agg(F.count_distinct("pos").alias("n"), F.max(F.size("slots")).alias("slotted"))
-    found = found.withColumn("share", F.col("n") / F.col("total")).where(F.col("share") >= share)
-    slots = placed.where(F.size("slots") > 0).select(*group, F.explode(F.arrays_zip("slots", "d_slots")).alias("z")).select(*group, F.col("z.slots").alias("a"), F.col("z.d_slots").alias("b"))
-    votes = slots.groupBy(*group, "a", "b").agg(F.count(F.lit(1)).alias("n"))
-    best = votes.groupBy(*group, "a").agg(F.max("n").alias("top"), F.sum("n").alias("all"), F.coalesce(F.max(F.when(F.col("a") == F.col("b"), F.col("n"))) == F.max("n"), F.lit(False)).alias("same"))
-    fits = best.groupBy(*group).agg((F.sum("top") / F.sum("all")).alias("consistency"), F.bool_and("same").alias("same"))
-    judged = found.join(fits, group, "left").withColumn("consistency", F.coalesce("consistency", F.lit(1.0))).where(F.col("consistency") >= share)
+    stretch = F.expr("d_pos div n_words").cast("int")
+    placed = hits.select(*doc_key, *item_key, "total", "pos", "slots", "d_slots", (F.col("d_pos") - F.col("pos")).alias("line"), F.explode(F.array(stretch, stretch - 1)).alias("stretch"))
+    group = [*doc_key, *item_key, "total", "stretch"]
+    lines = placed.groupBy(*group, "line").agg(F.count(F.lit(1)).alias("support"), F.collect_list(F.struct("pos", "slots", "d_slots")).alias("w"))
+    single = lines.select(*group, "line", "support", F.inline("w")).groupBy(*group, "pos").agg(F.max_by(F.struct("slots", "d_slots"), F.struct("support", -F.col("line"))).alias("w"))
+    found = single.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.collect_list("w").alias("w")).withColumn("share", F.col("n") / F.col("total")).where(F.col("share") >= share)
+    found = cut(found.select(*group, "share", "w"))  # few rows by now; they are read twice below
+    pairs = found.select(*group, F.explode("w").alias("w")).select(*group, F.explode(F.arrays_zip("w.slots", "w.d_slots")).alias("z")).select(*group, F.col("z.slots").alias("a"), F.col("z.d_slots").alias("b"))
+    votes = pairs.groupBy(*group, "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    forward = votes.groupBy(*group, "a").agg(F.max("n").alias("top"), F.sum("n").alias("all"), F.bool_and(F.col("a") == F.col("b")).alias("same"))
+    back = votes.groupBy(*group, "b").agg(F.max("n").alias("top"), F.sum("n").alias("all"), F.lit(True).alias("same"))
+    sides = forward.select(*group, F.lit(0).alias("side"), "top", "all", "same").unionByName(back.select(*group, F.lit(1).alias("side"), "top", "all", "same"))
+    rate = lambda s: F.sum(F.when(F.col("side") == s, F.col("top"))) / F.sum(F.when(F.col("side") == s, F.col("all")))
+    fits = sides.groupBy(*group).agg(F.least(rate(0), rate(1)).alias("consistency"), F.bool_and("same").alias("same"))
+    judged = found.drop("w").join(fits, group, "left").withColumn("consistency", F.coalesce("consistency", F.lit(1.0))).where(F.col("consistency") >= share)
     one = judged.groupBy(*doc_key, "item").agg(F.max(F.struct("share", "consistency", F.coalesce("same", F.lit(True)).alias("same"))).alias("m"))
     return one.select(
         F.when(~F.col("no_id"), F.col("key")).alias(id_col),
@@ -139,35 +162,42 @@ def leaks(docs: DataFrame, items: DataFrame, share: float = SHARE, id_col: str =
     )
 
 
-def remove_leaking(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def remove_leaking(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_keys: int = BROADCAST_KEYS, **options) -> DataFrame:
     """The rows of ``docs`` into which no item leaks, with all their columns."""
-    gone = leaks(docs, items, id_col=id_col, text_col=text_col, **options).select(F.col(id_col).isNull().alias("no_id"), F.coalesce(id_col, F.lit(0)).alias("key"), F.col("text_hash").alias("hash")).distinct()
+    found = leaks(docs, items, id_col=id_col, text_col=text_col, broadcast_keys=broadcast_keys, **options)
+    gone = cut(found.select(F.col(id_col).isNull().alias("no_id"), F.coalesce(id_col, F.lit(0)).alias("key"), F.col("text_hash").alias("hash")).distinct())
+    if gone.limit(broadcast_keys + 1).count() <= broadcast_keys:
+        gone = F.broadcast(gone)
     raw = F.col(id_col).cast("long")
     keyed = docs.select(F.struct("*").alias("row"), raw.isNull().alias("no_id"), F.coalesce(raw, F.lit(0)).alias("key"), F.xxhash64(F.col(text_col).cast("string")).alias("hash"))
     return keyed.join(gone, ["no_id", "key", "hash"], "left_anti").select("row.*")
 
 
 def duckdb_sql(share: float = SHARE) -> str:
-    """The same rows by joining all windows of all documents; names, numbers and units are marked in repeated passes, as the dialect has no look-behind."""
-    name = r"regexp_replace({}, '([\p{{Ll}},;] )(\p{{Lu}}\p{{Ll}}+)', '\1' || chr(3) || '\2', 'g')"
-    plain = r"trim(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}\x03]+', ' ', 'g'))".format(name.format(name.format("text")))
-    numbered = rf"trim(regexp_replace(' ' || ({plain}) || ' ', ' ([0-9]+(?: [0-9]+)*) ', ' ' || chr(1) || '\1 ', 'g'))"
-    digits = r"regexp_replace({}, '([0-9]) ([0-9])', '\1_\2', 'g')"
-    units = rf"regexp_replace({digits.format(digits.format(numbered))}, '([0-9] )({'|'.join(UNITS)})( |$)', '\1' || chr(2) || '\2\3', 'g')"
+    """The same rows by joining all windows of all documents with all of all items, without anchors."""
+    name = r"regexp_replace({}, '([\p{{Ll}},;] )(\p{{Lu}}\p{{Ll}})', '\1' || chr(3) || '\2', 'g')"
+    digits = r"regexp_replace({}, '([0-9])[.,]([0-9])', '\1' || chr(4) || '\2', 'g')"
+    plain = r"trim(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}\x03\x04]+', ' ', 'g'))".format(digits.format(digits.format(name.format(name.format("text")))))
+    whole = rf"replace(regexp_replace({plain}, '\x03([^ ]+)', chr(3) || '\1' || chr(3), 'g'), chr(3) || ' ' || chr(3), '_')"
     last = WINDOW - 1
-    windows = f"SELECT id, i, n, array_to_string(k[i:i + {last}], ' ') AS h, list_filter(t[i:i + {last}], lambda w: w[1] IN (chr(1), chr(2), chr(3))) AS slots FROM (SELECT id, t, k, len(t) AS n, unnest(range(1, len(t) - {last} + 1)) AS i FROM {{}})"
+    slot = "w[1] IN (chr(1), chr(2), chr(3))"
+    windows = f"SELECT side, id, x, i, n, CASE WHEN len(list_filter(t[i:i + {last}], lambda w: {slot})) = {WINDOW} THEN '=' || array_to_string(t[i:i + {last}], ' ') ELSE array_to_string(k[i:i + {last}], ' ') END AS h, list_filter(t[i:i + {last}], lambda w: {slot}) AS slots FROM (SELECT *, len(t) AS n, unnest(range(1, len(t) - {last} + 1)) AS i FROM k)"
+    group = "doc_id, x, item_id, y, total, stretch"
     return f"""
-WITH s AS (SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark),
-t AS (SELECT side, id, string_split(CASE WHEN regexp_matches(text, '[0-9]') THEN {units} ELSE {plain} END, ' ') AS t FROM s),
-k AS (SELECT *, list_transform(t, lambda w: CASE WHEN w[1] IN (chr(1), chr(2), chr(3)) THEN w[1] ELSE w END) AS k FROM t),
-d AS ({windows.format("(SELECT * FROM k WHERE side = 'd')")}),
-b AS ({windows.format("(SELECT * FROM k WHERE side = 'b')")}),
-m AS (SELECT d.id AS doc_id, b.id AS item_id, b.n - {last} AS total, b.i AS pos, b.slots AS x, d.slots AS y, d.i // b.n - o AS stretch FROM d JOIN b USING (h), (VALUES (0), (1)) AS v(o)),
-f AS (SELECT doc_id, item_id, stretch, count(DISTINCT pos) / total AS share FROM m GROUP BY doc_id, item_id, stretch, total HAVING count(DISTINCT pos) / total >= {share}),
-z AS (SELECT doc_id, item_id, stretch, unnest(x) AS x, unnest(y) AS y FROM m WHERE len(x) > 0),
-v AS (SELECT doc_id, item_id, stretch, x, y, count(*) AS n FROM z GROUP BY ALL),
-w AS (SELECT doc_id, item_id, stretch, x, max(n) AS top, sum(n) AS every, coalesce(max(n) FILTER (x = y) = max(n), false) AS same FROM v GROUP BY ALL),
-c AS (SELECT doc_id, item_id, stretch, sum(top) / sum(every) AS consistency, bool_and(same) AS same FROM w GROUP BY ALL),
-g AS (SELECT f.*, coalesce(consistency, 1.0)::DOUBLE AS consistency, coalesce(same, true) AS same FROM f LEFT JOIN c USING (doc_id, item_id, stretch)),
-r AS (SELECT * FROM g WHERE consistency >= {share} QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY share DESC, consistency DESC, same DESC) = 1)
+WITH s AS (SELECT DISTINCT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT DISTINCT 'b', item_id, text FROM benchmark WHERE item_id IS NOT NULL),
+w AS (SELECT side, id, md5(text) AS x, string_split({whole}, ' ') AS w FROM s WHERE text IS NOT NULL),
+m AS (SELECT side, id, x, list_transform(w, lambda v: CASE WHEN regexp_full_match(v, '[0-9][0-9\\x04]*') THEN chr(1) || v || chr(1) ELSE v END) AS w FROM w),
+t AS (SELECT side, id, x, list_transform(w, lambda v, i: CASE WHEN i > 1 AND w[i - 1][1] = chr(1) AND regexp_full_match(v, '{_UNIT}') THEN chr(2) || v ELSE v END) AS t FROM m),
+k AS (SELECT *, list_transform(t, lambda w: CASE WHEN {slot} THEN w[1] ELSE w END) AS k FROM t),
+a AS ({windows}),
+j AS (SELECT d.id AS doc_id, d.x AS x, b.id AS item_id, b.x AS y, b.n - {last} AS total, b.i AS pos, b.slots AS p, d.slots AS q, d.i - b.i AS line, (d.i - 1) // b.n - o AS stretch FROM (SELECT * FROM a WHERE side = 'd') AS d JOIN (SELECT * FROM a WHERE side = 'b') AS b USING (h), (VALUES (0), (1)) AS v(o)),
+l AS (SELECT *, count(*) OVER (PARTITION BY {group}, line) AS support FROM j),
+o AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY {group}, pos ORDER BY support DESC, line) = 1),
+f AS (SELECT {group}, count(*) / total AS share FROM o GROUP BY {group} HAVING count(*) / total >= {share}),
+z AS (SELECT {group}, unnest(p) AS p, unnest(q) AS q FROM o SEMI JOIN f USING ({group})),
+v AS (SELECT {group}, p, q, count(*) AS n FROM z GROUP BY ALL),
+c1 AS (SELECT {group}, sum(top) / sum(every) AS rate, bool_and(same) AS same FROM (SELECT {group}, p, max(n) AS top, sum(n) AS every, bool_and(p = q) AS same FROM v GROUP BY ALL) GROUP BY ALL),
+c2 AS (SELECT {group}, sum(top) / sum(every) AS rate FROM (SELECT {group}, q, max(n) AS top, sum(n) AS every FROM v GROUP BY ALL) GROUP BY ALL),
+g AS (SELECT f.*, coalesce(least(c1.rate, c2.rate), 1.0)::DOUBLE AS consistency, coalesce(same, true) AS same FROM f LEFT JOIN c1 USING ({group}) LEFT JOIN c2 USING ({group})),
+r AS (SELECT * FROM g WHERE consistency >= {share} QUALIFY row_number() OVER (PARTITION BY doc_id, x, item_id ORDER BY share DESC, consistency DESC, same DESC) = 1)
 SELECT doc_id, item_id, share::DOUBLE AS share, consistency, CASE WHEN same THEN 'verbatim' ELSE 'reparameterised' END AS kind FROM r"""
