@@ -55,11 +55,12 @@ CUT_WINDOW = 8
 CLOSERS = 16
 WORD_BYTES = 24
 BROADCAST_RUNS = 500_000
-_SPACE, _BREAK, _STOP, _CLOSE = (np.zeros(256, bool) for _ in range(4))
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BREAK[[10, 13]] = True
+_STOP, _CLOSE = np.zeros(256, bool), np.zeros(256, bool)
 _STOP[list(b".!?")] = True
 _CLOSE[list(b"\"')]}")] = True
+#: For each byte whether it is white space, or a line break.
+_SPACE = bytes(b in b"\t\n\x0b\f\r " for b in range(256))
+_BREAK = bytes(b in b"\n\r" for b in range(256))
 #: Stops and closing quotes of several bytes in UTF-8.
 _LONG_STOPS, _LONG_CLOSE = [c.encode() for c in "…。！？"], [c.encode() for c in "”’»"]
 
@@ -82,36 +83,40 @@ def _ends_with(raw: np.ndarray, at: np.ndarray, mark: bytes) -> np.ndarray:
     return fits
 
 
-def _stops(raw: np.ndarray, last: np.ndarray) -> np.ndarray:
+def _stops(raw: bytes, data: np.ndarray, last: np.ndarray) -> np.ndarray:
     """Which words end a sentence; ``last`` is the place of each word's last byte."""
-    at, many = last.copy(), bool((raw >= 128).any())
+    at, longer = last, [m for m in _LONG_CLOSE if m in raw]
     for _ in range(CLOSERS):
-        step = _CLOSE[raw[at]].astype(np.int64)
-        for mark in _LONG_CLOSE if many else ():
-            step = np.where(_ends_with(raw, at, mark), len(mark), step)
+        step = _CLOSE[data[at]].astype(np.int64)
+        for mark in longer:
+            step = np.where(_ends_with(data, at, mark), len(mark), step)
         if not step.any():
             break
         at = np.maximum(at - step, 0)
-    found = _STOP[raw[at]]
-    for mark in _LONG_STOPS if many else ():
-        found |= _ends_with(raw, at, mark)
+    found = _STOP[data[at]]
+    for mark in _LONG_STOPS:
+        if mark in raw:
+            found |= _ends_with(data, at, mark)
     return found
 
 
 def sentences(text: str) -> Cut | None:
     """The sentences of a text; None if it has no word."""
-    raw = text.encode()
+    raw, low = text.encode(), text.lower().encode()
     data = np.frombuffer(raw, np.uint8)
-    edge = np.flatnonzero(np.diff(_SPACE[data].astype(np.int8), prepend=1, append=1))
+    space = np.ones(len(raw) + 2, bool)
+    space[1:-1] = np.frombuffer(raw.translate(_SPACE), bool)
+    edge = np.flatnonzero(space[1:] != space[:-1])
     start, stop = edge[::2], edge[1::2]
     n = len(start)
     if not n:
         return None
-    low = text.lower().encode().split()
-    sizes = np.fromiter(map(len, low), np.int64, n)
-    breaks = np.concatenate([[0], np.cumsum(_BREAK[data])])
-    after = np.append(start[1:], len(raw))
-    ends = _stops(data, stop - 1) | (breaks[after] > breaks[stop])
+    words = low.split()
+    # Lower case can change how long a word is, but seldom does.
+    same = len(low) == len(raw) and low.translate(_SPACE) == raw.translate(_SPACE)
+    sizes = stop - start if same else np.fromiter(map(len, words), np.int64, n)
+    ends = _stops(raw, data, stop - 1)
+    ends[np.searchsorted(stop, np.flatnonzero(np.frombuffer(raw.translate(_BREAK), bool)), side="right") - 1] = True  # before the first word: the last, which ends anyway
     ends[-1] = True
     of = np.cumsum(ends) - ends
     if n >= CUT_WINDOW and CUT_WINDOW == 8:
@@ -124,7 +129,7 @@ def sentences(text: str) -> Cut | None:
     head = np.append(0, last[:-1] + 1)
     place = np.cumsum(sizes + 1)
     weights = np.append(0, np.cumsum((sizes + (WORD_BYTES - 1)) // WORD_BYTES))
-    return Cut(raw, np.append(start[head], len(raw)), b" ".join(low), place[head] - sizes[head] - 1, place[last] - 1, weights[last + 1] - weights[head])
+    return Cut(raw, np.append(start[head], len(raw)), b" ".join(words), place[head] - sizes[head] - 1, place[last] - 1, weights[last + 1] - weights[head])
 
 
 def run_ends(size: np.ndarray) -> np.ndarray:
