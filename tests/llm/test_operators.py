@@ -358,6 +358,34 @@ def test_topk_against_brute_force(spark, candidates, asked):
     assert got == sorted(want)
 
 
+def test_topk_lists_send_what_the_threshold_asks(spark):
+    """Tasks of phase 2 hold parts of one slice, and send those of a SLICES-th of the cutoff alone."""
+    rng = np.random.default_rng(9)
+    parts = rng.integers(-50, 50, (3, topk.SLICES, 40))  # query, slice, candidate
+    whole, k = parts.sum(axis=1), 4
+    cuts = np.sort(whole, axis=1)[:, -k]
+    rows = [[np.flatnonzero(parts[q, s] >= topk.share(cuts)[q]) for q in range(3)] for s in range(topk.SLICES)]
+    places = [np.concatenate([q * 40 + r for q, r in enumerate(of)]) for of in rows]
+    values = [parts[p // 40, s, p % 40] for s, p in enumerate(places)]
+    open_ = set(topk.open_entries(places, values, cuts, 40, k).tolist())
+    assert {q * 40 + c for q in range(3) for c in range(40) if whole[q, c] >= cuts[q]} <= open_
+    assert len(open_) < sum(map(len, places)) < 3 * 40 * topk.SLICES / 2
+    table = spark.createDataFrame([(1, 0, 0, 0, 2, [7, 8], [1, 1], [1, 2, -5, 1], [3, -9], [5, 6], [1, 2, 3, 4])], "dim int, slice int, q int, c int, width int, q_ids array<long>, q_vhs array<long>, q_vs array<long>, q_cut array<long>, c_ids array<long>, c_vs array<long>")
+    row = topk.sent(table).first()  # parts: query 7: 5, 11; query 8: -3, -11; shares 2 and -4
+    assert (row.n, list(row.places), list(row.parts)) == (3, [0, 1, 2], [5, 11, -3])
+
+
+def test_topk_shared_ids_and_overflow(spark):
+    rows = [(0, [1.0, 2.0]), (0, [-1.0, 0.5]), (3, [2.0, 2.0]), (3, [0.0, 1.0]), (4, [1.0]), (5, [9.0, -9.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, topk.top_k(table, F.col("id") == 0, k=3, candidates=2, queries=1).collect()))
+    every = sorted((-int(65536 * np.dot(a, b)), j) for i, a in rows for j, b in rows if i == 0 and j != 0 and len(a) == len(b))[:3]
+    assert got == [(0, r + 1, j, -s) for r, (s, j) in enumerate(every)]
+    huge = spark.createDataFrame([(0, [1e9, 1e9]), (1, [1e9, 1e9])], table.schema)
+    with pytest.raises(Exception, match="OverflowError"):
+        topk.top_k(huge, F.col("id") == 0).collect()
+
+
 def test_topk_few_and_none(spark):
     schema = "vec_id long, embedding array<float>"
     few = spark.createDataFrame([(0, [1.0, -2.0]), (1, [-3.0, 4.0]), (2, [])], schema)
