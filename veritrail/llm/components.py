@@ -19,7 +19,8 @@ MOST_STEPS = 64
 def _large_star(links: DataFrame) -> DataFrame:
     """Connects the larger neighbours of each node with the smallest of its neighbourhood."""
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+    # Written first, so that the join with a hub's many links may be split.
+    least = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")))
     return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 

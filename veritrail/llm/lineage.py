@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _folder(spark: SparkSession) -> str:
-    """The shared folder: ``spark.checkpoint.dir``, else what the context has, else a temporary one, as in local tests."""
+    """The shared folder: ``spark.checkpoint.dir``, else what the context has; on a local master alone, as in tests, else a temporary one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
         context = spark.sparkContext
         if context.getCheckpointDir() is None:
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoints-"))
         named = context.getCheckpointDir()
     return named

@@ -9,7 +9,9 @@ set of four positions to contain one (the Turan bound for 8, 4 and 3). Within a
 posting list the shared positional bytes of each pair are tallied, pairs that
 reach four are kept, and these are verified by counting differing bits.
 
-Only distinct fingerprints enter the index, so exact copies cost nothing. A
+Only distinct fingerprints enter the index, so exact copies cost nothing; they
+meet their class at the end in a join whose one side is unique and written before,
+so that a hot fingerprint is broadcast or split over tasks by Spark. A
 posting list of over ``BLOCK`` fingerprints is dealt in blocks over tasks,
 every pair of blocks meeting in one of them; no list is cut short. A task emits
 a spanning star for each connected part of a list, never all its pairs.
@@ -215,7 +217,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     linked = known.select("fp", "root").join(least, "root")
     alone = F.col("root").isNull()
     named = prints.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(alone, F.col("_least")).otherwise(F.col("_component")).alias("component_id"))
-    return rows.join(named, "fp").select(id_col, "text_hash", "fp", "root", "component_id")
+    # As a plain input, not the end of a grouping by fp, it leaves Spark free to split the rows of a hot fingerprint.
+    return rows.join(cut(named), "fp").select(id_col, "text_hash", "fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

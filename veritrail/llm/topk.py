@@ -203,7 +203,7 @@ def _first(scores: DataFrame, k: int, by: list[str], score: str) -> DataFrame:
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", candidates: int = CANDIDATES, queries: int = QUERIES) -> DataFrame:
     """Returns query_id, rank, vec_id, score: the k best candidates of each row for which ``is_query`` (over the column ``id``) holds."""
-    rows = quantised(vectors, id_col, vector_col)
+    rows = cut(quantised(vectors, id_col, vector_col))  # read by every phase
     asked = rows.where(is_query)
     n, m = rows.agg(F.count(F.lit(1)), F.count_if(is_query)).first()
     c_blocks, q_blocks = max(1, -(-n // candidates)), max(1, -(-m // queries))
