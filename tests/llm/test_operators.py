@@ -462,6 +462,12 @@ def test_simhash_odd(spark, odd, empty):
     assert simhash.keep_one(lone).count() == 2 and {r.component_id for r in simhash.near_duplicates(lone).collect()} == {None}
 
 
+def test_simhash_hot_fingerprints_are_dealt(spark):
+    table = docs(spark, [(i, "one text that many rows hold", None) for i in range(50)] + [(100, "some other words stand here", None)])
+    want = sorted(map(tuple, simhash.classes(table).collect()))
+    assert sorted(map(tuple, simhash.classes(table, broadcast_classes=0, hot_rows=7).collect())) == want and len(want) == 51
+
+
 def test_components_of_a_long_chain(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (501, 500), (7, 7)], "a long, b long")
     got = {r.node: r.root for r in components.roots(chain).collect()}

@@ -5,10 +5,11 @@ letters and digits is one space) and compared with licence templates by
 2|A & B| / (|A| + |B|) over distinct word bigrams. As |A & B| <= min(|A|, |B|),
 a score of t needs |A| between t/(2-t) and (2-t)/t times |B|. A line of w words,
 d of them distinct, has between d-1 and w-1 bigrams, so most lines are left
-before any bigram is made. With few templates, a text is first looked through
-for the words that a match cannot do without. The others meet the templates in a hash join on
-bigrams with the bounds of each template, so a line that shares no bigram with
-a template of a fitting size is never compared.
+before any bigram is made. A match shares so many bigrams with its template that
+it has one of a few of them, whichever these are; the rarest are taken as anchors,
+and all bigrams of a text meet the anchors by hash first. Texts that hold one meet
+the templates in a hash join on bigrams with the bounds of each template, so a line
+that shares no bigram with a template of a fitting size is never compared.
 
 A notice that is wrapped over lines, or stands inside a longer line, is found in
 a second pass over windows of the whole text's words. A template's bigrams give
@@ -35,10 +36,7 @@ and document.
 
 from __future__ import annotations
 
-import math
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veritrail.llm.licenses import NOTICES, TEMPLATES
@@ -48,8 +46,6 @@ THRESHOLD = 0.8
 BROADCAST_BIGRAMS = 200_000
 #: Texts that are looked at again for windows; fewer are found by their keys without a shuffle.
 BROADCAST_KEYS = 200_000
-#: With so few template bigrams, texts that lack every anchor word are left before anything else.
-ANCHORED_BIGRAMS = 1_000
 
 
 def default_templates(spark: SparkSession) -> DataFrame:
@@ -86,6 +82,11 @@ def _all_words(text: Column) -> Column:
     return words_of(F.regexp_replace(normalised(text), "[ \n]+", " "))
 
 
+def _joined(templates: DataFrame) -> DataFrame:
+    """The templates with each notice as one line of words."""
+    return templates.withColumn("notice", F.array_join(_all_words(F.col("notice")), " "))
+
+
 def _template_bigrams(templates: DataFrame, threshold: float) -> DataFrame:
     pairs = F.flatten(F.transform(F.split(normalised(F.col("notice")), "\n"), lambda line: bigrams(words_of(line))))
     sized = templates.select("template_id", "license", F.array_distinct(pairs).alias("_pairs"))
@@ -100,42 +101,48 @@ def _template_bigrams(templates: DataFrame, threshold: float) -> DataFrame:
     ).where("t_pair IS NOT NULL")
 
 
-def _anchors(table: DataFrame, threshold: float) -> list[str]:
-    """Bigrams of which every matching line holds one.
+def _pair_hashes(text: Column) -> Column:
+    """Hashes of the adjacent word pairs of the whole text, over line breaks; a first or last empty word pairs with nothing known."""
+    hashed = F.transform(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: F.xxhash64(w))
+    return _once(hashed, lambda k: F.transform(F.slice(k, 2, F.size(k)), lambda x, i: F.xxhash64(F.get(k, i), x)))
+
+
+def _anchors(table: DataFrame, threshold: float) -> DataFrame:
+    """Hashes (k) of bigrams of which every match holds one.
 
     A match shares at least m = threshold * (|B| + t_low) / 2 bigrams with its
-    template, so of any |B| - m + 1 of them it has one. The longest are taken.
+    template, so of any |B| - m + 1 of them it has one. Those that fewest
+    templates hold are taken, of these the longest.
     """
-    own: dict[tuple, list[str]] = {}
-    for r in table.collect():
-        own.setdefault((r["template_id"], r["t_size"], r["t_low"]), []).append(r["t_pair"])
-    chosen: set[str] = set()
-    for (_, size, low), pairs in own.items():
-        least = max(1, math.ceil(threshold * (size + low) / 2 - 1e-9))
-        chosen.update(sorted(pairs, key=lambda p: (p not in chosen, -len(p), p))[: size - least + 1])
-    return sorted(chosen)
-
-
-def _holds_any(text: Column, pairs: list[str]) -> Column:
-    """Whether the text holds both words of some pair, in any place; the longer words are looked for first, each once, and the one-element list has it lower-cased once."""
-    others: dict[str, list[str]] = {}
-    for p in pairs:
-        short, long = sorted(p.split(" "), key=len)
-        others.setdefault(long, []).append(short)
-    either = lambda found: reduce(lambda a, b: a | b, found, F.lit(False))
-    return F.exists(F.array(F.lower(text)), lambda t: either([t.contains(long) & either([t.contains(w) for w in short]) for long, short in others.items()]))
+    least = F.greatest(F.lit(1), F.ceil(F.lit(threshold / 2) * (F.col("t_size") + F.col("t_low")) - F.lit(1e-9)))
+    common = table.groupBy("t_pair").agg(F.count(F.lit(1)).alias("_uses"))
+    order = Window.partitionBy("template_id").orderBy("_uses", F.desc(F.length("t_pair")), "t_pair")
+    ranked = table.join(common, "t_pair").withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= F.col("t_size") - least + 1)
+    word = lambda i: F.xxhash64(F.get(F.split("t_pair", " "), i))
+    return ranked.select(F.xxhash64(word(0), word(1)).alias("k")).distinct()
+
+
+def _holding(docs: DataFrame, anchors: DataFrame, text: Column, id_col: str) -> DataFrame:
+    """_id and _raw of the rows whose text holds an anchor; the others cannot match."""
+    if anchors.limit(BROADCAST_BIGRAMS + 1).count() <= BROADCAST_BIGRAMS:
+        anchors = F.broadcast(anchors)
+    key = ["_no_id", "_key", "_text"]
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(id_col).isNull().alias("_no_id"), F.coalesce(F.xxhash64(F.col(id_col)), F.lit(0)).alias("_key"), F.xxhash64(text).alias("_text"), text.alias("_raw")).where("_raw IS NOT NULL")
+    met = rows.select(*key, F.explode_outer(_pair_hashes(F.col("_raw"))).alias("k")).where("k IS NOT NULL").join(anchors, "k").select(*key).distinct()
+    met = cut(met)
+    if met.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+        met = F.broadcast(met)
+    return cut(rows.join(met, key, "left_semi").select("_id", "_raw"))
 
 
 def _windows(docs: DataFrame, templates: DataFrame, threshold: float, text: Column, id_col: str) -> DataFrame:
     """_id, _text, _from and _to (lines), template_id, license, score of the windows that match, for each row of ``docs``."""
-    whole = templates.withColumn("notice", F.array_join(_all_words(F.col("notice")), " "))
+    whole = _joined(templates)
     spans = whole.select("template_id", F.floor((F.size(F.split("notice", " ")) - 1) * F.lit((2 - threshold) / threshold) + F.lit(1e-9)).cast("int").alias("t_span"))
     table = _template_bigrams(whole, threshold).join(F.broadcast(spans), "template_id").withColumn("t_k", F.xxhash64("t_pair"))
-    n_pairs = table.count()
-    holding = docs if n_pairs > ANCHORED_BIGRAMS else docs.where(_holds_any(text, _anchors(table, threshold)))
-    if n_pairs <= BROADCAST_BIGRAMS:
+    if table.limit(BROADCAST_BIGRAMS + 1).count() <= BROADCAST_BIGRAMS:
         table = F.broadcast(table)
-    rows = holding.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_text"), text.alias("_raw"))
+    rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_text"), text.alias("_raw"))
     made = rows.select("_id", "_text", _all_words(F.col("_raw")).alias("_words")).select("_id", "_text", F.posexplode_outer(adjacent(F.col("_words"))).alias("_pos", "_pair"))
     stretch = F.expr("_pos div t_span").cast("int")
     met = made.join(table, F.col("_pair") == F.col("t_pair")).select("_id", "_text", "template_id", "license", "t_size", "t_low", "t_span", "_pos", "t_k", F.explode(F.array(stretch, stretch - 1)).alias("_stretch"))
@@ -172,13 +179,13 @@ def _windows(docs: DataFrame, templates: DataFrame, threshold: float, text: Colu
 
 def scan(docs: DataFrame, templates: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     table = _template_bigrams(templates.where("NOT whole") if "whole" in templates.columns else templates, threshold)
+    joined = _template_bigrams(_joined(templates), threshold)
+    holding = _holding(docs, _anchors(table, threshold).union(_anchors(joined, threshold)).distinct(), F.col(text_col).cast("string"), id_col)
+    text = F.col("_raw")
     bounds = table.agg(F.min("t_low"), F.max("t_high"), F.count(F.lit(1))).first()
     low, high, n_pairs = bounds[0] or 1, bounds[1] or 0, bounds[2]
-    text = F.col(text_col).cast("string")
-    anchors = _anchors(table, threshold) if n_pairs <= ANCHORED_BIGRAMS else None
     # What each line carries along is made once per text, before lines and bigrams are dealt out.
-    holding = docs if anchors is None else docs.where(_holds_any(text, anchors))
-    texts = holding.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_text"), F.split(normalised(text), "\n").alias("_lines"))
+    texts = holding.select("_id", F.xxhash64(text).alias("_text"), F.split(normalised(text), "\n").alias("_lines"))
     lines = texts.select("_id", "_text", F.posexplode_outer("_lines").alias("_line", "_raw")).withColumn("_raw", F.trim("_raw"))
     gaps = F.length("_raw") - F.length(F.replace("_raw", F.lit(" ")))  # one less than the words
     fitting = lines.where((gaps >= low) & ((gaps <= high) | (F.size(F.array_distinct(F.split("_raw", " "))) - 1 <= high)))
@@ -199,7 +206,7 @@ def scan(docs: DataFrame, templates: DataFrame, threshold: float = THRESHOLD, id
     # Few rows by now; they are read twice below.
     by_line = cut(best.select("_id", "_text", "_line", "_best.template_id", "_best.license", (-F.col("_best.s")).alias("score"), "_copies"))
     own = by_line.groupBy("_id", "_text").agg(F.collect_list(F.struct("_line", "template_id")).alias("_own")).withColumnsRenamed({"_id": "_o_id", "_text": "_o_text"})
-    windows = _windows(docs, templates, threshold, text, id_col).join(own, F.col("_id").eqNullSafe(F.col("_o_id")) & (F.col("_text") == F.col("_o_text")), "left")
+    windows = _windows(holding, templates, threshold, text, "_id").join(own, F.col("_id").eqNullSafe(F.col("_o_id")) & (F.col("_text") == F.col("_o_text")), "left")
     said = F.exists("_own", lambda x: x["_line"].between(F.col("_from"), F.col("_to")) & ((F.col("_from") == F.col("_to")) | (x["template_id"] == F.col("template_id"))))
     rest = windows.where(~F.coalesce(said, F.lit(False)))
     columns = ["template_id", "license", "score"]

@@ -10,8 +10,8 @@ posting list the shared positional bytes of each pair are tallied, pairs that
 reach four are kept, and these are verified by counting differing bits.
 
 Only distinct fingerprints enter the index, so exact copies cost nothing; they
-meet their class at the end in a join whose one side is unique and written before,
-so that a hot fingerprint is broadcast or split over tasks by Spark. A
+meet their class at the end, which is broadcast while a bounded count says that
+there are few classes, and beyond that shuffled, hot fingerprints in several copies. A
 posting list of over ``BLOCK`` fingerprints is dealt in blocks over tasks,
 every pair of blocks meeting in one of them; no list is cut short. A task emits
 a spanning star for each connected part of a list, never all its pairs.
@@ -41,6 +41,9 @@ SHINGLE = 4
 SEED = 42
 BLOCK = 8192
 SMALL = 32
+BROADCAST_CLASSES = 500_000
+#: A fingerprint of more rows is dealt over several tasks in the last join; at most HOT_PRINTS of them are told apart.
+HOT_ROWS, HOT_PRINTS = 100_000, 10_000
 #: Bits are counted for so many shingles at once, so a long text takes bounded memory.
 CHUNK = 1 << 15
 
@@ -206,19 +209,30 @@ def links(prints: DataFrame, block: int = BLOCK) -> DataFrame:
     return grouped.mapInArrow(run, "a long, b long").distinct()
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_classes: int = BROADCAST_CLASSES, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Returns id_col, text_hash, fp, root (the component's smallest fingerprint, as a signed long) and component_id (the smallest id reachable over links) for each row."""
     rows = cut(fingerprints(docs, id_col, text_col))
-    prints = rows.groupBy("fp").agg(F.min(id_col).alias("_least"))
+    prints = rows.groupBy("fp").agg(F.min(id_col).alias("_least"), F.count(F.lit(1)).alias("_n"))
     joined = components.roots(links(prints.select("fp")))
     member = joined.select(F.col("node").alias("fp"), "root").union(joined.select(F.col("root").alias("fp"), "root").distinct())
     known = member.join(prints, "fp")
     least = known.groupBy("root").agg(F.min("_least").alias("_component"))
     linked = known.select("fp", "root").join(least, "root")
     alone = F.col("root").isNull()
-    named = prints.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(alone, F.col("_least")).otherwise(F.col("_component")).alias("component_id"))
-    # As a plain input, not the end of a grouping by fp, it leaves Spark free to split the rows of a hot fingerprint.
-    return rows.join(cut(named), "fp").select(id_col, "text_hash", "fp", "root", "component_id")
+    named = prints.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(alone, F.col("_least")).otherwise(F.col("_component")).alias("component_id"), "_n")
+    return _with_class(rows, cut(named), broadcast_classes, hot_rows).select(id_col, "text_hash", "fp", "root", "component_id")
+
+
+def _with_class(rows: DataFrame, named: DataFrame, broadcast_classes: int, hot_rows: int) -> DataFrame:
+    """Joins each row with its fingerprint's class; rows of a hot fingerprint are dealt over several copies of it."""
+    if named.limit(broadcast_classes + 1).count() <= broadcast_classes:
+        return rows.join(F.broadcast(named), "fp")
+    # Fewer than HOT_PRINTS fingerprints can hold as many rows each, so their list is bounded.
+    hot_rows = max(hot_rows, named.agg(F.sum("_n")).first()[0] // HOT_PRINTS + 1)
+    salts = F.ceil(F.col("_n") / hot_rows).cast("int")
+    hot = F.broadcast(named.where(F.col("_n") > hot_rows).select("fp", salts.alias("_salts")))
+    dealt = rows.join(hot, "fp", "left").withColumn("_salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.coalesce("_salts", F.lit(1))).cast("int"))
+    return dealt.join(named.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))), ["fp", "_salt"])
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -237,4 +251,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     raw = F.col(id_col).cast("long")
     keyed = docs.select(F.struct("*").alias("row"), raw.isNull().alias("no_id"), F.coalesce(raw, F.lit(0)).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"))
     key = ["no_id", "id", "text_hash"]
-    return keyed.join(kept, key).dropDuplicates(key).select("row.*")
+    return keyed.dropDuplicates(key).join(kept, key).select("row.*")  # repeated rows are dropped before the shuffle
