@@ -61,6 +61,14 @@ def test_url_filter_against_plain(spark, few):
     assert sorted(repr((r.page_id, r.host, r.path, r.rule, r.verdict)) for r in got) == want
 
 
+def test_url_filter_long_urls(spark):
+    rules = spark.createDataFrame(queries.URL_RULES, "host string, path string, verdict string")
+    urls = ["http://" + "a." * 100_000 + "org/x", "http://example.org/es/" + "y" * 1_000_000, "http://" + "b" * 1_000_000, "http://...example.org./es/", "http://.org/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r.rule for r in url_filter.judge(pages, rules).select("page_id", "rule").collect()}
+    assert got == {i: judge_plain(u, queries.URL_RULES)[2] for i, u in enumerate(urls)}
+
+
 def test_url_filter_rules(spark):
     pages = spark.createDataFrame([(1, "http://a.b/c")], "page_id long, url string")
     none = spark.createDataFrame([], "host string, path string, verdict string")
@@ -283,6 +291,24 @@ def test_language_id_odd(spark, odd, empty):
     assert lang_id.predict(empty, model).count() == 0
 
 
+def test_language_id_learns_every_language_and_ignores_row_order(spark):
+    rnd = random.Random(2)
+    names = [f"l{k:02}" for k in range(70)]
+    rows = [(70 * j + k, " ".join(rnd.choice([f"q{name}", f"{name}zz", name * 2]).translate(str.maketrans("0123456789", "abcdefghij")) for _ in range(12)), name) for j in range(8) for k, name in enumerate(names)]
+    rows += rows[:70]  # repeated rows count once
+    one = lang_id.train(docs(spark, rows), sample=400)
+    two = lang_id.train(docs(spark, random.Random(3).sample(rows, len(rows))).repartition(7), sample=400)
+    assert one.languages == names and (one.weights == two.weights).all() and (one.cut, one.temperature) == (two.cut, two.temperature)
+    got = lang_id.predict(docs(spark, rows), one).collect()
+    by_id = {r.doc_id: r for r in got}
+    assert sum(by_id[i].lang_pred == lang for i, _, lang in rows) > 0.9 * len(rows)
+    for i, text, _ in rows[:50]:  # a plain version of the prediction
+        counts = lang_id.subwords(text)
+        logits = [(sum(counts[b] * one.weights[b, k] for b in np.flatnonzero(counts)) / counts.sum() + one.bias[k]) / one.temperature for k in range(70)]
+        odds = np.exp(np.array(logits) - max(logits))
+        assert by_id[i].lang_pred == names[int(odds.argmax())] and by_id[i].score == pytest.approx((odds / odds.sum()).max(), abs=1e-6)
+
+
 def test_subwords_count_whole_texts(monkeypatch):
     text = "één Straße und " * 400
     whole = lang_id.subwords(text)
@@ -329,6 +355,40 @@ def test_skip_edges_carry_labels():
     assert pii.added_spans("no evidence 974-555-3436", [], field) == []
 
 
+def test_beliefs_are_exact_on_trees():
+    """Without loops the messages give the marginals of the field, here found by going through all labellings."""
+    from itertools import product
+
+    rng = np.random.default_rng(3)
+    for text in ("12 34 56", "12 ab 12 cd 34", "77 x 88 y 77 88", "5551234567 a 1234567 b 99"):
+        found = pii.tokens(text)
+        field = pii.Field(rng.normal(size=(pii.FEATURES, 5)) / 4, rng.normal(size=(5, 5)), rng.normal(size=(5, 5)))
+        chain, skip = pii.edges(found)
+        if len(chain) + len(skip) >= len(found):
+            continue
+        local = np.array([field.unary[t.features].sum(axis=0) for t in found])
+        exact = np.zeros_like(local)
+        for labels in product(range(5), repeat=len(found)):
+            score = sum(local[i, k] for i, k in enumerate(labels)) + sum(field.chain[labels[i], labels[j]] for i, j in chain) + sum(field.skip[labels[i], labels[j]] for i, j in skip)
+            exact[range(len(found)), labels] += np.exp(score)
+        assert np.allclose(pii.beliefs(field, found, rounds=80), exact / exact.sum(axis=1, keepdims=True), atol=1e-6)
+
+
+def test_added_spans_are_repeats_of_known_ones(spark):
+    """Of the spans that a trained field adds to planted texts, all repeat a base span, and no other number is taken."""
+    field = pii.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    rnd, right, wrong, planted = random.Random(4), 0, 0, 0
+    for _ in range(200):
+        number = "".join(rnd.choice("23456789") for _ in range(10))
+        others = [str(rnd.randint(1, 99_999)) for _ in range(4)]
+        text = f"call +1{number} today, room {others[0]}, page {others[1]} and then {number} or {others[2]} times {others[3]}"
+        added = pii.added_spans(text, pii.base_spans(text), field)
+        planted += 1
+        right += any(text[a:b] == number for _, a, b in added)
+        wrong += sum(text[a:b] != number for _, a, b in added)
+    assert wrong == 0 and right > 0.9 * planted
+
+
 def test_pii_odd(spark, odd, empty):
     field = pii.train(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
     got = pii.find(odd, field).collect()
@@ -518,9 +578,10 @@ def test_license_scan_finds_wrapped_and_inline_notices(spark):
         (9, "released under the MIT license\n" + "words before " * 30 + "is\nlicensed under\nCC BY-SA\n4.0"),
     ]
     table = docs(spark, [(i, t, None) for i, t in rows] + [(2, inline, None), (None, inline, None)])
-    for many in (license_scan.ANCHORED_BIGRAMS, 0):
+    for bound in (license_scan.BROADCAST_BIGRAMS, 0):
         with pytest.MonkeyPatch.context() as patch:
-            patch.setattr(license_scan, "ANCHORED_BIGRAMS", many)
+            patch.setattr(license_scan, "BROADCAST_BIGRAMS", bound)
+            patch.setattr(license_scan, "BROADCAST_KEYS", bound)
             got = license_scan.scan(table, license_scan.default_templates(spark)).collect()
         found = sorted((r.doc_id or 0, r.line_no, r.template_id) for r in got)
         assert found == [(0, 0, "mit-released"), (1, 2, "mit-grant"), (2, 0, "mit-released"), (2, 0, "mit-released"), (3, 1, "gpl-2-header"), (4, 2, "mit-full"), (5, 0, "bsd-3-full"), (6, 0, "apache-2-header"), (7, 0, "cc-by-4"), (7, 0, "mit-released"), (7, 0, "mit-released"), (9, 0, "mit-released"), (9, 2, "cc-by-sa-4")]

@@ -11,12 +11,13 @@ temperature is fitted to the logits by likelihood, and the rejection threshold
 is the largest score, at most ``HIGHEST_CUT``, that rejects at most
 ``LOST`` of the documents it names rightly. A document scored below it is rejected.
 
-Training reads a bounded sample of labelled documents: ``SAMPLE`` of them in
-all, shared equally by the languages, chosen by a hash of doc_id (so that the
-same rows are chosen on every run and cluster). They are hashed on the executors
-and come to the driver as counts of at most BUCKETS entries each. At most
-``LANGUAGES`` languages are learned, the most frequent ones; a count of
-documents per language is all that is gathered besides.
+Every value of lang is learned. Training reads a bounded sample of labelled
+documents of each: its share of ``SAMPLE``, but ``LEAST_EACH`` at least, so with
+very many languages the sample grows with their number alone. Those with the
+smallest hashes of doc_id and text are taken, each once, and enter the descent in
+the order of these, so any partitioning gives the same weights. They are hashed on
+the executors and come to the driver as counts of at most BUCKETS entries each; a
+count of documents per language is all that is gathered besides.
 
 Cases: a null text, or one without a letter, is ``und`` with score 1 and
 rejected; a null lang is never learned, nor is a row with a null doc_id, which
@@ -33,13 +34,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 1 << 13
 DIM = 16
 SAMPLE = 1600
-LANGUAGES = 64
+LEAST_EACH = 20
 EPOCHS = 8
 BATCH = 32
 RATE = 20.0
@@ -90,13 +91,17 @@ def _softmax(logits: np.ndarray) -> np.ndarray:
     return odds / odds.sum(axis=1, keepdims=True)
 
 
-def fit(counts: np.ndarray, labels: np.ndarray, languages: list[str], seed: int = 7) -> Model:
-    """counts: documents by buckets; labels: index into ``languages``. Every fifth document calibrates, the others train.
+def fit(counts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, languages: list[str], seed: int = 7) -> Model:
+    """counts: buckets and how often each occurs, by document; labels: index into ``languages``. Every fifth document calibrates, the others train."""
+
+    def shares(rows: np.ndarray) -> np.ndarray:
+        """Documents by buckets, for a batch alone."""
+        made = np.zeros((len(rows), BUCKETS), np.float32)
+        for k, row in enumerate(rows.tolist()):
+            buckets, often = counts[row]
+            made[k, buckets] = often / max(1, often.sum())
+        return made
 
-    A float32 ``counts`` is turned into shares in place, so that one matrix is held.
-    """
-    shares = counts.astype(np.float32, copy=False)
-    shares /= np.maximum(1, shares.sum(axis=1, keepdims=True))
     calibrate = np.arange(len(labels)) % 5 == 4
     if len(labels) < 10:
         calibrate[:] = False
@@ -109,7 +114,7 @@ def fit(counts: np.ndarray, labels: np.ndarray, languages: list[str], seed: int
         for at in range(0, len(order), BATCH):
             rows = order[at : at + BATCH]
             rate = RATE * (1 - step / steps)
-            x = shares[rows]
+            x = shares(rows)
             hidden = x @ embed
             error = _softmax(hidden @ out + bias)
             error[np.arange(len(rows)), labels[rows]] -= 1
@@ -122,7 +127,8 @@ def fit(counts: np.ndarray, labels: np.ndarray, languages: list[str], seed: int
     model = Model(languages, embed @ out, bias)
     held = np.flatnonzero(calibrate)
     if len(held):
-        logits, truth = shares[held] @ model.weights + bias, labels[held]
+        logits = np.concatenate([shares(held[at : at + BATCH]) @ model.weights + bias for at in range(0, len(held), BATCH)])
+        truth = labels[held]
         fits = [(-np.log(_softmax(logits / t)[np.arange(len(held)), truth] + 1e-12).mean(), t) for t in np.geomspace(0.05, 8, 41)]
         model.temperature = float(min(fits)[1])
         odds = _softmax(logits / model.temperature)
@@ -139,31 +145,33 @@ def _fold(id_col: str) -> Column:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
     """Learns from the rows that are not held out and have a language and an id."""
     known = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & (_fold(id_col) != 2)).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    languages = sorted(r["lang"] for r in sizes)
+    sizes = known.groupBy("lang").count()
+    languages = sorted(r["lang"] for r in sizes.collect())
     if not languages:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros(0))
-    each, place = sample // len(languages), F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("lang_id")), F.lit(1_000_000))
-    wanted = F.lit(False)
-    for r in sizes:
-        wanted = wanted | ((F.col("lang") == r["lang"]) & (place < int(min(1.0, 1.2 * each / r["count"]) * 1_000_000)))
+    each = max(sample // len(languages), LEAST_EACH)
+    place = F.xxhash64(F.col("id").cast("string"), F.lit("lang_id"))
+    # Places are even over 64 bits; half as many more than needed are looked at, and a few besides.
+    few = (place / F.lit(2.0**63) + 1) / 2 < F.lit(1.5 * each + 20) / F.col("count")
+    # A count per language is small, and is sent along while Spark finds it so.
+    near = known.join(sizes, "lang").where(few).withColumn("place", place).withColumn("h", F.xxhash64("text"))
+    order = Window.partitionBy("lang").orderBy("place", "h")
+    near = near.dropDuplicates(["lang", "place", "h"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= each)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [(c, lang) for c, lang in zip(map(subwords, batch.column(1).to_pylist()), batch.column(2).to_pylist()) if c is not None]
-            keep = [np.flatnonzero(c) for c, _ in made]
-            yield pa.RecordBatch.from_arrays([pa.array([lang for _, lang in made], pa.string()), pa.array([k.astype(np.int16) for k in keep], pa.list_(pa.int16())), pa.array([c[k].astype(np.int32) for (c, _), k in zip(made, keep)], pa.list_(pa.int32()))], names=["lang", "buckets", "counts"])
-
-    chosen = known.where(wanted).mapInArrow(run, "lang string, buckets array<short>, counts array<int>")
-    rows = chosen.limit(2 * sample).toArrow()
-    labels = np.array([languages.index(x) for x in rows["lang"].to_pylist()], np.int64)
-    sizes = np.array([c.values.to_numpy().sum() for c in rows["counts"]], np.int64)
-    order = np.lexsort((sizes, labels))  # the same order however rows arrive
-    counts = np.zeros((rows.num_rows, BUCKETS), np.float32)
-    for k, i in enumerate(order.tolist()):
-        counts[k, rows["buckets"][i].values.to_numpy()] = rows["counts"][i].values.to_numpy()
-    del rows
-    return fit(counts, labels[order], languages)
+            made = [(c, lang, rank) for c, lang, rank in zip(map(subwords, batch.column(0).to_pylist()), batch.column(1).to_pylist(), batch.column(2).to_pylist()) if c is not None]
+            keep = [np.flatnonzero(c) for c, *_ in made]
+            yield pa.RecordBatch.from_arrays([pa.array([m[1] for m in made], pa.string()), pa.array([m[2] for m in made], pa.int32()), pa.array([k.astype(np.int16) for k in keep], pa.list_(pa.int16())), pa.array([c[k].astype(np.int32) for (c, *_), k in zip(made, keep)], pa.list_(pa.int32()))], names=["lang", "rank", "buckets", "counts"])
+
+    rows = near.select("text", "lang", "rank").mapInArrow(run, "lang string, rank int, buckets array<short>, counts array<int>").toArrow()
+    known_as = {lang: k for k, lang in enumerate(languages)}
+    labels = np.array([known_as[x] for x in rows["lang"].to_pylist()], np.int64)
+    order = np.lexsort((rows["rank"].to_numpy(), labels)).tolist()  # the same order however rows arrive
+    buckets, counts = rows["buckets"], rows["counts"]
+    made = [(buckets[i].values.to_numpy().copy(), counts[i].values.to_numpy().astype(np.float32)) for i in order]
+    del rows, buckets, counts
+    return fit(made, labels[order], languages)
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

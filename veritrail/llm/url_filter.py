@@ -1,8 +1,8 @@
 """Operator 1: URL filters by host-suffix and path-prefix expressions.
 
-Every URL is expanded into expressions: each suffix of its host that begins at
-a label, times each prefix of its path that has the length of some rule's
-path. Expressions and rules meet in an equi-join on a short prefix of their
+Every URL is expanded into expressions: each suffix of its host that has as many
+labels as some rule's host, times each prefix of its path that has the length of
+some rule's path; others fit no rule. Expressions and rules meet in an equi-join on a short prefix of their
 SHA-256 digests; the full digest then confirms the match, and the most specific
 rule that fits decides.
 
@@ -15,8 +15,10 @@ path counts as empty; repeated rows are judged each and all returned; a null
 key is kept; columns other than the key and the URL are left out. Without
 rules every URL gets the default verdict with a null rule.
 
-Scale: rules are broadcast only when a bounded count says that they are few,
-and are otherwise salted and shuffled. All expressions of a URL are reduced to
+Scale: rules are broadcast only when a bounded count says that they are few, and
+are otherwise shuffled, where Spark splits the URLs of a hot rule over tasks; the
+rule table is written before, so that nothing binds it to its partitioning. A
+URL makes no more expressions than rules have pairs of sizes, however long it is. All expressions of a URL are reduced to
 one row without a second shuffle of the URLs. The one
 shuffle is keyed by the row and the partition it came from, so no host, URL or
 group of repeated rows is hot; copies of a row are counted before it and
@@ -28,10 +30,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veritrail.llm.lineage import cut
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PREFIX_HEX = 8
 BROADCAST_RULES = 50_000
-SALTS = 16
 
 
 def host_of(url: Column) -> Column:
@@ -44,17 +47,13 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def host_suffixes(host: Column) -> Column:
-    """The host and each parent domain; none for an empty host."""
-    labels = F.split(host, r"\.")
-    every = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    return F.array_distinct(F.filter(every, lambda s: s != ""))
-
-
-def expressions(host: Column, path: Column, lengths: list[int]) -> Column:
-    """Every host suffix with every path prefix of one of ``lengths``."""
-    sizes = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length(path))
-    return F.flatten(F.transform(host_suffixes(host), lambda h: F.transform(sizes, lambda n: F.concat(h, F.lit("\n"), F.substring(path, F.lit(1), n)))))
+def expressions(host: Column, path: Column, labels: list[int], lengths: list[int]) -> Column:
+    """Every host suffix of one of ``labels`` labels with every path prefix of one of ``lengths``; none for an empty host."""
+    among = lambda sizes, most: F.filter(F.array(*[F.lit(n) for n in sizes]).cast("array<int>"), lambda n: n <= most)
+    dots = F.length(host) - F.length(F.replace(host, F.lit("."), F.lit("")))
+    suffix = lambda n: F.call_function("substring_index", host, F.lit("."), -n)
+    suffixes = F.when(host == "", F.array().cast("array<string>")).otherwise(F.transform(among(labels, dots + 1), suffix))
+    return F.flatten(F.transform(suffixes, lambda h: F.transform(among(lengths, F.length(path)), lambda n: F.concat(h, F.lit("\n"), F.substring(path, F.lit(1), n)))))
 
 
 def _digest(expression: Column) -> Column:
@@ -83,19 +82,18 @@ def judge(pages: DataFrame, rules: DataFrame, key: str = "page_id", url_col: str
     ``rules``: host, path, verdict. ``default`` is the verdict where no rule fits.
     """
     table = _rule_table(rules)
-    # Distinct lengths are bounded by the longest rule path, however many rules there are.
-    lengths = sorted(r[0] for r in rules.where("host <> ''").select(F.length(F.coalesce(F.col("path").cast("string"), F.lit("")))).distinct().collect())
+    # Distinct sizes are bounded by the longest rule, however many rules there are.
+    sizes = rules.where("host <> ''").select(F.size(F.split(F.col("host").cast("string"), r"\.")).alias("h"), F.length(F.coalesce(F.col("path").cast("string"), F.lit(""))).alias("p"))
+    bounds = sizes.agg(F.collect_set("h").alias("h"), F.collect_set("p").alias("p")).first()
     rows = pages.select(F.col(key).alias("_key"), host_of(F.col(url_col)).alias("_host"), path_of(F.col(url_col)).alias("_path"), F.spark_partition_id().alias("_part"))
     row_key = ["_key", "_host", "_path", "_part"]
     rows = rows.groupBy(*row_key).agg(F.count(F.lit(1)).alias("_copies"))
-    made = rows.select("*", F.explode_outer(expressions(F.col("_host"), F.col("_path"), lengths)).alias("_expr"))
+    made = rows.select("*", F.explode_outer(expressions(F.col("_host"), F.col("_path"), sorted(bounds["h"]), sorted(bounds["p"]))).alias("_expr"))
     made = made.withColumn("_digest", _digest(F.col("_expr"))).withColumn("_short", F.substring("_digest", 1, PREFIX_HEX)).drop("_expr")
     if table.limit(broadcast_rules + 1).count() <= broadcast_rules:
         found = made.join(F.broadcast(table), F.col("_short") == F.col("r_short"), "left")
     else:
-        salted = table.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("r_salt"))
-        spread = made.withColumn("_salt", F.pmod(F.xxhash64("_key", "_path"), F.lit(SALTS)).cast("int"))
-        found = spread.join(salted, (F.col("_short") == F.col("r_short")) & (F.col("_salt") == F.col("r_salt")), "left")
+        found = made.join(cut(table), F.col("_short") == F.col("r_short"), "left")
     confirmed = F.col("_digest") == F.col("r_digest")
     best = found.groupBy(*row_key, "_copies").agg(F.max(F.when(confirmed, F.struct("r_rank", "r_rule", "r_verdict"))).alias("_best"), F.count_if(confirmed).alias("n_fitting"))
     judged = best.select(
