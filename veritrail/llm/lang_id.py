@@ -153,8 +153,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     place = F.xxhash64(F.col("id").cast("string"), F.lit("lang_id"))
     # Places are even over 64 bits; half as many more than needed are looked at, and a few besides.
     few = (place / F.lit(2.0**63) + 1) / 2 < F.lit(1.5 * each + 20) / F.col("count")
-    # A count per language is small, and is sent along while Spark finds it so.
-    near = known.join(sizes, "lang").where(few).withColumn("place", place).withColumn("h", F.xxhash64("text"))
+    # One row per class of the model, which the driver holds anyway.
+    near = known.join(F.broadcast(sizes), "lang").where(few).withColumn("place", place).withColumn("h", F.xxhash64("text"))
     order = Window.partitionBy("lang").orderBy("place", "h")
     near = near.dropDuplicates(["lang", "place", "h"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= each)
 

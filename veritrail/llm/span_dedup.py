@@ -28,11 +28,12 @@ others; rows that share doc_id and text are one document to the search, so
 they do not remove each other, and each is returned; repeats within one text
 count like those between texts; other columns are left out.
 
-Scale: a first pass sends one narrow row per run, counted with map-side combine;
-hashes with several occurrences are written to the shared folder. A second pass
-meets them, broadcast while a bounded count says that they are few; beyond that
-both sides are shuffled, and Spark splits the runs of a hot hash over tasks. The
-text is shuffled once, by document.
+Scale: a first pass counts 64 bits of every run with map-side combine. A second one
+keeps the runs whose 64 bits occur more than once; these are broadcast, as bare
+numbers, while a bounded count says that they are few, and shuffled beyond that.
+Only what is left meets by all 128 bits, with the first occurrence of each written
+before, so that Spark may split the runs of a hot hash over tasks. The text is
+shuffled once, by document.
 """
 
 from __future__ import annotations
@@ -54,7 +55,7 @@ LONGEST = 8
 CUT_WINDOW = 8
 CLOSERS = 16
 WORD_BYTES = 24
-BROADCAST_RUNS = 500_000
+BROADCAST_RUNS = 4_000_000
 _STOP, _CLOSE = np.zeros(256, bool), np.zeros(256, bool)
 _STOP[list(b".!?")] = True
 _CLOSE[list(b"\"')]}")] = True
@@ -165,11 +166,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"))
     found = runs(rows)
     place = F.struct("id", "hash", "pos")
-    repeated = found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1").select("h1", "h2", "first")
+    # The first half of the hash alone tells which runs can be repeated, in narrow rows.
+    often = cut(found.groupBy("h1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1"))
+    if often.limit(broadcast_runs + 1).count() <= broadcast_runs:
+        often = F.broadcast(often)
+    again = cut(found.join(often, "h1", "left_semi"))
+    repeated = again.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1").select("h1", "h2", "first")
     repeated = cut(repeated)  # a plain input of the join, which leaves Spark free to split a hot hash
-    if repeated.limit(broadcast_runs + 1).count() <= broadcast_runs:
-        repeated = F.broadcast(repeated)
-    later = found.join(repeated, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
+    later = again.join(repeated, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
     key = [F.col("id").isNull().alias("no_id"), F.coalesce("id", F.lit(0)).alias("key"), "hash"]
     gone = later.select(*key, "pos").groupBy("no_id", "key", "hash").agg(F.collect_set("pos").alias("starts"))
     joined = rows.select(*key, "id", "text").join(gone, ["no_id", "key", "hash"], "left")
