@@ -15,8 +15,18 @@ MANIFEST = """<manifest xmlns:android="http://schemas.android.com/apk/res/androi
 
 def test_manifest_rules(spark):
     m = R.manifests(spark.createDataFrame([("m.xml", MANIFEST)], "path string, raw string"))
-    assert {(r.permission, r.severity, r.note is not None) for r in A.permission_findings(m).collect()} == {("CAMERA", "minor", False), ("ACCESS_BACKGROUND_LOCATION", "major", True)}
-    assert {(r.name, r.rule) for r in A.exported_findings(m).collect()} == {(".Open", "exported-component"), (".R", "export-not-declared"), (".Q", "provider-half-protected")}
+    assert {(r.permission, r.grp, r.severity) for r in A.permission_findings(m).collect()} == {("android.permission.CAMERA", "camera", "minor"), ("android.permission.ACCESS_BACKGROUND_LOCATION", "background-location", "minor")}
+    assert {(r.name, r.rule.removeprefix("android-"), r.severity) for r in A.exported_findings(m).collect()} == {
+        (".Main", "component-launcher-activity-exported", "informational"),
+        (".Open", "component-exported-unprotected", "minor"),
+        (".Bound", "component-exported-protected", "informational"),
+        (".R", "component-unspecified-exported-with-filter", "minor"),
+        (".P", "component-malformed-exported", "minor"),
+        (".Q", "provider-exported-partial-protection", "minor"),
+    }
+    filters = R.intent_filters(m)
+    assert {(r.component, tuple(r.actions)) for r in filters.collect()} == {(".Main", ("android.intent.action.MAIN",)), (".R", ("x",))}
+    assert {(r.component, r.rule) for r in A.intent_filter_findings(filters).collect()} == {(".R", "android-intent-filter-custom-action-reachable")}
     assert [r.rule for r in A.backup_findings(m).collect()] == ["backup-without-rules"]
 
 
@@ -40,12 +50,29 @@ def test_policies_and_ladders(spark):
     got = {r.id: (r.cleartext, r.user_certificates, r.has_pins, r.depth) for r in A.effective_network_policy(c).collect()}
     assert got == {1: (True, None, False, 0), 2: (True, True, True, 1), 3: (False, True, False, 2)}
     assert {(r.id, r.rule) for r in A.network_findings(A.effective_network_policy(c)).collect()} == {(1, "cleartext-permitted"), (2, "cleartext-permitted"), (2, "user-certificates-trusted"), (3, "user-certificates-trusted")}
-    links = spark.createDataFrame([("m", "a", ["android.intent.action.VIEW"], ["android.intent.category.BROWSABLE"], None, [("http", "h"), ("https", "h"), ("my", None)])], "manifest_path string, component string, actions array<string>, categories array<string>, auto_verify boolean, data array<struct<scheme:string,host:string>>")
-    assert {r.rule for r in A.deep_link_findings(links).collect()} == {"cleartext-link", "unverified-link", "custom-scheme"}
+    ring = spark.createDataFrame([("f", i, i - 1 if i > 1 else None, None, None, False) for i in range(1, 15)] + [("g", 1, 2, True, None, False), ("g", 2, 1, None, None, False)], c.schema)
+    assert sorted((r.file, r.id) for r in A.effective_network_policy(ring).where("too_deep").collect()) == [("f", 12), ("f", 13), ("f", 14), ("g", 1), ("g", 2)]
+    view, browsable = ["android.intent.action.VIEW"], ["android.intent.category.BROWSABLE"]
+    link = lambda *d: [dict(zip(("scheme", "host", "path", "pathPrefix", "pathPattern"), d))]
+    rows = [("web", True, None, view, browsable, link("https")), ("own", True, None, view, browsable, link("my")), ("wide", True, None, view, browsable, link("https", "h", None, None, ".*")), ("guarded", True, "p", view, browsable, link("https", "h", None, None, "*")), ("held", None, None, view, browsable, link("https", "${h}")), ("fine", True, None, view, browsable, link("https", "h")), ("half", True, None, [], browsable, []), ("none", True, None, view, [], [])]
+    links = spark.createDataFrame([("m", "activity", n, e, None, p, a, k, d) for n, e, p, a, k, d in rows], "manifest_path string, kind string, component string, exported boolean, exported_raw string, permission string, actions array<string>, categories array<string>, data array<struct<scheme:string,host:string,path:string,pathPrefix:string,pathPattern:string>>")
+    assert {r.component: (r.rule.removeprefix("android-deep-link-"), r.severity) for r in A.deep_link_findings(links).collect()} == {
+        "web": ("web-link-without-host", "minor"),
+        "own": ("custom-scheme-without-host", "minor"),
+        "wide": ("broad-path-pattern", "major"),
+        "guarded": ("broad-path-pattern", "minor"),
+        "held": ("placeholder-value", "informational"),
+        "fine": ("bounded", "informational"),
+        "half": ("browsable-without-view", "informational"),
+    }
     mods = spark.createDataFrame([("a", ["com.android.application"], ["androidx.compose.ui:ui"], True), ("b", [], [], None)], "module string, plugins array<string>, dependencies array<string>, has_layouts boolean")
     assert [(r.kind, r.ui_toolkit, r.confidence) for r in A.module_kind(mods).orderBy("module").collect()] == [("application", "mixed", "high"), ("unknown", "unknown", "low")]
-    checks = spark.createDataFrame([("1", "audit", "failed", "minor"), ("2", "x", "skipped", None)], "id string, family string, status string, severity string")
-    assert A.verdict(checks, ["audit"]).first().verdict == "ready-with-skipped-checks" and A.verdict(checks, []).first().verdict == "not-ready"
+    checks = spark.createDataFrame([("a", "1", "android-permissions", "required", "failed"), ("a", "2", "x", "optional", "skipped"), ("b", "1", "android-gradle", "required", "failed"), ("c", "1", "android-manifest", "required", "error")], "run_id string, id string, category string, requirement_level string, status string")
+    findings = spark.createDataFrame([("d", "f", "major"), ("e", "f", "informational")], "run_id string, id string, severity string")
+    runs = spark.createDataFrame([(x, "application", 0, False, 0) for x in "abcdef"], "run_id string, project_kind string, unexpected_changes int, multiple_application_modules boolean, manual_play_items int")
+    not_ready, partly = "not-ready-security-blocker-remains", "ready-except-optional-manual-checks"
+    assert {r.run_id: r.verdict for r in A.verdict(checks, findings, runs).collect()} == {"a": partly, "b": not_ready, "c": "inconclusive-audit-environment-incomplete", "d": not_ready, "e": partly, "f": "ready-for-release-preparation"}
+    assert {(r.run_id, r.code, r.impact) for r in A.verdict_reasons(checks, findings, runs).where("run_id IN ('a', 'd')").collect()} == {("a", "android-optional-check-not-run", "advisory"), ("d", "android-major-finding", "blocking")}
     facts = spark.createDataFrame([("m", 33, None, False, True)], "module string, target_sdk int, version_code int, debuggable boolean, signed boolean")
     assert {r.item: r.state for r in A.play_readiness(facts, 34).collect()} == {"target-sdk": "fail", "version-code": "unknown", "not-debuggable": "pass", "signed": "pass"}
     calls = spark.createDataFrame([("f", 1, "password", True, False, False), ("f", 2, "password", False, False, False), ("f", 3, None, False, True, False), ("f", 4, None, False, False, False)], "path string, line int, sensitivity string, debug_guarded boolean, logs_exception boolean, dynamic boolean")

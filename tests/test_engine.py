@@ -270,7 +270,9 @@ def test_scanners(spark):
     raw = lambda *texts: spark.createDataFrame([(f"s{i}", t) for i, t in enumerate(texts)], "source string, raw string")
     assert rows(scanners.malformed(raw("", "{bad", "[1]", "{}", None))) == [("s0", "empty"), ("s1", "malformed"), ("s2", "not-an-object"), ("s4", "empty")]
     audit_json = '{"vulnerabilities": {"p": {"name": "p", "severity": "high", "via": ["q", {"title": "T", "url": "u", "severity": "critical"}]}}}'
-    assert [(r.package, r.severity, r.title) for r in scanners.npm_audit(raw(audit_json)).orderBy("severity").collect()] == [("p", "blocker", "T"), ("p", "major", None)]
+    assert [(r.package, r.severity, r.title) for r in scanners.npm_audit(raw(audit_json)).collect()] == [("p", "blocker", "T")]
+    assert [(r.severity, r.title) for r in scanners.npm_audit(raw('{"vulnerabilities": {"p": {"via": ["q"]}}}')).collect()] == [("major", None)]
+    assert {r.level: r.n for r in scanners.npm_audit_counts(raw('{"metadata": {"vulnerabilities": {"high": 2, "total": 2}}}')).collect()} == {"critical": 0, "high": 2, "moderate": 0, "low": 0, "info": 0, "total": 2}
     node: dict = {}
     for i in range(25):
         node = {"dependencies": {f"d{i}": {"missing": True} | node}}
@@ -282,7 +284,7 @@ def test_scanners(spark):
     osv = '{"results": [{"source": {"path": "l"}, "packages": [{"package": {"name": "p"}, "vulnerabilities": [{"id": "1", "severity": [{"score": "7.5"}]}, {"id": "2"}]}]}]}'
     assert [(r.vulnerability, r.severity, r.kind) for r in scanners.osv(raw(osv)).collect()] == [("1", "major", "finding"), ("2", None, "candidate")]
     sarif = '{"runs": [{"results": [{"ruleId": "r", "level": "warning", "message": {"text": "m"}}]}]}'
-    assert [(r.rule, r.severity, r.path) for r in scanners.lint_sarif(raw(sarif)).collect()] == [("r", "moderate", None)]
+    assert [(r.rule, r.severity, r.path) for r in scanners.lint_sarif(raw(sarif)).collect()] == [("r", "minor", None)]
     xml = '<issues><issue id="A" severity="Error" message="m"><location file="f" line="3"/></issue></issues>'
     assert [(r.rule, r.severity, r.path, r.line) for r in scanners.lint_xml(raw(xml)).collect()] == [("A", "major", "f", 3)]
     pack = '[{"name": "n", "files": [{"path": "a", "size": 1}]}]'
@@ -299,3 +301,27 @@ def test_artifacts(spark):
     rows_ = artifacts.evaluation_cases(spark.createDataFrame([("s", cases)], "source string, raw string"))
     found = sorted(r.rule for r in artifacts.case_violations(rows_, spark.createDataFrame([("p",)], "project string")).collect())
     assert found == ["minimum cannot be met", "missing query", "repeated case id", "unknown project", "weight is not positive"]
+
+
+def test_facts_feed_the_detectors(spark):
+    from veritrail.operators import facts
+
+    ts = "import def, { a, b as c } from './m.js'\nimport * as ns from 'x'\nimport type { T } from './t'\nexport class A {}\nconst own = 1"
+    py = "import os.path, sys as system\nfrom m import (d, e as f)\ndef g():\n  pass\nclass _H: pass"
+    made = facts.source_facts(spark.createDataFrame([("a.ts", ts, 9, "typescript", "source"), ("b.py", py, 9, "python", "source"), ("c.rb", "", 0, "ruby", "source")], "path string, content string, size_bytes int, language string, role string"))
+    got = {r.path: r for r in made.collect()}
+    assert [sorted(i.importedNames) for i in got["a.ts"].imports] == [["a", "c", "def"], ["ns"], ["T"]]
+    assert [sorted(i.importedNames) for i in got["b.py"].imports] == [["path", "system"], ["d", "f"]]
+    assert [(d.name, d.kind, d.exported) for d in got["a.ts"].declarations] == [("A", "class", True), ("own", "constant", False)]
+    assert [(d.name, d.kind, d.exported) for d in got["b.py"].declarations] == [("g", "function", True), ("_H", "class", False)]
+    assert (got["b.py"].analyzer_id, got["c.rb"].analyzer_id, got["c.rb"].parse_status) == ("python", "file-level", "unsupported")
+    assert [r.id.rsplit(":")[-1] for r in rot.unimported_declarations(made).orderBy("id").collect()] == ["A", "g"]
+
+
+def test_unreferenced_scripts(spark):
+    files = spark.createDataFrame([("scripts/a.ts",), ("scripts/b.ts",), ("scripts/shared.ts",), ("scripts/index.ts",)], "path string")
+    commands = spark.createDataFrame([("tsx ./scripts/a.ts --x",), ("",)], "command string")
+    importing = spark.createDataFrame([("scripts/a.ts", "import x from './shared.js'", 9)], "path string, content string, size_bytes int")
+    assert [r.file for r in rot.unreferenced_scripts(files, commands).orderBy("file").collect()] == ["scripts/b.ts", "scripts/shared.ts"]
+    assert [r.file for r in rot.unreferenced_scripts(files, commands, importing).collect()] == ["scripts/b.ts"]
+    assert rot.unreferenced_scripts(files.limit(0), commands).count() == 0

@@ -1,7 +1,7 @@
 """Android manifests, Gradle files and configuration: rule checks over typed tables.
 
 manifests: manifest_path, package_name, application_permission, permissions
-ARRAY<STRUCT<name, line>>, components ARRAY<STRUCT<kind, name, exported,
+ARRAY<STRUCT<name>>, components ARRAY<STRUCT<kind, name, exported, exportedRaw,
 permission, readPermission, writePermission, intentFilterCount, isLauncher>>.
 ``exported`` has three states; unknown is never taken for false.
 """
@@ -14,60 +14,161 @@ from pyspark.sql import functions as F
 
 from veritrail.operators.audit import lookup
 
-# Permissions by how much they give away.
-HIGH_RISK = ["READ_SMS", "SEND_SMS", "RECEIVE_SMS", "READ_CALL_LOG", "PROCESS_OUTGOING_CALLS", "SYSTEM_ALERT_WINDOW", "REQUEST_INSTALL_PACKAGES", "MANAGE_EXTERNAL_STORAGE", "QUERY_ALL_PACKAGES", "ACCESS_BACKGROUND_LOCATION"]
-MEDIUM_RISK = ["ACCESS_FINE_LOCATION", "ACCESS_COARSE_LOCATION", "CAMERA", "RECORD_AUDIO", "READ_CONTACTS", "WRITE_CONTACTS", "READ_CALENDAR", "READ_PHONE_STATE", "READ_EXTERNAL_STORAGE", "WRITE_EXTERNAL_STORAGE", "BODY_SENSORS"]
-FOREGROUND_LOCATION = ["ACCESS_FINE_LOCATION", "ACCESS_COARSE_LOCATION"]
+PLATFORM = "android.permission."
+# Permissions of the platform that are no finding, and those that want a review, by group.
+LOW_RISK = ["INTERNET", "ACCESS_NETWORK_STATE", "ACCESS_WIFI_STATE", "VIBRATE", "WAKE_LOCK", "RECEIVE_BOOT_COMPLETED"]
+SENSITIVE = {
+    "location": ["ACCESS_FINE_LOCATION", "ACCESS_COARSE_LOCATION"],
+    "background-location": ["ACCESS_BACKGROUND_LOCATION"],
+    "camera": ["CAMERA"],
+    "microphone": ["RECORD_AUDIO"],
+    "contacts": ["READ_CONTACTS", "WRITE_CONTACTS", "GET_ACCOUNTS"],
+    "calendar": ["READ_CALENDAR", "WRITE_CALENDAR"],
+    "sms": ["SEND_SMS", "READ_SMS", "RECEIVE_SMS", "RECEIVE_MMS"],
+    "call-log": ["READ_CALL_LOG", "WRITE_CALL_LOG", "PROCESS_OUTGOING_CALLS"],
+    "phone": ["READ_PHONE_STATE", "CALL_PHONE"],
+    "nearby-devices": ["BLUETOOTH_CONNECT", "BLUETOOTH_SCAN", "BLUETOOTH_ADVERTISE", "NEARBY_WIFI_DEVICES"],
+    "storage-legacy": ["READ_EXTERNAL_STORAGE", "WRITE_EXTERNAL_STORAGE", "MANAGE_EXTERNAL_STORAGE"],
+    "media": ["READ_MEDIA_IMAGES", "READ_MEDIA_VIDEO", "READ_MEDIA_AUDIO"],
+    "notifications": ["POST_NOTIFICATIONS"],
+    "body-sensors": ["BODY_SENSORS", "BODY_SENSORS_BACKGROUND"],
+    "activity-recognition": ["ACTIVITY_RECOGNITION"],
+    "foreground-service": ["FOREGROUND_SERVICE"],
+    "package-install": ["REQUEST_INSTALL_PACKAGES"],
+    "package-visibility": ["QUERY_ALL_PACKAGES"],
+}
+GROUP_OF = {PLATFORM + name: group for group, names in SENSITIVE.items() for name in names}
+# Severity of each rule.
+COMPONENT_SEVERITY = {
+    "android-component-malformed-exported": "minor",
+    "android-component-unspecified-exported-with-filter": "minor",
+    "android-provider-exported-unprotected": "major",
+    "android-provider-exported-partial-protection": "minor",
+    "android-provider-exported-protected": "informational",
+    "android-component-exported-protected": "informational",
+    "android-component-launcher-activity-exported": "informational",
+    "android-component-exported-unprotected": "minor",
+}
+VIEW, BROWSABLE, MAIN = "android.intent.action.VIEW", "android.intent.category.BROWSABLE", "android.intent.action.MAIN"
+STANDARD_ACTION, STANDARD_CATEGORY = "android.intent.action.", "android.intent.category."
+LAUNCHER_CATEGORIES = ["android.intent.category.LAUNCHER", "android.intent.category.DEFAULT"]
+BROAD_PATH = r"[*.]{1,2}\*|\.\*|^\*$"
+# Check categories that a verdict requires, and those judged by their findings alone.
+REQUIRED_CHECKS = ["android-detection", "android-manifest", "android-permissions", "android-components", "android-intent-filters", "android-deep-links", "android-gradle"]
+FINDING_DRIVEN = ["android-permissions", "android-components", "android-intent-filters", "android-deep-links"]
 COMPONENT_KINDS = ["activity", "activity-alias", "service", "receiver", "provider"]
 MOST_DEPTH = 10
 
 
+def _rules(*cells: tuple[Column, str, str]) -> Column:
+    """ARRAY<STRUCT<rule, severity>> of those that apply, in order."""
+    made = [F.when(when, F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"))) for when, rule, severity in cells]
+    return F.filter(F.array(*made), lambda r: r.isNotNull())
+
+
 def permission_findings(manifests: DataFrame) -> DataFrame:
-    """manifest_path, permission, tier for each distinct permission with a risk; background location counts only beside a foreground one's absence as well."""
-    short = lambda p: F.regexp_replace(p["name"], r"^android\.permission\.", "")
-    names = F.array_distinct(F.transform("permissions", short))
-    rows = manifests.select("manifest_path", F.explode(names).alias("permission"), F.arrays_overlap(names, F.array(*[F.lit(n) for n in FOREGROUND_LOCATION])).alias("foreground"))
-    tier = F.when(F.col("permission").isin(HIGH_RISK), "major").when(F.col("permission").isin(MEDIUM_RISK), "minor")
-    note = F.when((F.col("permission") == "ACCESS_BACKGROUND_LOCATION") & ~F.col("foreground"), "background location without a foreground one")
-    return rows.select("manifest_path", "permission", tier.alias("severity"), note.alias("note")).where("severity IS NOT NULL")
+    """manifest_path, permission, rule, grp, severity for each distinct permission that wants a review.
+
+    Sensitive ones of the platform are minor, background location beside a
+    foreground one under a rule of its own; names outside the platform are custom
+    and informational; the rest is no finding.
+    """
+    names = F.array_distinct(F.transform("permissions", lambda p: p["name"]))
+    foreground = F.arrays_overlap(names, F.array(*[F.lit(PLATFORM + n) for n in SENSITIVE["location"]]))
+    rows = manifests.select("manifest_path", F.explode(names).alias("permission"), foreground.alias("foreground")).where("permission IS NOT NULL")
+    group = lookup(GROUP_OF, F.col("permission"))
+    rule = (
+        F.when((group == "background-location") & F.col("foreground"), "android-permission-background-and-foreground-location")
+        .when(group.isNotNull(), "android-permission-sensitive")
+        .when(~F.col("permission").startswith(PLATFORM), "android-permission-unknown-custom")
+    )
+    severity = F.when(group.isNotNull(), "minor").otherwise("informational")
+    return rows.select("manifest_path", "permission", rule.alias("rule"), group.alias("grp"), severity.alias("severity")).where("rule IS NOT NULL")
 
 
 def exported_findings(manifests: DataFrame) -> DataFrame:
-    """Components that other apps can reach: exported without a permission, or of unknown export with an intent filter.
+    """manifest_path, kind, name, rule, severity of components that other apps can reach, or of which this cannot be told.
 
-    A provider is protected by a permission, or by one for reading and one for
-    writing; the launcher is meant to be reached.
+    A provider is protected by a permission of its own, or by one for reading and
+    one for writing; other components by their own or the application's. A value
+    of ``exported`` that is neither true nor false (``exportedRaw``) stays unknown.
     """
     rows = manifests.select("manifest_path", "application_permission", F.explode("components").alias("c"))
-    own = F.coalesce("c.permission", "application_permission")
-    guarded = own.isNotNull() | ((F.col("c.kind") == "provider") & F.col("c.readPermission").isNotNull() & F.col("c.writePermission").isNotNull())
-    half = (F.col("c.kind") == "provider") & ~guarded & (F.col("c.readPermission").isNotNull() | F.col("c.writePermission").isNotNull())
-    exported = F.col("c.exported")
+    set_ = lambda name: F.coalesce(F.col(f"c.{name}"), F.lit("")) != ""
+    provider = F.col("c.kind") == "provider"
+    own, both, one = set_("permission"), set_("readPermission") & set_("writePermission"), set_("readPermission") | set_("writePermission")
+    guarded = own | (F.coalesce("application_permission", F.lit("")) != "")
+    unknown = F.col("c.exported").isNull()
     rule = (
-        F.when(F.coalesce("c.isLauncher", F.lit(False)) | guarded, F.lit(None))
-        .when(exported & half, "provider-half-protected")
-        .when(exported & (F.col("c.kind") == "provider"), "exported-provider")
-        .when(exported, "exported-component")
-        .when(exported.isNull() & (F.col("c.intentFilterCount") > 0), "export-not-declared")
+        F.when(unknown & F.col("c.exportedRaw").isNotNull(), "android-component-malformed-exported")
+        .when(unknown, F.when(F.col("c.intentFilterCount") > 0, "android-component-unspecified-exported-with-filter"))
+        .when(~F.col("c.exported"), F.lit(None))
+        .when(provider & (own | both), "android-provider-exported-protected")
+        .when(provider & one, "android-provider-exported-partial-protection")
+        .when(provider, "android-provider-exported-unprotected")
+        .when(guarded, "android-component-exported-protected")
+        .when(F.coalesce("c.isLauncher", F.lit(False)), "android-component-launcher-activity-exported")
+        .otherwise("android-component-exported-unprotected")
     )
-    severity = lookup({"exported-provider": "blocker", "exported-component": "major", "provider-half-protected": "major", "export-not-declared": "moderate"}, rule)
-    return rows.select("manifest_path", F.col("c.kind").alias("kind"), F.col("c.name").alias("name"), rule.alias("rule"), severity.alias("severity")).where("rule IS NOT NULL")
+    return rows.select("manifest_path", F.col("c.kind").alias("kind"), F.col("c.name").alias("name"), rule.alias("rule"), lookup(COMPONENT_SEVERITY, rule).alias("severity")).where("rule IS NOT NULL")
+
+
+def intent_filter_findings(filters: DataFrame) -> DataFrame:
+    """Rules on what a filter holds. filters: as of ``sources.android.intent_filters``. A launcher's own filter is never a finding."""
+    actions, categories = F.coalesce("actions", F.array().cast("array<string>")), F.coalesce("categories", F.array().cast("array<string>"))
+    empty = (F.size(actions) == 0) & (F.coalesce(F.size("data"), F.lit(0)) == 0)
+    twice = (F.size(F.array_distinct(actions)) < F.size(actions)) | (F.size(F.array_distinct(categories)) < F.size(categories))
+    launcher = (F.size(actions) == 1) & F.array_contains(actions, MAIN) & F.forall(categories, lambda c: c.isin(LAUNCHER_CATEGORIES))
+    reachable = F.coalesce(F.col("exported"), F.col("exported_raw").isNull())
+    judged = ~empty & ~launcher
+    rules = _rules(
+        (empty, "android-intent-filter-empty-or-malformed", "informational"),
+        (~empty & twice, "android-intent-filter-duplicate-entries", "informational"),
+        (judged & reachable & F.exists(actions, lambda a: ~a.startswith(STANDARD_ACTION)), "android-intent-filter-custom-action-reachable", "minor"),
+        (judged & F.exists(categories, lambda c: ~c.startswith(STANDARD_CATEGORY)), "android-intent-filter-non-standard-category", "informational"),
+    )
+    return filters.select("manifest_path", "kind", "component", F.inline(rules))
 
 
 def deep_link_findings(filters: DataFrame) -> DataFrame:
-    """Browsable VIEW filters: a plain http link, a web link that is not verified, or a scheme of its own. filters: manifest_path, component, actions, categories, auto_verify, data ARRAY<STRUCT<scheme, host>>."""
-    open_ = F.array_contains("actions", "android.intent.action.VIEW") & F.array_contains("categories", "android.intent.category.BROWSABLE")
-    rows = filters.where(open_).select("manifest_path", "component", "auto_verify", F.explode("data").alias("d"))
-    scheme = F.lower("d.scheme")
-    rule = F.when(scheme == "http", "cleartext-link").when((scheme == "https") & ~F.coalesce("auto_verify", F.lit(False)), "unverified-link").when(~scheme.isin("http", "https"), "custom-scheme")
-    return rows.select("manifest_path", "component", scheme.alias("scheme"), F.col("d.host").alias("host"), rule.alias("rule")).where("rule IS NOT NULL").distinct()
+    """The first rule that applies to each filter that opens links: placeholders, broad path patterns, links without a host; every other one is listed as bounded.
+
+    filters: as of ``sources.android.intent_filters``. A broad pattern is major
+    only on a component that is exported without a permission.
+    """
+    has = lambda column, value: F.coalesce(F.array_contains(column, value), F.lit(False))
+    view, browsable = has("actions", VIEW), has("categories", BROWSABLE)
+    some = lambda test: F.coalesce(F.exists("data", lambda d: F.coalesce(test(d), F.lit(False))), F.lit(False))
+    filled = lambda d, name: F.coalesce(d[name], F.lit("")) != ""
+    schemes = some(lambda d: filled(d, "scheme"))
+    web = some(lambda d: d["scheme"].isin("http", "https"))
+    host = some(lambda d: filled(d, "host"))
+    held = lambda d, name: d[name].contains("${") | d[name].startswith("@")
+    placeholder = some(lambda d: F.exists(F.array(*[F.coalesce(held(d, n), F.lit(False)) for n in ("scheme", "host", "path", "pathPrefix", "pathPattern")]), lambda x: x))
+    broad = some(lambda d: d["pathPattern"].rlike(BROAD_PATH))
+    open_ = F.coalesce("exported", F.lit(False)) & (F.coalesce("permission", F.lit("")) == "")
+    nothing = view & ~browsable & (F.coalesce(F.size("data"), F.lit(0)) == 0)
+    rule = (
+        F.when(browsable & ~view, "android-deep-link-browsable-without-view")
+        .when(~view | nothing, F.lit(None))
+        .when(placeholder, "android-deep-link-placeholder-value")
+        .when(broad, "android-deep-link-broad-path-pattern")
+        .when(web & ~host, "android-deep-link-web-link-without-host")
+        .when(schemes & ~web & ~host, "android-deep-link-custom-scheme-without-host")
+        .otherwise("android-deep-link-bounded")
+    )
+    minor = F.col("rule").isin("android-deep-link-web-link-without-host", "android-deep-link-custom-scheme-without-host")
+    severity = F.when(F.col("rule") == "android-deep-link-broad-path-pattern", F.when(F.col("_open"), "major").otherwise("minor")).when(minor, "minor").otherwise("informational")
+    judged = filters.select("manifest_path", "kind", "component", rule.alias("rule"), open_.alias("_open")).where("rule IS NOT NULL")
+    return judged.select("manifest_path", "kind", "component", "rule", severity.alias("severity"))
 
 
 def effective_network_policy(configs: DataFrame) -> DataFrame:
     """Cleartext policy and trust of nested domain configs: a null inherits from the nearest ancestor that sets it; pin sets are the config's own.
 
     configs: file, id, parent_id, cleartext, user_certificates, has_pins. Levels
-    are joined up to ``MOST_DEPTH``; deeper ones are marked as too deep.
+    are joined up to ``MOST_DEPTH``; configs below that, or in a ring of parents,
+    keep what they set themselves and have ``too_deep``, and a null depth.
     """
     level = configs.where("parent_id IS NULL").select("file", "id", "cleartext", "user_certificates", "has_pins", F.lit(0).alias("depth"))
     found = level
@@ -75,7 +176,8 @@ def effective_network_policy(configs: DataFrame) -> DataFrame:
         parent = level.select("file", F.col("id").alias("parent_id"), F.col("cleartext").alias("_c"), F.col("user_certificates").alias("_u"))
         level = configs.join(parent, ["file", "parent_id"]).select("file", "id", F.coalesce("cleartext", "_c").alias("cleartext"), F.coalesce("user_certificates", "_u").alias("user_certificates"), "has_pins", F.lit(depth).alias("depth"))
         found = found.unionByName(level)
-    return found
+    deep = configs.join(found.select("file", "id"), ["file", "id"], "left_anti").select("file", "id", "cleartext", "user_certificates", "has_pins", F.lit(None).cast("int").alias("depth"))
+    return found.withColumn("too_deep", F.lit(False)).unionByName(deep.withColumn("too_deep", F.lit(True)))
 
 
 def network_findings(policy: DataFrame) -> DataFrame:
@@ -100,7 +202,7 @@ def release_findings(build_types: DataFrame) -> DataFrame:
         F.array(
             F.when(F.col("debuggable"), F.struct(F.lit("release-debuggable").alias("rule"), F.lit("blocker").alias("severity"))),
             F.when(~F.col("minify"), F.struct(F.lit("release-not-minified").alias("rule"), F.lit("minor").alias("severity"))),
-            F.when((F.col("module_kind") == "application") & F.col("signing_config").isNull(), F.struct(F.lit("release-unsigned").alias("rule"), F.lit("moderate").alias("severity"))),
+            F.when((F.col("module_kind") == "application") & F.col("signing_config").isNull(), F.struct(F.lit("release-unsigned").alias("rule"), F.lit("minor").alias("severity"))),
         ),
         lambda r: r.isNotNull(),
     )
@@ -121,18 +223,59 @@ def logging_findings(calls: DataFrame) -> DataFrame:
     return calls.select("path", "line", kind.alias("kind"), severity.alias("severity")).where("kind IS NOT NULL")
 
 
-def verdict(checks: DataFrame, audit_families: list[str]) -> DataFrame:
-    """One row: the first that applies of blocker, failed, major, skipped; severity outweighs status for audit families. checks: id, family, status, severity."""
-    audited = F.col("family").isin(audit_families)
-    one = checks.agg(
-        F.count_if(F.col("severity") == "blocker").alias("blockers"),
-        F.count_if((F.col("status") == "failed") & ~audited).alias("failed"),
-        F.count_if(F.col("severity") == "major").alias("majors"),
-        F.count_if(F.col("status") == "skipped").alias("skipped"),
-        F.count(F.lit(1)).alias("checks"),
-    )
-    ladder = F.when((F.col("blockers") > 0) | (F.col("failed") > 0), "not-ready").when(F.col("majors") > 0, "needs-review").when(F.col("checks") == 0, "inconclusive").when(F.col("skipped") > 0, "ready-with-skipped-checks").otherwise("ready")
-    return one.select("*", ladder.alias("verdict"))
+#: Stages of a verdict: the first that has a reason decides.
+STAGES = ["blocker", "major", "target", "failed", "mismatch", "inconclusive", "advisory"]
+# What each stage means for a release.
+VERDICTS = {"blocker": "not-ready-security-blocker-remains", "major": "not-ready-security-blocker-remains", "target": "not-ready-security-blocker-remains", "failed": "not-ready-security-blocker-remains", "mismatch": "inconclusive-audit-environment-incomplete", "inconclusive": "inconclusive-audit-environment-incomplete", "advisory": "ready-except-optional-manual-checks"}
+READY = "ready-for-release-preparation"
+IMPACT = {s: "blocking" if s in STAGES[:4] else "inconclusive" if s in STAGES[4:6] else "advisory" for s in STAGES}
+
+
+def verdict_reasons(checks: DataFrame, findings: DataFrame, runs: DataFrame) -> DataFrame:
+    """run_id, code, related_id, impact, stage: the reasons of the first stage that has one, for each run.
+
+    checks: run_id, id, category, requirement_level, status; findings: run_id, id,
+    severity; runs: run_id, project_kind, unexpected_changes INT,
+    multiple_application_modules, manual_play_items INT. Failed audits of the
+    categories that are judged by their findings do not count as failed checks.
+    """
+    place = {s: F.lit(i) for i, s in enumerate(STAGES)}
+
+    def rows(df: DataFrame, when: Column, stage: str, code: str, related: str | None) -> DataFrame:
+        return df.where(when).select("run_id", place[stage].alias("_stage"), F.lit(code).alias("code"), (F.col(related).cast("string") if related else F.lit(None).cast("string")).alias("related_id"))
+
+    required = (F.col("requirement_level") == "required") & F.col("category").isin(REQUIRED_CHECKS)
+    optional, status = F.col("requirement_level") == "optional", F.col("status")
+    partial = F.col("project_kind").isin("partial", "unknown")
+    found = [
+        rows(findings, F.col("severity") == "blocker", "blocker", "android-blocker-finding", "id"),
+        rows(findings, F.col("severity") == "major", "major", "android-major-finding", "id"),
+        rows(runs, F.col("unexpected_changes") > 0, "target", "android-unexpected-target-modification", None),
+        rows(checks, required & (status == "failed") & ~F.col("category").isin(FINDING_DRIVEN), "failed", "android-required-check-failed", "id"),
+        rows(runs, F.col("project_kind") == "non-android", "mismatch", "android-profile-mismatch", None),
+        rows(runs, partial, "inconclusive", "android-partial-detection", None),
+        rows(checks, required & status.isin("inconclusive", "error"), "inconclusive", "android-required-check-inconclusive", "id"),
+        rows(checks, required & (status == "unsupported"), "inconclusive", "android-required-check-unsupported", "id"),
+        rows(runs, F.coalesce("multiple_application_modules", F.lit(False)), "inconclusive", "android-multiple-application-modules", None),
+        rows(findings, F.col("severity").isin("minor", "informational"), "advisory", "android-review-finding", "id"),
+        rows(checks, optional & status.isin("skipped", "not-run"), "advisory", "android-optional-check-not-run", "id"),
+        rows(checks, optional & (status == "failed"), "advisory", "android-optional-check-failed", "id"),
+        rows(runs, F.col("manual_play_items") > 0, "advisory", "android-play-readiness-manual-items", None),
+    ]
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    first = every.groupBy("run_id").agg(F.min("_stage").alias("_first"))
+    stage = F.get(F.array(*[F.lit(s) for s in STAGES]), F.col("_stage"))
+    kept = every.join(first, "run_id").where(F.col("_stage") == F.col("_first"))
+    return kept.select("run_id", "code", "related_id", lookup(IMPACT, stage).alias("impact"), stage.alias("stage"))
+
+
+def verdict(checks: DataFrame, findings: DataFrame, runs: DataFrame) -> DataFrame:
+    """run_id, verdict, reasons (their number) for each run; inputs as of ``verdict_reasons``."""
+    one = verdict_reasons(checks, findings, runs).groupBy("run_id").agg(F.first("stage").alias("stage"), F.count(F.lit(1)).alias("reasons"))
+    met = runs.select("run_id").distinct().join(one, "run_id", "left")
+    return met.select("run_id", F.coalesce(lookup(VERDICTS, F.col("stage")), F.lit(READY)).alias("verdict"), F.coalesce("reasons", F.lit(0)).alias("reasons"))
 
 
 def catalog_versions(lines: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ LOG_CALL = r"\b(?:Log\.[vdiwe]|Timber\.\w+|println)\s*\((.*)\)"
 DEBUG_GUARD = r"BuildConfig\.DEBUG|isLoggable"
 # Rule, pattern and severity of single lines.
 LINE_RULES = [
-    ("webview-javascript", r"javaScriptEnabled\s*=\s*true|setJavaScriptEnabled\(true\)", "moderate"),
+    ("webview-javascript", r"javaScriptEnabled\s*=\s*true|setJavaScriptEnabled\(true\)", "minor"),
     ("webview-file-access", r"allowFileAccess(?:FromFileURLs)?\s*=\s*true|setAllowFileAccess(?:FromFileURLs)?\(true\)", "major"),
     ("webview-universal-access", r"allowUniversalAccessFromFileURLs\s*=\s*true|setAllowUniversalAccessFromFileURLs\(true\)", "blocker"),
     ("webview-js-bridge", r"addJavascriptInterface\(", "major"),
@@ -24,7 +24,7 @@ LINE_RULES = [
     ("clipboard-write", r"setPrimaryClip\(", "minor"),
 ]
 # FileProvider path elements that share more than a folder.
-WIDE_PATHS = {"root-path": "blocker", "external-path": "moderate", "external-files-path": "minor"}
+WIDE_PATHS = {"root-path": "blocker", "external-path": "minor", "external-files-path": "minor"}
 PROVIDER_PATHS = "`root-path` ARRAY<STRUCT<_name: STRING, _path: STRING>>, `external-path` ARRAY<STRUCT<_name: STRING, _path: STRING>>, `external-files-path` ARRAY<STRUCT<_name: STRING, _path: STRING>>, `files-path` ARRAY<STRUCT<_name: STRING, _path: STRING>>, `cache-path` ARRAY<STRUCT<_name: STRING, _path: STRING>>"
 
 
@@ -33,7 +33,7 @@ def split_arguments(x: Column) -> Column:
 
     One fold over the characters with a small state, in SQL.
     """
-    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("quote"), F.lit(False).alias("escaped"), F.lit("").alias("now"), F.array().cast("array<string>").alias("done"))
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("quote"), F.lit(False).alias("escaped"), F.lit(0).alias("at"), F.array().cast("array<int>").alias("cuts"))
 
     def step(s: Column, c: Column) -> Column:
         quoted = s["quote"] != ""
@@ -44,12 +44,15 @@ def split_arguments(x: Column) -> Column:
             depth.alias("depth"),
             quote.alias("quote"),
             (quoted & (c == "\\") & ~s["escaped"]).alias("escaped"),
-            F.when(split, "").otherwise(F.concat(s["now"], c)).alias("now"),
-            F.when(split, F.concat(s["done"], F.array(F.trim(s["now"])))).otherwise(s["done"]).alias("done"),
+            (s["at"] + 1).alias("at"),
+            # Places are kept, not texts, so a long argument is not built up letter by letter.
+            F.when(split, F.concat(s["cuts"], F.array(s["at"] + 1))).otherwise(s["cuts"]).alias("cuts"),
         )
 
     last = F.aggregate(F.split(x, ""), start, step)
-    return F.filter(F.concat(last["done"], F.array(F.trim(last["now"]))), lambda a: a != "")
+    ends = F.concat(last["cuts"], F.array(F.length(x) + 1))
+    parts = F.transform(ends, lambda end, i: F.trim(F.substring(x, F.coalesce(F.get(ends, i - 1), F.lit(0)) + 1, end - F.coalesce(F.get(ends, i - 1), F.lit(0)) - 1)))
+    return F.filter(parts, lambda a: a != "")
 
 
 def log_calls(files: DataFrame, dictionary: dict[str, str]) -> DataFrame:

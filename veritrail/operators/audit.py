@@ -9,11 +9,11 @@ from veritrail.functions.semantics import dense_counts, keep_first
 
 # Severities from weak to strong, in both vocabularies.
 AUDIT_RANK = {"info": 0, "low": 1, "medium": 2, "high": 3, "blocker": 4}
-SECURITY_RANK = {"informational": 0, "minor": 1, "moderate": 2, "major": 3, "blocker": 4}
+SECURITY_RANK = {"skipped": 0, "informational": 1, "minor": 2, "major": 3, "blocker": 4}
 THRESHOLD_RANK = {"low": 1, "medium": 2, "high": 3, "blocker": 4}
 # Other vocabularies' names for them.
-NPM_SEVERITY = {"critical": "blocker", "high": "major", "moderate": "moderate", "low": "minor", "info": "informational"}
-SECURITY_TO_AUDIT = {"blocker": "blocker", "major": "high", "moderate": "medium", "minor": "low", "informational": "info"}
+NPM_SEVERITY = {"critical": "blocker", "high": "blocker", "moderate": "major", "low": "minor"}
+SECURITY_TO_AUDIT = {"blocker": "blocker", "major": "high", "minor": "medium", "informational": "info", "skipped": "info"}
 MOST_RECOMMENDATIONS = 200
 
 

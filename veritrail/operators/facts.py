@@ -5,14 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veritrail.operators.audit import lookup
+
 MOST_BYTES = 1_000_000
 # Per language, how a line imports and what it declares (name in group 1).
 IMPORTS = {"python": r"^\s*(?:from\s+([\w.]+)\s+import|import\s+([\w.]+))", "java": r"^\s*import\s+(?:static\s+)?([\w.]+)", "kotlin": r"^\s*import\s+([\w.]+)", "typescript": r"""(?:from\s+|import\s+|require\()['"]([^'"]+)['"]""", "javascript": r"""(?:from\s+|import\s+|require\()['"]([^'"]+)['"]"""}
 DECLARES = {"python": r"^(?:async\s+)?(?:def|class)\s+(\w+)", "java": r"^\s*(?:public\s+|abstract\s+|final\s+)*(?:class|interface|enum|record)\s+(\w+)", "kotlin": r"^\s*(?:public\s+|internal\s+|open\s+|data\s+|sealed\s+)*(?:class|interface|object|fun)\s+(\w+)", "typescript": r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?(?:function|class|interface|const|type|enum)\s+(\w+)", "javascript": r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?(?:function|class|const)\s+(\w+)"}
 
 
+# Kinds of declarations by their keyword, and which analyzer reads a language.
+KINDS = {"function": "function", "def": "function", "fun": "function", "class": "class", "record": "class", "object": "class", "interface": "interface", "type": "type", "const": "constant", "enum": "enum"}
+ANALYZERS = {"typescript": "typescript-javascript", "javascript": "typescript-javascript", "python": "python", "java": "jvm", "kotlin": "jvm"}
+KEYWORD = r"\b(function|def|fun|class|record|object|interface|type|const|enum)\s+\w+"
+
+
+def bound_names(text: Column, source: Column, language: str) -> Column:
+    """The names that an import of one line binds: ``a, {b, c as d}`` binds a, b and d; a dotted import its last part. An import that binds none has an empty list."""
+    if language in ("java", "kotlin"):
+        return F.filter(F.array(F.substring_index(source, ".", -1)), lambda n: n != "*")
+    clause = F.regexp_extract(text, r"\bimport\s+(.*)$", 1) if language == "python" else F.regexp_extract(text, r"\bimport\s+(?:type\s+)?(.*?)\s+from\s", 1)
+    parts = F.split(F.regexp_replace(F.regexp_replace(clause, r"#.*$", ""), r"[{}()]", ","), ",")
+    last = F.transform(parts, lambda p: F.regexp_extract(F.trim(p), r"(?:^|\s|\.)([\w$]+)$", 1))
+    return F.filter(last, lambda n: n != "")
+
+
 def source_facts(files: DataFrame) -> DataFrame:
-    """path, language, parse_status, imports and declarations of source and test files.
+    """path, analyzer_id, language, role, parse_status, imports (source, importedNames, line) and declarations (name, kind, exported, line) of source and test files.
 
     A file above the limit or in another language is ``file-level-only`` or
     ``unsupported``, never missing. Lines are worked on within each row, so a
@@ -35,11 +53,11 @@ def source_facts(files: DataFrame) -> DataFrame:
         group = lambda t, g: F.nullif(F.regexp_extract(t, pattern, g), F.lit(""))
         source = (lambda t: F.coalesce(group(t, 1), group(t, 2))) if name == "python" else (lambda t: group(t, 1))
         hits = F.filter(numbered, lambda x: x["text"].rlike(pattern))
-        return F.transform(hits, lambda x: F.struct(source(x["text"]).alias("source"), x["line"].alias("line")))
+        return F.transform(hits, lambda x: F.struct(source(x["text"]).alias("source"), bound_names(x["text"], source(x["text"]), name).alias("importedNames"), x["line"].alias("line")))
 
     def declarations(pattern: str, name: str) -> Column:
         hits = F.filter(numbered, lambda x: x["text"].rlike(pattern))
         shown = {"python": lambda t, n: ~n.startswith("_"), "java": lambda t, n: t.contains("public"), "kotlin": lambda t, n: ~t.contains("private")}.get(name, lambda t, n: t.rlike(r"^\s*export\b"))
-        return F.transform(hits, lambda x: F.struct(F.regexp_extract(x["text"], pattern, 1).alias("name"), shown(x["text"], F.regexp_extract(x["text"], pattern, 1)).alias("exported"), x["line"].alias("line")))
+        return F.transform(hits, lambda x: F.struct(F.regexp_extract(x["text"], pattern, 1).alias("name"), lookup(KINDS, F.regexp_extract(x["text"], KEYWORD, 1), "unknown").alias("kind"), shown(x["text"], F.regexp_extract(x["text"], pattern, 1)).alias("exported"), x["line"].alias("line")))
 
-    return kept.select("path", "language", "role", status.alias("parse_status"), per_language(IMPORTS, imports).alias("imports"), per_language(DECLARES, declarations).alias("declarations"))
+    return kept.select("path", lookup(ANALYZERS, F.col("language"), "file-level").alias("analyzer_id"), "language", "role", status.alias("parse_status"), per_language(IMPORTS, imports).alias("imports"), per_language(DECLARES, declarations).alias("declarations"))

@@ -101,14 +101,21 @@ def unimported_declarations(facts: DataFrame) -> DataFrame:
     return alone.select(*issue("dead-code-candidate", "unreferenced-declaration", "info", "low", F.concat_ws(":", "path", "name"), F.lit("no file imports this declaration"), F.col("path"), F.col("line")))
 
 
-def unreferenced_scripts(script_files: DataFrame, commands: DataFrame) -> DataFrame:
-    """Script files whose path no command of the package holds.
+def unreferenced_scripts(script_files: DataFrame, commands: DataFrame, importing: DataFrame | None = None) -> DataFrame:
+    """Script files whose path no command of the package holds, and whose base name no relative import of ``importing`` files names.
 
-    A package has few commands, but their number is not bounded here, so each
-    command is cut into path-like words and joined by equality.
+    Containment is met by equality: a command gives each of its pieces that is as
+    long as some path. Commands are short; the lengths are a few numbers. Files
+    named index, and set-up files, are left out.
     """
-    words = commands.select(F.explode(F.split("command", r"[\s'\"=]+")).alias("w")).select(F.regexp_replace("w", r"^\./", "").alias("path")).distinct()
-    alone = script_files.join(words, "path", "left_anti")
+    sizes = script_files.agg(F.collect_set(F.length("path"))).first()[0]
+    pieces = lambda c: F.flatten(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.transform(F.array(*[F.lit(n) for n in sizes]), lambda n: F.substring(c, i, n))))
+    held = commands.where(F.length("command") > 0).select(F.explode(F.array_distinct(pieces(F.col("command")))).alias("path")).distinct() if sizes else commands.limit(0).select(F.col("command").alias("path"))
+    base, name = F.lower(X.basename_no_ext(F.col("path"))), X.basename(F.col("path"))
+    script_files = script_files.where((base != "index") & ~name.rlike(SETUP_FILE))
+    alone = script_files.join(held, "path", "left_anti")
+    if importing is not None:
+        alone = alone.withColumn("base", F.lower(X.basename_no_ext(F.col("path")))).join(imported_names(importing), "base", "left_anti")
     return alone.select(*issue("dead-code-candidate", "unreferenced-script", "low", "medium", F.col("path"), F.lit("no package command runs this file"), F.col("path")))
 
 

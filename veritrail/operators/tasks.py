@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritrail.functions.semantics import all_of, positions, round_half_up
@@ -57,9 +57,13 @@ def task_summary(projects: DataFrame, tasks: DataFrame, key: str = "project_id")
 
 
 def high_priority_open(tasks: DataFrame, key: str = "project_id") -> DataFrame:
-    """Per project, how many open tasks have high priority, and their titles in task order, as rows with a position."""
+    """Open tasks of high priority as rows: key, position in the project's task order (from 1), how many the project has, title.
+
+    A project with very many is counted and numbered by its partition of the sort alone, never held in one row.
+    """
     rows = tasks.where(~F.coalesce(F.col("completed"), F.lit(False)) & (F.col("priority") == "high"))
-    return rows.select(key, "ord", "title")
+    counted = rows.join(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n_open")), key)
+    return counted.select(key, F.row_number().over(Window.partitionBy(key).orderBy("ord")).alias("position"), "n_open", "title")
 
 
 def import_tasks(store: DataFrame, batch: DataFrame, projects: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -25,9 +25,9 @@ def inventory_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", norm_text(F.substring("text", 1, 80)).alias("prefix"))
-    g = I.repeated_groups(docs, ["prefix"], "doc_id", 2, 4)
-    return g.select("prefix", "n", F.array_join(F.transform("members", lambda m: m.cast("string")), ",").alias("members"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2(norm_text(F.col("text")), 256).alias("normalised_sha256"))
+    g = I.repeated_groups(docs, ["normalised_sha256"], "doc_id", 2, 4)
+    return g.select("normalised_sha256", "n", F.array_join(F.transform("members", lambda m: m.cast("string")), ",").alias("members"))
 
 
 def dedupe_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +49,7 @@ def _checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("event_id", "event_type")
-    severity = F.when(F.col("event_type") == "error", "moderate").when(F.col("event_type") == "purchase", "informational").otherwise("minor")
+    severity = F.when(F.col("event_type") == "error", "major").when(F.col("event_type") == "purchase", "informational").otherwise("minor")
     return e.select(F.col("event_id").cast("string").alias("id"), severity.alias("severity"))
 
 
@@ -76,13 +76,14 @@ def answer_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns scored against a key made of words of the text itself."""
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     words = F.split("text", " ")
-    fact = lambda i, w, r: F.struct(F.concat(F.lit(f"fact {i} "), F.get(words, F.lit(i))).alias("id"), F.get(words, F.lit(i)).alias("text"), F.lit(w).alias("weight"), F.lit(r).alias("required"))
+    word = lambda i: F.coalesce(F.get(words, F.lit(i)), F.get(words, F.lit(0)))
+    fact = lambda i, w, r: F.struct(F.concat(F.lit(f"fact {i} "), word(i)).alias("id"), word(i).alias("text"), F.lit(w).alias("weight"), F.lit(r).alias("required"))
     none = F.array().cast("array<string>")
-    answers = c.where(F.size(words) > 8).select(
+    answers = c.select(
         F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("case_id"),
         F.when(F.col("turn") % 5 == 4, "timeout").otherwise("completed").alias("status"),
         F.lit("parsed").alias("parse_status"),
-        F.substring("text", 1, 30).alias("answer_text"),
+        F.reverse("text").alias("answer_text"),
         F.array(F.concat(F.lit("./src/"), F.get(words, F.lit(0)))).alias("relevant_files"),
         none.alias("relevant_symbols"),
         none.alias("facts_found"),
@@ -125,7 +126,7 @@ def leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def filter_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    t = d.select(F.col("doc_id").alias("task_id"), F.col("source").alias("project_id"), (F.col("n_chars") > 1000).alias("completed"), F.col("lang").alias("priority"), F.substring("text", 1, 60).alias("title"), F.substring("text", 61, 200).alias("notes"), F.array("lang", "source").alias("tags"))
+    t = d.select(F.col("doc_id").alias("task_id"), F.col("source").alias("project_id"), (F.col("n_chars") > 1000).alias("completed"), F.col("lang").alias("priority"), F.col("source").alias("title"), F.col("text").alias("notes"), F.array("lang", "source").alias("tags"))
     return tasks.filter_tasks(t, completed=True, priority="en", tag=" EN ", query="The ").select("task_id", "project_id")
 
 
@@ -170,7 +171,7 @@ QUERIES = {f.__name__: f for f in (dense_severity_counts, inventory_counts, dupl
 _CHECKS = """
 c AS (SELECT 'check-' || (o_orderkey % 50) AS id, CASE o_orderstatus WHEN 'F' THEN 'passed' WHEN 'O' THEN 'skipped' ELSE 'failed' END AS status,
   CASE WHEN o_orderpriority = '5-LOW' THEN 'informational' ELSE 'major' END AS severity, CASE WHEN o_orderkey % 17 = 0 THEN 'tool-framework-blocker' WHEN o_orderkey % 19 = 0 THEN 'other' END AS impact, o_orderkey % 50 < 10 AS must FROM orders),
-f AS (SELECT CASE event_type WHEN 'error' THEN 'moderate' WHEN 'purchase' THEN 'informational' ELSE 'minor' END AS severity FROM events)"""
+f AS (SELECT CASE event_type WHEN 'error' THEN 'major' WHEN 'purchase' THEN 'informational' ELSE 'minor' END AS severity FROM events)"""
 _ISSUES = """
 i0 AS (SELECT event_id AS ord, 'i' || (event_id % 700) AS id, 'd' || (user_id % 4) AS detector_id, CASE WHEN event_id % 101 = 0 THEN 'blocker' WHEN event_type = 'error' THEN 'high' WHEN event_type = 'click' THEN 'info' ELSE 'low' END AS severity, 'fix ' || (user_id % 60) AS recommended_action FROM events),
 i AS (SELECT *, CASE severity WHEN 'info' THEN 0 WHEN 'low' THEN 1 WHEN 'high' THEN 3 ELSE 4 END AS r FROM i0)"""
@@ -178,7 +179,7 @@ i AS (SELECT *, CASE severity WHEN 'info' THEN 0 WHEN 'low' THEN 1 WHEN 'high' T
 ORACLE_SQL = {
     "dense_severity_counts": f"SELECT p AS o_orderpriority, count(o_orderkey) AS n FROM (SELECT unnest({PRIORITIES}) AS p) LEFT JOIN orders ON o_orderpriority = p GROUP BY 1",
     "inventory_counts": "SELECT 'lang' AS dimension, lang AS value, count(*) AS n FROM documents GROUP BY 2 UNION ALL SELECT 'source', source, count(*) FROM documents GROUP BY 2",
-    "duplicate_groups": "SELECT trim(regexp_replace(lower(substr(text, 1, 80)), '[^a-z0-9]+', ' ', 'g')) AS prefix, count(*) AS n, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS members FROM documents GROUP BY 1 HAVING count(*) BETWEEN 2 AND 4",
+    "duplicate_groups": "SELECT sha256(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'))) AS normalised_sha256, count(*) AS n, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS members FROM documents GROUP BY 1 HAVING count(*) BETWEEN 2 AND 4",
     "dedupe_keep_first": "SELECT min(doc_id) AS doc_id, arg_min(source, doc_id) AS source, sha256(text) AS text_sha256 FROM documents GROUP BY text",
     "unreferenced_orders": "SELECT o_orderkey, o_orderstatus FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)",
     "first_match_verdict": f"""WITH {_CHECKS}, a AS (SELECT count(*) FILTER (must AND status = 'failed') AS failed_mandatory, count(*) FILTER (must AND status = 'skipped') AS skipped_mandatory, count(*) FILTER (NOT must AND status = 'skipped') AS skipped_optional FROM c),
@@ -198,7 +199,7 @@ SELECT recommended_action, count(*) AS issues, string_agg(DISTINCT detector_id,
     "exit_decision": f"WITH {_ISSUES} SELECT count(*) AS issues, count(*) FILTER (r >= 3) AS breaching, arg_max(severity, r) AS highest_severity, CAST(count(*) FILTER (r >= 3) > 0 AS INTEGER) AS exit_code, CASE WHEN count(*) FILTER (r >= 3) > 0 THEN 'fail-on threshold breached' WHEN count(*) = 0 THEN 'no issues' ELSE 'issues found below fail-on threshold' END AS verdict FROM i",
     "leaderboard": """WITH m AS (SELECT c_nationkey AS project_id, floor(count(*) FILTER (c_acctbal > 0) * 100.0::DOUBLE / count(*) * 100 + 0.5) / 100 AS completion_rate, count(*) FILTER (c_acctbal < -500) AS stale_tasks FROM customer GROUP BY 1)
 SELECT *, CAST(row_number() OVER (ORDER BY completion_rate DESC, stale_tasks, project_id) AS INTEGER) AS "rank" FROM m""",
-    "filter_tasks": "SELECT doc_id AS task_id, source AS project_id FROM documents WHERE n_chars > 1000 AND lang = 'en' AND contains(lower(substr(text, 1, 60) || ' ' || substr(text, 61, 200) || ' ' || lang || ' ' || source), 'the')",
+    "filter_tasks": "SELECT doc_id AS task_id, source AS project_id FROM documents WHERE n_chars > 1000 AND lang = 'en' AND contains(lower(source || ' ' || text || ' ' || lang || ' ' || source), 'the')",
     "task_summary": """SELECT coalesce(p.id, t.id) AS project_id, coalesce(total, 0) AS total, CAST(coalesce(completed, 0) AS BIGINT) AS completed, coalesce(total, 0) - CAST(coalesce(completed, 0) AS BIGINT) AS open
 FROM (SELECT n_nationkey AS id FROM nation WHERE n_nationkey < 20) p FULL JOIN (SELECT c_nationkey AS id, count(*) AS total, count(*) FILTER (c_acctbal > 0) AS completed FROM customer GROUP BY 1) t ON p.id = t.id""",
     "redaction": """WITH d AS (SELECT doc_id, regexp_extract(text, 'token = "([0-9a-f]{40})"', 1) AS s FROM documents)
@@ -217,8 +218,8 @@ c AS (SELECT *, CASE WHEN d = 'tests' OR (e = '.py' AND t) THEN 'tests' WHEN d =
   CASE e WHEN '.ts' THEN 'typescript' WHEN '.py' THEN 'python' WHEN '.md' THEN 'markdown' WHEN '.kt' THEN 'kotlin' WHEN '.json' THEN 'json' ELSE 'unknown' END AS language FROM p)
 SELECT category, language, CASE WHEN d = 'reports' THEN 'report-output' WHEN d = 'vendor/x' THEN 'vendor' WHEN e = '.map' OR d = 'src/generated' THEN 'generated' WHEN category = 'tests' THEN 'test' WHEN category = 'docs' THEN 'docs'
   WHEN category IN ('source', 'scripts') THEN 'source' ELSE 'unknown' END AS role, count(*) AS n FROM c GROUP BY 1, 2, 3""",
-    "answer_scores": """WITH c AS (SELECT conv_id || '-' || turn AS case_id, turn, text, string_split(text, ' ') AS w FROM conversations),
-n AS (SELECT *, trim(regexp_replace(lower(substr(text, 1, 30)), '[^a-z0-9]+', ' ', 'g')) AS a, list_transform(w, lambda x: trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g'))) AS t FROM c WHERE len(w) > 8),
+    "answer_scores": """WITH c AS (SELECT conv_id || '-' || turn AS case_id, turn, text, string_split(text, ' ') AS w0, list_transform(range(9), lambda i: coalesce(w0[i + 1], w0[1])) AS w FROM conversations),
+n AS (SELECT *, trim(regexp_replace(lower(reverse(text)), '[^a-z0-9]+', ' ', 'g')) AS a, list_transform(w, lambda x: trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g'))) AS t FROM c),
 m AS (SELECT *, contains(a, t[2]) OR contains(a, trim('fact 1 ' || t[2])) AS f1, contains(a, t[9]) OR contains(a, trim('fact 8 ' || t[9])) AS f2,
   1 + CASE WHEN contains(trim('src ' || t[1]), 'src zzz ts') OR contains('src zzz ts', trim('src ' || t[1])) THEN 1 ELSE 0 END AS files FROM n),
 s AS (SELECT *, 0.5 * files AS fs, CASE WHEN f1 THEN 0.75 ELSE 0 END + CASE WHEN f2 THEN 0.25 ELSE 0 END AS xs FROM m),

@@ -119,8 +119,9 @@ def _savings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "conversations").select("role", F.length("text").alias("n_chars"))
-    return X.context_size(d, ["role"])
+    sized = lambda name, label: table(spark, sf_dir, name).select(label.alias("origin"), F.length("text").alias("n_chars"))
+    d = sized("conversations", F.concat(F.lit("role "), F.col("role"))).unionByName(sized("documents", F.concat(F.lit("source "), F.col("source"))))
+    return X.context_size(d, ["origin"])
 
 
 def _expected(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,7 +138,7 @@ def _expected(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _observed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", "source").where("doc_id % 3 <> 0")
+    d = table(spark, sf_dir, "documents").select("doc_id", "source")
     return d.select(
         F.col("doc_id").alias("ord"),
         F.lit("context-capsule").alias("source_artifact"),
@@ -151,7 +152,7 @@ def _observed(spark: SparkSession, sf_dir: str) -> DataFrame:
 _EXPECT = """
 x AS (SELECT doc_id AS ord, 'e' || doc_id AS expectation_id, CASE WHEN toxic = 1 THEN 'forbidden' WHEN quality = 1 THEN 'required' ELSE 'allowed' END AS inclusion,
   CASE WHEN doc_id % 5 = 0 THEN 'provenance' ELSE 'file' END AS category, doc_id::VARCHAR AS target_key FROM labels),
-o AS (SELECT doc_id, source, CASE WHEN doc_id % 5 = 0 THEN 'provenance' ELSE 'file' END AS category, doc_id::VARCHAR AS target_key FROM documents WHERE doc_id % 3 <> 0),
+o AS (SELECT doc_id, source, CASE WHEN doc_id % 5 = 0 THEN 'provenance' ELSE 'file' END AS category, doc_id::VARCHAR AS target_key FROM documents),
 m AS (SELECT x.*, o.doc_id, o.source, CASE WHEN inclusion = 'forbidden' THEN CASE WHEN o.doc_id IS NULL THEN 'matched' ELSE 'violated' END
   ELSE CASE WHEN o.doc_id IS NULL THEN 'missing' ELSE 'matched' END END AS outcome FROM x LEFT JOIN o USING (category, target_key))"""
 
@@ -243,7 +244,7 @@ SELECT count(*) AS case_count, count(*) FILTER (NOT sk) AS completed_count, coun
   avg(r - g) FILTER (NOT sk) AS average_tokens_saved, avg(CASE WHEN r = 0 THEN 0 ELSE (r - g) / r * 100 END) FILTER (NOT sk) AS average_percent_saved,
   CAST(sum(r) FILTER (NOT sk) AS BIGINT) AS total_raw_tokens, CAST(sum(g) FILTER (NOT sk) AS BIGINT) AS total_guided_tokens, CAST(sum(r - g) FILTER (NOT sk) AS BIGINT) AS total_tokens_saved,
   CAST(sum(cr) AS BIGINT) AS total_commands, CAST(sum(mr + mg) AS BIGINT) AS total_duration_ms FROM c""",
-    "token_estimate": "SELECT role, count(*) AS sources, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(sum(ceil(length(text) / 4)) AS BIGINT) AS estimated_tokens FROM conversations GROUP BY 1",
+    "token_estimate": "SELECT origin, count(*) AS sources, CAST(coalesce(sum(length(text)), 0) AS BIGINT) AS chars, CAST(coalesce(sum(ceil(length(text) / 4)), 0) AS BIGINT) AS estimated_tokens FROM (SELECT 'role ' || role AS origin, text FROM conversations UNION ALL SELECT 'source ' || source, text FROM documents) GROUP BY 1",
     "expectation_match": f"WITH {_EXPECT} SELECT expectation_id, inclusion, category, target_key, outcome, coalesce(source, '') AS instances, CASE WHEN doc_id IS NULL THEN '' ELSE 'documents[' || doc_id || ']' END AS field_paths FROM m",
     "expectation_metrics": f"""WITH {_EXPECT}, c AS (SELECT 'required_recall' AS metric, count(*) FILTER (inclusion = 'required' AND outcome = 'matched') AS n, count(*) FILTER (inclusion = 'required') AS d FROM m
 UNION ALL SELECT 'allowed_coverage', count(*) FILTER (inclusion = 'allowed' AND outcome = 'matched'), count(*) FILTER (inclusion = 'allowed') FROM m

@@ -29,9 +29,7 @@ def duplicate_basenames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def duplicate_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = facts.source_facts(_files(spark, sf_dir).where("size_bytes < 80"))
-    typed = found.select("path", F.lit("ts").alias("analyzer_id"), F.transform("declarations", lambda d: F.struct(F.concat(d["name"], F.substring(F.col("path"), 5, 1)).alias("name"), F.lit("function").alias("kind"), d["exported"].alias("exported"), d["line"].alias("line"))).alias("declarations"))
-    return rot.duplicate_exports(typed).select("id", "message")
+    return rot.duplicate_exports(facts.source_facts(_files(spark, sf_dir))).select("id", "message")
 
 
 def stale_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,10 +42,10 @@ def stale_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def npm_audit_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An audit document per nation with one advisory and one transitive entry."""
+    """An audit document per nation with a transitive entry and, for most, one advisory."""
     n = F.col("n_nationkey")
     severity = F.get(F.array(*[F.lit(x) for x in ("critical", "high", "moderate", "low", "info")]), (n % 5).cast("int"))
-    raw = F.concat(F.lit('{"vulnerabilities": {"p'), n.cast("string"), F.lit('": {"name": "p", "severity": "'), severity, F.lit('", "via": ["q", {"title": "T'), n.cast("string"), F.lit('", "url": "u", "severity": "low"}]}}}'))
+    raw = F.concat(F.lit('{"vulnerabilities": {"p'), n.cast("string"), F.lit('": {"name": "p", "severity": "'), severity, F.lit('", "via": ["q"'), F.when(n % 4 > 0, F.concat(F.lit(', {"title": "T'), n.cast("string"), F.lit('", "url": "u", "severity": "low"}'))).otherwise(""), F.lit("]}}}"))
     rows = table(spark, sf_dir, "nation").select(F.col("n_name").alias("source"), F.when(n % 6 == 5, "{bad").otherwise(raw).alias("raw"))
     return scanners.npm_audit(rows)
 
@@ -64,13 +62,14 @@ def exported_components(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 5 == 0, "provider").otherwise("activity").alias("kind"),
         F.col("s_name").alias("name"),
         F.when(k % 3 == 0, True).when(k % 3 == 1, False).alias("exported"),
+        F.when((k % 3 == 2) & (k % 13 == 0), "@bool/x").alias("exportedRaw"),
         F.when(k % 7 == 0, "p").alias("permission"),
         F.when(k % 10 == 0, "r").alias("readPermission"),
         F.lit(None).cast("string").alias("writePermission"),
         (k % 2).cast("int").alias("intentFilterCount"),
         (k % 11 == 0).alias("isLauncher"),
     )
-    m = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("string").alias("manifest_path"), F.lit(None).cast("string").alias("application_permission"), F.array(cell).alias("components"))
+    m = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("string").alias("manifest_path"), F.when(k % 23 == 0, "q").alias("application_permission"), F.array(cell).alias("components"))
     return android.exported_findings(m)
 
 
@@ -101,18 +100,19 @@ p AS (SELECT ['src/a', 'src/b', 'scripts/c', 'benchmarks/d'][p_partkey % 4 + 1]
 ORACLE_SQL = {
     "unreferenced_files": f"WITH {_FILES} SELECT DISTINCT 'dead-code-candidate:unreferenced-source-file:' || d || '/' || b || '.' || e AS id, d || '/' || b || '.' || e AS file, 'low' AS severity FROM p WHERE d <> 'benchmarks/d' AND b NOT IN (SELECT i FROM p) AND d || '/' || b || '.' || e <> 'src/a/f64.ts'",
     "duplicate_basenames": f"WITH {_FILES} SELECT 'duplicate-implementation-candidate:basename-repeat:' || b AS id, string_agg(DISTINCT d, ', ' ORDER BY d) AS message FROM p WHERE d <> 'benchmarks/d' GROUP BY b HAVING count(DISTINCT d) BETWEEN 2 AND 3",
-    "duplicate_exports": f"WITH {_FILES} SELECT 'duplicate-implementation-candidate:export-repeat:ts:function:' || lower(g || substr(d || '/', 5, 1)) AS id, 'declared in ' || count(DISTINCT d || b || e) || ' files' AS message FROM p WHERE n < 80 GROUP BY lower(g || substr(d || '/', 5, 1)) HAVING count(DISTINCT d || b || e) BETWEEN 2 AND 4",
+    "duplicate_exports": f"WITH {_FILES} SELECT 'duplicate-implementation-candidate:export-repeat:typescript-javascript:function:' || g AS id, 'declared in ' || count(DISTINCT d || b || e) || ' files' AS message FROM p GROUP BY g HAVING count(DISTINCT d || b || e) BETWEEN 2 AND 4",
     "stale_commands": """WITH r AS (SELECT 'd' || c_custkey || '.md' AS file, 's' || (c_custkey % 9) AS c, 2 AS line, false AS planned FROM customer
 UNION ALL SELECT 'd' || c_custkey || '.md', 's' || (c_custkey % 7 + 5), 24, c_custkey % 2 = 0 FROM customer)
 SELECT 'stale-command-reference:missing-script:' || file || ':' || c AS id, file, CAST(min(line) AS INTEGER) AS line FROM r WHERE NOT planned AND c NOT IN (SELECT 's' || r_regionkey FROM region) GROUP BY file, c""",
     "npm_audit_findings": """WITH n AS (SELECT * FROM nation WHERE n_nationkey % 6 <> 5)
-SELECT n_name AS source, 'p' || n_nationkey AS package, ['blocker', 'major', 'moderate', 'minor', 'informational'][n_nationkey % 5 + 1] AS severity, NULL::VARCHAR AS title, NULL::VARCHAR AS url FROM n
-UNION ALL SELECT n_name, 'p' || n_nationkey, 'minor', 'T' || n_nationkey, 'u' FROM n""",
+SELECT n_name AS source, 'p' || n_nationkey AS package, ['blocker', 'blocker', 'major', 'minor', 'informational'][n_nationkey % 5 + 1] AS severity, CASE WHEN n_nationkey % 4 > 0 THEN 'T' || n_nationkey END AS title, CASE WHEN n_nationkey % 4 > 0 THEN 'u' END AS url FROM n""",
     "malformed_outputs": "SELECT event_id::VARCHAR AS source, CASE event_id % 10 WHEN 0 THEN 'malformed' WHEN 1 THEN 'not-an-object' ELSE 'empty' END AS code FROM events WHERE event_id % 10 < 3",
     "exported_components": """WITH k AS (SELECT *, s_suppkey AS k FROM supplier),
 r AS (SELECT s_nationkey::VARCHAR AS manifest_path, CASE WHEN k % 5 = 0 THEN 'provider' ELSE 'activity' END AS kind, s_name AS name,
-  CASE WHEN k % 11 = 0 OR k % 7 = 0 THEN NULL WHEN k % 3 = 0 AND k % 10 = 0 THEN 'provider-half-protected' WHEN k % 3 = 0 AND k % 5 = 0 THEN 'exported-provider' WHEN k % 3 = 0 THEN 'exported-component' WHEN k % 3 = 2 AND k % 2 = 1 THEN 'export-not-declared' END AS rule FROM k)
-SELECT *, CASE rule WHEN 'exported-provider' THEN 'blocker' WHEN 'export-not-declared' THEN 'moderate' ELSE 'major' END AS severity FROM r WHERE rule IS NOT NULL""",
+  CASE k % 3 WHEN 2 THEN CASE WHEN k % 13 = 0 THEN 'component-malformed-exported' WHEN k % 2 = 1 THEN 'component-unspecified-exported-with-filter' END
+  WHEN 0 THEN CASE WHEN k % 5 = 0 THEN CASE WHEN k % 7 = 0 THEN 'provider-exported-protected' WHEN k % 10 = 0 THEN 'provider-exported-partial-protection' ELSE 'provider-exported-unprotected' END
+    WHEN k % 7 = 0 OR k % 23 = 0 THEN 'component-exported-protected' WHEN k % 11 = 0 THEN 'component-launcher-activity-exported' ELSE 'component-exported-unprotected' END END AS rule FROM k)
+SELECT manifest_path, kind, name, 'android-' || rule AS rule, CASE WHEN rule = 'provider-exported-unprotected' THEN 'major' WHEN rule IN ('provider-exported-protected', 'component-exported-protected', 'component-launcher-activity-exported') THEN 'informational' ELSE 'minor' END AS severity FROM r WHERE rule IS NOT NULL""",
     "candidate_summary": """SELECT 'confidence' AS dimension, CASE WHEN value > 80 THEN 'high' ELSE 'low' END AS value, count(*) AS n FROM events GROUP BY 2
 UNION ALL SELECT 'resolution_state', CASE WHEN event_id % 4 = 0 THEN 'unresolved' ELSE 'resolved' END, count(*) FROM events GROUP BY 2 UNION ALL SELECT 'category', event_type, count(*) FROM events GROUP BY 2""",
     "token_usage": """SELECT event_id AS run_id, CASE WHEN event_id % 3 = 0 THEN greatest(event_id, 5) END AS input_tokens, CASE WHEN event_id % 3 = 0 THEN 7::BIGINT END AS output_tokens, NULL::BIGINT AS reasoning_tokens,

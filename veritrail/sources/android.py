@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_FILTER = "`intent-filter` ARRAY<STRUCT<action: ARRAY<STRUCT<`_android:name`: STRING>>, category: ARRAY<STRUCT<`_android:name`: STRING>>, data: ARRAY<STRUCT<`_android:scheme`: STRING, `_android:host`: STRING>>, `_android:autoVerify`: BOOLEAN>>"
+_FILTER = "`intent-filter` ARRAY<STRUCT<action: ARRAY<STRUCT<`_android:name`: STRING>>, category: ARRAY<STRUCT<`_android:name`: STRING>>, data: ARRAY<STRUCT<`_android:scheme`: STRING, `_android:host`: STRING, `_android:path`: STRING, `_android:pathPrefix`: STRING, `_android:pathPattern`: STRING>>, `_android:autoVerify`: BOOLEAN>>"
 _COMPONENT = f"ARRAY<STRUCT<`_android:name`: STRING, `_android:exported`: STRING, `_android:permission`: STRING, `_android:readPermission`: STRING, `_android:writePermission`: STRING, {_FILTER}>>"
 _KINDS = {"activity": "activity", "activity-alias": "activity-alias", "service": "service", "receiver": "receiver", "provider": "provider"}
 _APPLICATION = "STRUCT<`_android:permission`: STRING, `_android:allowBackup`: STRING, `_android:fullBackupContent`: STRING, `_android:dataExtractionRules`: STRING, " + ", ".join(f"`{tag}`: {_COMPONENT}" for tag in _KINDS) + ">"
 MANIFEST = f"_package STRING, `uses-permission` ARRAY<STRUCT<`_android:name`: STRING>>, application {_APPLICATION}"
 
 
+_DATA = ["scheme", "host", "path", "pathPrefix", "pathPattern"]
+_DATA_TYPE = f"array<struct<{','.join(n + ':string' for n in _DATA)}>>"
+_FILTER_TYPE = f"array<struct<actions:array<string>,categories:array<string>,data:{_DATA_TYPE}>>"
+
+
 def _tri(text: Column) -> Column:
     """true and false; anything else, such as a resource reference, is unknown."""
     return F.when(F.lower(text) == "true", True).when(F.lower(text) == "false", False)
@@ -25,19 +30,26 @@ def manifests(raw: DataFrame) -> DataFrame:
     def components(tag: str, kind: str) -> Column:
         def one(c: Column) -> Column:
             filters = c["intent-filter"]
-            launcher = F.exists(filters, lambda f: F.exists(f["category"], lambda k: k["_android:name"] == "android.intent.category.LAUNCHER"))
+            named = lambda items, name: F.exists(items, lambda k: k["_android:name"] == name)
+            launcher = F.exists(filters, lambda f: named(f["category"], "android.intent.category.LAUNCHER") & named(f["action"], "android.intent.action.MAIN"))
+            names = lambda items: F.coalesce(F.transform(items, lambda k: k["_android:name"]), F.array().cast("array<string>"))
+            data = lambda f: F.coalesce(F.transform(f["data"], lambda d: F.struct(*[d[f"_android:{n}"].alias(n) for n in _DATA])), F.array().cast(_DATA_TYPE))
+            each = F.transform(filters, lambda f: F.struct(names(f["action"]).alias("actions"), names(f["category"]).alias("categories"), data(f).alias("data")))
+            exported = _tri(c["_android:exported"])
             return F.struct(
                 F.lit(kind).alias("kind"),
                 c["_android:name"].alias("name"),
-                _tri(c["_android:exported"]).alias("exported"),
+                exported.alias("exported"),
+                F.when(exported.isNull(), c["_android:exported"]).alias("exportedRaw"),
                 c["_android:permission"].alias("permission"),
                 c["_android:readPermission"].alias("readPermission"),
                 c["_android:writePermission"].alias("writePermission"),
                 F.coalesce(F.size(filters), F.lit(0)).alias("intentFilterCount"),
                 F.coalesce(launcher, F.lit(False)).alias("isLauncher"),
+                F.coalesce(each, F.array().cast(_FILTER_TYPE)).alias("filters"),
             )
 
-        return F.coalesce(F.transform(app[tag], one), F.array().cast("array<struct<kind:string,name:string,exported:boolean,permission:string,readPermission:string,writePermission:string,intentFilterCount:int,isLauncher:boolean>>"))
+        return F.coalesce(F.transform(app[tag], one), F.array().cast(f"array<struct<kind:string,name:string,exported:boolean,exportedRaw:string,permission:string,readPermission:string,writePermission:string,intentFilterCount:int,isLauncher:boolean,filters:{_FILTER_TYPE}>>"))
 
     permissions = F.transform(F.col("m")["uses-permission"], lambda p: F.struct(p["_android:name"].alias("name")))
     return m.select(
@@ -51,6 +63,12 @@ def manifests(raw: DataFrame) -> DataFrame:
     )
 
 
+def intent_filters(manifests: DataFrame) -> DataFrame:
+    """One row per filter of ``manifests``: manifest_path, kind, component, exported, exported_raw, permission, actions, categories, data."""
+    rows = manifests.select("manifest_path", F.explode("components").alias("c")).select("manifest_path", "c", F.explode("c.filters").alias("f"))
+    return rows.select("manifest_path", F.col("c.kind").alias("kind"), F.col("c.name").alias("component"), F.col("c.exported").alias("exported"), F.col("c.exportedRaw").alias("exported_raw"), F.col("c.permission").alias("permission"), "f.*")
+
+
 def wrapper_properties(raw: DataFrame) -> DataFrame:
     """Gradle version and checksum of a wrapper file (path, raw)."""
     version = F.nullif(F.regexp_extract("raw", r"distributionUrl\s*=.*gradle-([\d.]+(?:-\w+)*?)-(?:bin|all)\.zip", 1), F.lit(""))

@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 from veritrail.operators.audit import NPM_SEVERITY, lookup
 
 MOST_RESULTS = 5_000
+# What each tool's levels mean here; a level that is not named has no severity unless a default is given.
+SEMGREP_SEVERITY = {"ERROR": "major", "WARNING": "minor"}
+ADVISORY_SEVERITY = {"CRITICAL": "major", "HIGH": "major", "MODERATE": "minor", "MEDIUM": "minor", "LOW": "informational"}
+LINT_SEVERITY = {"fatal": "major", "error": "major", "warning": "minor", "information": "informational", "informational": "informational"}
+NPM_LEVELS = ["critical", "high", "moderate", "low", "info"]
 MOST_DEPTH = 20
 
 
@@ -23,14 +28,25 @@ def malformed(raw: DataFrame) -> DataFrame:
 
 
 def npm_audit(raw: DataFrame) -> DataFrame:
-    """One row per package and advisory: source, package, severity, title, url."""
+    """One row per package and advisory, or per package without one: source, package, severity, title, url.
+
+    The severity is the package's own, ``moderate`` where it names none; names of
+    other packages that a package is vulnerable through are no advisories.
+    """
     schema = "vulnerabilities MAP<STRING, STRUCT<name: STRING, severity: STRING, range: STRING, via: STRING>>"
     found = raw.select("source", F.explode(F.from_json("raw", schema)["vulnerabilities"]).alias("package", "v"))
     via = F.from_json(F.col("v.via"), "ARRAY<STRING>")
-    rows = found.select("source", "package", F.col("v.severity").alias("own"), F.explode_outer(via).alias("via"))
-    advisory = F.from_json("via", "title STRING, url STRING, severity STRING")
-    severity = F.coalesce(advisory["severity"], F.col("own"))
-    return rows.select("source", "package", lookup(NPM_SEVERITY, severity, "informational").alias("severity"), advisory["title"].alias("title"), advisory["url"].alias("url"))
+    advisories = F.filter(F.transform(via, lambda v: F.from_json(v, "title STRING, url STRING")), lambda a: a["title"].isNotNull())
+    rows = found.select("source", "package", F.coalesce("v.severity", F.lit("moderate")).alias("own"), F.explode_outer(advisories).alias("a"))
+    return rows.select("source", "package", lookup(NPM_SEVERITY, F.lower("own"), "informational").alias("severity"), F.col("a.title").alias("title"), F.col("a.url").alias("url"))
+
+
+def npm_audit_counts(raw: DataFrame) -> DataFrame:
+    """What the output itself counts: source, level, n, 0 for a level it does not name, and the total."""
+    found = raw.select("source", F.try_parse_json("raw").alias("v")).where(F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False)))
+    count = lambda level: F.coalesce(F.try_variant_get("v", f"$.metadata.vulnerabilities.{level}", "bigint"), F.lit(0).cast("bigint"))
+    cells = F.array(*[F.struct(F.lit(level).alias("level"), count(level).alias("n")) for level in [*NPM_LEVELS, "total"]])
+    return found.select("source", F.inline(cells))
 
 
 def npm_outdated(raw: DataFrame) -> DataFrame:
@@ -64,12 +80,12 @@ def semgrep(raw: DataFrame, most: int = MOST_RESULTS) -> DataFrame:
     schema = "results ARRAY<STRUCT<check_id: STRING, path: STRING, start: STRUCT<line: INT>, extra: STRUCT<severity: STRING, message: STRING>>>"
     parsed = raw.select("source", F.from_json("raw", schema)["results"].alias("r"))
     rows = parsed.select("source", (F.size("r") > most).alias("truncated"), F.posexplode(F.slice("r", 1, most)).alias("pos", "x"))
-    severity = lookup({"ERROR": "major", "WARNING": "moderate", "INFO": "minor"}, F.col("x.extra.severity"), "informational")
+    severity = lookup(SEMGREP_SEVERITY, F.upper("x.extra.severity"), "informational")
     return rows.select("source", "pos", F.col("x.check_id").alias("rule"), F.col("x.path").alias("path"), F.col("x.start.line").alias("line"), severity.alias("severity"), "truncated")
 
 
 def cvss_severity(score: Column) -> Column:
-    return F.when(score >= 7, "major").when(score >= 4, "minor").when(score.isNotNull(), "informational")
+    return F.when(score.isNull() | F.isnan(score), F.lit(None)).when(score >= 7, "major").when(score >= 4, "minor").otherwise("informational")
 
 
 def osv(raw: DataFrame) -> DataFrame:
@@ -78,26 +94,31 @@ def osv(raw: DataFrame) -> DataFrame:
     results = raw.select("source", F.explode(F.from_json("raw", schema)["results"]).alias("r"))
     packages = results.select("source", F.col("r.source.path").alias("path"), F.explode("r.packages").alias("p"))
     rows = packages.select("source", "path", F.col("p.package.name").alias("package"), F.explode("p.vulnerabilities").alias("v"))
-    named = lookup({"CRITICAL": "blocker", "HIGH": "major", "MODERATE": "moderate", "MEDIUM": "moderate", "LOW": "minor"}, F.upper("v.database_specific.severity"))
-    scored = cvss_severity(F.get("v.severity", F.lit(0))["score"].try_cast("double"))
+    named = lookup(ADVISORY_SEVERITY, F.upper("v.database_specific.severity"))
+    # The first score that begins with a number; a vector does not.
+    numbers = F.filter(F.transform("v.severity", lambda x: F.regexp_extract(x["score"], r"^\s*([+-]?[0-9]*\.?[0-9]+)", 1).try_cast("double")), lambda n: n.isNotNull())
+    scored = cvss_severity(F.get(numbers, F.lit(0)))
     severity = F.coalesce(named, scored)
     kind = F.when(F.col("path").isNotNull() & severity.isNotNull(), "finding").otherwise("candidate")
     return rows.select("source", "path", "package", F.col("v.id").alias("vulnerability"), severity.alias("severity"), kind.alias("kind"))
 
 
 def dependency_check(raw: DataFrame) -> DataFrame:
-    schema = "dependencies ARRAY<STRUCT<fileName: STRING, filePath: STRING, vulnerabilities: ARRAY<STRUCT<name: STRING, severity: STRING, cvssv3: STRUCT<baseScore: DOUBLE>>>>>"
+    """One row per dependency and vulnerability; the severity is that of the CVSS 3 score, else of the CVSS 2 score, else the tool's word. A score of 0 has none."""
+    schema = "dependencies ARRAY<STRUCT<fileName: STRING, filePath: STRING, vulnerabilities: ARRAY<STRUCT<name: STRING, severity: STRING, cvssv3: STRUCT<baseScore: DOUBLE>, cvssv2: STRUCT<score: DOUBLE>>>>>"
     found = raw.select("source", F.explode(F.from_json("raw", schema)["dependencies"]).alias("d"))
     rows = found.select("source", F.col("d.filePath").alias("path"), F.col("d.fileName").alias("package"), F.explode("d.vulnerabilities").alias("v"))
-    named = lookup({"CRITICAL": "blocker", "HIGH": "major", "MEDIUM": "moderate", "LOW": "minor"}, F.upper("v.severity"))
-    return rows.select("source", "path", "package", F.col("v.name").alias("vulnerability"), F.coalesce(named, cvss_severity(F.col("v.cvssv3.baseScore"))).alias("severity"))
+    score = F.coalesce("v.cvssv3.baseScore", "v.cvssv2.score")
+    named = lookup({k: v for k, v in ADVISORY_SEVERITY.items() if k != "MODERATE"}, F.upper("v.severity"))
+    severity = F.when(score.isNull(), named).when(score > 0, cvss_severity(score))
+    return rows.select("source", "path", "package", F.col("v.name").alias("vulnerability"), severity.alias("severity"))
 
 
 def lint_sarif(raw: DataFrame) -> DataFrame:
     schema = "runs ARRAY<STRUCT<results: ARRAY<STRUCT<ruleId: STRING, level: STRING, message: STRUCT<text: STRING>, locations: ARRAY<STRUCT<physicalLocation: STRUCT<artifactLocation: STRUCT<uri: STRING>, region: STRUCT<startLine: INT>>>>>>>>"
     results = raw.select("source", F.explode(F.from_json("raw", schema)["runs"]).alias("r")).select("source", F.explode("r.results").alias("x"))
     place = F.get("x.locations", F.lit(0))["physicalLocation"]
-    severity = lookup({"error": "major", "warning": "moderate", "note": "minor"}, F.col("x.level"), "informational")
+    severity = lookup(LINT_SEVERITY, F.lower("x.level"))
     return results.select("source", F.col("x.ruleId").alias("rule"), severity.alias("severity"), F.col("x.message.text").alias("message"), place["artifactLocation"]["uri"].alias("path"), place["region"]["startLine"].alias("line"))
 
 
@@ -105,5 +126,5 @@ def lint_xml(raw: DataFrame) -> DataFrame:
     schema = "issue ARRAY<STRUCT<_id: STRING, _severity: STRING, _message: STRING, location: ARRAY<STRUCT<_file: STRING, _line: INT>>>>"
     rows = raw.select("source", F.explode(F.from_xml("raw", schema)["issue"]).alias("x"))
     place = F.get("x.location", F.lit(0))
-    severity = lookup({"Fatal": "blocker", "Error": "major", "Warning": "moderate", "Information": "minor"}, F.col("x._severity"), "informational")
+    severity = lookup(LINT_SEVERITY, F.lower("x._severity"))
     return rows.select("source", F.col("x._id").alias("rule"), severity.alias("severity"), F.col("x._message").alias("message"), place["_file"].alias("path"), place["_line"].alias("line"))
