@@ -534,6 +534,12 @@ def test_components_of_a_long_chain(spark):
     assert got == {i: 0 for i in range(1, 201)} | {501: 500}
 
 
+def test_components_of_a_hub_are_dealt(spark):
+    star = spark.createDataFrame([(9, i) for i in range(10, 90)] + [(90, 9), (3, 90)], "a long, b long")
+    got = {r.node: r.root for r in components.roots(star, broadcast_keys=0, hot_rows=7).collect()}
+    assert got == {i: 3 for i in range(9, 91)}
+
+
 # 10 ------------------------------------------------------------------- licence scan
 
 

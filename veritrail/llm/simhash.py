@@ -41,9 +41,6 @@ SHINGLE = 4
 SEED = 42
 BLOCK = 8192
 SMALL = 32
-BROADCAST_CLASSES = 500_000
-#: A fingerprint of more rows is dealt over several tasks in the last join; at most HOT_PRINTS of them are told apart.
-HOT_ROWS, HOT_PRINTS = 100_000, 10_000
 #: Bits are counted for so many shingles at once, so a long text takes bounded memory.
 CHUNK = 1 << 15
 
@@ -209,30 +206,18 @@ def links(prints: DataFrame, block: int = BLOCK) -> DataFrame:
     return grouped.mapInArrow(run, "a long, b long").distinct()
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_classes: int = BROADCAST_CLASSES, hot_rows: int = HOT_ROWS) -> DataFrame:
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_classes: int = components.BROADCAST_KEYS, hot_rows: int = components.HOT_ROWS) -> DataFrame:
     """Returns id_col, text_hash, fp, root (the component's smallest fingerprint, as a signed long) and component_id (the smallest id reachable over links) for each row."""
     rows = cut(fingerprints(docs, id_col, text_col))
     prints = rows.groupBy("fp").agg(F.min(id_col).alias("_least"), F.count(F.lit(1)).alias("_n"))
-    joined = components.roots(links(prints.select("fp")))
+    joined = components.roots(links(prints.select("fp")), broadcast_classes, hot_rows)
     member = joined.select(F.col("node").alias("fp"), "root").union(joined.select(F.col("root").alias("fp"), "root").distinct())
-    known = member.join(prints, "fp")
-    least = known.groupBy("root").agg(F.min("_least").alias("_component"))
-    linked = known.select("fp", "root").join(least, "root")
+    known = cut(member.join(prints, "fp").select("fp", "root", "_least"))
+    least = cut(known.groupBy("root").agg(F.min("_least").alias("_component"), F.count(F.lit(1)).alias("_n")))
+    linked = components.spread_join(known.select("fp", "root"), least, "root", broadcast_classes, hot_rows).drop("_n")
     alone = F.col("root").isNull()
     named = prints.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(alone, F.col("_least")).otherwise(F.col("_component")).alias("component_id"), "_n")
-    return _with_class(rows, cut(named), broadcast_classes, hot_rows).select(id_col, "text_hash", "fp", "root", "component_id")
-
-
-def _with_class(rows: DataFrame, named: DataFrame, broadcast_classes: int, hot_rows: int) -> DataFrame:
-    """Joins each row with its fingerprint's class; rows of a hot fingerprint are dealt over several copies of it."""
-    if named.limit(broadcast_classes + 1).count() <= broadcast_classes:
-        return rows.join(F.broadcast(named), "fp")
-    # Fewer than HOT_PRINTS fingerprints can hold as many rows each, so their list is bounded.
-    hot_rows = max(hot_rows, named.agg(F.sum("_n")).first()[0] // HOT_PRINTS + 1)
-    salts = F.ceil(F.col("_n") / hot_rows).cast("int")
-    hot = F.broadcast(named.where(F.col("_n") > hot_rows).select("fp", salts.alias("_salts")))
-    dealt = rows.join(hot, "fp", "left").withColumn("_salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.coalesce("_salts", F.lit(1))).cast("int"))
-    return dealt.join(named.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))), ["fp", "_salt"])
+    return components.spread_join(rows, cut(named), "fp", broadcast_classes, hot_rows).select(id_col, "text_hash", "fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
