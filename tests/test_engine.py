@@ -261,7 +261,7 @@ def test_rot(spark):
     paths = spark.createDataFrame([("d.md", "see `src/x/util.ts` and `src/no/way.ts` and `src/x/`", 9)], "path string, content string, size_bytes int")
     assert [r.message for r in rot.stale_paths(paths, named).collect()] == ["no such path: src/no/way.ts"]
     tests = spark.createDataFrame([("t.ts", "it.only('x')\nit.skip('y')\nit('z')", 9)], "path string, content string, size_bytes int")
-    assert sorted(r.severity for r in rot.focused_tests(tests).collect()) == ["high", "low"]
+    assert sorted(r.severity for r in rot.focused_tests(tests).collect()) == ["high", "medium"]
     claims = spark.createDataFrame([("a.md", "the scan passed"), ("b.md", "if available the scan passed")], "path string, content string")
     assert [r.file for r in rot.claims_without_hedge(claims, "scan passed", "if available", "x", "y", "low").collect()] == ["a.md"]
 

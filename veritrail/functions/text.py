@@ -45,6 +45,17 @@ def first_segments(path: Column, n: int = 1) -> Column:
     return F.substring_index(path, "/", n)
 
 
+def normal_path(path: Column) -> Column:
+    """Without empty and ``.`` segments, each ``..`` taken back with the segment before it; those that lead above the root stay."""
+    segments = F.filter(F.split(path, "/"), lambda s: ~s.isin("", "."))
+
+    def step(done: Column, s: Column) -> Column:
+        back = (s == "..") & (F.size(done) > 0) & (F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit("")) != "..")
+        return F.when(back, F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(s)))
+
+    return F.array_join(F.aggregate(segments, F.array().cast("array<string>"), step), "/")
+
+
 def excerpt(x: Column, n: int) -> Column:
     """At most n characters, with three dots where cut."""
     return F.when(F.length(x) > n, F.concat(F.left(x, F.lit(n)), F.lit("..."))).otherwise(x)

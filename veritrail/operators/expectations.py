@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veritrail.functions.semantics import ratio_metric
+from veritrail.functions.semantics import ratio_metric, utf16_len
 
 # Categories by what identifies their target.
 PATH_CATEGORIES = ["file", "test-file", "fixture", "factory", "mock", "setup-file", "test-configuration"]
@@ -90,6 +90,18 @@ def context_size(sources: DataFrame, by: list[str]) -> DataFrame:
     return sources.groupBy(*by).agg(F.count(F.lit(1)).alias("sources"), F.coalesce(F.sum("n_chars"), F.lit(0)).alias("chars"), F.coalesce(F.sum(F.ceil(F.col("n_chars") / 4)), F.lit(0)).cast("long").alias("estimated_tokens"))
 
 
+def full_file_parts(files: DataFrame) -> DataFrame:
+    """Adds ``part``, a file below its header line. The baseline text of a case is its parts in path order, with a line break between; it is not built, as a case may hold any number of files. files: case_id, path, content."""
+    return files.withColumn("part", F.concat(F.lit("=== FILE: "), F.col("path"), F.lit(" ===\n"), F.coalesce("content", F.lit("")), F.lit("\n")))
+
+
+def full_file_baseline(files: DataFrame) -> DataFrame:
+    """Per case the files, characters and estimated tokens of its baseline text."""
+    totals = full_file_parts(files).groupBy("case_id").agg(F.count(F.lit(1)).alias("total_files"), F.sum(utf16_len(F.col("part")).cast("long")).alias("n"))
+    chars = F.col("n") + F.col("total_files") - 1
+    return totals.select("case_id", "total_files", chars.alias("total_chars"), F.ceil(chars / 4).cast("long").alias("total_estimated_tokens"))
+
+
 def compare_states(expected: DataFrame, actual: DataFrame) -> DataFrame:
     """One row per expected field: matched, or null where the artifact exposes no such field. Both: instance, field, value (canonical JSON)."""
     seen = actual.select("instance", "field", F.col("value").alias("actual"), F.lit(True).alias("exposed"))

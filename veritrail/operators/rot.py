@@ -128,11 +128,11 @@ def stale_test_commands(tests: DataFrame, scripts: DataFrame) -> DataFrame:
 
 
 def focused_tests(tests: DataFrame) -> DataFrame:
-    """``.only`` (high) and ``.skip`` (low) uses, one issue per line."""
-    rows = lines(tests).where(F.col("text").rlike(r"\b(?:it|test|describe)\.(?:only|skip)\("))
-    only = F.col("text").rlike(r"\.only\(")
+    """``.only`` (high) and ``.skip`` (medium) uses, one issue per line."""
+    rows = lines(tests).where(F.col("text").rlike(r"\b(?:it|test|describe)\.(?:only|skip)\s*\("))
+    only = F.col("text").rlike(r"\b(?:it|test|describe)\.only\s*\(")
     cells = issue("test-rot", "focus", "low", "high", F.concat_ws(":", "path", F.col("line").cast("string")), F.when(only, "a focused test hides others").otherwise("a test is skipped"), F.col("path"), F.col("line"))
-    return rows.select(*cells).withColumn("severity", F.when(F.col("message").startswith("a focused"), "high").otherwise("low"))
+    return rows.select(*cells).withColumn("severity", F.when(F.col("message").startswith("a focused"), "high").otherwise("medium"))
 
 
 def duplicate_basenames(sources: DataFrame) -> DataFrame:

@@ -15,6 +15,10 @@ MOST_SKIPPED = 4
 # Words of identifiers that never name a secret by themselves.
 PUBLIC_WORDS = ["apikey", "projectid", "appid", "packagename", "storagebucket", "databaseurl", "senderid", "clientid", "mobilesdkappid", "applicationid", "namespace"]
 
+# Secret values that are examples, and how a text refers to a value kept elsewhere.
+PLACEHOLDERS = ["changeme", "change_me", "change-me", "password", "secret", "example", "sample", "dummy", "fake", "test", "your-token-here", "your_token_here", "replace-me", "replace_me", "redacted", "masked", "todo", "xxx", "placeholder", "n/a", "none"]
+REFERENCE = r"\$\{[^}]*\}|\$[A-Za-z_][A-Za-z0-9_]*|%[A-Za-z_][A-Za-z0-9_]*%|^@(string|xml|raw|array|integer|bool)/"
+
 
 def matches_pattern(path: Column, pattern: Column) -> Column:
     """Folder prefix (``dir/``), suffix (``*.ext``), simple glob, or a name that is the path or a folder of it; case does not matter."""
@@ -44,6 +48,13 @@ def is_critical(file: Column) -> Column:
     return f.contains(".env") | f.endswith(".pem") | f.endswith(".key") | f.endswith(".p12") | f.startswith("lab-output/")
 
 
+def value_kind(value: Column) -> Column:
+    """What a captured secret value is: ``suppressed`` if empty or an obvious placeholder, ``reference`` if it only names a value, else ``literal``; null for null."""
+    trimmed = F.regexp_replace(value, r"(?U)^\s+|\s+$", "")
+    placeholder = (trimmed == "") | F.lower(trimmed).isin(PLACEHOLDERS) | trimmed.rlike(r"^([^\r\n])\1*\z")
+    return F.when(value.isNull(), F.lit(None)).when(placeholder, "suppressed").when(trimmed.rlike(REFERENCE), "reference").otherwise("literal")
+
+
 def select_scenarios(scenarios: DataFrame, checks: list[str], profile: str) -> DataFrame:
     """Scenarios of a chosen check that name the profile or none."""
     return scenarios.where(F.col("check_id").isin(checks) & ((F.size("profiles") == 0) | F.array_contains("profiles", profile)))
