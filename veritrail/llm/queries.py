@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritrail.llm import bpe_codec, decontaminate, lang_id, license_scan, pii, simhash, span_dedup, token_count, topk, url_filter
+from veritrail.llm import bpe_codec, collocations, decontaminate, lang_id, license_scan, pii, secret_scan, simhash, span_dedup, token_count, topk, url_filter, vector_codes
 
 #: (host, path, verdict) of the URL filter.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -66,6 +66,19 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_table(spark, sf_dir, "documents"), license_scan.default_templates(spark))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return secret_scan.find(docs, secret_scan.train(secret_scan.samples(docs)))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filters": op1_url_filters,
@@ -78,6 +91,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_exact_topk": op8_exact_topk,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
         "op10_license_scan": op10_license_scan,
+        "op11_secret_scan": op11_secret_scan,
+        "op12_vector_codes": op12_vector_codes,
+        "op13_phrase_collocations": op13_phrase_collocations,
     }
 
 
@@ -88,4 +104,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_benchmark_decontamination": decontaminate.duckdb_sql(),
         "op8_exact_topk": topk.duckdb_sql(),
         "op10_license_scan": license_scan.duckdb_sql(),
+        "op12_vector_codes": vector_codes.duckdb_sql(),
+        "op13_phrase_collocations": collocations.duckdb_sql(),
     }
