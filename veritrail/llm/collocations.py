@@ -9,10 +9,11 @@ and pieces into words at spaces and tabs. Everything is counted per language.
    numbers of its word and of up to three that follow, ``ID_BYTES`` bytes each,
    zeros where the piece ends. Tasks sort their keys by radix and send each with
    its count, so a common phrase costs a task one row.
-3. Keys are dealt by range and sorted by radix again. Phrases of two, three and
-   four words are runs of equal prefixes, counted by their lengths. Only the runs
-   at the edges of a partition can go on in another; these alone are summed
-   once more, so a phrase of any frequency is spread over tasks.
+3. Sorted keys are dealt by range, between keys of a sample of texts, and sorted
+   by radix again. A task sends each range's part of its keys as one row. Phrases
+   of two, three and four words are runs of equal prefixes, counted by their
+   lengths. Only the runs at the edges of a range can go on in another; these
+   alone are summed once more, so a phrase of any frequency is spread over tasks.
 4. A candidate loses against a longer one that holds it often enough; the others
    are scored at each cut by two lookups of exact counts, and ranked.
 
@@ -24,13 +25,14 @@ meets its own part of it.
 Cases: null texts count as empty, a null language as ``und``; repeated rows count
 each; pieces without words give nothing; an empty table, or one without frequent
 phrases, gives no row; other columns are left out. Counts and scores are exact:
-products are decimals of 38 digits. Partitions hold ``KEYS`` keys on average.
+products are decimals of 38 digits. Ranges hold ``KEYS`` keys on average; the
+sample, about ``SAMPLED_KEYS`` keys, only says where they begin.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -49,6 +51,8 @@ ID_BYTES = 5
 BROADCAST_WORDS = 500_000
 #: Words and keys that a task holds at once, bytes of a block of texts, and keys of a partition.
 WORDS_HELD, KEYS_HELD, BLOCK_BYTES, KEYS = 500_000, 2_000_000, 4_000_000, 1_000_000
+SAMPLED_KEYS = 300_000
+WIDTH = LONGEST * ID_BYTES
 
 _NORMAL = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", b"\n" * 10 + b" ")
 
@@ -139,7 +143,7 @@ def keys_of(data: bytes, numbers: dict[bytes, int]) -> np.ndarray:
         here = ids[at + place]
         goes_on &= here > 0
         keys[:, place] = np.where(goes_on, here, 0).astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - ID_BYTES :]
-    return keys.reshape(-1, LONGEST * ID_BYTES)
+    return keys.reshape(-1, WIDTH)
 
 
 def _binary(rows: np.ndarray) -> pa.Array:
@@ -148,28 +152,41 @@ def _binary(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows))])
 
 
-def _counted(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+#: What an encoding task sends: a range's number, its distinct keys in order, and their counts.
+PACKED = "part int, keys binary, n binary"
+
+
+def _packed(held: list[np.ndarray], starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Sorts and counts keys, and packs those of each range; ``starts`` are the first keys of all ranges but the first."""
     keys = np.concatenate(held)
     keys = keys[radix_order(keys)]
-    starts = starts_of_runs(keys, keys.shape[1])
-    n = np.diff(np.append(starts, len(keys)))
-    keys = keys[starts]
-    for low in range(0, len(keys), 50_000):
-        part = slice(low, low + 50_000)
-        yield pa.RecordBatch.from_arrays([_binary(keys[part]), pa.array(n[part], pa.int64())], names=["key", "n"])
+    first = starts_of_runs(keys, WIDTH)
+    n = np.diff(np.append(first, len(keys)))
+    keys = keys[first]
+    cuts = [0, *np.searchsorted(_comparable(keys), _comparable(starts)).tolist(), len(keys)]
+    parts = [p for p in range(len(cuts) - 1) if cuts[p] < cuts[p + 1]]
+    for low in range(0, len(parts), 64):
+        some = parts[low : low + 64]
+        columns = [pa.array(some, pa.int32()), *(pa.array([x[cuts[p] : cuts[p + 1]].tobytes() for p in some], pa.binary()) for x in (keys, n.astype("<i8")))]
+        yield pa.RecordBatch.from_arrays(columns, names=["part", "keys", "n"])
+
 
+def _comparable(keys: np.ndarray) -> np.ndarray:
+    """Keys as byte strings, which numpy compares like their rows."""
+    return np.ascontiguousarray(keys).view(f"S{WIDTH}").reshape(-1)
 
-def _encoded(blocks: Iterator[tuple[bytes, dict[bytes, int]]]) -> Iterator[pa.RecordBatch]:
+
+def _encoded(blocks: Iterator[tuple[bytes, dict[bytes, int]]], starts: np.ndarray) -> Iterator[pa.RecordBatch]:
     held: list[np.ndarray] = []
     for data, numbers in blocks:
         keys = keys_of(data, numbers)
         if len(keys):
             held.append(keys)
         if sum(map(len, held)) >= KEYS_HELD:
-            yield from _counted(held)
+            yield from _packed(held, starts)
             held = []
     if held:
-        yield from _counted(held)
+        yield from _packed(held, starts)
 
 
 class Numbers:
@@ -187,16 +204,22 @@ class Numbers:
         return self.tables.get(lang, {})
 
 
-def _keys_by_broadcast(texts: DataFrame, words: DataFrame) -> DataFrame:
-    numbers = texts.sparkSession.sparkContext.broadcast(Numbers(words.select("lang", "word", "id").toArrow()))
+Encode = Callable[[DataFrame, np.ndarray], DataFrame]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _encoded((data, numbers.value.of(lang)) for lang, data in _blocks(batches))
 
-    return texts.mapInArrow(run, "key binary, n long")
+def _by_broadcast(words: DataFrame) -> Encode:
+    numbers = words.sparkSession.sparkContext.broadcast(Numbers(words.select("lang", "word", "id").toArrow()))
+
+    def encode(texts: DataFrame, starts: np.ndarray) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield from _encoded(((data, numbers.value.of(lang)) for lang, data in _blocks(batches)), starts)
 
+        return texts.mapInArrow(run, PACKED)
 
-def _keys_by_blocks(texts: DataFrame, words: DataFrame, broadcast_keys: int) -> DataFrame:
+    return encode
+
+
+def _by_blocks(words: DataFrame, broadcast_keys: int) -> Encode:
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
         for i, (lang, data) in enumerate(_blocks(batches)):
@@ -208,41 +231,55 @@ def _keys_by_blocks(texts: DataFrame, words: DataFrame, broadcast_keys: int) ->
                 found = pa.array(set(data.split()), pa.binary()).cast(pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array([block] * len(found), pa.string()), pa.array([lang] * len(found), pa.string()), found], names=["block", "lang", "word"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def each() -> Iterator[tuple[bytes, dict[bytes, int]]]:
-            for batch in batches:
-                for data, held in zip(batch.column("data"), batch.column("held")):
-                    own = held.values
-                    named = own.field("word").cast(pa.binary()).to_pylist()
-                    yield data.as_py(), {w: int.from_bytes(code) for w, code in zip(named, own.field("id").to_pylist())}
-
-        yield from _encoded(each())
-
-    dealt = written(texts.mapInArrow(blocks, "block string, lang string, data binary"), "blocks")
     # A word has no space, so word and language are told apart.
     key = F.concat_ws(" ", "word", "lang").alias("_w")
-    keyed = words.select(key, "id", F.col("f").alias("_n"))
-    of_block = spread_join(dealt.mapInArrow(distinct, "block string, lang string, word string").select("block", "word", key), keyed, "_w", broadcast_keys)
-    held = of_block.groupBy("block").agg(F.collect_list(F.struct("word", "id")).alias("held"))
-    return dealt.join(held, "block").select("data", "held").mapInArrow(run, "key binary, n long")
 
+    def encode(texts: DataFrame, starts: np.ndarray) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def each() -> Iterator[tuple[bytes, dict[bytes, int]]]:
+                for batch in batches:
+                    for data, held in zip(batch.column("data"), batch.column("held")):
+                        own = held.values
+                        named = own.field("word").cast(pa.binary()).to_pylist()
+                        yield data.as_py(), {w: int.from_bytes(code) for w, code in zip(named, own.field("id").to_pylist())}
 
-def runs(keys: DataFrame, least: int, partitions: int) -> DataFrame:
-    """key BINARY, m INT, f LONG of phrases of two to LONGEST words that occur ``least`` times; keys are dealt by range and sorted by radix."""
+            yield from _encoded(each(), starts)
+
+        dealt = written(texts.mapInArrow(blocks, "block string, lang string, data binary"), "blocks")
+        keyed = words.select(key, "id", F.col("f").alias("_n"))
+        of_block = spread_join(dealt.mapInArrow(distinct, "block string, lang string, word string").select("block", "word", key), keyed, "_w", broadcast_keys)
+        held = of_block.groupBy("block").agg(F.collect_list(F.struct("word", "id")).alias("held"))
+        return dealt.join(held, "block").select("data", "held").mapInArrow(run, PACKED)
+
+    return encode
+
+
+def _unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    keys, n = (b"".join(batch.column(c).to_pylist()) for c in ("keys", "n"))
+    return np.frombuffer(keys, np.uint8).reshape(-1, WIDTH), np.frombuffer(n, "<i8")
+
+
+def range_starts(texts: DataFrame, encode: Encode, places: int) -> np.ndarray:
+    """First keys of all ranges but the first, from a sample of texts; there is a range for each KEYS places."""
+    ranges = max(1, -(-places // KEYS))
+    whole = np.empty((0, WIDTH), np.uint8)
+    if ranges == 1:
+        return whole
+    sampled = encode(texts.sample(min(1.0, SAMPLED_KEYS / places), seed=13), whole).toArrow()
+    keys = np.frombuffer(b"".join(sampled["keys"].to_pylist()), np.uint8).reshape(-1, WIDTH)
+    keys = keys[radix_order(keys)]
+    return np.unique(_comparable(keys[np.arange(1, ranges) * len(keys) // ranges])).view(np.uint8).reshape(-1, WIDTH) if len(keys) else whole
+
+
+def runs(packed: DataFrame, least: int, ranges: int) -> DataFrame:
+    """key BINARY, m INT, f LONG of phrases of two to LONGEST words that occur ``least`` times."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, counts = [], []
-        for batch in batches:
-            if batch.num_rows:
-                column = batch.column(0)
-                low = column.offset * LONGEST * ID_BYTES
-                flat = np.frombuffer(column.buffers()[2], np.uint8)[low : low + len(column) * LONGEST * ID_BYTES]
-                rows.append(flat.reshape(-1, LONGEST * ID_BYTES).copy())
-                counts.append(batch.column(1).to_numpy(zero_copy_only=False).copy())
-        if not rows:
+        held = [_unpacked(batch) for batch in batches if batch.num_rows]
+        if not held:
             return
-        table, n = np.concatenate(rows), np.concatenate(counts)
-        del rows, counts
+        table, n = np.concatenate([keys for keys, _ in held]), np.concatenate([n for _, n in held])
+        del held
         order = radix_order(table)
         table, n = table[order], n[order]
         for m in range(2, LONGEST + 1):
@@ -255,7 +292,7 @@ def runs(keys: DataFrame, least: int, partitions: int) -> DataFrame:
             found = table[starts[kept], : m * ID_BYTES]
             yield pa.RecordBatch.from_arrays([_binary(found), pa.array(np.full(len(found), m), pa.int32()), pa.array(f[kept], pa.int64()), pa.array(edge[kept])], names=["key", "m", "f", "edge"])
 
-    made = written(keys.repartitionByRange(partitions, "key").mapInArrow(run, "key binary, m int, f long, edge boolean"), "runs")
+    made = written(packed.repartitionById(ranges, "part").mapInArrow(run, "key binary, m int, f long, edge boolean"), "runs")
     across = made.where("edge").groupBy("key", "m").agg(F.sum("f").alias("f"))
     return made.where("NOT edge").select("key", "m", "f").union(across.where(F.col("f") >= least))
 
@@ -274,8 +311,9 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     words = written(dictionary(counts, least), "dictionary")
     known, places = words.agg(F.count(F.lit(1)), F.coalesce(F.sum("f"), F.lit(0))).first()
     texts = _texts(docs, text_col, lang_col)
-    keys = _keys_by_broadcast(texts, words) if known <= broadcast_words else _keys_by_blocks(texts, words, broadcast_keys)
-    grams = written(runs(keys, least, max(1, -(-places // KEYS))), "grams")
+    encode = _by_broadcast(words) if known <= broadcast_words else _by_blocks(words, broadcast_keys)
+    starts = range_starts(texts, encode, places)
+    grams = written(runs(encode(texts, starts), least, len(starts) + 1), "grams")
 
     kept = grams.join(_absorbed(grams), "key", "left").where(F.coalesce(F.col("most") * 100 < F.col("f") * ABSORBED, F.lit(True)))
     cuts = kept.select("key", "m", F.col("f").alias("a"), F.explode(F.sequence(F.lit(1), F.col("m") - 1)).alias("k"))
