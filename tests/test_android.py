@@ -45,13 +45,57 @@ def test_gradle(spark):
     assert {r.alias: (r.version, r.unresolved) for r in A.catalog_versions(lines).collect()} == {"a": ("1.9", False), "b": ("2.0", False), "c": (None, True)}
 
 
+NETWORK = """<?xml version="1.0"?>
+<network-security-config>
+  <base-config cleartextTrafficPermitted="false"><trust-anchors><certificates src="system"/></trust-anchors></base-config>
+  <base-config cleartextTrafficPermitted="true"/>
+  <domain-config cleartextTrafficPermitted="true">
+    <domain includeSubdomains="true"> A.Example. </domain><domain/>
+    <pin-set expiration="soon"><pin digest="SHA-256"> a b </pin><pin digest="MD5"/></pin-set>
+    <odd/>
+    <domain-config><trust-anchors><certificates src="@raw/own" overridePins="true"/><certificates src="user"/></trust-anchors>
+      <domain-config cleartextTrafficPermitted="maybe"><domain>b</domain></domain-config>
+    </domain-config>
+  </domain-config>
+  <debug-overrides><trust-anchors><certificates src="user"/></trust-anchors></debug-overrides>
+</network-security-config>"""
+
+
+def test_network_security(spark):
+    deep = "<network-security-config>" + "<domain-config>" * 13 + "</domain-config>" * 13 + "</network-security-config>"
+    raw = spark.createDataFrame([("n", NETWORK), ("bad", "<a>"), ("other", "<x/>"), ("deep", deep), ("null", None)], "path string, raw string")
+    states = {r.path: (r.state, r.reason) for r in R.network_security_states(raw).collect()}
+    assert states == {"n": ("parsed", None), "bad": ("malformed-xml", 'Unterminated element "<a>" (missing closing tag)'), "other": ("unsupported-root", "x"), "deep": ("parsed", None), "null": ("malformed-xml", "No root element found")}
+    configs = R.network_security_configs(raw)
+    own = {(r.kind, r.line): r for r in configs.where("path = 'n'").collect()}
+    assert sorted(own) == [("base", 3), ("debug", 13), ("domain", 5), ("domain", 9), ("domain", 10)]
+    outer = own["domain", 5]
+    assert [(d.name, d.subdomains, d.malformed) for d in outer.domains] == [("a.example", True, False), ("", None, True)]
+    assert (outer.pins.expiration, outer.pins.malformed, [(p.value, p.supported, p.malformed) for p in outer.pins.pins]) == ("soon", True, [("ab", True, False), ("", False, True)])
+    assert outer.unsupported == ["<odd> at line 8"] and outer.trust is None
+    assert [(c.kind, c.resource, c.override_pins) for c in own["domain", 9].trust] == [("raw-resource", "own", True), ("user", None, None)]
+    policy = A.effective_network_policy(configs)
+    got = {r.scope: ([d.name for d in r.domains], r.domains_inherited, r.cleartext, r.cleartext_source, [[c.source for c in cs] for cs in r.trust], r.trust_source, r.pins is not None) for r in policy.where("path = 'n'").collect()}
+    chain = [["@raw/own", "user"], ["system"]]
+    assert got == {
+        "base-config": ([], False, False, "explicit", [["system"]], "own", False),
+        "debug-overrides": ([], False, None, "unspecified", [["user"]], "own", False),
+        "domain-config[0]": (["a.example", ""], False, True, "explicit", [["system"]], "inherited", True),
+        "domain-config[0]>domain-config[0]": (["a.example", ""], True, False, "inherited-from-base", chain, "own", False),
+        "domain-config[0]>domain-config[0]>domain-config[0]": (["b"], False, False, "inherited-from-base", chain, "inherited", False),
+    }
+    assert sorted((r.scope, r.rule) for r in A.network_findings(policy).collect() if r.path == "n") == [("domain-config[0]", "cleartext-permitted"), ("domain-config[0]>domain-config[0]", "user-certificates-trusted"), ("domain-config[0]>domain-config[0]>domain-config[0]", "user-certificates-trusted")]
+    assert policy.where("path = 'deep' AND too_deep").count() == 2 and policy.where("path = 'deep' AND NOT too_deep").count() == 11
+    assert A.effective_network_policy(configs.limit(0)).count() == 0
+
+
+def test_manifest_places(spark):
+    text = '<manifest xmlns:android="http://schemas.android.com/apk/res/android">\n <uses-permission android:name="p"/>\n <application>\n  <activity android:name=".A" android:exported="true">\n   <intent-filter><action android:name="x"/></intent-filter>\n  </activity>\n  <meta-data android:name="m"/>\n </application>\n</manifest>'
+    rows = {r.tag: (r.name, r.exported, r.component, r.line, r.column) for r in R.manifest_places(spark.createDataFrame([("m", text)], "path string, raw string")).collect()}
+    assert rows == {"manifest": (None, None, None, 1, 1), "uses-permission": ("p", None, None, 2, 2), "application": (None, None, None, 3, 2), "activity": (".A", "true", None, 4, 3), "intent-filter": (None, None, ".A", 5, 4), "action": ("x", None, ".A", 5, 19), "meta-data": ("m", None, None, 7, 3)}
+
+
 def test_policies_and_ladders(spark):
-    c = spark.createDataFrame([("f", 1, None, True, None, False), ("f", 2, 1, None, True, True), ("f", 3, 2, False, None, False)], "file string, id int, parent_id int, cleartext boolean, user_certificates boolean, has_pins boolean")
-    got = {r.id: (r.cleartext, r.user_certificates, r.has_pins, r.depth) for r in A.effective_network_policy(c).collect()}
-    assert got == {1: (True, None, False, 0), 2: (True, True, True, 1), 3: (False, True, False, 2)}
-    assert {(r.id, r.rule) for r in A.network_findings(A.effective_network_policy(c)).collect()} == {(1, "cleartext-permitted"), (2, "cleartext-permitted"), (2, "user-certificates-trusted"), (3, "user-certificates-trusted")}
-    ring = spark.createDataFrame([("f", i, i - 1 if i > 1 else None, None, None, False) for i in range(1, 15)] + [("g", 1, 2, True, None, False), ("g", 2, 1, None, None, False)], c.schema)
-    assert sorted((r.file, r.id) for r in A.effective_network_policy(ring).where("too_deep").collect()) == [("f", 12), ("f", 13), ("f", 14), ("g", 1), ("g", 2)]
     view, browsable = ["android.intent.action.VIEW"], ["android.intent.category.BROWSABLE"]
     link = lambda *d: [dict(zip(("scheme", "host", "path", "pathPrefix", "pathPattern"), d))]
     rows = [("web", True, None, view, browsable, link("https")), ("own", True, None, view, browsable, link("my")), ("wide", True, None, view, browsable, link("https", "h", None, None, ".*")), ("guarded", True, "p", view, browsable, link("https", "h", None, None, "*")), ("held", None, None, view, browsable, link("https", "${h}")), ("fine", True, None, view, browsable, link("https", "h")), ("half", True, None, [], browsable, []), ("none", True, None, view, [], [])]

@@ -277,8 +277,10 @@ def test_scanners(spark):
     for i in range(25):
         node = {"dependencies": {f"d{i}": {"missing": True} | node}}
     deep = json.dumps(node)
-    assert scanners.npm_ls(raw('{"dependencies": {"a": {"dependencies": {"b": {"missing": true}}}, "c": {"invalid": "x"}}}')).orderBy("path").select("path", "problem").collect() == [("a>b", "missing"), ("c", "invalid")]
+    assert scanners.npm_ls(raw('{"dependencies": {"a": {"dependencies": {"b": {"missing": true}}}, "c": {"invalid": true, "name": "cc"}, "d": {"invalid": "x"}}}')).orderBy("path").select("path", "package", "problem").collect() == [("a>b", "unknown", "missing"), ("c", "cc", "invalid")]
     assert scanners.npm_ls(raw(deep)).count() == 20
+    assert [(r.depth, r.deeper) for r in scanners.npm_tree(raw(deep)).orderBy("depth").collect()] == [(d, d == 20) for d in range(21)]
+    assert [(r.depth, r.deeper) for r in scanners.npm_tree(raw('{"dependencies": [1, {"a": 2}]}')).collect()] == [(0, False)] and scanners.npm_tree(raw("no")).count() == 0
     sem = '{"results": [' + ",".join('{"check_id": "r", "path": "p", "start": {"line": 1}, "extra": {"severity": "ERROR"}}' for _ in range(4)) + "]}"
     assert [(r.severity, r.truncated) for r in scanners.semgrep(raw(sem), 3).collect()] == [("major", True)] * 3
     osv = '{"results": [{"source": {"path": "l"}, "packages": [{"package": {"name": "p"}, "vulnerabilities": [{"id": "1", "severity": [{"score": "7.5"}]}, {"id": "2"}]}]}]}'

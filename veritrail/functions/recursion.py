@@ -1,0 +1,19 @@
+"""Recursive SQL over tables of any size."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+_ROWS = "spark.sql.cteRecursionRowLimit"
+
+
+def recursive(query: str, **tables: DataFrame) -> DataFrame:
+    """A ``WITH RECURSIVE`` query over named tables, written ``{name}`` in it.
+
+    Spark ends recursions of over a million rows with an error; that limit is
+    lifted in the session, as each query here bounds its levels itself. A table
+    that the recursive part reads should be ``stored``, as every level reads it.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    spark.conf.set(_ROWS, "-1")
+    return spark.sql(query, **tables)

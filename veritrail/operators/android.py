@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from veritrail.functions.recursion import recursive
+from veritrail.functions.stored import stored
 from veritrail.operators.audit import lookup
 
 PLATFORM = "android.permission."
@@ -163,26 +165,52 @@ def deep_link_findings(filters: DataFrame) -> DataFrame:
     return judged.select("manifest_path", "kind", "component", "rule", severity.alias("severity"))
 
 
-def effective_network_policy(configs: DataFrame) -> DataFrame:
-    """Cleartext policy and trust of nested domain configs: a null inherits from the nearest ancestor that sets it; pin sets are the config's own.
+def effective_network_policy(configs: DataFrame, most_depth: int = MOST_DEPTH) -> DataFrame:
+    """What holds in each network-security config, by a recursive query down its domain configs.
 
-    configs: file, id, parent_id, cleartext, user_certificates, has_pins. Levels
-    are joined up to ``MOST_DEPTH``; configs below that, or in a ring of parents,
-    keep what they set themselves and have ``too_deep``, and a null depth.
+    configs: those of ``network_security_configs``, or any table with path, doc,
+    node, parent, kind, position, cleartext, domains, trust, pins, line and column.
+    Returns path, doc, node, scope, kind, depth, domains, domains_inherited,
+    cleartext, cleartext_source, trust (a chain of lists, the nearest first),
+    trust_source, pins, too_deep, line, column. Cleartext is a config's own or the
+    base config's, never that of a domain config around it; domains are inherited
+    where a config has none; trust is chained up to the base config; pins are
+    never inherited; debug configs only have their own trust. Domain configs below
+    ``most_depth``, or in a ring of parents, have ``too_deep`` and nothing
+    inherited.
     """
-    level = configs.where("parent_id IS NULL").select("file", "id", "cleartext", "user_certificates", "has_pins", F.lit(0).alias("depth"))
-    found = level
-    for depth in range(1, MOST_DEPTH + 1):
-        parent = level.select("file", F.col("id").alias("parent_id"), F.col("cleartext").alias("_c"), F.col("user_certificates").alias("_u"))
-        level = configs.join(parent, ["file", "parent_id"]).select("file", "id", F.coalesce("cleartext", "_c").alias("cleartext"), F.coalesce("user_certificates", "_u").alias("user_certificates"), "has_pins", F.lit(depth).alias("depth"))
-        found = found.unionByName(level)
-    deep = configs.join(found.select("file", "id"), ["file", "id"], "left_anti").select("file", "id", "cleartext", "user_certificates", "has_pins", F.lit(None).cast("int").alias("depth"))
-    return found.withColumn("too_deep", F.lit(False)).unionByName(deep.withColumn("too_deep", F.lit(True)))
+    configs = stored(configs)
+    cells = "path, doc, node, kind, domains, cleartext, trust, pins, line, column"
+    walked = recursive(
+        f"""WITH RECURSIVE base AS (SELECT doc AS base_doc, cleartext AS base_cleartext, trust AS base_trust FROM {{configs}} WHERE kind = 'base'),
+        scopes({cells}, scope, depth, base_cleartext, chain, inherited) MAX RECURSION LEVEL {most_depth + 1} AS (
+          SELECT path, doc, node, kind, domains, cleartext, trust, pins, line, column,
+            CASE kind WHEN 'domain' THEN concat('domain-config[', position, ']') WHEN 'base' THEN 'base-config' ELSE 'debug-overrides' END, 0,
+            CASE WHEN kind = 'domain' THEN base_cleartext END,
+            concat(CASE WHEN trust IS NULL THEN array() ELSE array(trust) END, CASE WHEN kind <> 'domain' OR base_trust IS NULL THEN array() ELSE array(base_trust) END), false
+          FROM {{configs}} LEFT JOIN base ON doc = base_doc WHERE parent IS NULL
+          UNION ALL
+          SELECT c.path, c.doc, c.node, c.kind, CASE WHEN size(c.domains) > 0 THEN c.domains ELSE s.domains END, c.cleartext, c.trust, c.pins, c.line, c.column,
+            concat(s.scope, '>domain-config[', c.position, ']'), s.depth + 1, s.base_cleartext,
+            concat(CASE WHEN c.trust IS NULL THEN array() ELSE array(c.trust) END, s.chain), size(c.domains) = 0 AND size(s.domains) > 0
+          FROM scopes AS s JOIN {{configs}} AS c ON c.doc = s.doc AND c.parent = s.node WHERE s.depth < {most_depth} AND s.kind = 'domain'
+        ) SELECT * FROM scopes""",
+        configs=configs,
+    )
+    source = F.when(F.col("cleartext").isNotNull(), "explicit").when(F.col("base_cleartext").isNotNull(), "inherited-from-base").otherwise("unspecified")
+    trust_source = F.when(F.col("trust").isNotNull(), "own").when(F.size("chain") > 0, "inherited").otherwise("unspecified")
+    found = walked.select("path", "doc", "node", "scope", "kind", "depth", "domains", F.col("inherited").alias("domains_inherited"), F.coalesce("cleartext", "base_cleartext").alias("cleartext"), source.alias("cleartext_source"), F.col("chain").alias("trust"), trust_source.alias("trust_source"), "pins", F.lit(False).alias("too_deep"), "line", "column")
+    own = F.when(F.col("trust").isNull(), F.array()).otherwise(F.array("trust"))
+    left = configs.join(found.select("doc", "node"), ["doc", "node"], "left_anti")
+    deep = left.select("path", "doc", "node", F.lit(None).cast("string").alias("scope"), "kind", F.lit(None).cast("int").alias("depth"), "domains", F.lit(False).alias("domains_inherited"), "cleartext", F.when(F.col("cleartext").isNotNull(), "explicit").otherwise("unspecified").alias("cleartext_source"), own.alias("trust"), F.when(F.col("trust").isNotNull(), "own").otherwise("unspecified").alias("trust_source"), "pins", F.lit(True).alias("too_deep"), "line", "column")
+    return found.unionByName(deep)
 
 
 def network_findings(policy: DataFrame) -> DataFrame:
-    rules = F.filter(F.array(F.when(F.col("cleartext"), "cleartext-permitted"), F.when(F.col("user_certificates"), "user-certificates-trusted")), lambda r: r.isNotNull())
-    return policy.select("file", "id", F.explode(rules).alias("rule"))
+    """path, scope, rule, line of what a policy permits: cleartext traffic, and certificates of users in ordinary configs."""
+    user = F.exists(F.flatten("trust"), lambda c: c["kind"] == "user") & (F.col("kind") != "debug")
+    rules = F.array_compact(F.array(F.when(F.col("cleartext"), "cleartext-permitted"), F.when(user, "user-certificates-trusted")))
+    return policy.select("path", "scope", F.explode(rules).alias("rule"), "line")
 
 
 def module_kind(modules: DataFrame) -> DataFrame:

@@ -4,8 +4,8 @@ A text is cut into tokens that follow each other without gaps (tags, comments,
 sections, texts), so a token's place is the sum of the lengths before it. Tags
 nest by a running sum: an opener is one level below the sum before it, and its
 parent is the last opener of the level above. All windows are over one text, so
-texts are shuffled once, by number. Windows stream: nothing of a text is held
-but its tokens, and an element's text.
+texts are shuffled once, by number. Elements are written once, as the search for
+the nearest declaration of a prefix reads them twice.
 
 Columns and lines count from 1, columns in UTF-16 units; a first byte order mark
 is left out. A text is sound if it has one root element whose tags match and
@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veritrail.functions.stored import stored
+
 _WS = r"[ \t\n\r]"
 _NAME = r"[A-Za-z_:][A-Za-z0-9_.:-]*+"
 _ATTRIBUTE = rf"""{_NAME}{_WS}*+={_WS}*+(?:"[^"]*+"|'[^']*+')"""
@@ -80,7 +82,7 @@ def _kind(t: Column) -> Column:
 
 
 def tokens(raw: DataFrame) -> DataFrame:
-    """Every token of texts (path, raw): doc, path, i, token, kind, line, column, at (units before it), level, over (the root has ended)."""
+    """Every token of texts (path, raw): doc, path, i, token, kind, line, column, at (units before it), level, node (elements before it), over (the root has ended)."""
     text = F.regexp_replace("raw", r"^\x{FEFF}", "")
     docs = raw.select("path", F.monotonically_increasing_id().alias("doc"), F.coalesce(text, F.lit("")).alias("raw"))
     # An empty last token stands for the end, where faults can lie as well.
@@ -88,7 +90,7 @@ def tokens(raw: DataFrame) -> DataFrame:
     before = Window.partitionBy("doc").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     kind = F.when(F.col("token") == "", "end").otherwise(_kind(F.col("token")))
     step = F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)
-    placed = cut.withColumn("kind", kind).withColumns({"at": F.coalesce(F.sum(_units(F.col("token"))).over(before), F.lit(0)), "line": F.coalesce(F.sum(_breaks(F.col("token"))).over(before), F.lit(0)) + 1, "_sum": F.coalesce(F.sum(step).over(before), F.lit(0)).cast("int")})
+    placed = cut.withColumn("kind", kind).withColumns({"at": F.coalesce(F.sum(_units(F.col("token"))).over(before), F.lit(0)), "line": F.coalesce(F.sum(_breaks(F.col("token"))).over(before), F.lit(0)) + 1, "_sum": F.coalesce(F.sum(step).over(before), F.lit(0)).cast("int"), "node": F.coalesce(F.count_if(F.col("kind").isin("open", "single")).over(before), F.lit(0))})
     line_at = F.when(F.contains("token", F.lit("\n")), F.col("at") + _units(F.col("token")) - _after_break(F.col("token")))
     ends = ((F.col("kind") == "close") & (F.col("_sum") <= 1)) | ((F.col("kind") == "single") & (F.col("_sum") == 0))
     over = F.coalesce(F.max(ends).over(before), F.lit(False))
@@ -102,7 +104,7 @@ def _nested(raw: DataFrame) -> DataFrame:
     opens = F.struct(F.col("level").alias("group"), F.lit(True).alias("gives"))
     asks = F.struct(F.when(F.col("kind") == "close", F.col("level")).otherwise(F.col("level") - 1).alias("group"), F.lit(False).alias("gives"))
     dealt = rows.withColumn("_g", F.explode(F.when(F.col("kind") == "open", F.array(opens, asks)).otherwise(F.array(asks)))).select("*", "_g.*").drop("_g")
-    given = F.when(F.col("gives"), F.struct("i", _name(F.col("token")).alias("name"), "line", "column"))
+    given = F.when(F.col("gives"), F.struct("i", "node", _name(F.col("token")).alias("name"), "line", "column"))
     own = Window.partitionBy("doc", "group").orderBy("i", "gives").rowsBetween(Window.unboundedPreceding, -1)
     return dealt.withColumn("opener", F.last(given, ignorenulls=True).over(own)).where("NOT gives").drop("group", "gives").withColumn("element", F.col("kind").isin("open", "single"))
 
@@ -151,17 +153,25 @@ def _fault(rest: Column, inside: Column) -> tuple[Column, Column]:
     )
 
 
-def _faults(raw: DataFrame, nested: DataFrame) -> DataFrame:
-    """doc, path, i, message, line, column of the first fault of each text that has one."""
-    kind, level, over = F.col("kind"), F.col("level"), F.col("over")
+def _inside(kind: Column) -> Column:
+    return F.col("level") + F.when(kind == "close", 1).otherwise(0) > 0
+
+
+def _wrong() -> Column:
+    """What is wrong with a token of ``_nested``, if anything is."""
+    kind, over = F.col("kind"), F.col("over")
+    inside = _inside(kind)
     blank = kind.isin("skip", "doctype", "section") | ((kind == "text") & ~F.col("token").rlike(r"[^ \t\n\r]"))
-    inside = level + F.when(kind == "close", 1).otherwise(0) > 0
+    stray = ~inside & ((kind == "text") & ~blank | (kind == "end"))
+    broken = (kind == "bad") | ((kind == "doctype") & inside) | ((kind == "close") & ~inside)
+    mismatch = inside & (kind == "close") & (_name(F.col("token")) != F.col("opener.name"))
+    return F.when(~over, F.when(stray, "stray").when(broken, "broken").when(mismatch, "mismatch").when(inside & (kind == "end"), "unended"))
+
+
+def _faults(nested: DataFrame) -> DataFrame:
+    """doc, path, i, message, line, column of the first fault of each text that has one."""
     first_text = F.regexp_extract("token", rf"^{_WS}*+", 0)
-    stray = ~inside & ~over & ((kind == "text") & ~blank | (kind == "end"))
-    broken = ~over & ((kind == "bad") | ((kind == "doctype") & inside) | ((kind == "close") & ~inside))
-    mismatch = ~over & inside & (kind == "close") & (_name(F.col("token")) != F.col("opener.name"))
-    unended = ~over & inside & (kind == "end")
-    what = F.when(stray, "stray").when(broken, "broken").when(mismatch, "mismatch").when(unended, "unended")
+    what, inside = _wrong(), _inside(F.col("kind"))
     found = nested.where(what.isNotNull()).select("doc", "path", F.struct("i", what.alias("what"), "token", "at", "line", "column", "opener", inside.alias("inside"), first_text.alias("blank")).alias("x"))
     first = found.groupBy("doc", "path").agg(F.min_by("x", "x.i").alias("x")).select("doc", "path", "x.*")
     # A broken token is read with what follows it; of each text one is, so its rest is made once.
@@ -211,19 +221,16 @@ def elements(raw: DataFrame) -> DataFrame:
     local_name, namespace, value, line, column) and text (its own, without that
     of elements within it). ``doc`` tells rows with the same path apart.
     """
-    nested = _nested(raw)
-    sound = nested.join(_faults(raw, nested).select("doc"), "doc", "left_anti").where("NOT over")
-    inner = sound.where("element OR kind IN ('close', 'text', 'section')")
-    ordinal = Window.partitionBy("doc").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    numbered = inner.withColumn("node", F.coalesce(F.sum(F.col("element").cast("int")).over(ordinal), F.lit(0)))
+    faulty = F.max(_wrong().isNotNull()).over(Window.partitionBy("doc"))
+    sound = _nested(raw).withColumn("faulty", faulty).where("NOT faulty AND NOT over AND (element OR kind IN ('close', 'text', 'section'))")
 
     # Texts and ends are facts of the opener they ask for.
     part = F.when(F.col("kind") == "section", F.expr("substring(token, 10, length(token) - 12)")).when(F.col("kind") == "text", F.col("token"))
     own = F.when(F.col("element"), F.col("i")).otherwise(F.col("opener.i"))
     ended = F.when(F.col("kind") == "close", F.col("i"))
-    made = F.when(F.col("element"), F.struct("node", F.col("opener.i").alias("above"), F.col("level").alias("depth"), "line", "column", "token"))
-    grouped = numbered.withColumns({"own": own, "part": part, "ended": ended, "made": made}).where("own IS NOT NULL").groupBy("doc", "path", "own").agg(F.max("made").alias("made"), F.max("ended").alias("ended"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("part").isNotNull(), F.struct("i", "part")))), lambda p: p["part"]), "").alias("text"))
-    rows = grouped.select("doc", "path", "own", "ended", "text", "made.*").withColumn("found", _attributes(F.col("token"), F.col("line"), F.col("column")))
+    made = F.when(F.col("element"), F.struct("node", F.col("opener.node").alias("parent"), F.col("level").alias("depth"), "line", "column", "token"))
+    grouped = sound.withColumns({"own": own, "part": part, "ended": ended, "made": made}).where("own IS NOT NULL").groupBy("doc", "path", "own").agg(F.max("made").alias("made"), F.max("ended").alias("ended"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("part").isNotNull(), F.struct("i", "part")))), lambda p: p["part"]), "").alias("text"))
+    rows = stored(grouped.select("doc", "path", "own", "ended", "text", "made.*").withColumn("found", _attributes(F.col("token"), F.col("line"), F.col("column"))))
 
     # The nearest declaration of a prefix around its use: of those of the prefix that began before and end after.
     declares = F.filter("found", lambda a: (a["name"] == "xmlns") | a["name"].startswith("xmlns:"))
@@ -239,8 +246,7 @@ def elements(raw: DataFrame) -> DataFrame:
         return F.struct(a["name"].alias("name"), F.when(~plain, prefix).alias("prefix"), _local(a["name"]).alias("local_name"), F.when(~plain & prefix.isNotNull(), F.col("scope")[prefix]).alias("namespace"), a["value"].alias("value"), a["line"].alias("line"), a["column"].alias("column"))
 
     tag = _name(F.col("token"))
-    above = rows.select("doc", F.col("own").alias("above"), F.col("node").alias("parent"))
-    whole = rows.join(scopes, ["doc", "own"], "left").join(above, ["doc", "above"], "left")
+    whole = rows.join(scopes, ["doc", "own"], "left")
     return whole.select("path", "doc", "node", "parent", "depth", tag.alias("tag"), _prefix(tag).alias("prefix"), _local(tag).alias("local_name"), F.col("scope")[F.coalesce(_prefix(tag), F.lit(""))].alias("namespace"), "line", "column", F.transform("found", resolved).alias("attributes"), decoded(F.col("text")).alias("text"))
 
 
@@ -255,7 +261,7 @@ def _local(name: Column) -> Column:
 def problems(raw: DataFrame) -> DataFrame:
     """path, severity (``error`` for the first fault, else ``warning``), message, line, column of texts (path, raw)."""
     nested = _nested(raw)
-    faults = _faults(raw, nested)
+    faults = _faults(nested)
     errors = faults.select("path", F.lit("error").alias("severity"), "message", "line", "column")
     early = nested.join(faults.select("doc", F.col("i").alias("_stop")), "doc", "left").where("_stop IS NULL OR i < _stop")
     doctype = early.where("kind = 'doctype'").select("path", F.lit("warning").alias("severity"), F.lit(DOCTYPE).alias("message"), "line", "column")

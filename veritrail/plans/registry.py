@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veritrail.plans import audit_queries, evidence_queries, experiment_queries, rot_queries, security_queries, task_queries
+from veritrail.plans import audit_queries, evidence_queries, experiment_queries, markup_queries, rot_queries, security_queries, task_queries
 
-MODULES = (task_queries, experiment_queries, audit_queries, rot_queries, security_queries, evidence_queries)
+MODULES = (task_queries, experiment_queries, audit_queries, rot_queries, security_queries, evidence_queries, markup_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -178,16 +178,9 @@ def security_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.findings_to_issues(found).groupBy("severity", "release_blocking", "detector_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-def network_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as nested configs: the parent of k is k div 2, so there are as many levels as doublings."""
-    k = F.col("p_partkey")
-    c = table(spark, sf_dir, "part").select(F.lit("f").alias("file"), k.alias("id"), F.when(k > 1, F.floor(k / 2)).alias("parent_id"), F.when(k % 5 == 0, k % 2 == 0).alias("cleartext"), F.when(k % 3 == 0, True).alias("user_certificates"), (k % 4 == 0).alias("has_pins"))
-    return android.effective_network_policy(c).select("id", "cleartext", "user_certificates", "depth", "too_deep")
-
-
 QUERIES = {
     f.__name__: f
-    for f in (npm_audit_counts, semgrep_findings, osv_findings, dependency_findings, lint_findings, permission_findings, intent_filter_findings, deep_link_findings, android_verdict, android_verdict_reasons, unimported_declarations, high_priority_open, variant_summary, strategy_input_issues, responsibility_completeness, compare_states, field_consistency, security_issues, network_policy)
+    for f in (npm_audit_counts, semgrep_findings, osv_findings, dependency_findings, lint_findings, permission_findings, intent_filter_findings, deep_link_findings, android_verdict, android_verdict_reasons, unimported_declarations, high_priority_open, variant_summary, strategy_input_issues, responsibility_completeness, compare_states, field_consistency, security_issues)
 }
 
 
@@ -236,7 +229,4 @@ SELECT *, CASE WHEN mapped + "partial" + missing > 0 THEN 'available' ELSE 'not-
 SELECT o_orderkey AS instance, 'status' AS field, o_orderstatus AS expected, actual, CASE WHEN seen THEN o_orderstatus IS NOT DISTINCT FROM actual END AS matched, CASE WHEN seen THEN 'available' ELSE 'unavailable' END AS availability FROM o""",
     "field_consistency": "SELECT c_custkey AS pair_id, 'x' AS field FROM customer WHERE c_custkey % 3 <> c_custkey % 2 UNION ALL SELECT c_custkey, 'y' FROM customer WHERE (c_custkey % 5 > 0) <> (c_custkey % 7 > 0)",
     "security_issues": "SELECT s AS severity, s = 'blocker' AS release_blocking, 'security-npm' AS detector_id, count(*) AS n FROM (SELECT ['blocker', 'high', 'medium', 'info', 'info'][event_id % 5 + 1] AS s FROM events) GROUP BY 1",
-    "network_policy": """WITH RECURSIVE c AS (SELECT p_partkey AS id, CASE WHEN p_partkey > 1 THEN p_partkey // 2 END AS parent_id, CASE WHEN p_partkey % 5 = 0 THEN p_partkey % 2 = 0 END AS cleartext, CASE WHEN p_partkey % 3 = 0 THEN true END AS user_certificates FROM part),
-t AS (SELECT id, cleartext, user_certificates, 0 AS depth FROM c WHERE parent_id IS NULL UNION ALL SELECT c.id, coalesce(c.cleartext, t.cleartext), coalesce(c.user_certificates, t.user_certificates), depth + 1 FROM c JOIN t ON c.parent_id = t.id WHERE depth < 10)
-SELECT c.id, CASE WHEN t.id IS NULL THEN c.cleartext ELSE t.cleartext END AS cleartext, CASE WHEN t.id IS NULL THEN c.user_certificates ELSE t.user_certificates END AS user_certificates, depth, t.id IS NULL AS too_deep FROM c LEFT JOIN t ON t.id = c.id""",
 }

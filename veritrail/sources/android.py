@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veritrail.operators import markup
+
 _FILTER = "`intent-filter` ARRAY<STRUCT<action: ARRAY<STRUCT<`_android:name`: STRING>>, category: ARRAY<STRUCT<`_android:name`: STRING>>, data: ARRAY<STRUCT<`_android:scheme`: STRING, `_android:host`: STRING, `_android:path`: STRING, `_android:pathPrefix`: STRING, `_android:pathPattern`: STRING>>, `_android:autoVerify`: BOOLEAN>>"
 _COMPONENT = f"ARRAY<STRUCT<`_android:name`: STRING, `_android:exported`: STRING, `_android:permission`: STRING, `_android:readPermission`: STRING, `_android:writePermission`: STRING, {_FILTER}>>"
 _KINDS = {"activity": "activity", "activity-alias": "activity-alias", "service": "service", "receiver": "receiver", "provider": "provider"}
@@ -69,6 +71,94 @@ def intent_filters(manifests: DataFrame) -> DataFrame:
     return rows.select("manifest_path", F.col("c.kind").alias("kind"), F.col("c.name").alias("component"), F.col("c.exported").alias("exported"), F.col("c.exportedRaw").alias("exported_raw"), F.col("c.permission").alias("permission"), "f.*")
 
 
+ANDROID = "http://schemas.android.com/apk/res/android"
+
+
+def manifest_places(raw: DataFrame) -> DataFrame:
+    """Where the elements of manifests (path, raw) stand: path, tag, name, exported, component (the name of the component around it), line, column."""
+    rows = markup.elements(raw)
+    named = rows.select("path", "doc", "node", "parent", "depth", F.col("local_name").alias("tag"), markup.attribute(F.col("attributes"), "name", ANDROID).alias("name"), markup.attribute(F.col("attributes"), "exported", ANDROID).alias("exported"), "line", "column")
+    # Elements come in the order of their openers, so the component around one is the last before it, if it lies deeper.
+    opened = F.when(F.col("tag").isin(*_KINDS), F.struct("depth", "name"))
+    before = Window.partitionBy("doc").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
+    around = F.last(opened, ignorenulls=True).over(before)
+    return named.withColumn("_c", around).select("path", "tag", "name", "exported", F.when(F.col("depth") > F.col("_c.depth"), F.col("_c.name")).alias("component"), "line", "column")
+
+
+def _flag(attributes: Column, name: str) -> Column:
+    """STRUCT(value, raw): only ``true`` and ``false`` are values."""
+    raw = markup.attribute(attributes, name)
+    return F.struct(F.when(raw == "true", True).when(raw == "false", False).alias("value"), raw.alias("raw"))
+
+
+def network_security_configs(raw: DataFrame) -> DataFrame:
+    """Configs of network-security texts (path, raw) with their places.
+
+    path, doc, node, parent (null unless within a domain config), kind (``base``,
+    ``domain``, ``debug``), position (among its siblings), cleartext,
+    cleartext_raw, domains (text, name, subdomains, malformed, line), trust
+    (certificates with source, resource, override_pins; null without anchors),
+    pins (expiration, malformed, pins; null without a set), unsupported, line,
+    column. Only the first base and debug config of a text count, and domain
+    configs in the root or in each other.
+    """
+    rows = markup.elements(raw)
+    a = F.col("attributes")
+    text = F.regexp_replace("text", r"(?U)^\s+|\s+$", "")
+    lower = F.lower(text)
+    domain = F.when((F.length(lower) > 1) & lower.endswith("."), F.expr("left(lower_text, length(lower_text) - 1)")).otherwise(F.col("lower_text"))
+    source = markup.attribute(a, "src")
+    kind = F.when(source.isin("system", "user"), source).when(source.startswith("@raw/"), "raw-resource").otherwise("unknown")
+    digest, pin = markup.attribute(a, "digest"), F.regexp_replace("text", r"(?U)\s+", "")
+    expiration = markup.attribute(a, "expiration")
+    seen = rows.withColumn("lower_text", lower)
+    each = {
+        "domains": ("domain", [F.col("text").alias("text"), domain.alias("name"), _flag(a, "includeSubdomains")["value"].alias("subdomains"), (domain == "").alias("malformed"), F.col("line")]),
+        "certificates": ("certificates", [source.alias("source"), kind.alias("kind"), F.when(source.startswith("@raw/"), F.expr("substring(_src, 6)")).alias("resource"), _flag(a, "overridePins")["value"].alias("override_pins"), F.col("line")]),
+        "pins": ("pin", [digest.alias("digest"), F.coalesce(digest == "SHA-256", F.lit(False)).alias("supported"), pin.alias("value"), ((pin == "") | digest.isNull()).alias("malformed"), F.col("line")]),
+    }
+    listed = [F.array_sort(F.collect_list(F.when(F.col("local_name") == tag, F.struct("node", *cells)))).alias(name) for name, (tag, cells) in each.items()]
+    first = lambda tag, cell: F.min_by(cell, F.when(F.col("local_name") == tag, F.col("node")))
+    anchors, pin_set = F.min(F.when(F.col("local_name") == "trust-anchors", F.col("node"))), F.min(F.when(F.col("local_name") == "pin-set", F.col("node")))
+    odd = F.array_sort(F.collect_list(F.when(~F.col("local_name").isin("domain", "trust-anchors", "pin-set", "domain-config"), F.struct("node", F.concat(F.lit("<"), "tag", F.lit("> at line "), F.col("line").cast("string")).alias("what")))))
+    within = seen.withColumn("_src", source).where("parent IS NOT NULL").groupBy("doc", "parent").agg(*listed, anchors.alias("anchors"), pin_set.alias("pin_set"), first("pin-set", expiration).alias("expiration"), odd.alias("odd"))
+
+    root = rows.where("depth = 0 AND local_name = 'network-security-config'").select("doc", F.col("node").alias("root"))
+    kinds = F.when(F.col("local_name") == "base-config", "base").when(F.col("local_name") == "domain-config", "domain").when(F.col("local_name") == "debug-overrides", "debug")
+    order = Window.partitionBy("doc", "parent", "kind").orderBy("node")
+    configs = rows.join(root, "doc").withColumn("kind", kinds).where(F.col("kind").isNotNull() & ((F.col("kind") == "domain") | (F.col("parent") == F.col("root"))))
+    configs = configs.withColumn("position", F.row_number().over(order) - 1).where("kind = 'domain' OR position = 0")
+    own = within.select("doc", F.col("parent").alias("node"), "domains", "anchors", "pin_set", "expiration", "odd")
+    certificates = within.select("doc", F.col("parent").alias("anchors"), "certificates")
+    pins = within.select("doc", F.col("parent").alias("pin_set"), "pins")
+    whole = configs.join(own, ["doc", "node"], "left").join(certificates, ["doc", "anchors"], "left").join(pins, ["doc", "pin_set"], "left")
+    flag = _flag(a, "cleartextTrafficPermitted")
+    none = lambda column: F.coalesce(column, F.array())
+    return whole.select(
+        "path",
+        "doc",
+        "node",
+        F.when(F.col("parent") != F.col("root"), F.col("parent")).alias("parent"),
+        "kind",
+        "position",
+        flag["value"].alias("cleartext"),
+        flag["raw"].alias("cleartext_raw"),
+        none(F.transform("domains", lambda d: d.dropFields("node"))).alias("domains"),
+        F.when(F.col("anchors").isNotNull(), none(F.transform("certificates", lambda c: c.dropFields("node")))).alias("trust"),
+        F.when(F.col("pin_set").isNotNull(), F.struct("expiration", (F.col("expiration").isNotNull() & ~F.col("expiration").rlike(r"^\d{4}-\d{2}-\d{2}$")).alias("malformed"), none(F.transform("pins", lambda p: p.dropFields("node"))).alias("pins"))).alias("pins"),
+        none(F.transform("odd", lambda o: o["what"])).alias("unsupported"),
+        "line",
+        "column",
+    )
+
+
+def network_security_states(raw: DataFrame) -> DataFrame:
+    """path, state (``parsed``, ``malformed-xml``, ``unsupported-root``), reason, line, column of each text."""
+    wrong = markup.problems(raw).where("severity = 'error'").select("path", F.lit("malformed-xml").alias("state"), F.col("message").alias("reason"), "line", "column")
+    state = F.when(F.col("local_name") == "network-security-config", "parsed").otherwise("unsupported-root")
+    return wrong.unionByName(markup.elements(raw).where("depth = 0").select("path", state.alias("state"), F.when(state == "unsupported-root", F.col("tag")).alias("reason"), "line", "column"))
+
+
 def wrapper_properties(raw: DataFrame) -> DataFrame:
     """Gradle version and checksum of a wrapper file (path, raw)."""
     version = F.nullif(F.regexp_extract("raw", r"distributionUrl\s*=.*gradle-([\d.]+(?:-\w+)*?)-(?:bin|all)\.zip", 1), F.lit(""))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veritrail.functions.recursion import recursive
 from veritrail.operators.audit import NPM_SEVERITY, lookup
 
 MOST_RESULTS = 5_000
@@ -61,18 +62,37 @@ def npm_pack(raw: DataFrame) -> DataFrame:
     return packs.select("source", F.col("p.name").alias("package"), F.explode("p.files").alias("f")).select("source", "package", "f.*")
 
 
+def npm_tree(raw: DataFrame, most_depth: int = MOST_DEPTH) -> DataFrame:
+    """Nodes of dependency trees of any shape, the root at depth 0: source, path ARRAY, depth, name, missing, invalid, deeper.
+
+    A level is the children of the one before. Nodes at ``most_depth`` have
+    ``deeper`` if there are dependencies below them, which are not followed.
+    Only a flag that is the JSON value true counts; a name that is no string is
+    ``unknown``; null, empty and malformed outputs have no node.
+    """
+    walked = recursive(
+        f"""WITH RECURSIVE nodes(source, path, depth, node) MAX RECURSION LEVEL {most_depth + 1} AS (
+          SELECT source, CAST(array() AS ARRAY<STRING>), 0, try_parse_json(raw) FROM {{raw}} WHERE try_parse_json(raw) IS NOT NULL
+          UNION ALL
+          SELECT source, concat(path, array(child.key)), depth + 1, child.value
+          FROM nodes, LATERAL variant_explode(try_variant_get(node, '$.dependencies', 'variant')) AS child
+          WHERE depth < {most_depth} AND child.key IS NOT NULL
+        ) SELECT * FROM nodes""",
+        raw=raw.select("source", "raw"),
+    )
+    part = lambda name: F.try_variant_get("node", f"$.{name}", "variant")
+    is_a = lambda name, kind: F.coalesce(F.schema_of_variant(part(name)).startswith(kind), F.lit(False))
+    flag = lambda name: is_a(name, "BOOLEAN") & F.coalesce(F.try_variant_get("node", f"$.{name}", "boolean"), F.lit(False))
+    name = F.when(is_a("name", "STRING"), F.try_variant_get("node", "$.name", "string")).otherwise("unknown")
+    below = is_a("dependencies", "OBJECT") & (F.schema_of_variant(part("dependencies")) != "OBJECT<>")
+    return walked.select("source", "path", "depth", name.alias("name"), flag("missing").alias("missing"), flag("invalid").alias("invalid"), ((F.col("depth") == most_depth) & below).alias("deeper"))
+
+
 def npm_ls(raw: DataFrame, most_depth: int = MOST_DEPTH) -> DataFrame:
-    """Missing and invalid dependencies of a tree, level by level up to ``most_depth``: source, path, package, problem."""
-    level = raw.select("source", F.lit("").alias("path"), F.try_parse_json("raw").alias("node"))
-    found = None
-    for _ in range(most_depth):
-        children = level.select("source", "path", F.try_variant_get("node", "$.dependencies", "map<string, variant>").alias("d"))
-        level = children.select("source", "path", F.explode("d").alias("package", "node")).withColumn("path", F.concat_ws(">", F.when(F.col("path") != "", F.col("path")), F.col("package")))
-        flag = lambda name: F.coalesce(F.try_variant_get("node", f"$.{name}", "string"), F.lit("false")) != "false"
-        problem = F.when(flag("missing"), "missing").when(flag("invalid"), "invalid")
-        rows = level.select("source", "path", "package", problem.alias("problem")).where("problem IS NOT NULL")
-        found = rows if found is None else found.unionByName(rows)
-    return found
+    """Missing and invalid dependencies of a tree: source, path, package (its name), problem; one row for each problem of a node."""
+    tree = npm_tree(raw, most_depth)
+    problems = F.array_compact(F.array(F.when(F.col("missing"), "missing"), F.when(F.col("invalid"), "invalid")))
+    return tree.select("source", F.array_join("path", ">").alias("path"), F.col("name").alias("package"), F.explode(problems).alias("problem"))
 
 
 def semgrep(raw: DataFrame, most: int = MOST_RESULTS) -> DataFrame:
