@@ -50,7 +50,7 @@ ABSORBED = 80
 ID_BYTES = 5
 BROADCAST_WORDS = 500_000
 #: Words and keys that a task holds at once, bytes of a block of texts, and keys of a partition.
-WORDS_HELD, KEYS_HELD, BLOCK_BYTES, KEYS = 500_000, 2_000_000, 4_000_000, 1_000_000
+WORDS_HELD, KEYS_HELD, BLOCK_BYTES, KEYS = 500_000, 1_000_000, 4_000_000, 1_000_000
 SAMPLED_KEYS = 300_000
 WIDTH = LONGEST * ID_BYTES
 
