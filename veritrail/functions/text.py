@@ -166,6 +166,34 @@ def context_window(text: Column, needle: Column, reach: int) -> Column:
     return F.when(at > 0, F.substr(text, start, at - start + F.length(needle) + reach))
 
 
+def matches(x: Column, pattern: str) -> Column:
+    """ARRAY<STRUCT<at, match>> of every match of a pattern that matches no empty text, in order; ``at`` counts characters from 0.
+
+    A match begins after the pieces and matches before it, which together are the text.
+    """
+    found = F.regexp_extract_all(x, F.lit(pattern), F.lit(0))
+    lengths = F.zip_with(F.split(x, pattern, -1), found, lambda piece, match: F.struct(F.length(piece).alias("skip"), F.length(match).alias("size"), match.alias("match")))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,match:string>>").alias("found"))
+
+    def add(held: Column, m: Column) -> Column:
+        at = held["at"] + m["skip"]
+        return F.struct((at + m["size"]).alias("at"), F.concat(held["found"], F.array(F.struct(at.alias("at"), m["match"].alias("match")))).alias("found"))
+
+    return F.aggregate(F.filter(lengths, lambda m: m["match"].isNotNull()), begin, add)["found"]
+
+
+def around(x: Column, match: Column, before: int, after: int) -> Column:
+    """The text from ``before`` characters before a match to ``after`` behind it."""
+    start = F.greatest(match["at"] - before, F.lit(0))
+    return F.substr(x, start + 1, match["at"] + F.length(match["match"]) + after - start)
+
+
+def line_of(x: Column, match: Column) -> Column:
+    """Line of a match, from 1."""
+    head = F.substr(x, F.lit(1), match["at"])
+    return F.length(head) - F.length(F.replace(head, F.lit("\n"))) + 1
+
+
 def utf16_order(x: Column) -> Column:
     """A binary sort key; ``COLLATE UNICODE`` instead gives a dictionary's order."""
     return F.encode(x, "UTF-16BE")

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veritrail.functions import text as X
+from veritrail.functions.text import around, line_of, matches
 
 READ_BYTES = 200_000
 WINDOW_LINES = 15
@@ -22,13 +23,39 @@ SETUP_FILE = r"(?i)^(setup|vitest\.setup|jest\.setup|global-?setup)"
 # Names that repeat by convention.
 GENERIC_NAMES = ["index", "types", "config", "constants", "utils", "helpers", "main", "__init__"]
 # Shell syntax that only POSIX shells take.
-POSIX_ONLY = [r"\brm -rf\b", r"\bcp -r\b", r"\bmkdir -p\b", r"\bexport \w+=", r"^\w+=\S+ ", r"\$\(", r"\bgrep\b", r"\bsed\b"]
+# Commands at the start of a script's part that Windows lacks, and calls in sources that fail there.
+POSIX_ONLY = r"(^|&&)\s*(rm -rf|cp -r|mv |grep |sed |cat |find \.)"
+SPLIT_AT_NEWLINE = r"""\.split\(\s*["']\\n["']\s*\)"""
+SPLIT_AT_BACKSLASH = r"""\.split\(\s*["']\\\\["']\s*\)"""
+SHELL_TRUE = r"shell:\s*true"
+SUBPROCESS_CALL = r"\b(exec|spawn|execFile\w*|spawnSync|execSync|execFileSync)\s*\("
+SHELL_REACH = 150
+
+# Claims that documents should not make, with what nearby takes them back, and how far before and after.
+_HEDGED = r"(?i)\b(optional|skipped|if available|when available|unavailable|absent)\b"
+_NEGATED = r"(?i)\b(cannot|can't|not|never|no|bounded|does not|doesn't)\b"
+_CURRENT = r"[^.\n]{0,40}\b(is implemented|is current|is now implemented)\b"
+CLAIMS = [
+    # cue, claim, hedge, characters before, characters after, severity, confidence
+    ("tool-passed-without-hedge", r"(?i)\b(codeql|semgrep|osv-scanner)\b[^.\n]{0,60}\bpassed\b", _HEDGED, 80, 80, "high", "medium"),
+    ("skipped-equals-passed", r"(?i)\bskipped\b[^.\n]{0,60}\b(equivalent to|same as|counts as)\b[^.\n]{0,20}\bpassed\b", None, 0, 0, "high", "high"),
+    ("exhaustive-secret-claim", r"(?i)\b(exhaustive|complete|comprehensive)\b[^.\n]{0,30}\bsecret\b", _NEGATED, 60, 20, "high", "medium"),
+    ("complete-network-isolation-claim", r"(?i)\b(complete|full|guaranteed)\b[^.\n]{0,30}\bnetwork isolation\b|\bguarantees? no network\b", _NEGATED, 60, 20, "high", "medium"),
+    ("unsupported-current-claim:manual-pentest", "(?i)manual pentest" + _CURRENT, None, 0, 0, "high", "medium"),
+    ("unsupported-current-claim:android-validation", "(?i)(?:android (?:validation|support)|mobile validation)" + _CURRENT, None, 0, 0, "high", "medium"),
+    ("attack-scenarios-planned-but-implemented", r"(?i)attack scenario[^.\n]{0,40}\b(is planned|is future|is not yet implemented|not implemented)\b", None, 0, 0, "medium", "medium"),
+]
+OLD_VERSION, SECURITY_WORD, HISTORICAL = r"\bv0\.2\.1\b", r"(?i)\bsecurity\b", r"(?i)\b(previous|completed|historical|superseded|prior baseline)\b"
+
+
+def small(documents: DataFrame, most_bytes: int = READ_BYTES) -> DataFrame:
+    """Documents up to the size limit, by their content; larger ones are not read."""
+    return documents.where(F.octet_length("content") <= most_bytes)
 
 
 def lines(documents: DataFrame, most_bytes: int = READ_BYTES) -> DataFrame:
     """path, line (from 1), text of documents up to the size limit."""
-    small = documents.where(F.col("size_bytes") <= most_bytes) if "size_bytes" in documents.columns else documents
-    split = small.select("path", F.split("content", r"\r?\n").alias("_l"))
+    split = small(documents, most_bytes).select("path", F.split("content", r"\r?\n").alias("_l"))
     return split.select("path", F.posexplode_outer("_l").alias("line", "text")).where("text IS NOT NULL").withColumn("line", F.col("line") + 1)
 
 
@@ -81,14 +108,14 @@ def undocumented_scripts(scripts: DataFrame, commands_doc: str, important: list[
 
 def imported_names(files: DataFrame) -> DataFrame:
     """Lower-case base names that relative imports of any file name."""
-    found = files.where(F.col("size_bytes") <= READ_BYTES).select(F.explode(F.regexp_extract_all("content", F.lit(IMPORT), F.lit(1))).alias("s")).where(F.col("s").startswith("."))
+    found = small(files).select(F.explode(F.regexp_extract_all("content", F.lit(IMPORT), F.lit(1))).alias("s")).where(F.col("s").startswith("."))
     return found.select(F.lower(X.basename_no_ext(F.substring_index("s", "?", 1))).alias("base")).distinct()
 
 
 def unreferenced_files(sources: DataFrame, files: DataFrame, entry_points: list[str]) -> DataFrame:
     """Source files whose base name no relative import names; entry points, index and setup files and examples are left out."""
     base, name = F.lower(X.basename_no_ext(F.col("path"))), X.basename(F.col("path"))
-    kept = sources.where((F.col("size_bytes") <= READ_BYTES) & ~F.col("path").startswith("benchmarks/") & ~F.col("path").startswith("examples/") & (base != "index") & ~name.rlike(SETUP_FILE) & ~F.col("path").isin(entry_points))
+    kept = small(sources).where(~F.col("path").startswith("benchmarks/") & ~F.col("path").startswith("examples/") & (base != "index") & ~name.rlike(SETUP_FILE) & ~F.col("path").isin(entry_points))
     alone = kept.withColumn("base", base).join(imported_names(files), "base", "left_anti")
     return alone.select(*issue("dead-code-candidate", "unreferenced-source-file", "low", "low", F.col("path"), F.lit("no relative import names this file"), F.col("path")))
 
@@ -192,17 +219,60 @@ def version_mismatch(package: DataFrame, lock: DataFrame) -> DataFrame:
     return rows.select(*issue("package-release-rot", "version-mismatch", "blocker", "high", F.col("root"), F.when(version, "lockfile has another version").otherwise("lockfile has another name")))
 
 
-def posix_scripts(scripts: DataFrame) -> DataFrame:
-    rows = scripts.where(F.col("command").rlike("|".join(POSIX_ONLY)))
-    return rows.select(*issue("cross-platform-rot", "posix-script", "medium", "medium", F.col("name"), F.col("command")))
+def posix_scripts(scripts: DataFrame, docs: DataFrame | None = None) -> DataFrame:
+    """Scripts with a part, between ``&&``, that begins with a command only POSIX shells have; high where a document names Windows, else medium."""
+    segment = F.get(F.filter(F.transform(F.split("command", "&&"), lambda s: F.trim(s)), lambda s: s.rlike(POSIX_ONLY)), F.lit(0))
+    windows = docs is not None and bool(small(docs).agg(F.bool_or(F.col("content").rlike(r"\bWindows\b"))).first()[0])
+    rows = scripts.withColumn("_s", segment).where("_s IS NOT NULL")
+    return rows.select(*issue("cross-platform-rot", "posix-only-script-syntax", "high" if windows else "medium", "medium", F.col("name"), F.substring("_s", 1, 200))).dropDuplicates(["id"])
+
+
+def cross_platform_sources(sources: DataFrame, under: str = "src/audits/", splitter: str = "textLines.ts") -> DataFrame:
+    """Raw splits at line ends and backslashes, and shells near calls of subprocesses, in files ``under`` a folder but the one that holds the splitter."""
+    rows = small(sources).where(F.col("path").startswith(under) & (F.substring_index("path", "/", -1) != splitter))
+    near = F.exists(matches(F.col("content"), SHELL_TRUE), lambda m: F.substr("content", F.greatest(m["at"] - SHELL_REACH, F.lit(0)) + 1, SHELL_REACH + F.least(m["at"], F.lit(SHELL_REACH))).rlike(SUBPROCESS_CALL))
+    checks = [("raw-split-newline", F.col("content").rlike(SPLIT_AT_NEWLINE), "medium", "high"), ("raw-backslash-split", F.col("content").rlike(SPLIT_AT_BACKSLASH), "medium", "medium"), ("shell-true-usage", near, "high", "medium")]
+    cells = F.array_compact(F.array(*[F.when(hit, F.struct(F.lit(cue).alias("cue"), F.lit(severity).alias("severity"), F.lit(confidence).alias("confidence"))) for cue, hit, severity, confidence in checks]))
+    found = rows.select("path", F.explode(cells).alias("c"))
+    return found.select(F.concat_ws(":", F.lit("cross-platform-rot"), "c.cue", "path").alias("id"), F.lit("cross-platform-rot").alias("detector_id"), "c.severity", "c.confidence", F.col("path").alias("file"), F.lit(None).cast("int").alias("line"), F.col("c.cue").alias("message"))
+
+
+def unhedged(content: Column, claim: str, hedge: str | None, before: int, after: int, first_only: bool = False) -> Column:
+    """The first match of a claim without a hedge near it; ``first_only`` asks no other than the first match."""
+    found = matches(content, claim)
+    found = F.slice(found, 1, 1) if first_only else found
+    bare = found if hedge is None else F.filter(found, lambda m: ~around(content, m, before, after).rlike(hedge))
+    return F.get(bare, F.lit(0))
 
 
 def claims_without_hedge(docs: DataFrame, claim: str, hedge: str, detector: str, cue: str, severity: str, reach: int = 80) -> DataFrame:
-    """The first match of a claim in each document, unless a hedge stands within ``reach`` characters before it."""
-    rows = docs.where(F.col("content").rlike(claim)).withColumn("_m", F.regexp_extract("content", claim, 0))
-    at = F.instr("content", F.col("_m"))
-    before = F.substr("content", F.greatest(at - reach, F.lit(1)), F.least(F.lit(reach), at - 1) + F.length("_m"))
-    return rows.where(~before.rlike(hedge)).select(*issue(detector, cue, severity, "medium", F.col("path"), F.col("_m"), F.col("path")))
+    """Documents with a claim that no hedge stands near, ``reach`` characters before or behind: the first such match."""
+    rows = docs.withColumn("_m", unhedged(F.col("content"), claim, hedge, reach, reach)).where("_m IS NOT NULL")
+    return rows.select(*issue(detector, cue, severity, "medium", F.col("path"), F.col("_m.match"), F.col("path"), line_of(F.col("content"), F.col("_m"))))
+
+
+def security_claims(docs: DataFrame, version: str | None = None, scenarios_exist: bool = False, android_exists: bool = False, first_only: bool = False) -> DataFrame:
+    """What documents wrongly claim of security validation, one issue for each kind of claim and document.
+
+    Every match of a claim is judged by its own surroundings; with ``first_only``
+    the first match of each kind alone, so that a hedged one hides those behind
+    it. Planned scenarios are only reported where they exist, android claims where
+    it doesn't, and mentions of the old version where ``version`` is 0.2.2 or later.
+    """
+    skipped = {cue for cue, out in (("attack-scenarios-planned-but-implemented", not scenarios_exist), ("unsupported-current-claim:android-validation", android_exists)) if out}
+    content = F.col("content")
+    cells = [F.struct(F.lit(cue).alias("cue"), unhedged(content, claim, hedge, before, after, first_only).alias("m"), F.lit(severity).alias("severity"), F.lit(confidence).alias("confidence")) for cue, claim, hedge, before, after, severity, confidence in CLAIMS if cue not in skipped]
+    read = small(docs)
+    found = read.select("path", "content", F.explode(F.filter(F.array(*cells), lambda c: c["m"].isNotNull())).alias("c"))
+    name = "security-validation-assumption-rot"
+    issues = found.select(F.concat_ws(":", F.lit(name), "c.cue", "path").alias("id"), F.lit(name).alias("detector_id"), "c.severity", "c.confidence", F.col("path").alias("file"), line_of(content, F.col("c.m")).alias("line"), F.substring("c.m.match", 1, 200).alias("message"))
+    if version is None or [int(x) for x in version.split(".")] < [0, 2, 2]:
+        return issues
+    dated = lines(read.where(F.lower(F.substring_index("path", "/", -1)) != "changelog.md"))
+    near = W.partitionBy("path").orderBy("line").rowsBetween(-3, 3)
+    seen = dated.withColumns({"_secure": F.max(F.col("text").rlike(SECURITY_WORD)).over(near), "_past": F.max(F.col("text").rlike(HISTORICAL)).over(near)}).where(F.col("text").rlike(OLD_VERSION) & F.col("_secure") & ~F.col("_past"))
+    first = seen.groupBy("path").agg(F.min(F.struct("line", "text")).alias("x")).select("path", "x.*")
+    return issues.unionByName(first.select(*issue(name, "stale-v021-security-mention", "medium", "low", F.concat_ws(":", "path", F.col("line").cast("string")), F.substring(F.trim("text"), 1, 200), F.col("path"), F.col("line"))))
 
 
 def feature_claims(docs: DataFrame, features: list[tuple[str, str, bool]]) -> DataFrame:

@@ -266,7 +266,7 @@ def evidence(walked: DataFrame, fields: Iterable[tuple[str, str]]) -> DataFrame:
     found = walked.join(table, "pattern").select("source", "field", F.when(F.col("type") != "null", F.struct("steps", "text")).alias("x"))
     empty = walked.join(lists, "pattern").where("type = 'array'").select("source", "field", F.lit(None).cast(found.schema["x"].dataType).alias("x"))
     seen = found.unionByName(empty).groupBy("source", "field").agg(F.count("x").alias("n"), F.transform(F.array_sort(F.collect_list("x")), lambda x: x["text"]).alias("texts"))
-    every = walked.where("depth = 0").select("source").join(table.select("field"))
+    every = walked.where("depth = 0").select("source", F.explode(F.array(*[F.lit(f) for f, _ in fields])).alias("field"))
     state = F.when(F.col("n").isNull(), "unavailable").when(F.col("n") == 0, "not-applicable").otherwise("available")
     return every.join(seen, ["source", "field"], "left").select("source", "field", state.alias("availability"), F.coalesce("n", F.lit(0)).alias("n"), F.array_compact(F.coalesce("texts", F.array().cast("array<string>"))).alias("texts"))
 

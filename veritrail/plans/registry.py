@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veritrail.plans import audit_queries, evidence_queries, experiment_queries, markup_queries, rot_queries, security_queries, task_queries, walk_queries
+from veritrail.plans import audit_queries, detector_queries, evidence_queries, experiment_queries, markup_queries, rot_queries, security_queries, task_queries, walk_queries
 
-MODULES = (task_queries, experiment_queries, audit_queries, rot_queries, security_queries, evidence_queries, markup_queries, walk_queries)
+MODULES = (task_queries, experiment_queries, audit_queries, rot_queries, security_queries, evidence_queries, markup_queries, walk_queries, detector_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
