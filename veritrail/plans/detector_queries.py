@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritrail.functions import text
-from veritrail.operators import rot
+from veritrail.operators import facts, rot
 from veritrail.plans import detectors
 from veritrail.sources.tables import table
 
@@ -57,9 +57,28 @@ def audit_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return issues.unionByName(errors).unionByName(skipped)
 
 
-QUERIES = {f.__name__: f for f in (word_places, security_claims, cross_platform_calls, audit_run)}
+def import_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A script for each part, with imports over several lines, and others in comments and strings, which are none."""
+    k = F.col("p_partkey")
+    when = lambda test, s: F.when(test, F.lit(s)).otherwise("")
+    content = F.concat(
+        when(k % 2 == 1, "// import { no } from './c'\n"),
+        F.concat(F.lit("import d"), k.cast("string"), F.lit(", {\n  n1, // x\n  type n2 as m2,\n} from \"./m"), (k % 7).cast("string"), F.lit("\";\n")),
+        when(k % 3 == 0, "/* import z from './z'\n*/ "),
+        F.lit("const s = 'import q from \\'./q\\''; "),
+        when(k % 5 == 0, "export * from './e'; "),
+        when(k % 4 == 0, "obj.require('./no'); require( './r' ); "),
+    )
+    files = table(spark, sf_dir, "part").select(k.cast("string").alias("path"), F.lit("typescript").alias("language"), F.lit("source").alias("role"), content.alias("content"))
+    found = facts.source_facts(files).select("path", F.explode("imports").alias("i"))
+    return found.select("path", "i.source", F.array_join("i.importedNames", ",").alias("names"), "i.line")
+
+
+QUERIES = {f.__name__: f for f in (import_facts, word_places, security_claims, cross_platform_calls, audit_run)}
 
 ORACLE_SQL = {
+    "import_facts": """WITH p AS (SELECT p_partkey AS k, CAST(1 + p_partkey % 2 AS INTEGER) AS b, CAST(CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END AS INTEGER) AS c FROM part)
+SELECT CAST(k AS VARCHAR) AS path, './m' || k % 7 AS source, 'd' || k || ',n1,m2' AS names, b AS line FROM p UNION ALL SELECT CAST(k AS VARCHAR), './e', '', b + 4 + c FROM p WHERE k % 5 = 0 UNION ALL SELECT CAST(k AS VARCHAR), './r', '', b + 4 + c FROM p WHERE k % 4 = 0""",
     "word_places": """WITH d AS (SELECT doc_id, "text" AS t, regexp_extract_all("text", '[0-9]+') AS w, regexp_split_to_array("text", '[0-9]+') AS p FROM documents WHERE "text" IS NOT NULL),
 e AS (SELECT doc_id, t, w, p, unnest(range(1, len(w) + 1)) AS i FROM d),
 m AS (SELECT doc_id, t, w[i] AS word, length(array_to_string(p[1:i], '')) + length(array_to_string(w[1:i - 1], '')) AS pos FROM e),
