@@ -51,7 +51,7 @@ ID_BYTES = 5
 BROADCAST_WORDS = 500_000
 #: Words and keys that a task holds at once, bytes of a block of texts, and keys of a partition.
 WORDS_HELD, KEYS_HELD, BLOCK_BYTES, KEYS = 500_000, 1_000_000, 4_000_000, 1_000_000
-SAMPLED_KEYS = 300_000
+SAMPLED_KEYS, SALTS = 300_000, 256
 WIDTH = LONGEST * ID_BYTES
 
 _NORMAL = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", b"\n" * 10 + b" ")
@@ -329,7 +329,11 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
 
     # Ties are settled by the words, so only phrases that can still be among the first are spelled out.
     by_lang = Window.partitionBy("lang")
-    near = written(scored.withColumn("_r", F.rank().over(by_lang.orderBy(F.desc("score"), F.desc("a")))).where(F.col("_r") <= first).drop("_r"), "near")
+    # One language may have nearly all of them: the first of each of SALTS groups are found before those of the whole.
+    best = [F.desc("score"), F.desc("a")]
+    dealt = scored.withColumn("_s", F.pmod(F.xxhash64("key"), F.lit(SALTS)))
+    few = dealt.withColumn("_r", F.rank().over(Window.partitionBy("lang", "_s").orderBy(*best))).where(F.col("_r") <= first)
+    near = written(few.withColumn("_r", F.rank().over(by_lang.orderBy(*best))).where(F.col("_r") <= first).drop("_r", "_s"), "near")
     ids = near.select("key", F.posexplode(F.transform(F.sequence(F.lit(0), (F.length("key") / ID_BYTES).cast("int") - 1), lambda i: F.substring(F.col("key"), i * ID_BYTES + 1, F.lit(ID_BYTES)))).alias("place", "id"))
     spelled = spread_join(ids, words.select("id", "word", F.lit(1).cast("long").alias("_n")), "id", broadcast_keys).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("place", "word"))).alias("w"))
     phrases = near.join(spelled, "key").withColumn("phrase", F.array_join("w.word", " "))
