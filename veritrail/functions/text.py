@@ -147,6 +147,18 @@ def escape_html(x: Column) -> Column:
     return x
 
 
+def escape_dot_label(x: Column) -> Column:
+    """A text for a quoted label of a graph: backslashes, quotes, line ends and the signs of records escaped."""
+    for character, escaped in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r")):
+        x = F.replace(x, F.lit(character), F.lit(escaped))
+    return F.regexp_replace(x, r"([<>{}|])", r"\\$1")
+
+
+def duration_ms(start: Column, end: Column) -> Column:
+    """Milliseconds from one timestamp to another, negative if they are the other way round."""
+    return F.unix_millis(end) - F.unix_millis(start)
+
+
 def merge_config(left: Column, right: Column) -> Column:
     """Shallow merge of two maps; the right side wins."""
     return F.map_concat(F.map_filter(left, lambda k, _: ~F.array_contains(F.map_keys(right), k)), right)

@@ -120,6 +120,29 @@ def candidate_summary(candidates: DataFrame) -> DataFrame:
     return candidates.select(F.inline(cells)).groupBy("dimension", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
+# Levels that a summary of candidates always has.
+CONFIDENCES, RESOLUTION_STATES = ["unknown", "low", "medium", "high"], ["resolved", "unresolved", "missing", "malformed", "unsupported", "not-applicable"]
+
+
+def candidate_roll_up(candidates: DataFrame, confidences: list[str] | None = None, states: list[str] | None = None) -> DataFrame:
+    """dimension, value, n: the total, checks with candidates, every confidence and resolution state (0 too), and categories that occur, by grouping sets in one aggregation.
+
+    candidates: check_id, confidence, resolution_state, category.
+    """
+    spark = candidates.sparkSession
+    grouped = spark.sql(
+        """SELECT CASE grouping_id(confidence, resolution_state, category) WHEN 3 THEN 'confidence' WHEN 5 THEN 'resolution_state' WHEN 6 THEN 'category' ELSE 'total' END AS dimension,
+             coalesce(confidence, resolution_state, category) AS value, count(*) AS n, count(DISTINCT check_id) AS checks
+           FROM {candidates} GROUP BY GROUPING SETS ((confidence), (resolution_state), (category), ())""",
+        candidates=candidates,
+    )
+    whole = F.array(F.struct("dimension", "value", "n"), F.struct(F.lit("checks_with_candidates").alias("dimension"), F.lit(None).cast("string").alias("value"), F.col("checks").alias("n")))
+    cells = grouped.select(F.inline(F.when(F.col("dimension") == "total", whole).otherwise(F.slice(whole, 1, 1))))
+    levels = [("confidence", v) for v in confidences or CONFIDENCES] + [("resolution_state", v) for v in states or RESOLUTION_STATES]
+    dense = spark.createDataFrame(levels, "dimension string, value string").withColumn("n", F.lit(0).cast("long"))
+    return cells.unionByName(dense).groupBy("dimension", "value").agg(F.sum("n").alias("n"))
+
+
 def project_kind(modules: DataFrame) -> DataFrame:
     """One row: the project's kind, UI toolkit and confidence from its modules. modules: kind, ui_toolkit, confidence."""
     has = lambda c, v: F.bool_or(F.col(c) == v)

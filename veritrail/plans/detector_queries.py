@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritrail.functions import text
-from veritrail.operators import facts, rot
+from veritrail.operators import facts, rot, security, truth
 from veritrail.plans import detectors
 from veritrail.sources.tables import table
 
@@ -74,9 +74,46 @@ def import_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("path", "i.source", F.array_join("i.importedNames", ",").alias("names"), "i.line")
 
 
-QUERIES = {f.__name__: f for f in (import_facts, word_places, security_claims, cross_platform_calls, audit_run)}
+def candidate_roll_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    k = F.col("event_id")
+    pick = lambda *values: F.get(F.array(*map(F.lit, values)), (k % len(values)).cast("int"))
+    rows = e.select(F.col("user_id").cast("string").alias("check_id"), F.when(F.col("value") > 80, "high").otherwise("low").alias("confidence"), pick("resolved", "missing", "unresolved").alias("resolution_state"), F.col("event_type").alias("category"))
+    return security.candidate_roll_up(rows)
+
+
+def package_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packages and lockfiles of suppliers, some fields of a wrong type: what they say and whether they agree."""
+    k = F.col("s_suppkey")
+    s = lambda x: x.cast("string")
+    package = F.concat(F.lit('{"name": '), F.when(k % 7 == 0, "7").otherwise(F.concat(F.lit('"p'), s(k), F.lit('"'))), F.lit(', "version": "1.'), s(k % 3), F.lit('.0", "scripts": {"test:a": "x", "security:b": '), F.when(k % 5 == 0, "1").otherwise('"y"'), F.lit('}, "engines": {"node": ">=20"}}'))
+    lock = F.concat(F.lit('{"lockfileVersion": '), F.when(k % 2 == 0, '"3"').otherwise("3"), F.when(k % 4 < 2, F.concat(F.lit(', "name": "p'), s(k), F.lit('", "version": "1.0.0"'))).otherwise(F.concat(F.lit(', "packages": {"": {"name": "p'), s(k), F.lit('", "version": "1.1.0"}}'))), F.lit("}"))
+    rows = table(spark, sf_dir, "supplier").select(s(k).alias("root"), package.alias("package"), F.when(k % 11 == 0, "broken").otherwise(lock).alias("lock"))
+    packages = truth.packages(rows.select("root", F.col("package").alias("raw")))
+    locks = truth.lockfiles(rows.select("root", F.col("lock").alias("raw")), packages)
+    return packages.join(locks.select("root", "present", F.col("version").alias("locked"), "lockfile_version", "consistent"), "root").select("root", "name", "version", F.size("scripts").alias("scripts"), F.element_at("engines", F.lit("node")).alias("node"), "present", "locked", "lockfile_version", "consistent")
+
+
+def document_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What whole texts of documents mention, and the titles put before some of them."""
+    k = F.col("doc_id")
+    content = F.concat(F.when(k % 3 == 0, F.concat(F.lit("# Title "), k.cast("string"), F.lit("\n"))).otherwise(""), F.when(k % 4 == 0, "An audit is planned.\n").otherwise(""), F.col("text"))
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.concat(k.cast("string"), F.when(k % 5 == 0, "/README.md").otherwise(".md")).alias("path"), content.alias("content"))
+    return truth.documents(docs).select("path", F.col("title").isNotNull().alias("titled"), "is_readme", "mentions_audit", "mentions_planned_commands", "mentions_release_publish")
+
+
+QUERIES = {f.__name__: f for f in (candidate_roll_up, package_facts, document_facts, import_facts, word_places, security_claims, cross_platform_calls, audit_run)}
 
 ORACLE_SQL = {
+    "candidate_roll_up": """WITH c AS (SELECT user_id, CASE WHEN value > 80 THEN 'high' ELSE 'low' END AS confidence, ['resolved', 'missing', 'unresolved'][event_id % 3 + 1] AS state, event_type FROM events)
+SELECT 'total' AS dimension, NULL AS value, count(*) AS n FROM c UNION ALL SELECT 'checks_with_candidates', NULL, count(DISTINCT user_id) FROM c UNION ALL SELECT 'category', event_type, count(*) FROM c GROUP BY 2
+UNION ALL SELECT 'confidence', v, (SELECT count(*) FROM c WHERE confidence = v) FROM (SELECT unnest(['unknown', 'low', 'medium', 'high']) AS v)
+UNION ALL SELECT 'resolution_state', v, (SELECT count(*) FROM c WHERE state = v) FROM (SELECT unnest(['resolved', 'unresolved', 'missing', 'malformed', 'unsupported', 'not-applicable']) AS v)""",
+    "package_facts": """WITH s AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 7 > 0 THEN 'p' || s_suppkey END AS name, '1.' || s_suppkey % 3 || '.0' AS version, s_suppkey % 11 > 0 AS present, CASE WHEN s_suppkey % 11 > 0 THEN CASE WHEN s_suppkey % 4 < 2 THEN '1.0.0' ELSE '1.1.0' END END AS locked FROM supplier)
+SELECT CAST(k AS VARCHAR) AS root, name, version, CASE WHEN k % 5 = 0 THEN 0 ELSE 2 END AS scripts, '>=20' AS node, present, locked, CASE WHEN present AND k % 2 = 1 THEN 3.0::DOUBLE END AS lockfile_version, CASE WHEN name IS NOT NULL AND present THEN version = locked END AS consistent FROM s""",
+    "document_facts": """WITH d AS (SELECT doc_id AS k, CASE WHEN doc_id % 3 = 0 THEN '# Title ' || doc_id || chr(10) ELSE '' END || CASE WHEN doc_id % 4 = 0 THEN 'An audit is planned.' || chr(10) ELSE '' END || "text" AS t FROM documents WHERE "text" IS NOT NULL),
+r AS (SELECT k, CASE WHEN strlen(t) <= 200000 THEN t ELSE '' END AS t FROM d)
+SELECT k || CASE WHEN k % 5 = 0 THEN '/README.md' ELSE '.md' END AS path, regexp_matches(t, '(?m)^#\\s+.+$') AS titled, k % 5 = 0 AS is_readme, regexp_matches(t, '(?i)\\baudit\\b') AS mentions_audit, regexp_matches(t, '(?i)\\bplanned\\b') AS mentions_planned_commands, regexp_matches(t, '(?i)\\b(release|publish)\\b') AS mentions_release_publish FROM r""",
     "import_facts": """WITH p AS (SELECT p_partkey AS k, CAST(1 + p_partkey % 2 AS INTEGER) AS b, CAST(CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END AS INTEGER) AS c FROM part)
 SELECT CAST(k AS VARCHAR) AS path, './m' || k % 7 AS source, 'd' || k || ',n1,m2' AS names, b AS line FROM p UNION ALL SELECT CAST(k AS VARCHAR), './e', '', b + 4 + c FROM p WHERE k % 5 = 0 UNION ALL SELECT CAST(k AS VARCHAR), './r', '', b + 4 + c FROM p WHERE k % 4 = 0""",
     "word_places": """WITH d AS (SELECT doc_id, "text" AS t, regexp_extract_all("text", '[0-9]+') AS w, regexp_split_to_array("text", '[0-9]+') AS p FROM documents WHERE "text" IS NOT NULL),
