@@ -210,6 +210,51 @@ def test_decontamination_against_sql(spark):
     assert sum(i == 0 for _, i, *_ in want) == 10
 
 
+ALICE = "Alice has 3 apples. Bob gives Alice 4 more apples. Alice then eats 2 of them. How many fruits does Alice have with Bob in total?"
+
+
+def test_renamed_questions(spark):
+    """Names that begin sentences and numbers in words are slots as well."""
+    named = ALICE.replace("Alice", "Carol").replace("Bob", "Dave")
+    copies = [ALICE, ALICE.replace("3", "7").replace("4", "9").replace(" 2 ", " 5 "), named, named.replace("3", "30").replace("4", "six").replace(" 2 ", " eleven ")]
+    swapped = ALICE.replace("Bob gives Alice", "Carol gives Dave").replace("does Alice have with Bob", "does Erin have with Frank")
+    items = spark.createDataFrame([(1, ALICE)], "item_id long, text string")
+    got = {r.doc_id: r.kind for r in decontaminate.leaks(docs(spark, [*enumerate_docs(copies), (9, swapped, None)]), items).collect()}
+    assert got == {0: "verbatim", 1: "reparameterised", 2: "reparameterised", 3: "reparameterised"}
+
+
+def enumerate_docs(texts):
+    return [(i, t, None) for i, t in enumerate(texts)]
+
+
+NAMES = ["Anna", "Marco", "Priya", "Chen", "Omar", "Lucia", "Tom", "Sofia", "Ivan", "Mei"]
+PLOTS = [
+    "{n} buys {a} {u} of rope at the market. {m} cuts off {b} {u} of it for the boat. How many {u} of rope are left for {n} to use at home?",
+    "Each day {n} walks {a} {u} to the old mill and {b} {u} back along the river. How far does {n} walk with {m} in {c} days altogether?",
+    "A tank holds {a} litres of water. {n} pours out {b} litres every morning while {m} adds {c} litres at night. When will the tank of {n} be empty?",
+    "{n} and {m} share {a} sweets so that {n} gets {b} more than {m}. After that {m} loses {c} sweets on the way. How many does {m} still hold?",
+]
+
+
+@pytest.mark.parametrize("changed", ["numbers", "names", "units", "all"])
+def test_recall_of_reparameterised_items(spark, changed):
+    rnd = random.Random(changed)
+    pick = lambda: {"n": rnd.choice(NAMES[:5]), "m": rnd.choice(NAMES[5:]), "a": rnd.randint(50, 99), "b": rnd.randint(10, 49), "c": rnd.randint(2, 9), "u": rnd.choice(["km", "miles", "metres"])}
+    keys = {"numbers": "abc", "names": "nm", "units": "u", "all": "nmabcu"}[changed]
+    made, clean = [], []
+    for i in range(60):
+        base = pick()
+        body = PLOTS[i % 4] + " " + _words(rnd, 12, 0.1).capitalize()
+        other = base | {k: v for k, v in pick().items() if k in keys}
+        made.append((i, body.format(**base), f"{_words(rnd, 30, 0.1)}. {body.format(**other)} {_words(rnd, 30, 0.1)}"))
+        clean.append((1000 + i, f"{_words(rnd, 40, 0.1)}. {rnd.choice(NAMES)} walks {rnd.randint(1, 99)} km. {_words(rnd, 40, 0.1)}", None))
+    items = spark.createDataFrame([(i, item) for i, item, _ in made], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs(spark, [(i, t, None) for i, _, t in made] + clean), items).collect()}
+    recall = sum((i, i) in got for i, _, _ in made) / len(made)
+    print(changed, "recall", recall)
+    assert recall >= 0.9 and not [d for d, _ in got if d >= 1000]
+
+
 def test_decontamination_odd(spark, odd, empty):
     items = spark.createDataFrame([(1, LONG[:300])], "item_id long, text string")
     assert {r.doc_id for r in decontaminate.leaks(odd, items).collect()} == {4, 5}

@@ -1,8 +1,10 @@
 """Operator 3: benchmark decontamination by template canonicalisation.
 
-Texts become templates: numbers, units after a number, and names (capitalised
-words inside a sentence, several in a row being one) turn into typed
-placeholders, the rest into lower-case words. Windows of ``WINDOW`` = 5 template
+Texts become templates: numbers in digits or words, units after a number, and
+names (capitalised words, several in a row being one) turn into typed
+placeholders, the rest into lower-case words. A word that begins a sentence is a
+name as well: whether it is one cannot be told there, and it is the same in every
+copy, or stands for one value as a name does. Windows of ``WINDOW`` = 5 template
 words are joined by hash with those of the benchmark items, so a question asked
 again with other numbers or names still meets its original. A window of
 placeholders alone says nothing and keeps its values, so it meets only copies.
@@ -28,7 +30,7 @@ or a null one, has no window and leaks nowhere; rows that share doc_id and text
 are one document and give one row per item; a null doc_id is kept as null;
 items with one text are each reported, and rows that share item_id but not the
 text are items of their own, of which the best is reported; a null item_id leaks
-nowhere; other columns are left out. A name that begins a sentence is a word.
+nowhere; other columns are left out.
 
 Native: SQL functions only. Anchors, and the keys of documents met, are broadcast
 only while a bounded count says that they are few, and shuffled beyond that; then
@@ -53,8 +55,11 @@ UNITS = ["km", "m", "cm", "mm", "kg", "g", "mg", "s", "ms", "min", "h", "hours?"
 #: Marks around a number, before a unit, around a name; \\u0004 joins what a number holds.
 NUMBER, UNIT, NAME, JOIN = "\u0001", "\u0002", "\u0003", "\u0004"
 _UNIT = f"(?:{'|'.join(UNITS)})"
-#: A capitalised word inside a sentence; the capital comes first, as most places fail there at once.
-_NAME = r"\p{Lu}(?<=[\p{Ll},;] .)\p{Ll}"
+#: Numbers in words.
+NUMBER_WORDS = ["zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen", "twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety", "hundred", "thousand", "million"]
+_NUMBER = f"(?:[0-9][0-9{JOIN}]*+|{'|'.join(NUMBER_WORDS)})"
+#: A capitalised word; the capital comes first, as most places fail there at once.
+_NAME = r"\p{Lu}(?<![\p{L}\p{N}].)\p{Ll}"
 
 
 def tokens(text: Column) -> Column:
@@ -64,8 +69,8 @@ def tokens(text: Column) -> Column:
     joined = F.when(digits, F.regexp_replace(named, "(?<=[0-9])[.,](?=[0-9])", JOIN)).otherwise(named)
     plain = F.trim(F.regexp_replace(F.lower(joined), f"[^\\p{{L}}\\p{{N}}{NAME}{JOIN}]+", " "))
     whole = F.replace(F.regexp_replace(plain, f"{NAME}([^ ]+)", f"{NAME}$1{NAME}"), F.lit(f"{NAME} {NAME}"), F.lit("_"))
-    numbered = F.regexp_replace(whole, f"(?<![^ ])[0-9][0-9{JOIN}]*+(?![^ ])", f"{NUMBER}$0{NUMBER}")
-    return F.split(F.when(digits, F.regexp_replace(numbered, f"(?<={NUMBER} ){_UNIT}(?![^ ])", f"{UNIT}$0")).otherwise(whole), " ")
+    numbered = F.regexp_replace(whole, f"(?<![^ ]){_NUMBER}(?![^ ])", f"{NUMBER}$0{NUMBER}")
+    return F.split(F.regexp_replace(numbered, f"(?<={NUMBER} ){_UNIT}(?![^ ])", f"{UNIT}$0"), " ")
 
 
 def is_slot(token: Column) -> Column:
@@ -175,9 +180,10 @@ def remove_leaking(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
 
 def duckdb_sql(share: float = SHARE) -> str:
     """The same rows by joining all windows of all documents with all of all items, without anchors."""
-    name = r"regexp_replace({}, '([\p{{Ll}},;] )(\p{{Lu}}\p{{Ll}})', '\1' || chr(3) || '\2', 'g')"
+    name = r"regexp_replace({}, '(^|[^\p{{L}}\p{{N}}])(\p{{Lu}}\p{{Ll}})', '\1' || chr(3) || '\2', 'g')"
+    words = ", ".join(f"'{w}'" for w in NUMBER_WORDS)
     digits = r"regexp_replace({}, '([0-9])[.,]([0-9])', '\1' || chr(4) || '\2', 'g')"
-    plain = r"trim(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}\x03\x04]+', ' ', 'g'))".format(digits.format(digits.format(name.format(name.format("text")))))
+    plain = r"trim(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}\x03\x04]+', ' ', 'g'))".format(digits.format(digits.format(name.format("text"))))
     whole = rf"replace(regexp_replace({plain}, '\x03([^ ]+)', chr(3) || '\1' || chr(3), 'g'), chr(3) || ' ' || chr(3), '_')"
     last = WINDOW - 1
     slot = "w[1] IN (chr(1), chr(2), chr(3))"
@@ -186,7 +192,7 @@ def duckdb_sql(share: float = SHARE) -> str:
     return f"""
 WITH s AS (SELECT DISTINCT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT DISTINCT 'b', item_id, text FROM benchmark WHERE item_id IS NOT NULL),
 w AS (SELECT side, id, md5(text) AS x, string_split({whole}, ' ') AS w FROM s WHERE text IS NOT NULL),
-m AS (SELECT side, id, x, list_transform(w, lambda v: CASE WHEN regexp_full_match(v, '[0-9][0-9\\x04]*') THEN chr(1) || v || chr(1) ELSE v END) AS w FROM w),
+m AS (SELECT side, id, x, list_transform(w, lambda v: CASE WHEN regexp_full_match(v, '[0-9][0-9\\x04]*') OR v IN ({words}) THEN chr(1) || v || chr(1) ELSE v END) AS w FROM w),
 t AS (SELECT side, id, x, list_transform(w, lambda v, i: CASE WHEN i > 1 AND w[i - 1][1] = chr(1) AND regexp_full_match(v, '{_UNIT}') THEN chr(2) || v ELSE v END) AS t FROM m),
 k AS (SELECT *, list_transform(t, lambda w: CASE WHEN {slot} THEN w[1] ELSE w END) AS k FROM t),
 a AS ({windows}),
