@@ -116,6 +116,64 @@ def test_first_failures_of_packets(spark):
     assert W.first_failures(table(spark, []), W.INSTRUCTION_PACKET).count() == 0
 
 
+def sound(blocks, rules):
+    """A document that keeps all rules, lists with one item each."""
+    value, left = {}, []
+    for pattern, kind in W.expanded(rules, blocks):
+        left += [pattern[1:] + "."] * pattern.startswith("?")
+        if pattern.startswith(("?", *left)) or kind == "present":
+            continue
+        one = {"object": {}, "array": [], "version": "1.0.0", "number": 1.5, "count": 2, "boolean": True, "scalar": "s"}.get(kind.removesuffix("?"), kind[1:].split("|")[0].split("?")[0].split("+")[0] if kind.startswith("=") else "x")
+        at, steps = value, pattern.replace("[]", ".[]").split(".")
+        for step in steps[:-1]:
+            at = at[-1] if step == "[]" else at[step]
+        if steps[-1] == "[]":
+            at.append(one)
+        else:
+            at["any" if steps[-1] == "*" else steps[-1]] = one
+    return value
+
+
+def test_first_failures_of_retrieval_records(spark):
+    gone = object()
+    provenance = ("responsibilityMappings", "mappings", 0, "provenance", 0, "category")
+    cases = [
+        ({}, None),
+        ({("budget", "characters"): None, ("freshness", "role"): None, ("fullFileReadRecommendations", 0, "continuationOrExpansionAttempted"): False}, None),
+        ({("roleContext", "changedSurface", "symbols", 0, "name"): 3}, ("INVALID_FIELD_TYPE", "roleContext.changedSurface.symbols[0].name")),
+        ({("steps", 0, "inputs"): {"a": 1, "b": [1]}, ("warnings",): gone}, ("INVALID_FIELD_TYPE", "steps[0].inputs.b")),
+        ({("fullFileReadRecommendations", 0, "continuationOrExpansionAttempted"): "maybe", ("fullFileReadRecommendations", 0, "filePath"): gone}, ("INVALID_LITERAL_VALUE", "fullFileReadRecommendations[0].continuationOrExpansionAttempted")),
+        ({("fullFileReadRecommendations", 0, "continuationOrExpansionAttempted"): 1}, ("INVALID_FIELD_TYPE", "fullFileReadRecommendations[0].continuationOrExpansionAttempted")),
+        ({("request", "role"): "cook", ("contextAdequacy", "status"): "fine"}, ("INVALID_LITERAL_VALUE", "request.role")),
+        ({("contextAdequacy", "status"): "context sufficient"}, ("INVALID_LITERAL_VALUE", "contextAdequacy.status")),
+        ({provenance: "none", ("responsibilityMappings", "usedCount"): -1}, ("INVALID_LITERAL_VALUE", "responsibilityMappings.mappings[0].provenance[0].category")),
+        ({("responsibilityMappings", "usedCount"): 1.5}, ("INVALID_FIELD_TYPE", "responsibilityMappings.usedCount")),
+        ({("responsibilityMappings", "droppedCount"): -1}, ("INVALID_FIELD_TYPE", "responsibilityMappings.droppedCount")),
+        ({("responsibilityMappings", "mappings", 0, "errors", 0, "metadata"): {"k": {}}}, ("INVALID_FIELD_TYPE", "responsibilityMappings.mappings[0].errors[0].metadata.k")),
+        ({("responsibilityMappings", "mappings", 0, "errors", 0, "sourceLocation"): {"line": 1}}, ("MISSING_REQUIRED_FIELD", "responsibilityMappings.mappings[0].errors[0].sourceLocation.filePath")),
+        ({("budget", "characters"): gone, ("budget", "limits"): 1}, ("MISSING_REQUIRED_FIELD", "budget.characters")),
+        ({("budget", "characters"): 5, ("budget", "limits", 0, "name"): 1}, ("INVALID_FIELD_TYPE", "budget.limits[0].name")),
+        ({("budget", "characters"): {"measured": "1", "limit": None, "truncated": True}}, ("INVALID_FIELD_TYPE", "budget.characters.measured")),
+        ({("tool",): [], ("generatedAt",): None}, ("INVALID_FIELD_TYPE", "generatedAt")),
+        ({("provenance", 0): "x"}, ("INVALID_FIELD_TYPE", "provenance[0]")),
+    ]
+    texts = []
+    for changes, _ in cases:
+        value = sound(W.RECORD_BLOCKS, W.RETRIEVAL_RECORD)
+        value["budget"]["characters"] = {"measured": 1, "limit": None, "truncated": False}
+        for path, new in changes.items():
+            at = value
+            for step in path[:-1]:
+                at = at[step]
+            if new is gone:
+                del at[path[-1]]
+            else:
+                at[path[-1]] = new
+        texts.append(json.dumps(value))
+    got = {r.source: (r.code, r.field_path) for r in W.first_failures(table(spark, texts), W.RETRIEVAL_RECORD, W.RECORD_BLOCKS).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(cases) if want}
+
+
 def test_selected_fields_and_evidence(spark):
     walked = W.walk(table(spark, ['{"a": {"b": [{"c": "x"}, {"c": null}, {"c": 2}]}, "e": [], "d": null}', "{}"]))
     fields = [("cs", "a.b[].c"), ("es", "e[]"), ("d", "d"), ("no", "n.o")]

@@ -50,21 +50,39 @@ def walk(raw: DataFrame, most_depth: int = MOST_DEPTH) -> DataFrame:
 # Rules ------------------------------------------------------------------------
 
 
-def rule_table(rules: str, like: DataFrame) -> DataFrame:
+def expanded(rules: str, blocks: dict[str, str] | None = None) -> list[tuple[str, str]]:
+    """(pattern, type) in order: ``string[]`` becomes a list and its items, ``@name`` an object and the rules of a block below it."""
+    found = []
+    for line in filter(str.strip, rules.splitlines()):
+        pattern, kind = line.strip().split(maxsplit=1)
+        plain = pattern.removeprefix("?")
+        if kind.endswith("[]"):
+            found += [(pattern, "array")] + expanded(f"{plain}[] {kind[:-2]}", blocks)
+        elif kind.startswith("@"):
+            found.append((pattern, "object"))
+            found += [(f"{'?' * p.startswith('?')}{plain}.{p.removeprefix('?')}", k) for p, k in expanded(blocks[kind[1:]], blocks)]
+        else:
+            found.append((pattern, kind))
+    return found
+
+
+def rule_table(rules: str, like: DataFrame, blocks: dict[str, str] | None = None) -> DataFrame:
     """Rules as rows, from lines of ``pattern type`` in the order in which they are checked; a line's parts come after it.
 
-    A type is string, number, boolean, object, array or version, words after
-    ``=`` that a string must be one of, or ``unique FIELD CODE`` for arrays whose
-    items must not share a field. ``?`` before a pattern marks an optional field,
-    after a type one that may be null. A pattern that ends in ``.*`` stands for
-    every key of an object.
+    A type is string, number, count (no fraction, none below 0), boolean, object,
+    array, scalar, version, present (of any type), words with bars after ``=``
+    that a string must be one of (``+boolean``: or true or false), or ``unique
+    FIELD CODE`` for arrays whose items must not share a field. ``?`` before a
+    pattern marks an optional field, after a type one that may be null. A pattern
+    that ends in ``.*`` stands for every key of an object. See ``expanded`` for
+    lists and blocks.
     """
     rows, number = [], {"": 0}
-    for n, line in enumerate(filter(str.strip, rules.splitlines()), 1):
-        pattern, kind, *more = line.split()
+    for n, (pattern, kind) in enumerate(expanded(rules, blocks), 1):
+        kind, *more = [kind] if kind.startswith("=") else kind.split()
         optional, pattern = pattern.startswith("?"), pattern.removeprefix("?")
         parent = pattern[:-2] if pattern.endswith("[]") else pattern.rpartition(".")[0]
-        if kind != "unique":
+        if kind not in ("unique", "present"):
             number[pattern] = n
         above, prefixes = pattern, []
         while above:
@@ -72,21 +90,21 @@ def rule_table(rules: str, like: DataFrame) -> DataFrame:
             above = above[:-2] if above.endswith("[]") else above.rpartition(".")[0]
         place = []
         for p in reversed(prefixes):
-            place.append((number[p] if p in number and not (p == pattern and kind == "unique") else n, None))
+            place.append((n if p == pattern else number.get(p, n), None))
             if p.endswith("[]"):
                 place.append((None, sum(q.endswith("[]") for q in prefixes if len(q) < len(p))))
-        allowed = kind[1:].removesuffix("?").split("|") if kind.startswith("=") else None
+        allowed = kind[1:].removesuffix("?").removesuffix("+boolean").split("|") if kind.startswith("=") else None
         base = "unique" if kind == "unique" else "literal" if allowed else kind.removesuffix("?")
         name = None if pattern.endswith("[]") or pattern.endswith("*") else pattern.rpartition(".")[2]
-        rows.append((n, pattern, parent, name, optional, base, kind.endswith("?"), allowed, more[0] if more else None, more[1] if len(more) > 1 else None, place))
-    schema = "n int, pattern string, parent string, field string, optional boolean, kind string, nullable boolean, allowed array<string>, of string, code string, place array<struct<rule:int,slot:int>>"
+        rows.append((n, pattern, parent, name, optional, base, kind.endswith("?"), kind.endswith("+boolean"), allowed, more[0] if more else None, more[1] if len(more) > 1 else None, place))
+    schema = "n int, pattern string, parent string, field string, optional boolean, kind string, nullable boolean, flag boolean, allowed array<string>, of string, code string, place array<struct<rule:int,slot:int>>"
     return F.broadcast(like.sparkSession.createDataFrame(rows, schema))
 
 
-def first_failures(raw: DataFrame, rules: str) -> DataFrame:
+def first_failures(raw: DataFrame, rules: str, blocks: dict[str, str] | None = None) -> DataFrame:
     """source, code, field_path, expected of the first rule that each document (source, raw) breaks, in the order of the rules, items one after another."""
     walked = stored(walk(raw))
-    table = rule_table(rules, raw)
+    table = rule_table(rules, raw, blocks)
     placed = F.transform("place", lambda p: F.coalesce(p["rule"], F.get("indexes", p["slot"])))
     failure = lambda code, path, expected: F.struct(F.lit(code).alias("code") if isinstance(code, str) else code.alias("code"), path.alias("field_path"), expected.cast("string").alias("expected"))
 
@@ -102,17 +120,19 @@ def first_failures(raw: DataFrame, rules: str) -> DataFrame:
     any_key = F.when(F.col("name").isNotNull(), F.concat(F.regexp_replace("pattern", r"(^|\.)[^.]*$", ""), F.lit(".*")))
     known = walked.join(table.where("kind <> 'unique' AND pattern NOT LIKE '%*'"), "pattern")
     starred = walked.withColumn("pattern", any_key).join(table.where("kind <> 'unique' AND pattern LIKE '%*'"), "pattern")
-    held = known.unionByName(starred.select(*known.columns)).where(~(F.col("nullable") & (type_ == "null")))
+    held = known.unionByName(starred.select(*known.columns)).where(~(F.col("nullable") & (type_ == "null")) & ~(F.col("flag") & (type_ == "boolean")) & (kind != "present"))
     version = F.coalesce(F.col("text").rlike(r"^[0-9]+\.[0-9]+\.[0-9]+$"), F.lit(False)) & (type_ == "string")
-    wanted_type = F.when(kind.isin("literal", "version"), "string").when(kind == "scalar", "scalar").otherwise(kind)
+    wanted_type = F.when(kind.isin("literal", "version"), "string").when(kind == "count", "number").otherwise(kind)
+    number = F.col("text").try_cast("double")
     off = F.when(kind == "scalar", type_.isin("object", "array")).otherwise(wanted_type != type_)
     code = (
         F.when((kind == "version") & ~version, "INVALID_SCHEMA_VERSION")
         .when((kind == "version") & (F.regexp_extract("text", "^0*([0-9]+)", 1) != "1"), "UNSUPPORTED_SCHEMA_MAJOR")
         .when((kind != "version") & off, "INVALID_FIELD_TYPE")
+        .when((kind == "count") & ~F.coalesce((number >= 0) & (number == F.floor(number)), F.lit(False)), "INVALID_FIELD_TYPE")
         .when((kind == "literal") & ~F.array_contains("allowed", F.col("text")), "INVALID_LITERAL_VALUE")
     )
-    expected = F.when(code == "INVALID_LITERAL_VALUE", F.array_join("allowed", " | ")).when(code == "UNSUPPORTED_SCHEMA_MAJOR", "1").when(code == "INVALID_SCHEMA_VERSION", r"^[0-9]+\.[0-9]+\.[0-9]+$").otherwise(wanted_type)
+    expected = F.when(code == "INVALID_LITERAL_VALUE", F.array_join("allowed", " | ")).when(code == "UNSUPPORTED_SCHEMA_MAJOR", "1").when(code == "INVALID_SCHEMA_VERSION", r"^[0-9]+\.[0-9]+\.[0-9]+$").when(kind == "scalar", "string | number | boolean | null").when((kind == "count") & (type_ == "number"), "nonnegative integer").otherwise(wanted_type)
     wrong = held.withColumn("code", code).where("code IS NOT NULL").select("source", placed.alias("key"), failure(F.col("code"), F.col("path"), expected).alias("f"))
 
     unique = table.where("kind = 'unique'").select(F.concat("pattern", F.lit("[]."), "of").alias("pattern"), F.col("pattern").alias("list"), F.col("code").alias("coded"), "place")
@@ -247,6 +267,62 @@ warnings[] string
 """
 
 
+# What the published record of retrievals must hold, in the order in which it is checked.
+_ROLE = "=architecture|implementation|test-implementation?"
+_ADEQUACY = "=context sufficient for implementation|context sufficient with listed assumptions|context insufficient and more retrieval required|context conflict found and user or upstream stage decision required"
+_KINDS = "=owner|dependencies|contracts|validators|constants|errors|schemas|callers|callees|closest-tests|test-infrastructure|test-commands|changed-surface|responsibility-mappings"
+_CHANGE = "status =added|modified|removed|unknown\nprovenance =caller|graph-diff|both"
+RECORD_BLOCKS = {
+    "step": "id string\nkind string\ndescription string\ninputs object\ninputs.* scalar\noutputs object\noutputs.* scalar\nstatus =ok|skipped|failed\nwarnings string[]",
+    "recommendation": "continuationOrExpansionAttempted =unavailable+boolean\nfilePath string\nreason string\nmissingContext string",
+    "request": f"originalQuery string\nnormalizedQuery string\nmode =general|feature-add|subsystem\nrequestedOutputPath string\nrole {_ROLE}\nrequestFilePath string?",
+    "adequacy": f"status {_ADEQUACY}\nsummary string\nassumptions string[]\ngaps string[]",
+    "focusFile": "path string\nresolved boolean\nmatchedFilePaths string[]\ncontainedSymbolIds string[]",
+    "focusSymbol": "symbol string\nresolved boolean\nambiguous boolean\nmatchedNodeIds string[]",
+    "focus": "focusFiles @focusFile[]\nfocusSymbols @focusSymbol[]\nunresolvedFocusFiles string[]\nunresolvedFocusSymbols string[]\nambiguousFocusSymbols string[]\nwarnings string[]",
+    "changedFile": f"path string\n{_CHANGE}",
+    "changedSymbol": f"symbolId string\n{_CHANGE}\n?filePath string\n?name string\n?kind string",
+    "changedSurface": "available boolean\ndiffRequested boolean\nfiles @changedFile[]\nsymbols @changedSymbol[]\nconflicts string[]\nwarnings string[]",
+    "roleContext": f"role {_ROLE}\nfocus @focus\nchangedSurface @changedSurface\nrequestedEvidenceKinds array\nrequestedEvidenceKinds[] {_KINDS}\nunsupportedRequestedEvidenceKinds array\nunsupportedRequestedEvidenceKinds[] {_KINDS}\nwarnings string[]",
+    "location": "filePath string\n?line number",
+    "evidence": "id string\nitemKind =file|symbol|test-file|fixture|factory|mock|setup-file|config-file|package-script|command\nrelationship string\nbasis string\nprovenance string\n?path string\n?symbolId string\n?nodeId string\n?sourceLocation @location\n?metadata object\n?metadata.* scalar",
+    "provenance": f"id string\ncategory =request|cli|request-file|focus-file|focus-symbol|caller-changed-file|caller-changed-symbol|graph-diff|active-index|before-index|after-index|code-graph|symbol-index|source-scan|test-directory-walk|import-scan|package-json|test-configuration|upstream-artifact-ref\nsourcePath string?\nsourceId string?\nevidenceId string\nrelationshipBasis string\nrole {_ROLE}\nrequestField string?\nderivedByModule string",
+    "mapping": "responsibilityId string\nbehavior string?\ninvariant string?\ncriticality =critical|noncritical\nproductionSymbols @evidence[]\ncontracts @evidence[]\nvalidators @evidence[]\nconstants @evidence[]\nerrors @evidence[]\nsideEffectEvidence @evidence[]\nproposedOrExistingTestFiles @evidence[]\nreusableHelpers @evidence[]\noracleEvidence @evidence[]\ntestCommands @evidence[]\nmappingStatus =mapped|partially-mapped|unmapped|not-applicable\nunresolvedReasons string[]\nprovenance @provenance[]\nwarnings string[]",
+    "mappings": "requested boolean\noperational boolean\nmappings @mapping[]\nunknownResponsibilityIds string[]\nduplicateResponsibilityIds string[]\nlimit number?\navailableCount count\nusedCount count\ntruncated boolean\ndroppedCount count\ncriticalDropped boolean\nwarnings string[]",
+    "roleAdequacy": f"role {_ROLE}\nstatus {_ADEQUACY}\nrequiredConditions string[]\nsatisfiedConditions string[]\nmissingConditions string[]\nblockingConditions string[]\nwarnings string[]\nsupportingEvidence string[]\naffectedResponsibilityIds string[]\ntruncationImpact boolean\nfreshnessImpact boolean",
+    "identity": "label string\nvalue string?",
+    "freshness": f"state =fresh|stale|unknown\nrole {_ROLE}\nevidenceUsed string[]\nevidenceUnavailable string[]\ncomparedIdentities @identity[]\nreason string\nrelevantChangedPaths string[]\nwarnings string[]",
+    "limit": "name string\ndeclaredValue number?\nusedValue number\navailableCount number?\ndroppedCount number?\ntruncated boolean\nrequiredEvidenceAffected boolean\nadequacyImpact string?",
+    "budget": "characters present\nlimits @limit[]\n?characters object?\ncharacters.measured number\ncharacters.limit number?\ncharacters.truncated boolean\nwarnings string[]",
+    "cut": "id string\naffectedGroup string\nlimit number?\nused number\navailable number\ndroppedCount count\ndroppedEvidenceIds string[]\nrequiredEvidenceLost boolean\nadequacyImpact string?\nreason string",
+    "truncation": "truncated boolean\nrecords @cut[]\nwarnings string[]",
+    "fallback": f"id string\nfilePath string\nreason string\nrequestedEvidenceKind string?\nboundedRetrievalAttempted boolean\nsourceRangesAttempted count\nincludedLineCount count\nincludedCharacterCount count\nrole {_ROLE}\nresponsibilityIdsAffected string[]\nallowed boolean\nprovenance string",
+    "fallbacks": "enabled boolean\nlimit number?\nused count\nfallbacks @fallback[]\nwarnings string[]",
+    "named": "name string\nversion string",
+    "index": "indexPath string\nmanifestPath string",
+}
+RETRIEVAL_RECORD = """
+schemaVersion version
+generatedAt string
+tool @named
+request @request
+index @index
+steps @step[]
+fallbacks string[]
+fullFileReadRecommendations @recommendation[]
+warnings string[]
+contextAdequacy @adequacy
+roleContext @roleContext
+responsibilityMappings @mappings
+roleAdequacy @roleAdequacy
+freshness @freshness
+budget @budget
+truncation @truncation
+fullFileFallback @fallbacks
+provenance @provenance[]
+"""
+
+
 # Fields, differences, canonical text --------------------------------------------
 
 
