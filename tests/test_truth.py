@@ -65,3 +65,11 @@ def test_candidate_roll_up(spark):
 def test_labels_and_durations(spark):
     row = spark.createDataFrame([('a\\b "c"\n\r<d>{e}|f', "2024-01-01 00:00:00.250", "2024-01-01 00:00:02")], "t string, s string, e string").select(X.escape_dot_label(F.col("t")), X.duration_ms(F.col("s").cast("timestamp"), F.col("e").cast("timestamp")), X.duration_ms(F.col("e").cast("timestamp"), F.col("s").cast("timestamp"))).first()
     assert row[:] == ('a\\\\b \\"c\\"\\n\\r\\<d\\>\\{e\\}\\|f', 1750, -1750)
+
+
+def test_order_of_dictionaries(spark):
+    words = ["b", "A", "a", "é", "e", "_x", "Z", "z-1", "z1", "E", "ß", "ss"]
+    got = spark.createDataFrame([(words + ["a"],)], "w array<string>").select(X.locale_sorted(F.col("w"))).first()[0]
+    assert got == ["_x", "a", "A", "b", "e", "E", "é", "ss", "ß", "Z", "z-1", "z1"]
+    rows = spark.createDataFrame([(c, "r", None, "p", i, None, "f") for i, c in enumerate(["b", "A", "é", "a", "e"])], "category string, rule_id string, module_path string, path string, line int, col int, fingerprint string")
+    assert [r.category for r in rows.orderBy(*security.candidate_order()).collect()] == ["a", "A", "b", "e", "é"]

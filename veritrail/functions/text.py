@@ -206,6 +206,16 @@ def line_of(x: Column, match: Column) -> Column:
     return F.length(head) - F.length(F.replace(head, F.lit("\n"))) + 1
 
 
+def locale_order(x: Column) -> Column:
+    """A sort key in the order of dictionaries: case and accents decide only between texts that are alike without them."""
+    return F.collate(x, "UNICODE")
+
+
+def locale_sorted(items: Column) -> Column:
+    """The distinct items of a list in the order of dictionaries; texts that differ stay apart."""
+    return F.array_sort(F.transform(F.array_distinct(items), lambda x: F.collate(x, "UNICODE")))
+
+
 def utf16_order(x: Column) -> Column:
     """A binary sort key; ``COLLATE UNICODE`` instead gives a dictionary's order."""
     return F.encode(x, "UTF-16BE")

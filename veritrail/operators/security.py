@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veritrail.functions.text import identifier_words
+from veritrail.functions.text import identifier_words, locale_order
 from veritrail.operators.audit import lookup
 
 # Why a check counts toward a verdict.
@@ -110,8 +110,9 @@ def classify_identifiers(identifiers: DataFrame, dictionary: dict[str, str], col
 
 
 def candidate_order() -> list[Column]:
-    """The total order of candidates; unknown module and line come first."""
-    return [F.col("category"), F.col("rule_id"), F.asc_nulls_first("module_path"), F.col("path"), F.asc_nulls_first("line"), F.asc_nulls_first("col"), F.col("fingerprint")]
+    """The total order of candidates, texts as in dictionaries; unknown module and line come first."""
+    text = lambda name: locale_order(F.col(name)).asc_nulls_first()
+    return [text("category"), text("rule_id"), text("module_path"), text("path"), F.asc_nulls_first("line"), F.asc_nulls_first("col"), text("fingerprint")]
 
 
 def candidate_summary(candidates: DataFrame) -> DataFrame:

@@ -102,9 +102,18 @@ def document_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truth.documents(docs).select("path", F.col("title").isNotNull().alias("titled"), "is_readme", "mentions_audit", "mentions_planned_commands", "mentions_release_publish")
 
 
-QUERIES = {f.__name__: f for f in (candidate_roll_up, package_facts, document_facts, import_facts, word_places, security_claims, cross_platform_calls, audit_run)}
+def collated_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distinct words of each document, accents and capitals among them, in the order of dictionaries."""
+    words = F.filter(F.split("text", r"[^\p{L}]+"), lambda w: w != "")
+    rows = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", text.locale_sorted(words).alias("w"))
+    return rows.where(F.size("w") > 0).select("doc_id", F.size("w").cast("long").alias("n"), F.md5(F.array_join("w", " ")).alias("digest"))
+
+
+QUERIES = {f.__name__: f for f in (collated_words, candidate_roll_up, package_facts, document_facts, import_facts, word_places, security_claims, cross_platform_calls, audit_run)}
 
 ORACLE_SQL = {
+    "collated_words": """WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_split_to_array("text", '[^\\p{L}]+')) AS w FROM documents WHERE "text" IS NOT NULL)
+SELECT doc_id, count(*) AS n, md5(string_agg(w, ' ' ORDER BY w COLLATE en_us)) AS digest FROM w WHERE w <> '' GROUP BY doc_id""",
     "candidate_roll_up": """WITH c AS (SELECT user_id, CASE WHEN value > 80 THEN 'high' ELSE 'low' END AS confidence, ['resolved', 'missing', 'unresolved'][event_id % 3 + 1] AS state, event_type FROM events)
 SELECT 'total' AS dimension, NULL AS value, count(*) AS n FROM c UNION ALL SELECT 'checks_with_candidates', NULL, count(DISTINCT user_id) FROM c UNION ALL SELECT 'category', event_type, count(*) FROM c GROUP BY 2
 UNION ALL SELECT 'confidence', v, (SELECT count(*) FROM c WHERE confidence = v) FROM (SELECT unnest(['unknown', 'low', 'medium', 'high']) AS v)
