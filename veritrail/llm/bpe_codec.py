@@ -40,8 +40,8 @@ class Codec:
     def __init__(self, path: str) -> None:
         self.vocabulary = bpe.Vocabulary(path)
         self.find = regex.compile(WORD_PATTERN).findall
-        self.words = bpe.Memo(self._word, limit=2 * bpe.CACHE_WORDS)
-        self.chunks = bpe.Memo(self._chunk, limit=3 * bpe.CACHE_WORDS // 2)
+        self.words = bpe.Memo(self._word, limit=bpe.CACHE_WORDS)
+        self.chunks = bpe.Memo(self._chunk, limit=3 * bpe.CACHE_WORDS // 4)
         self.numbers = [str(i) for i in range(len(self.vocabulary.names))]
 
     def _word(self, word: str) -> tuple[int, ...]:
