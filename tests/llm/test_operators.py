@@ -400,6 +400,19 @@ def test_skip_edges_carry_labels():
     assert pii.added_spans("no evidence 974-555-3436", [], field) == []
 
 
+def test_texts_without_base_spans_are_judged(spark):
+    """Two numbers side by side hide each other from the base patterns, and no other span is evidence."""
+    unary = np.zeros((pii.FEATURES, 5))
+    unary[pii._bucket("luhn True"), pii.LABELS.index("card")] = 9.0
+    field = pii.Field(unary, np.zeros((5, 5)), np.zeros((5, 5)))
+    text = "paid 12345678 4111111111111111 for 12"
+    assert pii.base_spans(text) == []
+    assert [(k, text[a:b]) for k, a, b in pii.added_spans(text, [], field)] == [("card", "4111111111111111")]
+    assert pii.masked_text(text, field) == "paid 12345678 <card> for 12"
+    got = pii.find(docs(spark, [(1, text, None)]), field).first()
+    assert (got.n_card, got.n_added, got.spans) == (0, 1, "card:14:30")
+
+
 def test_beliefs_are_exact_on_trees():
     """Without loops the messages give the marginals of the field, here found by going through all labellings."""
     from itertools import product

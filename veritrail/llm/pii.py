@@ -16,7 +16,8 @@ whole document; a token whose belief in a kind reaches ``SURE`` becomes an added
 span, so that a repeat of a known number is found where it lacks its ``+1`` or
 stands right beside another number, which hides both from the base patterns.
 Tokens that stay below it, such as numbers that fail their check, are left alone.
-Without a base span in the document there is no evidence and nothing is added. Potentials are trained piece by piece on the base
+A document without a base span has no evidence; its tokens are judged by shape,
+neighbours and each other alone. Potentials are trained piece by piece on the base
 spans of a bounded sample: ``SAMPLE`` documents with candidates, chosen by a hash
 of doc_id, of each of which ``PER_DOC`` tokens and as many edges of either kind,
 chosen by a hash of their place over the whole text, reach the driver as feature
@@ -208,8 +209,8 @@ def beliefs(field: Field, found: list[Token], rounds: int = ROUNDS) -> np.ndarra
 
 def added_spans(text: str, base: list[Span], field: Field | None) -> list[Span]:
     """Spans of the field beside the base ones; phone tokens with a single space between are one span."""
-    if field is None or not base:
-        return []  # without evidence no token can agree with one
+    if field is None:
+        return []
     found = tokens(text)
     clamp(found, base)
     if all(t.label for t in found):
