@@ -1,4 +1,4 @@
-"""Tables that are read more than once, written where all executors find them."""
+"""Tables that are read more than once, written where all executors find them, and rows that are too much work to stay in few tasks."""
 
 from __future__ import annotations
 
@@ -16,3 +16,12 @@ def stored(df: DataFrame) -> DataFrame:
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoints-"))
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` by a hash of ``columns``, in as many tasks as shuffles have.
+
+    Rows of a small file lie in one task, however long each of them is worked on;
+    the number is given, as adaptive plans would put small rows together again.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritrail.functions.code import code_only
+from veritrail.functions.stored import spread
 from veritrail.functions.text import line_of, matches
 from veritrail.operators.audit import lookup
 
@@ -45,7 +46,8 @@ def source_facts(files: DataFrame) -> DataFrame:
     code = F.lit(None).cast("string")
     for name in IMPORTS:
         code = F.when(F.col("language") == name, code_only(F.col("content"), name)).otherwise(code)
-    kept = files.where(F.col("role").isin("source", "test")).withColumn("_code", F.when(F.octet_length("content") <= MOST_BYTES, code)).withColumn("_lines", F.split("_code", r"\r?\n"))
+    # Small files are much work for few bytes, so they are dealt out before it.
+    kept = spread(files.where(F.col("role").isin("source", "test")), "path").withColumn("_code", F.when(F.octet_length("content") <= MOST_BYTES, code)).withColumn("_lines", F.split("_code", r"\r?\n"))
     known = F.col("language").isin(list(IMPORTS))
     small = F.coalesce(F.octet_length("content") <= MOST_BYTES, F.lit(False))
     if "size_bytes" in files.columns:  # an inventory may say that it read less than the file

@@ -1,11 +1,11 @@
 """JSON documents as rows of paths, and what can be asked of such rows: rules, selected fields, differences, canonical text.
 
-A document is walked level by level by a recursive query over VARIANT. Every
-value gives a row: source, path (``a.b[0].c``; the root is empty), pattern (the
+A document is walked level by level over VARIANT, within its row, so its parts
+meet without a shuffle. Every value gives a row: source, path (``a.b[0].c``; the root is empty), pattern (the
 path without the numbers in brackets), name (the last key), indexes (the numbers),
 steps (the place among its siblings at each level, keys in order), depth, type
-(object, array, string, number, boolean, null), text (of a scalar) and deeper,
-which is set where there is more below ``most_depth``. Keys that JSON repeats make
+(object, array, string, number, boolean, null), text (of a scalar), deeper,
+which is set where there is more below ``most_depth``, and keys (of an object). Keys that JSON repeats make
 a document malformed. Null, empty and malformed documents give no row.
 """
 
@@ -16,35 +16,56 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veritrail.functions.recursion import recursive
-from veritrail.functions.stored import stored
+from veritrail.functions.stored import spread
 
 MOST_DEPTH = 64
-_TYPES = {"OBJECT": "object", "ARRAY": "array", "STRING": "string", "BOOLEAN": "boolean", "VOID": "null"}
+_TYPES = {"STRING": "string", "BOOLEAN": "boolean", "VOID": "null"}
+_ROW = "array<struct<path:string,pattern:string,name:string,indexes:array<int>,steps:array<int>,depth:int,type:string,text:string,deeper:boolean,keys:array<string>>>"
+
+
+def _rows(raw: Column, most_depth: int) -> Column:
+    """The rows of one document in an array, level by level; null where ``raw`` is no document."""
+    # No value lies below more openers than the text has.
+    openers = F.length(raw) - F.length(F.translate(raw, "{[", ""))
+    levels = F.sequence(F.lit(0), F.least(F.lit(most_depth), openers))
+    none = F.array().cast("array<int>")
+    root = F.struct(F.lit("").alias("path"), F.lit("").alias("pattern"), F.lit(None).cast("string").alias("name"), none.alias("indexes"), none.alias("steps"), F.lit(0).alias("depth"), F.try_parse_json(raw).alias("node"))
+    within = lambda of, part: F.when(of == "", part).otherwise(F.concat(of, F.lit("."), part))
+
+    def opened(v: Column) -> Column:
+        return F.struct(v.alias("v"), F.try_variant_get(v["node"], "$", "map<string,variant>").alias("fields"), F.try_variant_get(v["node"], "$", "array<variant>").alias("items"))
+
+    def row(o: Column) -> Column:
+        v, schema = o["v"], F.schema_of_variant(o["v"]["node"])
+        kind = F.lit("number")
+        for prefix in ("STRING", "BOOLEAN", "VOID"):
+            kind = F.when(schema.startswith(prefix), _TYPES[prefix]).otherwise(kind)
+        kind = F.when(o["fields"].isNotNull(), "object").when(o["items"].isNotNull(), "array").otherwise(kind)
+        scalar = o["fields"].isNull() & o["items"].isNull()
+        deeper = (v["depth"] == most_depth) & (F.coalesce(F.size(o["fields"]), F.size(o["items"]), F.lit(0)) > 0)
+        cells = [v[c].alias(c) for c in ("path", "pattern", "name", "indexes", "steps", "depth")]
+        return F.struct(*cells, kind.alias("type"), F.when(scalar, F.try_variant_get(v["node"], "$", "string")).alias("text"), F.coalesce(deeper, F.lit(False)).alias("deeper"), F.map_keys(o["fields"]).alias("keys"))
+
+    def below(o: Column) -> Column:
+        v = o["v"]
+        step = lambda i: F.concat(v["steps"], F.array(i)).alias("steps")
+        deep = (v["depth"] + 1).alias("depth")
+        field = lambda e, i: F.struct(within(v["path"], e["key"]).alias("path"), within(v["pattern"], e["key"]).alias("pattern"), e["key"].alias("name"), v["indexes"].alias("indexes"), step(i), deep, e["value"].alias("node"))
+        item = lambda x, i: F.struct(F.concat(v["path"], F.lit("["), i.cast("string"), F.lit("]")).alias("path"), F.concat(v["pattern"], F.lit("[]")).alias("pattern"), F.lit(None).cast("string").alias("name"), F.concat(v["indexes"], F.array(i)).alias("indexes"), step(i), deep, x.alias("node"))
+        return F.when(o["fields"].isNotNull(), F.transform(F.map_entries(o["fields"]), field)).when(o["items"].isNotNull(), F.transform(o["items"], item)).otherwise(F.slice(F.array(v), 1, 0))
+
+    def follow(held: Column, _: Column) -> Column:
+        level = F.transform(held["level"], opened)
+        return F.get(F.transform(F.array(level), lambda x: F.struct(F.flatten(F.transform(x, below)).alias("level"), F.concat(held["found"], F.transform(x, row)).alias("found"))), F.lit(0))
+
+    begin = F.struct(F.array(root).alias("level"), F.array().cast(_ROW).alias("found"))
+    found = F.aggregate(levels, begin, follow, lambda held: held["found"])
+    return F.when(F.try_parse_json(raw).isNotNull(), found)
 
 
 def walk(raw: DataFrame, most_depth: int = MOST_DEPTH) -> DataFrame:
     """Rows of the documents (source, raw); each source is one document."""
-    rows = recursive(
-        f"""WITH RECURSIVE nodes(source, path, pattern, name, indexes, steps, depth, node) MAX RECURSION LEVEL {most_depth + 1} AS (
-          SELECT source, '', '', CAST(NULL AS STRING), CAST(array() AS ARRAY<INT>), CAST(array() AS ARRAY<INT>), 0, try_parse_json(raw) FROM {{raw}} WHERE try_parse_json(raw) IS NOT NULL
-          UNION ALL
-          SELECT source,
-            CASE WHEN child.key IS NULL THEN concat(path, '[', child.pos, ']') WHEN path = '' THEN child.key ELSE concat(path, '.', child.key) END,
-            CASE WHEN child.key IS NULL THEN concat(pattern, '[]') WHEN pattern = '' THEN child.key ELSE concat(pattern, '.', child.key) END,
-            child.key, CASE WHEN child.key IS NULL THEN concat(indexes, array(child.pos)) ELSE indexes END, concat(steps, array(child.pos)), depth + 1, child.value
-          FROM nodes, LATERAL variant_explode(node) AS child WHERE depth < {most_depth}
-        ) SELECT * FROM nodes""",
-        raw=raw.select("source", "raw"),
-    )
-    schema = F.schema_of_variant("node")
-    kind = F.lit("number")
-    for prefix, name in _TYPES.items():
-        kind = F.when(schema.startswith(prefix), name).otherwise(kind)
-    scalar = ~F.col("type").isin("object", "array", "null")
-    below = schema.isin("OBJECT<>", "ARRAY<VOID>")
-    typed = rows.withColumn("type", kind)
-    return typed.withColumns({"text": F.when(scalar, F.try_variant_get("node", "$", "string")), "deeper": (F.col("depth") == most_depth) & F.col("type").isin("object", "array") & ~below}).drop("node")
+    return spread(raw.select("source", "raw"), "source").select("source", F.inline(_rows(F.col("raw"), most_depth)))
 
 
 # Rules ------------------------------------------------------------------------
@@ -103,42 +124,52 @@ def rule_table(rules: str, like: DataFrame, blocks: dict[str, str] | None = None
 
 def first_failures(raw: DataFrame, rules: str, blocks: dict[str, str] | None = None) -> DataFrame:
     """source, code, field_path, expected of the first rule that each document (source, raw) breaks, in the order of the rules, items one after another."""
-    walked = stored(walk(raw))
     table = rule_table(rules, raw, blocks)
-    placed = F.transform("place", lambda p: F.coalesce(p["rule"], F.get("indexes", p["slot"])))
-    failure = lambda code, path, expected: F.struct(F.lit(code).alias("code") if isinstance(code, str) else code.alias("code"), path.alias("field_path"), expected.cast("string").alias("expected"))
-
-    unread = raw.select("source", F.try_parse_json("raw").alias("v"))
-    early = unread.select("source", F.when(F.col("v").isNull(), "MALFORMED_JSON").when(~F.schema_of_variant("v").startswith("OBJECT"), "NON_OBJECT_ROOT").alias("code")).where("code IS NOT NULL").select("source", F.array(F.lit(0)).alias("key"), failure(F.col("code"), F.lit(None).cast("string"), F.lit(None)).alias("f"))
-
-    fields = table.where("field IS NOT NULL AND NOT optional AND kind <> 'unique'")
-    path = F.when(F.col("path") == "", F.col("field")).otherwise(F.concat("path", F.lit("."), "field"))
-    wanted = walked.where("type = 'object'").select("source", "path", F.col("pattern").alias("parent"), "indexes").join(fields, "parent").select("source", path.alias("path"), placed.alias("key"))
-    missing = wanted.join(walked.select("source", "path"), ["source", "path"], "left_anti").select("source", "key", failure("MISSING_REQUIRED_FIELD", F.col("path"), F.lit("present")).alias("f"))
-
-    kind, type_ = F.col("kind"), F.col("type")
-    any_key = F.when(F.col("name").isNotNull(), F.concat(F.regexp_replace("pattern", r"(^|\.)[^.]*$", ""), F.lit(".*")))
-    known = walked.join(table.where("kind <> 'unique' AND pattern NOT LIKE '%*'"), "pattern")
-    starred = walked.withColumn("pattern", any_key).join(table.where("kind <> 'unique' AND pattern LIKE '%*'"), "pattern")
-    held = known.unionByName(starred.select(*known.columns)).where(~(F.col("nullable") & (type_ == "null")) & ~(F.col("flag") & (type_ == "boolean")) & (kind != "present"))
+    failure = lambda code, path, expected: F.struct(code.alias("code"), path.alias("field_path"), expected.cast("string").alias("expected"))
+
+    unread = spread(raw.select("source", "raw"), "source").select("source", F.try_parse_json("raw").alias("v"))
+    early = unread.select("source", F.when(F.col("v").isNull(), "MALFORMED_JSON").when(F.try_variant_get("v", "$", "map<string,variant>").isNull(), "NON_OBJECT_ROOT").alias("code")).where("code IS NOT NULL").select("source", F.array(F.lit(0)).alias("key"), failure(F.col("code"), F.lit(None).cast("string"), F.lit(None)).alias("f"), F.lit(None).cast("string").alias("item"))
+
+    # A value meets the rules of its own pattern, those of its fields, those of any key and those of lists with distinct items, all in one join.
+    under = lambda use, pattern, where: table.where(where).select(F.lit(use).alias("use"), pattern.alias("at"), "field", "kind", "nullable", "flag", "allowed", "code", "place")
+    met = under("own", F.col("pattern"), "kind <> 'unique' AND pattern NOT LIKE '%*'").unionByName(under("field", F.col("parent"), "field IS NOT NULL AND NOT optional AND kind <> 'unique'")).unionByName(under("any", F.col("pattern"), "kind <> 'unique' AND pattern LIKE '%*'")).unionByName(under("unique", F.concat("pattern", F.lit("[]."), "of"), "kind = 'unique'"))
+    last = F.length(F.substring_index("pattern", ".", -1))
+    any_key = F.concat(F.substr("pattern", F.lit(1), F.greatest(F.length("pattern") - last - 1, F.lit(0))), F.lit(".*"))
+    look = lambda use, at: F.struct(F.lit(use).alias("use"), at.alias("at"))
+    looks = F.array(look("own", F.col("pattern")), look("field", F.when(F.col("type") == "object", F.col("pattern"))), look("any", F.when(F.col("name").isNotNull(), any_key)), look("unique", F.when(F.col("text").isNotNull(), F.col("pattern"))))
+    seen = walk(raw).select("source", "path", "indexes", "type", "text", "keys", F.inline(looks)).where("at IS NOT NULL").join(F.broadcast(met.withColumnRenamed("code", "coded")), ["use", "at"])
+
+    use, kind, type_ = F.col("use"), F.col("kind"), F.col("type")
+    exempt = (F.col("nullable") & (type_ == "null")) | (F.col("flag") & (type_ == "boolean")) | (kind == "present")
     version = F.coalesce(F.col("text").rlike(r"^[0-9]+\.[0-9]+\.[0-9]+$"), F.lit(False)) & (type_ == "string")
     wanted_type = F.when(kind.isin("literal", "version"), "string").when(kind == "count", "number").otherwise(kind)
     number = F.col("text").try_cast("double")
     off = F.when(kind == "scalar", type_.isin("object", "array")).otherwise(wanted_type != type_)
     code = (
-        F.when((kind == "version") & ~version, "INVALID_SCHEMA_VERSION")
+        F.when(use == "field", F.when(~F.array_contains("keys", F.col("field")), "MISSING_REQUIRED_FIELD"))
+        .when(use == "unique", F.col("coded"))
+        .when(exempt, F.lit(None))
+        .when((kind == "version") & ~version, "INVALID_SCHEMA_VERSION")
         .when((kind == "version") & (F.regexp_extract("text", "^0*([0-9]+)", 1) != "1"), "UNSUPPORTED_SCHEMA_MAJOR")
         .when((kind != "version") & off, "INVALID_FIELD_TYPE")
         .when((kind == "count") & ~F.coalesce((number >= 0) & (number == F.floor(number)), F.lit(False)), "INVALID_FIELD_TYPE")
         .when((kind == "literal") & ~F.array_contains("allowed", F.col("text")), "INVALID_LITERAL_VALUE")
     )
-    expected = F.when(code == "INVALID_LITERAL_VALUE", F.array_join("allowed", " | ")).when(code == "UNSUPPORTED_SCHEMA_MAJOR", "1").when(code == "INVALID_SCHEMA_VERSION", r"^[0-9]+\.[0-9]+\.[0-9]+$").when(kind == "scalar", "string | number | boolean | null").when((kind == "count") & (type_ == "number"), "nonnegative integer").otherwise(wanted_type)
-    wrong = held.withColumn("code", code).where("code IS NOT NULL").select("source", placed.alias("key"), failure(F.col("code"), F.col("path"), expected).alias("f"))
+    expected = F.when(use == "field", "present").when(use == "unique", F.lit(None)).when(F.col("_code") == "INVALID_LITERAL_VALUE", F.array_join("allowed", " | ")).when(F.col("_code") == "UNSUPPORTED_SCHEMA_MAJOR", "1").when(F.col("_code") == "INVALID_SCHEMA_VERSION", r"^[0-9]+\.[0-9]+\.[0-9]+$").when(kind == "scalar", "string | number | boolean | null").when((kind == "count") & (type_ == "number"), "nonnegative integer").otherwise(wanted_type)
+    below = F.when(F.col("path") == "", F.col("field")).otherwise(F.concat("path", F.lit("."), "field"))
+    at = F.when(use == "field", below).when(use == "unique", F.regexp_replace("path", r"\[[0-9]+\]\.[^.\]]*$", "")).otherwise(F.col("path"))
+    placed = F.transform("place", lambda p: F.coalesce(p["rule"], F.get("indexes", p["slot"])))
+    item = F.when(use == "unique", F.col("text"))
+    wrong = seen.withColumn("_code", code).where("_code IS NOT NULL").select("source", placed.alias("key"), failure(F.col("_code"), at, expected).alias("f"), item.alias("item"))
 
-    unique = table.where("kind = 'unique'").select(F.concat("pattern", F.lit("[]."), "of").alias("pattern"), F.col("pattern").alias("list"), F.col("code").alias("coded"), "place")
-    outer = F.regexp_replace("path", r"\[[0-9]+\]\.[^.\]]*$", "")
-    shared = walked.join(unique, "pattern").where("text IS NOT NULL").groupBy("source", outer.alias("path"), "text", "coded", F.transform("place", lambda p: F.coalesce(p["rule"], F.get("indexes", p["slot"]))).alias("key")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("source", "key", failure(F.col("coded"), F.col("path"), F.lit(None)).alias("f"))
-    return early.unionByName(missing).unionByName(wrong).unionByName(shared).groupBy("source").agg(F.min_by("f", "key").alias("f")).select("source", "f.*")
+    # An item of a list with distinct items is a failure where the next in order is like it; items of one text meet in a sorted list.
+    plain = F.col("item").isNull()
+    first = F.struct(F.min(F.when(plain, F.col("key"))).alias("key"), F.min_by(F.when(plain, F.col("f")), F.when(plain, F.col("key"))).alias("f"))
+    items = F.array_sort(F.collect_list(F.when(~plain, F.struct("key", "item", "f"))))
+    met = early.unionByName(wrong).groupBy("source").agg(first.alias("first"), items.alias("items"))
+    like = F.zip_with("items", F.slice("items", 2, F.greatest(F.size("items"), F.lit(1))), lambda a, b: F.when(a.eqNullSafe(b), F.struct(a["key"].alias("key"), a["f"].alias("f"))))
+    found = F.array_min(F.filter(F.concat(F.array("first"), like), lambda x: x["key"].isNotNull()))
+    return met.select("source", found["f"].alias("f")).where("f IS NOT NULL").select("source", "f.*")
 
 
 # What the published packet of instructions must hold, in the order in which it is checked.
@@ -352,13 +383,13 @@ def structural_injection(pairs: DataFrame) -> DataFrame:
 
     pairs: source, baseline, candidate, one document rendered twice, with harmless and with hostile content.
     """
-    parsed = F.try_parse_json("baseline").isNotNull() & F.try_parse_json("candidate").isNotNull()
-    sides = F.explode(F.array(F.struct(F.lit(False).alias("hostile"), F.col("baseline").alias("raw")), F.struct(F.lit(True).alias("hostile"), F.col("candidate").alias("raw"))))
-    both = pairs.where(parsed).select(F.col("source").alias("of"), sides.alias("s")).select(F.struct("of", "s.hostile").alias("source"), "s.raw")
-    keys = walk(both).where("name IS NOT NULL").groupBy("source.of", "pattern").agg(F.bool_and("source.hostile").alias("only"), F.min("depth").alias("depth")).where("only")
-    found = keys.groupBy(F.col("of").alias("source")).agg(F.array_sort(F.collect_list(F.when(F.col("depth") == 1, F.col("pattern")))).alias("injected_keys"), F.array_sort(F.collect_list("pattern")).alias("injected_patterns"))
+    named = lambda side: F.transform(F.filter(_rows(F.col(side), MOST_DEPTH), lambda r: r["name"].isNotNull()), lambda r: F.struct(r["pattern"].alias("pattern"), r["depth"].alias("depth")))
+    patterns = lambda rows: F.transform(rows, lambda r: r["pattern"])
+    walked = spread(pairs, "source").select("source", named("baseline").alias("b"), named("candidate").alias("c"))
+    new = walked.withColumn("new", F.array_sort(F.array_except(patterns(F.col("c")), patterns(F.col("b")))))
+    top = patterns(F.filter("c", lambda r: r["depth"] == 1))
     none = F.array().cast("array<string>")
-    return pairs.select("source", F.coalesce(parsed, F.lit(False)).alias("parseable")).join(found, "source", "left").select("source", "parseable", F.coalesce("injected_keys", none).alias("injected_keys"), F.coalesce("injected_patterns", none).alias("injected_patterns"))
+    return new.select("source", (F.col("b").isNotNull() & F.col("c").isNotNull()).alias("parseable"), F.coalesce(F.array_sort(F.array_intersect("new", top)), none).alias("injected_keys"), F.coalesce("new", none).alias("injected_patterns"))
 
 
 def number_text(x: Column) -> Column:
@@ -378,17 +409,21 @@ def canonical(raw: DataFrame, most_depth: int = MOST_DEPTH) -> DataFrame:
     error is ``malformed``, ``non-finite number`` or ``too deep``, and canonical is null then.
     Each value gives the pieces of text before and after its parts, which are put in order by the values' places.
     """
-    walked = walk(raw, most_depth)
     last = 2**31 - 1
-    quoted = lambda s: F.expr(f"substring(to_json(struct({s} AS v)), 6, length(to_json(struct({s} AS v))) - 6)")
-    scalar = F.when(F.col("type") == "string", quoted("text")).when(F.col("type") == "number", number_text(F.col("text"))).when(F.col("type") == "null", "null").otherwise(F.col("text"))
-    comma = F.when(F.element_at("steps", -1) > 0, ",").otherwise("")
-    lead = F.when(F.col("depth") == 0, "").when(F.col("name").isNull(), comma).otherwise(F.concat(comma, quoted("name"), F.lit(":")))
-    opened = F.when(F.col("type") == "object", "{").when(F.col("type") == "array", "[").otherwise(scalar)
-    closed = F.when(F.col("type") == "object", "}").when(F.col("type") == "array", "]")
-    start = F.struct("steps", F.concat(lead, F.coalesce(opened, F.lit("?"))).alias("piece"))
-    end = F.struct(F.concat("steps", F.array(F.lit(last))).alias("steps"), F.coalesce(closed, F.lit("")).alias("piece"))
-    error = F.when(opened.isNull(), "non-finite number").when(F.col("deeper"), "too deep")
-    pieces = walked.select("source", error.alias("error"), F.explode(F.array(start, end)).alias("p"))
-    texts = pieces.groupBy("source").agg(F.max("error").alias("error"), F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["piece"]), "").alias("canonical"))
-    return raw.select("source").join(texts, "source", "left").select("source", F.when(F.col("error").isNull(), F.col("canonical")).alias("canonical"), F.coalesce("error", F.when(F.col("canonical").isNull(), "malformed")).alias("error"))
+    quoted = lambda s: F.regexp_replace(F.to_json(F.struct(s.alias("v"))), r'(?s)^\{"v":(.*)\}$', "$1")
+
+    def pieces(r: Column) -> Column:
+        scalar = F.when(r["type"] == "string", quoted(r["text"])).when(r["type"] == "number", number_text(r["text"])).when(r["type"] == "null", "null").otherwise(r["text"])
+        comma = F.when(F.element_at(r["steps"], -1) > 0, ",").otherwise("")
+        lead = F.when(r["depth"] == 0, "").when(r["name"].isNull(), comma).otherwise(F.concat(comma, quoted(r["name"]), F.lit(":")))
+        opened = F.when(r["type"] == "object", "{").when(r["type"] == "array", "[").otherwise(scalar)
+        closed = F.when(r["type"] == "object", "}").when(r["type"] == "array", "]")
+        error = F.when(opened.isNull(), "non-finite number").when(r["deeper"], "too deep")
+        start = F.struct(r["steps"].alias("steps"), F.concat(lead, F.coalesce(opened, F.lit("?"))).alias("piece"), error.alias("error"))
+        end = F.struct(F.concat(r["steps"], F.array(F.lit(last))).alias("steps"), closed.alias("piece"), F.lit(None).cast("string").alias("error"))
+        return F.when(closed.isNull(), F.array(start)).otherwise(F.array(start, end))
+
+    texts = spread(raw.select("source", "raw"), "source").select("source", F.flatten(F.transform(_rows(F.col("raw"), most_depth), pieces)).alias("p"))
+    error = F.array_max(F.transform("p", lambda p: p["error"]))
+    whole = texts.select("source", error.alias("error"), F.array_join(F.transform(F.array_sort("p"), lambda p: p["piece"]), "").alias("canonical"))
+    return whole.select("source", F.when(F.col("error").isNull(), F.col("canonical")).alias("canonical"), F.coalesce("error", F.when(F.col("canonical").isNull(), "malformed")).alias("error"))

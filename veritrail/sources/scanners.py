@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veritrail.functions.recursion import recursive
+from veritrail.functions.stored import spread
 from veritrail.operators.audit import NPM_SEVERITY, lookup
 
 MOST_RESULTS = 5_000
@@ -70,22 +70,34 @@ def npm_tree(raw: DataFrame, most_depth: int = MOST_DEPTH) -> DataFrame:
     Only a flag that is the JSON value true counts; a name that is no string is
     ``unknown``; null, empty and malformed outputs have no node.
     """
-    walked = recursive(
-        f"""WITH RECURSIVE nodes(source, path, depth, node) MAX RECURSION LEVEL {most_depth + 1} AS (
-          SELECT source, CAST(array() AS ARRAY<STRING>), 0, try_parse_json(raw) FROM {{raw}} WHERE try_parse_json(raw) IS NOT NULL
-          UNION ALL
-          SELECT source, concat(path, array(child.key)), depth + 1, child.value
-          FROM nodes, LATERAL variant_explode(try_variant_get(node, '$.dependencies', 'variant')) AS child
-          WHERE depth < {most_depth} AND child.key IS NOT NULL
-        ) SELECT * FROM nodes""",
-        raw=raw.select("source", "raw"),
-    )
-    part = lambda name: F.try_variant_get("node", f"$.{name}", "variant")
-    is_a = lambda name, kind: F.coalesce(F.schema_of_variant(part(name)).startswith(kind), F.lit(False))
-    flag = lambda name: is_a(name, "BOOLEAN") & F.coalesce(F.try_variant_get("node", f"$.{name}", "boolean"), F.lit(False))
-    name = F.when(is_a("name", "STRING"), F.try_variant_get("node", "$.name", "string")).otherwise("unknown")
-    below = is_a("dependencies", "OBJECT") & (F.schema_of_variant(part("dependencies")) != "OBJECT<>")
-    return walked.select("source", "path", "depth", name.alias("name"), flag("missing").alias("missing"), flag("invalid").alias("invalid"), ((F.col("depth") == most_depth) & below).alias("deeper"))
+    openers = F.length("raw") - F.length(F.replace("raw", F.lit("{")))
+    root = F.struct(F.array().cast("array<string>").alias("path"), F.lit(0).alias("depth"), F.try_parse_json("raw").alias("node"))
+    part = lambda node, name: F.try_variant_get(node, f"$.{name}", "variant")
+    is_a = lambda node, name, kind: F.coalesce(F.schema_of_variant(part(node, name)).startswith(kind), F.lit(False))
+    flag = lambda node, name: is_a(node, name, "BOOLEAN") & F.coalesce(F.try_variant_get(node, f"$.{name}", "boolean"), F.lit(False))
+
+    def opened(v: Column) -> Column:
+        return F.struct(v.alias("v"), F.try_variant_get(v["node"], "$.dependencies", "map<string,variant>").alias("parts"))
+
+    def row(o: Column) -> Column:
+        v, node = o["v"], o["v"]["node"]
+        name = F.when(is_a(node, "name", "STRING"), F.try_variant_get(node, "$.name", "string")).otherwise("unknown")
+        deeper = (v["depth"] == most_depth) & (F.coalesce(F.size(o["parts"]), F.lit(0)) > 0)
+        return F.struct(v["path"].alias("path"), v["depth"].alias("depth"), name.alias("name"), flag(node, "missing").alias("missing"), flag(node, "invalid").alias("invalid"), deeper.alias("deeper"))
+
+    def below(o: Column) -> Column:
+        v = o["v"]
+        parts = F.transform(F.map_entries(o["parts"]), lambda e: F.struct(F.concat(v["path"], F.array(e["key"])).alias("path"), (v["depth"] + 1).alias("depth"), e["value"].alias("node")))
+        return F.coalesce(parts, F.slice(F.array(v), 1, 0))
+
+    def follow(held: Column, _: Column) -> Column:
+        level = F.transform(held["level"], opened)
+        return F.get(F.transform(F.array(level), lambda x: F.struct(F.flatten(F.transform(x, below)).alias("level"), F.concat(held["found"], F.transform(x, row)).alias("found"))), F.lit(0))
+
+    begin = F.struct(F.array(root).alias("level"), F.array().cast("array<struct<path:array<string>,depth:int,name:string,missing:boolean,invalid:boolean,deeper:boolean>>").alias("found"))
+    found = F.aggregate(F.sequence(F.lit(0), F.least(F.lit(most_depth), openers)), begin, follow, lambda held: held["found"])
+    rows = spread(raw.select("source", "raw"), "source").where(F.try_parse_json("raw").isNotNull())
+    return rows.select("source", F.inline(found))
 
 
 def npm_ls(raw: DataFrame, most_depth: int = MOST_DEPTH) -> DataFrame:
