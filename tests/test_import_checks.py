@@ -58,3 +58,17 @@ def test_full_file_baseline(spark):
         assert (got[case].total_chars, got[case].total_estimated_tokens) == (n, -(-n // 4))
     parts = expectations.full_file_parts(files).where("case_id = 'c'").orderBy("path").collect()
     assert "\n".join(r.part for r in parts) == text["c"]
+
+
+def test_facts_of_one_file_are_dealt_out_and_made_once(spark):
+    """A small table lies in one task; no filter that Spark infers for the explode may do the work before the rows are dealt out."""
+    from pyspark.sql import functions as F
+
+    from veritrail.operators import facts
+
+    files = spark.range(40).coalesce(1).select(F.col("id").cast("string").alias("path"), F.lit("typescript").alias("language"), F.lit("source").alias("role"), F.concat(F.lit("import a from './m"), F.col("id").cast("string"), F.lit("'\n")).alias("content"))
+    found = facts.source_facts(files).select("path", F.explode("imports").alias("i"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan
+    assert not [line for line in plan.splitlines() if "Filter" in line and "regexp_extract_all" in line]
+    assert sorted(r[0] for r in found.select("i.source").collect()) == sorted(f"./m{i}" for i in range(40))

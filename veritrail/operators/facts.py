@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritrail.functions.code import code_only
-from veritrail.functions.stored import spread
+from veritrail.functions.stored import once, spread
 from veritrail.functions.text import line_of, matches
 from veritrail.operators.audit import lookup
 
@@ -81,4 +81,4 @@ def source_facts(files: DataFrame) -> DataFrame:
         shown = {"python": lambda t, n: ~n.startswith("_"), "java": lambda t, n: t.contains("public"), "kotlin": lambda t, n: ~t.contains("private")}.get(name, lambda t, n: t.rlike(r"^\s*export\b"))
         return F.transform(hits, lambda x: F.struct(F.regexp_extract(x["text"], pattern, 1).alias("name"), lookup(KINDS, F.regexp_extract(x["text"], KEYWORD, 1), "unknown").alias("kind"), shown(x["text"], F.regexp_extract(x["text"], pattern, 1)).alias("exported"), x["line"].alias("line")))
 
-    return kept.select("path", lookup(ANALYZERS, F.col("language"), "file-level").alias("analyzer_id"), "language", "role", status.alias("parse_status"), per_language(IMPORTS, imports).alias("imports"), per_language(DECLARES, declarations).alias("declarations"))
+    return kept.select("path", lookup(ANALYZERS, F.col("language"), "file-level").alias("analyzer_id"), "language", "role", status.alias("parse_status"), once(per_language(IMPORTS, imports)).alias("imports"), once(per_language(DECLARES, declarations)).alias("declarations"))
