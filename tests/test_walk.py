@@ -187,3 +187,13 @@ def test_structural_injection(spark):
     pairs = spark.createDataFrame([(1, base, base.replace("SAFE", "x\\\", \\\"evil\\\": 1")), (2, base, base.replace("SAFE", 'x", "evil": "1', 1)), (3, base, base.replace('"SAFE"}', '"x", "own": {"er": 1}}')), (4, base, "{"), (5, None, base)], "source int, baseline string, candidate string")
     got = {r.source: (r.parseable, r.injected_keys, r.injected_patterns) for r in W.structural_injection(pairs).collect()}
     assert got == {1: (True, [], []), 2: (True, ["evil"], ["evil"]), 3: (True, [], ["list[].own", "list[].own.er"]), 4: (False, [], []), 5: (False, [], [])}
+
+
+def test_levels_are_not_shuffled(spark):
+    """Documents are dealt out once, whole; no recursive query sends their levels about."""
+    from veritrail.sources import scanners
+
+    docs = table(spark, ['{"a": [1, {"b": null}]}'])
+    for frame in (W.walk(docs), W.canonical(docs), W.structural_injection(docs.selectExpr("source", "raw AS baseline", "raw AS candidate")), scanners.npm_tree(docs)):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "UnionLoop" not in plan and plan.count("Exchange") == 1

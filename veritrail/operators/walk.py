@@ -55,10 +55,9 @@ def _rows(raw: Column, most_depth: int) -> Column:
         return F.when(o["fields"].isNotNull(), F.transform(F.map_entries(o["fields"]), field)).when(o["items"].isNotNull(), F.transform(o["items"], item)).otherwise(F.slice(F.array(v), 1, 0))
 
     def follow(held: Column, _: Column) -> Column:
-        level = F.transform(held["level"], opened)
-        return F.get(F.transform(F.array(level), lambda x: F.struct(F.flatten(F.transform(x, below)).alias("level"), F.concat(held["found"], F.transform(x, row)).alias("found"))), F.lit(0))
+        return F.struct(F.transform(F.flatten(F.transform(held["level"], below)), opened).alias("level"), F.concat(held["found"], F.transform(held["level"], row)).alias("found"))
 
-    begin = F.struct(F.array(root).alias("level"), F.array().cast(_ROW).alias("found"))
+    begin = F.struct(F.array(opened(root)).alias("level"), F.array().cast(_ROW).alias("found"))
     found = F.aggregate(levels, begin, follow, lambda held: held["found"])
     return F.when(F.try_parse_json(raw).isNotNull(), found)
 

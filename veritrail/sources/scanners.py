@@ -91,10 +91,9 @@ def npm_tree(raw: DataFrame, most_depth: int = MOST_DEPTH) -> DataFrame:
         return F.coalesce(parts, F.slice(F.array(v), 1, 0))
 
     def follow(held: Column, _: Column) -> Column:
-        level = F.transform(held["level"], opened)
-        return F.get(F.transform(F.array(level), lambda x: F.struct(F.flatten(F.transform(x, below)).alias("level"), F.concat(held["found"], F.transform(x, row)).alias("found"))), F.lit(0))
+        return F.struct(F.transform(F.flatten(F.transform(held["level"], below)), opened).alias("level"), F.concat(held["found"], F.transform(held["level"], row)).alias("found"))
 
-    begin = F.struct(F.array(root).alias("level"), F.array().cast("array<struct<path:array<string>,depth:int,name:string,missing:boolean,invalid:boolean,deeper:boolean>>").alias("found"))
+    begin = F.struct(F.array(opened(root)).alias("level"), F.array().cast("array<struct<path:array<string>,depth:int,name:string,missing:boolean,invalid:boolean,deeper:boolean>>").alias("found"))
     found = F.aggregate(F.sequence(F.lit(0), F.least(F.lit(most_depth), openers)), begin, follow, lambda held: held["found"])
     rows = spread(raw.select("source", "raw"), "source").where(F.try_parse_json("raw").isNotNull())
     return rows.select("source", F.inline(found))
