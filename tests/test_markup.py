@@ -114,3 +114,9 @@ def test_warnings_and_odd_texts(spark):
     assert found[5][1][5] == 6 and len(found[3][0][7]) == 300_000 and found[4][0][6][2999] == ("k2999", "2999")
     twice = table(spark, ["<a/>"]).union(table(spark, ["<a/>"]))
     assert markup.elements(twice).count() == 2 and markup.elements(twice.limit(0)).count() == 0
+
+
+def test_tokens_are_not_shuffled(spark):
+    """Texts are shuffled whole, before they are cut into tokens."""
+    plan = markup.tokens(table(spark, ["<a><b/></a>"]))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("Generate") < plan.index("Exchange")

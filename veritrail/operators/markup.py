@@ -4,7 +4,7 @@ A text is cut into tokens that follow each other without gaps (tags, comments,
 sections, texts), so a token's place is the sum of the lengths before it. Tags
 nest by a running sum: an opener is one level below the sum before it, and its
 parent is the last opener of the level above. All windows are over one text, so
-texts are shuffled once, by number. Elements are written once, as the search for
+texts are shuffled once, by number, before they are cut. Elements are written once, as the search for
 the nearest declaration of a prefix reads them twice.
 
 Columns and lines count from 1, columns in UTF-16 units; a first byte order mark
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veritrail.functions.stored import stored
+from veritrail.functions.stored import spread, stored
 
 _WS = r"[ \t\n\r]"
 _NAME = r"[A-Za-z_:][A-Za-z0-9_.:-]*+"
@@ -85,6 +85,7 @@ def tokens(raw: DataFrame) -> DataFrame:
     """Every token of texts (path, raw): doc, path, i, token, kind, line, column, at (units before it), level, node (elements before it), over (the root has ended)."""
     text = F.regexp_replace("raw", r"^\x{FEFF}", "")
     docs = raw.select("path", F.monotonically_increasing_id().alias("doc"), F.coalesce(text, F.lit("")).alias("raw"))
+    docs = spread(docs, "doc")
     # An empty last token stands for the end, where faults can lie as well.
     cut = docs.select("path", "doc", F.posexplode(F.concat(F.regexp_extract_all("raw", F.lit(_TOKEN), F.lit(0)), F.array(F.lit("")))).alias("i", "token"))
     before = Window.partitionBy("doc").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
