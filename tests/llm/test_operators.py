@@ -493,6 +493,20 @@ def test_topk_lists_send_what_the_threshold_asks(spark):
     assert (row.n, list(row.places), list(row.parts)) == (3, [0, 1, 2], [5, 11, -3])
 
 
+def test_topk_copies_of_queries_stay_off_the_driver(spark, monkeypatch):
+    """Copies of the queries, one for each block of candidates, are never broadcast, however small the queries are."""
+    met = []
+    for name in ("local_best", "sent"):
+        monkeypatch.setattr(topk, name, lambda pairs, *rest, made=getattr(topk, name): met.append(pairs) or made(pairs, *rest))
+    table = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(60)], "vec_id long, embedding array<double>")
+    assert topk.top_k(table, F.col("id") % 10 == 0, k=2, candidates=4, queries=2).count() == 12
+    for pairs in met:
+        pairs.collect()
+        plan = pairs._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+    assert len(met) == 2
+
+
 def test_topk_shared_ids_and_overflow(spark):
     rows = [(0, [1.0, 2.0]), (0, [-1.0, 0.5]), (3, [2.0, 2.0]), (3, [0.0, 1.0]), (4, [1.0]), (5, [9.0, -9.0])]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")

@@ -82,6 +82,17 @@ def _sliced(blocks: DataFrame, name: str) -> DataFrame:
     return rows.withColumn(f"{name}_vs", F.flatten(at)).withColumn("width", high - low)
 
 
+def _pairs(asked: DataFrame, lists: DataFrame, c_blocks: int) -> DataFrame:
+    """Every block of queries with every block of candidates, slice by slice.
+
+    The copies of the queries are shuffled: their number grows with both tables,
+    but Spark takes them for as small as the queries and would send them through
+    the driver.
+    """
+    to_each = F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1)))
+    return asked.withColumn("c", to_each).drop("width").hint("merge").join(lists, ["dim", "slice", "c"])
+
+
 def _list(batch: pa.RecordBatch, name: str, row: int) -> np.ndarray:
     return batch.column(name)[row].values.to_numpy(zero_copy_only=False)
 
@@ -207,11 +218,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     asked = rows.where(is_query)
     n, m = rows.agg(F.count(F.lit(1)), F.count_if(is_query)).first()
     c_blocks, q_blocks = max(1, -(-n // candidates)), max(1, -(-m // queries))
-    to_each = F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1)))
     blocks = cut(_blocks(rows, c_blocks, "c"))
     lists = _sliced(blocks, "c")
 
-    first = local_best(_sliced(_blocks(asked, q_blocks, "q"), "q").withColumn("c", to_each).drop("width").join(lists, ["dim", "slice", "c"]), k)
+    first = local_best(_pairs(_sliced(_blocks(asked, q_blocks, "q"), "q"), lists, c_blocks), k)
     gathered = _first(first, k, ["query_id", "slice"], "part").select("query_id", "q_vh", "vec_id", "c_vh").distinct()
     of = lambda name, row, hash_: rows.select(F.col("id").alias(row), F.col("vh").alias(hash_), F.col("v").alias(name))
     looked_up = gathered.join(of("qv", "query_id", "q_vh"), ["query_id", "q_vh"]).join(of("cv", "vec_id", "c_vh"), ["vec_id", "c_vh"])
@@ -221,7 +231,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     aimed = asked.join(cutoffs, "id", "left").withColumn("cut", F.coalesce("cut", F.lit(LOWEST)))
 
     asked_blocks = cut(_blocks(aimed, q_blocks, "q", ("cut",)))
-    parts = sent(_sliced(asked_blocks, "q").withColumn("c", to_each).drop("width").join(lists, ["dim", "slice", "c"]))
+    parts = sent(_pairs(_sliced(asked_blocks, "q"), lists, c_blocks))
     met = parts.where("n > 0").groupBy("dim", "q", "c").agg(F.collect_list(F.struct("places", "parts")).alias("lists"))
     final = resolved(met.join(asked_blocks, ["dim", "q"]).join(blocks, ["dim", "c"]), k)
     return _first(final, k, ["query_id"], "score").select("query_id", "rank", "vec_id", "score")
