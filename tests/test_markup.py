@@ -1,10 +1,13 @@
 """Elements of XML texts against the standard library's parser, and faults of broken texts."""
 
 import random
+import re
 import xml.parsers.expat
 
+import pyarrow as pa
 import pytest
 
+from veritrail.functions import nesting
 from veritrail.operators import markup
 
 ANDROID = "http://schemas.android.com/apk/res/android"
@@ -120,3 +123,42 @@ def test_tokens_are_not_shuffled(spark):
     """Texts are shuffled whole, before they are cut into tokens."""
     plan = markup.tokens(table(spark, ["<a><b/></a>"]))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and plan.index("Generate") < plan.index("Exchange")
+
+
+def test_elements_are_made_within_tasks(spark):
+    """Beyond the one shuffle of texts nothing of elements is shuffled, sorted, joined or written; with ``dealt`` not even these."""
+    raw = table(spark, [f'<m xmlns="u"><a b="{i}"/></m>' for i in range(4)])
+    for dealt, shuffles in ((False, 1), (True, 0)):
+        plan = markup.elements(raw, dealt=dealt)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == shuffles and not any(x in plan for x in ("Window", "Join", "Aggregate", "Sort "))
+
+
+def test_nearest_declarations_and_entities(spark):
+    text = '<a xmlns="1&amp;" xmlns:p="2"><p:b xmlns:p="3" p:x="&lt;"><c xmlns="" p:y="4"/><p:d/></p:b><p:e p:z="5"/>&gt;<f q:w="6"/></a>'
+    twin = "<p:a/>"  # declarations of one text say nothing of the next
+    rows = {r.tag: r for r in markup.elements(table(spark, [text, twin])).collect()}
+    assert {tag: r.namespace for tag, r in rows.items()} == {"a": "1&", "p:b": "3", "c": "", "p:d": "3", "p:e": "2", "f": "1&", "p:a": None}
+    names = {a.name: (a.prefix, a.namespace, a.value) for r in rows.values() for a in r.attributes if a.prefix}
+    assert names == {"p:x": ("p", "3", "<"), "p:y": ("p", "3", "4"), "p:z": ("p", "2", "5"), "q:w": ("q", None, "6")}
+    assert rows["a"].text == ">"
+
+
+def test_texts_worked_on_apart_or_together(monkeypatch):
+    """Where the texts of a batch are parted changes nothing; children and brothers are those of the parents."""
+    rnd = random.Random(7)
+    cut = re.compile(markup._TOKEN)
+    texts = [f"<r>{made(rnd)}é\n{made(rnd)}</r>" for _ in range(40)] + ["", "<a>", "<a/>"]
+    tokens = [cut.findall(x) + [""] for x in texts]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(range(len(texts))), pa.array(tokens, pa.list_(pa.string()))], ["path", "doc", "tokens"])
+    found = {}
+    for size in (1, 300, 1 << 20):
+        monkeypatch.setattr(nesting, "CHUNK", size)
+        found[size] = [[r for b in nesting.rows(iter([batch]), whole) for r in b.to_pylist()] for whole in (False, True)]
+    assert found[1] == found[300] == found[1 << 20]
+    flat, whole = found[1]
+    assert [w["path"] for w in whole] == [*range(40), 42] and sum(len(w["elements"]) for w in whole) == len(flat)
+    for w in whole:
+        for e in w["elements"]:
+            children = [c for c in w["elements"] if c["parent"] == e["node"]]
+            assert w["by_parent"][e["child_at"] : e["child_at"] + e["children"]] == [c["node"] for c in children]
+            assert [c["nth"] for c in children] == [sum(b["local_name"] == c["local_name"] for b in children[:i]) for i, c in enumerate(children)]

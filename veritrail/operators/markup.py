@@ -1,11 +1,12 @@
-"""Elements of XML texts with their places, parents and namespaces, by windows over tokens.
+"""Elements of XML texts with their places, parents and namespaces, and faults of texts.
 
 A text is cut into tokens that follow each other without gaps (tags, comments,
 sections, texts), so a token's place is the sum of the lengths before it. Tags
 nest by a running sum: an opener is one level below the sum before it, and its
-parent is the last opener of the level above. All windows are over one text, so
-texts are shuffled once, by number, before they are cut. Elements are written once, as the search for
-the nearest declaration of a prefix reads them twice.
+parent is the last opener of the level above. Elements are made by array
+operations over the tokens of many texts (``functions.nesting``), faults by
+windows over the tokens of each. Texts are shuffled once at most, by number,
+before they are cut; nothing else is shuffled or written.
 
 Columns and lines count from 1, columns in UTF-16 units; a first byte order mark
 is left out. A text is sound if it has one root element whose tags match and
@@ -18,8 +19,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from veritrail.functions.stored import spread, stored
+from veritrail.functions import nesting
+from veritrail.functions.stored import spread
 
 _WS = r"[ \t\n\r]"
 _NAME = r"[A-Za-z_:][A-Za-z0-9_.:-]*+"
@@ -81,13 +84,17 @@ def _kind(t: Column) -> Column:
     )
 
 
-def tokens(raw: DataFrame) -> DataFrame:
-    """Every token of texts (path, raw): doc, path, i, token, kind, line, column, at (units before it), level, node (elements before it), over (the root has ended)."""
+def _cut(raw: DataFrame, dealt: bool = False) -> DataFrame:
+    """path, doc and tokens of texts (path, raw), which are dealt out to tasks unless they are so already."""
     text = F.regexp_replace("raw", r"^\x{FEFF}", "")
     docs = raw.select("path", F.monotonically_increasing_id().alias("doc"), F.coalesce(text, F.lit("")).alias("raw"))
-    docs = spread(docs, "doc")
     # An empty last token stands for the end, where faults can lie as well.
-    cut = docs.select("path", "doc", F.posexplode(F.concat(F.regexp_extract_all("raw", F.lit(_TOKEN), F.lit(0)), F.array(F.lit("")))).alias("i", "token"))
+    return (docs if dealt else spread(docs, "doc")).select("path", "doc", F.concat(F.regexp_extract_all("raw", F.lit(_TOKEN), F.lit(0)), F.array(F.lit(""))).alias("tokens"))
+
+
+def tokens(raw: DataFrame) -> DataFrame:
+    """Every token of texts (path, raw): doc, path, i, token, kind, line, column, at (units before it), level, node (elements before it), over (the root has ended)."""
+    cut = _cut(raw).select("path", "doc", F.posexplode("tokens").alias("i", "token"))
     before = Window.partitionBy("doc").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     kind = F.when(F.col("token") == "", "end").otherwise(_kind(F.col("token")))
     step = F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)
@@ -192,71 +199,45 @@ def _faults(nested: DataFrame) -> DataFrame:
     return joined.select("doc", "path", "i", text.alias("message"), line.alias("line"), column.alias("column"))
 
 
-_ATTRIBUTES = "array<struct<name:string,value:string,line:bigint,column:bigint>>"
-
+_ATTRIBUTES = "array<struct<name:string,prefix:string,local_name:string,namespace:string,value:string,line:bigint,column:bigint>>"
+_CELLS = f"node bigint, parent bigint, depth int, tag string, prefix string, local_name string, namespace string, line bigint, column bigint, attributes {_ATTRIBUTES}, text string, coded boolean"
 
-def _attributes(token: Column, line: Column, column: Column) -> Column:
-    """Attributes of a tag in order, each with its place."""
-    head = F.regexp_extract(token, rf"^<{_NAME}", 0)
-    whole = F.regexp_extract_all(F.substr(token, F.length(head) + 1), F.lit(rf"{_WS}*+{_ATTRIBUTE}"), F.lit(0))
 
-    def moved(at: Column, text: Column) -> Column:
-        return F.struct((at["line"] + _breaks(text)).alias("line"), F.when(_breaks(text) > 0, _after_break(text) + 1).otherwise(at["column"] + _units(text)).cast("bigint").alias("column"))
+def plain(x: Column) -> Column:
+    """``decoded``, at no cost where there is nothing to replace."""
+    return F.when(F.contains(x, F.lit("&")), decoded(x)).otherwise(x)
 
-    def add(held: Column, text: Column) -> Column:
-        start = moved(held["at"], F.regexp_extract(text, rf"^{_WS}*+", 0))
-        name = F.regexp_extract(text, rf"^{_WS}*+({_NAME})", 1)
-        value = F.regexp_extract(text, r"(?s)=[ \t\n\r]*+[\"'](.*)[\"']$", 1)
-        one = F.struct(name.alias("name"), decoded(value).alias("value"), start["line"].alias("line"), start["column"].alias("column"))
-        return F.struct(moved(held["at"], text).alias("at"), F.concat(held["found"], F.array(one)).alias("found"))
 
-    begin = F.struct(F.struct(line.cast("bigint").alias("line"), (column + _units(head)).cast("bigint").alias("column")).alias("at"), F.array().cast(_ATTRIBUTES).alias("found"))
-    return F.aggregate(whole, begin, add)["found"]
-
-
-def elements(raw: DataFrame) -> DataFrame:
+def elements(raw: DataFrame, dealt: bool = False) -> DataFrame:
     """One row per element of sound texts (path, raw).
 
     path, doc, node (from 0, in order), parent (null for the root), depth, tag,
     prefix, local_name, namespace, line, column, attributes (name, prefix,
     local_name, namespace, value, line, column) and text (its own, without that
-    of elements within it). ``doc`` tells rows with the same path apart.
+    of elements within it). ``doc`` tells rows with the same path apart. With
+    ``dealt`` the rows of ``raw`` stay in their tasks.
     """
-    faulty = F.max(_wrong().isNotNull()).over(Window.partitionBy("doc"))
-    sound = _nested(raw).withColumn("faulty", faulty).where("NOT faulty AND NOT over AND (element OR kind IN ('close', 'text', 'section'))")
-
-    # Texts and ends are facts of the opener they ask for.
-    part = F.when(F.col("kind") == "section", F.expr("substring(token, 10, length(token) - 12)")).when(F.col("kind") == "text", F.col("token"))
-    own = F.when(F.col("element"), F.col("i")).otherwise(F.col("opener.i"))
-    ended = F.when(F.col("kind") == "close", F.col("i"))
-    made = F.when(F.col("element"), F.struct("node", F.col("opener.node").alias("parent"), F.col("level").alias("depth"), "line", "column", "token"))
-    grouped = sound.withColumns({"own": own, "part": part, "ended": ended, "made": made}).where("own IS NOT NULL").groupBy("doc", "path", "own").agg(F.max("made").alias("made"), F.max("ended").alias("ended"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("part").isNotNull(), F.struct("i", "part")))), lambda p: p["part"]), "").alias("text"))
-    rows = stored(grouped.select("doc", "path", "own", "ended", "text", "made.*").withColumn("found", _attributes(F.col("token"), F.col("line"), F.col("column"))))
+    rows = _made(raw, False, _CELLS, dealt)
+    attributes = F.transform("attributes", lambda a: a.withField("namespace", plain(a["namespace"])).withField("value", plain(a["value"])))
+    return rows.withColumns({"namespace": plain(F.col("namespace")), "attributes": F.when(F.col("coded"), attributes).otherwise(F.col("attributes")), "text": plain(F.col("text"))}).drop("coded")
 
-    # The nearest declaration of a prefix around its use: of those of the prefix that began before and end after.
-    declares = F.filter("found", lambda a: (a["name"] == "xmlns") | a["name"].startswith("xmlns:"))
-    declared = rows.select("doc", "own", "ended", "depth", F.explode(declares).alias("a")).select("doc", F.when(F.col("a.name") == "xmlns", "").otherwise(F.expr("substring(a.name, 7)")).alias("used"), F.col("own").alias("_from"), F.coalesce("ended", "own").alias("_to"), F.col("depth").alias("_depth"), F.col("a.value").alias("uri"))
-    names = F.concat(F.array(_prefix(_name(F.col("token")))), F.transform("found", lambda a: _prefix(a["name"])))
-    uses = rows.select("doc", "own", F.explode(F.array_distinct(F.transform(names, lambda p: F.coalesce(p, F.lit(""))))).alias("used"))
-    nearest = uses.join(declared, ["doc", "used"]).where("own BETWEEN _from AND _to").groupBy("doc", "own", "used").agg(F.max_by("uri", F.struct("_depth", "_from")).alias("uri"))
-    scopes = nearest.groupBy("doc", "own").agg(F.map_from_entries(F.collect_list(F.struct("used", "uri"))).alias("scope"))
 
-    def resolved(a: Column) -> Column:
-        prefix = _prefix(a["name"])
-        plain = (a["name"] == "xmlns") | a["name"].startswith("xmlns:")
-        return F.struct(a["name"].alias("name"), F.when(~plain, prefix).alias("prefix"), _local(a["name"]).alias("local_name"), F.when(~plain & prefix.isNotNull(), F.col("scope")[prefix]).alias("namespace"), a["value"].alias("value"), a["line"].alias("line"), a["column"].alias("column"))
+def trees(raw: DataFrame, dealt: bool = False) -> DataFrame:
+    """path, doc, elements and by_parent of sound texts (path, raw), a row each.
 
-    tag = _name(F.col("token"))
-    whole = rows.join(scopes, ["doc", "own"], "left")
-    return whole.select("path", "doc", "node", "parent", "depth", tag.alias("tag"), _prefix(tag).alias("prefix"), _local(tag).alias("local_name"), F.col("scope")[F.coalesce(_prefix(tag), F.lit(""))].alias("namespace"), "line", "column", F.transform("found", resolved).alias("attributes"), decoded(F.col("text")).alias("text"))
-
-
-def _prefix(name: Column) -> Column:
-    return F.when(F.contains(name, F.lit(":")), F.substring_index(name, ":", 1))
+    elements: those of ``elements`` by node, with entities as they stand (see
+    ``plain``), coded (the tag has any), nth (how many brothers of the same local name come before),
+    child_at and children. by_parent: the nodes of all children, where those of
+    an element are ``children`` ones from ``child_at`` on.
+    """
+    each = StructType.fromDDL(f"{_CELLS}, nth int, child_at int, children int").simpleString()
+    return _made(raw, True, f"elements array<{each}>, by_parent array<int>", dealt)
 
 
-def _local(name: Column) -> Column:
-    return F.regexp_replace(name, "^[^:]*:", "")
+def _made(raw: DataFrame, whole: bool, cells: str, dealt: bool) -> DataFrame:
+    cut = _cut(raw, dealt)
+    schema = StructType([*cut.schema.fields[:2], *StructType.fromDDL(cells).fields])
+    return cut.mapInArrow(lambda batches: nesting.rows(batches, whole), schema)
 
 
 def problems(raw: DataFrame) -> DataFrame:

@@ -22,10 +22,11 @@ def _text(*parts: Column | str) -> Column:
 def order_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as nested elements, a line each: their numbers, parents and places."""
     line = F.struct("l_linenumber", _text(F.col("l_returnflag"), F.col("l_partkey"), "<").alias("o"), _text('\n\t<line n="', F.col("l_linenumber"), '" mode=\'', F.col("l_returnflag"), "'><part>", F.col("l_partkey"), "</part></line>").alias("x"))
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["x"]), "").alias("lines"))
-    orders = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.sort_array(F.collect_list(line))["x"], "").alias("lines"))
+    # Merged, as lines are larger as texts than Spark expects when it broadcasts them; orders are dealt out so as well.
+    orders = table(spark, sf_dir, "orders").hint("merge").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     raw = orders.select(F.col("o_orderkey").alias("path"), _text('<?xml version="1.0"?><order key="', F.col("o_orderkey"), '">', F.coalesce("lines", F.lit("")), "\n</order>").alias("raw"))
-    found = markup.elements(raw).where("depth > 0")
+    found = markup.elements(raw, dealt=True).where("depth > 0")
     return found.select("path", "node", "parent", "depth", "tag", "line", "column", F.array_join(F.transform("attributes", lambda a: F.concat(a["name"], F.lit("="), a["value"])), ",").alias("attributes"), "text")
 
 
