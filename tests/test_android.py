@@ -1,6 +1,7 @@
 """Android readers and rules on small hand-written inputs."""
 
 from veritrail.operators import android as A
+from veritrail.plans import markup_queries
 from veritrail.sources import android as R
 
 MANIFEST = """<manifest xmlns:android="http://schemas.android.com/apk/res/android" package="a.b">
@@ -89,6 +90,34 @@ def test_network_security(spark):
     assert A.effective_network_policy(configs.limit(0)).count() == 0
 
 
+def test_policies_of_odd_parents(spark):
+    """Rings, parents that are missing or no domain config, and several texts in one table."""
+    schema = "path string, doc long, node long, parent long, kind string, position int, cleartext boolean, domains array<struct<name:string>>, trust array<struct<source:string>>, pins struct<pins:array<string>>, line long, column long"
+    a, own = [("a",)], [("own",)]
+    rows = [(1, None, "base", 0, True, [], [("base",)]), (2, 3, "domain", 0, None, a, None), (3, 2, "domain", 0, False, [], own), (4, 9, "domain", 1, None, [], None), (5, 1, "domain", 2, None, [], None), (6, None, "domain", 3, None, a, None), (7, 6, "domain", 0, None, [], own)]
+    table = spark.createDataFrame([("p", d, *r, None, 1, 1) for d in (1, 2) for r in rows if d == 1 or r[0] > 5], schema)
+    got = {(r.doc, r.node): (r.scope, r.depth, [d.name for d in r.domains], r.domains_inherited, r.cleartext, r.cleartext_source, [[t.source for t in ts] for ts in r.trust], r.trust_source, r.too_deep) for r in A.effective_network_policy(table).collect()}
+    alone = ([], False, None, "unspecified", [], "unspecified", True)
+    assert got == {
+        (1, 1): ("base-config", 0, [], False, True, "explicit", [["base"]], "own", False),
+        (1, 2): (None, None, ["a"], *alone[1:]),
+        (1, 3): (None, None, [], False, False, "explicit", [["own"]], "own", True),
+        (1, 4): (None, None, *alone),
+        (1, 5): (None, None, *alone),
+        (1, 6): ("domain-config[3]", 0, ["a"], False, True, "inherited-from-base", [["base"]], "inherited", False),
+        (1, 7): ("domain-config[3]>domain-config[0]", 1, ["a"], True, True, "inherited-from-base", [["own"], ["base"]], "own", False),
+        (2, 6): ("domain-config[3]", 0, ["a"], False, None, "unspecified", [], "unspecified", False),
+        (2, 7): ("domain-config[3]>domain-config[0]", 1, ["a"], True, None, "unspecified", [["own"]], "own", False),
+    }
+
+
+def test_network_policy_shuffles_keys_alone(spark, sf_dir):
+    """Texts and their configs stay in their rows: the keys of customers are the only thing that is shuffled."""
+    plan = markup_queries.network_policy(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and not any(x in plan for x in ("Join", "Aggregate", "Window", "UnionLoop", "ExistingRDD"))
+    assert plan.rindex("network-security-config") < plan.index("Exchange")
+
+
 def test_manifest_places(spark):
     text = '<manifest xmlns:android="http://schemas.android.com/apk/res/android">\n <uses-permission android:name="p"/>\n <application>\n  <activity android:name=".A" android:exported="true">\n   <intent-filter><action android:name="x"/></intent-filter>\n  </activity>\n  <meta-data android:name="m"/>\n </application>\n</manifest>'
     rows = {r.tag: (r.name, r.exported, r.component, r.line, r.column) for r in R.manifest_places(spark.createDataFrame([("m", text)], "path string, raw string")).collect()}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -76,6 +77,11 @@ def dense_counts(df: DataFrame, key: str, levels: list[str], out: str = "n") ->
     return counts.select(F.inline(pairs))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value made once for each row, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def all_of(predicates: list[Column]) -> Column:
     """Conjunction; an empty list is true."""
     return reduce(lambda a, b: a & b, predicates, F.lit(True))

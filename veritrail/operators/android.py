@@ -12,8 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from veritrail.functions.recursion import recursive
-from veritrail.functions.stored import stored
+from veritrail.functions.semantics import let
 from veritrail.operators.audit import lookup
 
 PLATFORM = "android.permission."
@@ -166,7 +165,7 @@ def deep_link_findings(filters: DataFrame) -> DataFrame:
 
 
 def effective_network_policy(configs: DataFrame, most_depth: int = MOST_DEPTH) -> DataFrame:
-    """What holds in each network-security config, by a recursive query down its domain configs.
+    """What holds in each network-security config.
 
     configs: those of ``network_security_configs``, or any table with path, doc,
     node, parent, kind, position, cleartext, domains, trust, pins, line and column.
@@ -179,31 +178,64 @@ def effective_network_policy(configs: DataFrame, most_depth: int = MOST_DEPTH) -
     ``most_depth``, or in a ring of parents, have ``too_deep`` and nothing
     inherited.
     """
-    configs = stored(configs)
-    cells = "path, doc, node, kind, domains, cleartext, trust, pins, line, column"
-    walked = recursive(
-        f"""WITH RECURSIVE base AS (SELECT doc AS base_doc, cleartext AS base_cleartext, trust AS base_trust FROM {{configs}} WHERE kind = 'base'),
-        scopes({cells}, scope, depth, base_cleartext, chain, inherited) MAX RECURSION LEVEL {most_depth + 1} AS (
-          SELECT path, doc, node, kind, domains, cleartext, trust, pins, line, column,
-            CASE kind WHEN 'domain' THEN concat('domain-config[', position, ']') WHEN 'base' THEN 'base-config' ELSE 'debug-overrides' END, 0,
-            CASE WHEN kind = 'domain' THEN base_cleartext END,
-            concat(CASE WHEN trust IS NULL THEN array() ELSE array(trust) END, CASE WHEN kind <> 'domain' OR base_trust IS NULL THEN array() ELSE array(base_trust) END), false
-          FROM {{configs}} LEFT JOIN base ON doc = base_doc WHERE parent IS NULL
-          UNION ALL
-          SELECT c.path, c.doc, c.node, c.kind, CASE WHEN size(c.domains) > 0 THEN c.domains ELSE s.domains END, c.cleartext, c.trust, c.pins, c.line, c.column,
-            concat(s.scope, '>domain-config[', c.position, ']'), s.depth + 1, s.base_cleartext,
-            concat(CASE WHEN c.trust IS NULL THEN array() ELSE array(c.trust) END, s.chain), size(c.domains) = 0 AND size(s.domains) > 0
-          FROM scopes AS s JOIN {{configs}} AS c ON c.doc = s.doc AND c.parent = s.node WHERE s.depth < {most_depth} AND s.kind = 'domain'
-        ) SELECT * FROM scopes""",
-        configs=configs,
-    )
-    source = F.when(F.col("cleartext").isNotNull(), "explicit").when(F.col("base_cleartext").isNotNull(), "inherited-from-base").otherwise("unspecified")
-    trust_source = F.when(F.col("trust").isNotNull(), "own").when(F.size("chain") > 0, "inherited").otherwise("unspecified")
-    found = walked.select("path", "doc", "node", "scope", "kind", "depth", "domains", F.col("inherited").alias("domains_inherited"), F.coalesce("cleartext", "base_cleartext").alias("cleartext"), source.alias("cleartext_source"), F.col("chain").alias("trust"), trust_source.alias("trust_source"), "pins", F.lit(False).alias("too_deep"), "line", "column")
-    own = F.when(F.col("trust").isNull(), F.array()).otherwise(F.array("trust"))
-    left = configs.join(found.select("doc", "node"), ["doc", "node"], "left_anti")
-    deep = left.select("path", "doc", "node", F.lit(None).cast("string").alias("scope"), "kind", F.lit(None).cast("int").alias("depth"), "domains", F.lit(False).alias("domains_inherited"), "cleartext", F.when(F.col("cleartext").isNotNull(), "explicit").otherwise("unspecified").alias("cleartext_source"), own.alias("trust"), F.when(F.col("trust").isNotNull(), "own").otherwise("unspecified").alias("trust_source"), "pins", F.lit(True).alias("too_deep"), "line", "column")
-    return found.unionByName(deep)
+    one = F.struct("node", "parent", "kind", "position", "cleartext", "domains", "trust", "pins", "line", "column")
+    return network_policies(configs.groupBy("path", "doc").agg(F.sort_array(F.collect_list(one)).alias("configs")), most_depth)
+
+
+def network_policies(documents: DataFrame, most_depth: int = MOST_DEPTH) -> DataFrame:
+    """``effective_network_policy`` of documents (path, doc, configs by node): configs are followed up within their rows, so nothing is shuffled."""
+    configs = F.col("configs")
+    at = lambda i: F.get(configs, i)
+    last = lambda a: F.element_at(a, -1)
+
+    def climbed(i: Column, above: Column) -> Column:
+        """The places of a config and of the domain configs around it, the nearest first, ``most_depth`` of them at most."""
+        up = lambda a, _: let(F.get(above, last(a)), lambda p: F.when((p >= 0) & (at(p)["kind"] == "domain"), F.concat(a, F.array(p))).otherwise(a))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(most_depth)), F.array(i), up)
+
+    def judged(x: Column, way: Column, base: Column) -> Column:
+        """What holds at a config: way has its place and, unless it is too deep, those of the configs around it; top is the outermost."""
+
+        def cells(top: Column, deep: Column) -> Column:
+            step = lambda j: F.concat(F.lit("domain-config["), at(j)["position"], F.lit("]"))
+            outer = F.when(top["kind"] == "base", "base-config").when(top["kind"] == "domain", step(last(way))).otherwise("debug-overrides")
+            inner = F.transform(F.reverse(F.slice(way, 1, F.size(way) - 1)), step)
+            under = ~deep & (top["kind"] == "domain")
+            named = F.get(F.filter(F.transform(way, lambda j: at(j)["domains"]), lambda d: F.size(d) > 0), F.lit(0))
+            domains = F.when(deep, x["domains"]).otherwise(F.coalesce(named, top["domains"]))
+            trusts = F.filter(F.transform(way, lambda j: at(j)["trust"]), lambda t: t.isNotNull())
+            chain = F.when(under & base["trust"].isNotNull(), F.concat(trusts, F.array(base["trust"]))).otherwise(trusts)
+            clear = F.when(under, base["cleartext"])
+            source = F.when(x["cleartext"].isNotNull(), "explicit").when(clear.isNotNull(), "inherited-from-base").otherwise("unspecified")
+            return F.struct(
+                x["node"].alias("node"),
+                F.when(~deep, F.concat_ws(">", F.array(outer), inner)).alias("scope"),
+                x["kind"].alias("kind"),
+                F.when(~deep, F.size(way) - 1).alias("depth"),
+                domains.alias("domains"),
+                ((F.size(way) > 1) & (F.size(x["domains"]) == 0) & named.isNotNull()).alias("domains_inherited"),
+                F.coalesce(x["cleartext"], clear).alias("cleartext"),
+                source.alias("cleartext_source"),
+                chain.alias("trust"),
+                F.when(x["trust"].isNotNull(), "own").when(F.size(chain) > 0, "inherited").otherwise("unspecified").alias("trust_source"),
+                x["pins"].alias("pins"),
+                deep.alias("too_deep"),
+                x["line"].alias("line"),
+                x["column"].alias("column"),
+            )
+
+        return let(F.struct(at(last(way)).alias("top"), at(last(way))["parent"].isNotNull().alias("deep")), lambda t: cells(t["top"], t["deep"]))
+
+    def policies(above: Column, base: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            whole = lambda a: F.when(at(last(a))["parent"].isNull(), a).otherwise(F.array(i))
+            return let(climbed(i, above), lambda a: let(whole(a), lambda way: judged(x, way, base)))
+
+        return F.transform(configs, one)
+
+    above = let(F.transform(configs, lambda x: x["node"]), lambda nodes: F.transform(configs, lambda x: (F.array_position(nodes, x["parent"]) - 1).cast("int")))
+    base = F.get(F.filter(configs, lambda x: x["kind"] == "base"), F.lit(0))
+    return documents.select("path", "doc", F.inline(let(F.struct(above.alias("above"), base.alias("base")), lambda g: policies(g["above"], g["base"]))))
 
 
 def network_findings(policy: DataFrame) -> DataFrame:

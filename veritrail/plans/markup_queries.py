@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veritrail.functions.stored import spread
 from veritrail.operators import android, markup
 from veritrail.sources import android as readers
 from veritrail.sources import scanners
@@ -64,8 +65,9 @@ def network_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     levels = F.transform(F.sequence(F.lit(0), k % 13), level)
     clear = F.when(k % 4 == 0, ' cleartextTrafficPermitted="true"').when(k % 4 == 1, ' cleartextTrafficPermitted="false"').otherwise("")
     base = F.when(k % 4 == 3, "<!-- <base-config/> -->").otherwise(_text("<base-config", clear, ">", F.when(k % 5 == 0, '<trust-anchors><certificates src="system"/></trust-anchors>').otherwise(""), "</base-config>"))
-    raw = table(spark, sf_dir, "customer").select(k.alias("path"), _text("<network-security-config>\n", base, F.array_join(levels, ""), F.repeat(F.lit("</domain-config>"), (k % 13 + 1).cast("int")), "\n</network-security-config>").alias("raw"))
-    found = android.effective_network_policy(readers.network_security_configs(raw))
+    customers = spread(table(spark, sf_dir, "customer"), "c_custkey")  # before their texts are made, which are far larger
+    raw = customers.select(k.alias("path"), _text("<network-security-config>\n", base, F.array_join(levels, ""), F.repeat(F.lit("</domain-config>"), (k % 13 + 1).cast("int")), "\n</network-security-config>").alias("raw"))
+    found = android.network_policies(readers.network_security_documents(raw, dealt=True))
     names = F.array_join(F.transform("domains", lambda d: d["name"]), ",")
     sources = F.array_join(F.transform(F.flatten("trust"), lambda c: c["source"]), ",")
     return found.select("path", "scope", "depth", names.alias("domains"), "domains_inherited", "cleartext", "cleartext_source", sources.alias("trust"), "trust_source", F.coalesce(F.size("pins.pins"), F.lit(0)).alias("n_pins"), "too_deep", "line")

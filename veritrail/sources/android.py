@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veritrail.functions.semantics import let
 from veritrail.operators import markup
 
 _FILTER = "`intent-filter` ARRAY<STRUCT<action: ARRAY<STRUCT<`_android:name`: STRING>>, category: ARRAY<STRUCT<`_android:name`: STRING>>, data: ARRAY<STRUCT<`_android:scheme`: STRING, `_android:host`: STRING, `_android:path`: STRING, `_android:pathPrefix`: STRING, `_android:pathPattern`: STRING>>, `_android:autoVerify`: BOOLEAN>>"
@@ -87,8 +88,71 @@ def manifest_places(raw: DataFrame) -> DataFrame:
 
 def _flag(attributes: Column, name: str) -> Column:
     """STRUCT(value, raw): only ``true`` and ``false`` are values."""
-    raw = markup.attribute(attributes, name)
-    return F.struct(F.when(raw == "true", True).when(raw == "false", False).alias("value"), raw.alias("raw"))
+    return let(markup.plain(markup.attribute(attributes, name)), lambda raw: F.struct(F.when(raw == "true", True).when(raw == "false", False).alias("value"), raw.alias("raw")))
+
+
+def _domain(e: Column) -> Column:
+    text = markup.plain(e["text"])
+    lower = F.lower(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""))
+    name = let(lower, lambda x: F.when((F.length(x) > 1) & x.endswith("."), F.left(x, F.length(x) - 1)).otherwise(x))
+    return let(name, lambda n: F.struct(text.alias("text"), n.alias("name"), _flag(e["attributes"], "includeSubdomains")["value"].alias("subdomains"), (n == "").alias("malformed"), e["line"].alias("line")))
+
+
+def _certificate(e: Column) -> Column:
+    def of(source: Column) -> Column:
+        kind = F.when(source.isin("system", "user"), source).when(source.startswith("@raw/"), "raw-resource").otherwise("unknown")
+        return F.struct(source.alias("source"), kind.alias("kind"), F.when(source.startswith("@raw/"), F.substr(source, F.lit(6))).alias("resource"), _flag(e["attributes"], "overridePins")["value"].alias("override_pins"), e["line"].alias("line"))
+
+    return let(markup.plain(markup.attribute(e["attributes"], "src")), of)
+
+
+def _pin(e: Column) -> Column:
+    both = F.struct(markup.plain(markup.attribute(e["attributes"], "digest")).alias("digest"), F.regexp_replace(markup.plain(e["text"]), r"(?U)\s+", "").alias("value"))
+    return let(both, lambda b: F.struct(b["digest"].alias("digest"), F.coalesce(b["digest"] == "SHA-256", F.lit(False)).alias("supported"), b["value"].alias("value"), ((b["value"] == "") | b["digest"].isNull()).alias("malformed"), e["line"].alias("line")))
+
+
+def network_security_documents(raw: DataFrame, dealt: bool = False) -> DataFrame:
+    """path, doc and configs of network-security texts (path, raw), a row each; configs as of ``network_security_configs``, by node.
+
+    Trees are read within their rows: nothing but the texts is shuffled, and with
+    ``dealt`` not even these.
+    """
+    named = lambda elements, tag: F.filter(elements, lambda e: e["local_name"] == tag)
+    children = lambda e: F.transform(F.slice("by_parent", e["child_at"] + 1, e["children"]), lambda n: F.get("elements", n))
+    kinds = lambda e: F.when(e["local_name"] == "base-config", "base").when(e["local_name"] == "domain-config", "domain").when(e["local_name"] == "debug-overrides", "debug")
+
+    # The root of a sound text is its node 0.
+    fits = lambda e: (e["local_name"] == "domain-config") | e["local_name"].isin("base-config", "debug-overrides") & (e["parent"] == 0) & (e["nth"] == 0)
+    held = F.transform(F.filter("elements", fits), lambda e: F.struct(e.alias("e"), children(e).alias("within")))
+    first = F.transform(held, lambda h: F.struct(h["e"].alias("e"), h["within"].alias("within"), F.get(named(h["within"], "trust-anchors"), F.lit(0)).alias("anchors"), F.get(named(h["within"], "pin-set"), F.lit(0)).alias("pin_set")))
+
+    def pins(pin_set: Column) -> Column:
+        listed = F.transform(named(children(pin_set), "pin"), _pin)
+        return let(markup.plain(markup.attribute(pin_set["attributes"], "expiration")), lambda x: F.struct(x.alias("expiration"), (x.isNotNull() & ~x.rlike(r"^\d{4}-\d{2}-\d{2}$")).alias("malformed"), listed.alias("pins")))
+
+    def config(c: Column) -> Column:
+        e, known = c["e"], ("domain", "trust-anchors", "pin-set", "domain-config")
+        odd = F.filter(c["within"], lambda x: ~x["local_name"].isin(*known))
+        return let(
+            _flag(e["attributes"], "cleartextTrafficPermitted"),
+            lambda flag: F.struct(
+                e["node"].alias("node"),
+                F.when(e["parent"] != 0, e["parent"]).alias("parent"),
+                kinds(e).alias("kind"),
+                e["nth"].alias("position"),
+                flag["value"].alias("cleartext"),
+                flag["raw"].alias("cleartext_raw"),
+                F.transform(named(c["within"], "domain"), _domain).alias("domains"),
+                F.when(c["anchors"].isNotNull(), F.transform(named(children(c["anchors"]), "certificates"), _certificate)).alias("trust"),
+                F.when(c["pin_set"].isNotNull(), pins(c["pin_set"])).alias("pins"),
+                F.transform(odd, lambda x: F.concat(F.lit("<"), x["tag"], F.lit("> at line "), x["line"].cast("string"))).alias("unsupported"),
+                e["line"].alias("line"),
+                e["column"].alias("column"),
+            ),
+        )
+
+    rows = markup.trees(raw, dealt).where(F.get("elements", F.lit(0))["local_name"] == "network-security-config")
+    return rows.select("path", "doc", F.transform(first, config).alias("configs"))
 
 
 def network_security_configs(raw: DataFrame) -> DataFrame:
@@ -102,54 +166,7 @@ def network_security_configs(raw: DataFrame) -> DataFrame:
     column. Only the first base and debug config of a text count, and domain
     configs in the root or in each other.
     """
-    rows = markup.elements(raw)
-    a = F.col("attributes")
-    text = F.regexp_replace("text", r"(?U)^\s+|\s+$", "")
-    lower = F.lower(text)
-    domain = F.when((F.length(lower) > 1) & lower.endswith("."), F.expr("left(lower_text, length(lower_text) - 1)")).otherwise(F.col("lower_text"))
-    source = markup.attribute(a, "src")
-    kind = F.when(source.isin("system", "user"), source).when(source.startswith("@raw/"), "raw-resource").otherwise("unknown")
-    digest, pin = markup.attribute(a, "digest"), F.regexp_replace("text", r"(?U)\s+", "")
-    expiration = markup.attribute(a, "expiration")
-    seen = rows.withColumn("lower_text", lower)
-    each = {
-        "domains": ("domain", [F.col("text").alias("text"), domain.alias("name"), _flag(a, "includeSubdomains")["value"].alias("subdomains"), (domain == "").alias("malformed"), F.col("line")]),
-        "certificates": ("certificates", [source.alias("source"), kind.alias("kind"), F.when(source.startswith("@raw/"), F.expr("substring(_src, 6)")).alias("resource"), _flag(a, "overridePins")["value"].alias("override_pins"), F.col("line")]),
-        "pins": ("pin", [digest.alias("digest"), F.coalesce(digest == "SHA-256", F.lit(False)).alias("supported"), pin.alias("value"), ((pin == "") | digest.isNull()).alias("malformed"), F.col("line")]),
-    }
-    listed = [F.array_sort(F.collect_list(F.when(F.col("local_name") == tag, F.struct("node", *cells)))).alias(name) for name, (tag, cells) in each.items()]
-    first = lambda tag, cell: F.min_by(cell, F.when(F.col("local_name") == tag, F.col("node")))
-    anchors, pin_set = F.min(F.when(F.col("local_name") == "trust-anchors", F.col("node"))), F.min(F.when(F.col("local_name") == "pin-set", F.col("node")))
-    odd = F.array_sort(F.collect_list(F.when(~F.col("local_name").isin("domain", "trust-anchors", "pin-set", "domain-config"), F.struct("node", F.concat(F.lit("<"), "tag", F.lit("> at line "), F.col("line").cast("string")).alias("what")))))
-    within = seen.withColumn("_src", source).where("parent IS NOT NULL").groupBy("doc", "parent").agg(*listed, anchors.alias("anchors"), pin_set.alias("pin_set"), first("pin-set", expiration).alias("expiration"), odd.alias("odd"))
-
-    root = rows.where("depth = 0 AND local_name = 'network-security-config'").select("doc", F.col("node").alias("root"))
-    kinds = F.when(F.col("local_name") == "base-config", "base").when(F.col("local_name") == "domain-config", "domain").when(F.col("local_name") == "debug-overrides", "debug")
-    order = Window.partitionBy("doc", "parent", "kind").orderBy("node")
-    configs = rows.join(root, "doc").withColumn("kind", kinds).where(F.col("kind").isNotNull() & ((F.col("kind") == "domain") | (F.col("parent") == F.col("root"))))
-    configs = configs.withColumn("position", F.row_number().over(order) - 1).where("kind = 'domain' OR position = 0")
-    own = within.select("doc", F.col("parent").alias("node"), "domains", "anchors", "pin_set", "expiration", "odd")
-    certificates = within.select("doc", F.col("parent").alias("anchors"), "certificates")
-    pins = within.select("doc", F.col("parent").alias("pin_set"), "pins")
-    whole = configs.join(own, ["doc", "node"], "left").join(certificates, ["doc", "anchors"], "left").join(pins, ["doc", "pin_set"], "left")
-    flag = _flag(a, "cleartextTrafficPermitted")
-    none = lambda column: F.coalesce(column, F.array())
-    return whole.select(
-        "path",
-        "doc",
-        "node",
-        F.when(F.col("parent") != F.col("root"), F.col("parent")).alias("parent"),
-        "kind",
-        "position",
-        flag["value"].alias("cleartext"),
-        flag["raw"].alias("cleartext_raw"),
-        none(F.transform("domains", lambda d: d.dropFields("node"))).alias("domains"),
-        F.when(F.col("anchors").isNotNull(), none(F.transform("certificates", lambda c: c.dropFields("node")))).alias("trust"),
-        F.when(F.col("pin_set").isNotNull(), F.struct("expiration", (F.col("expiration").isNotNull() & ~F.col("expiration").rlike(r"^\d{4}-\d{2}-\d{2}$")).alias("malformed"), none(F.transform("pins", lambda p: p.dropFields("node"))).alias("pins"))).alias("pins"),
-        none(F.transform("odd", lambda o: o["what"])).alias("unsupported"),
-        "line",
-        "column",
-    )
+    return network_security_documents(raw).select("path", "doc", F.inline("configs"))
 
 
 def network_security_states(raw: DataFrame) -> DataFrame:
