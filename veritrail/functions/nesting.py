@@ -22,19 +22,21 @@ _BLANK = np.isin(np.arange(256), list(b" \t\n\r"))
 
 
 def _before(counts: np.ndarray) -> np.ndarray:
-    """At each place the sum of what lies before it."""
-    return np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))
+    """At each place the sum of what lies before it; a batch of strings has less than 2**31 bytes."""
+    sums = np.zeros(len(counts) + 1, np.int32)
+    np.cumsum(counts, dtype=np.int32, out=sums[1:])
+    return sums
 
 
 def _next(flags: np.ndarray) -> np.ndarray:
     """At each place the first flag at or after it."""
-    at = np.where(flags, np.arange(len(flags)), len(flags))
+    at = np.where(flags, np.arange(len(flags), dtype=np.int32), np.int32(len(flags)))
     return np.minimum.accumulate(at[::-1])[::-1]
 
 
 def _bytes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The bytes of ranges, one range after the other."""
-    return data[np.repeat(starts - _before(lengths)[:-1], lengths) + np.arange(lengths.sum())]
+    return data[np.repeat(starts - _before(lengths)[:-1], lengths) + np.arange(lengths.sum(), dtype=np.int32)]
 
 
 def _strings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, owner: np.ndarray | None = None, n: int = 0) -> pa.Array:
@@ -113,12 +115,12 @@ def _elements(tokens: pa.ListArray) -> tuple[np.ndarray, dict[str, pa.Array]]:
     start, end = edges[:-1], edges[1:]
 
     coded = _before(data == 38)
-    units, breaks, filled = _before(((data & 0xC0) != 0x80).astype(np.int64) + (data >= 0xF0)), _before(data == 10), _before(~_BLANK[data])
-    line_start = np.concatenate(([0], np.maximum.accumulate(np.where(data == 10, np.arange(1, len(data) + 1), 0))))
+    units, breaks, filled = _before(((data & 0xC0) != 0x80).astype(np.int8) + (data >= 0xF0)), _before(data == 10), _before(~_BLANK[data])
+    line_start = np.concatenate(([0], np.maximum.accumulate(np.where(data == 10, np.arange(1, len(data) + 1, dtype=np.int32), np.int32(0)))), dtype=np.int32)
     name_end, solid, colon, double, simple = _next(~_IN_NAMES[data]), _next(~_BLANK[data]), _next(data == 58), _next(data == 34), _next(data == 39)
 
     def place(at: np.ndarray, text: np.ndarray) -> list[pa.Array]:
-        return [pa.array(breaks[at] - breaks[text] + 1), pa.array(units[at] - units[np.maximum(line_start[at], text)] + 1)]
+        return [pa.array(x, pa.int64()) for x in (breaks[at] - breaks[text] + 1, units[at] - units[np.maximum(line_start[at], text)] + 1)]
 
     # Kinds of tokens, as in ``operators.markup``.
     b0, b1, b2, length = data[start], data[start + 1], data[start + 2], end - start
@@ -132,7 +134,7 @@ def _elements(tokens: pa.ListArray) -> tuple[np.ndarray, dict[str, pa.Array]]:
     def within(running: np.ndarray) -> np.ndarray:
         return running - running[first][doc]
 
-    before = within(_before(opens.astype(np.int64) - closes)[:-1])
+    before = within(_before(opens.astype(np.int8) - closes)[:-1])
     node = within(_before(tag)[:-1])
     over = within(_before(closes & (before <= 1) | tag & ~opens & (before == 0))[:-1]) > 0
     inside, opener = before > 0, _openers(doc, before, opens)
@@ -193,7 +195,7 @@ def _elements(tokens: pa.ListArray) -> tuple[np.ndarray, dict[str, pa.Array]]:
         spaces, name_spaces = pa.nulls(len(found), pa.string()), pa.nulls(len(name), pa.string())
     names[1] = _or_null(~declares, names[1])
     attributes = pa.StructArray.from_arrays([*names, name_spaces, values, *place(name, text_at[holder])], ["name", "prefix", "local_name", "namespace", "value", "line", "column"])
-    cells = [pa.array(node[found]), _or_null(above >= 0, pa.array(node[above])), pa.array(before[found], pa.int32()), *tags, spaces, *place(start[found], text_at), _lists(held, attributes), content, pa.array(with_entity)]
+    cells = [pa.array(node[found], pa.int64()), _or_null(above >= 0, pa.array(node[above], pa.int64())), pa.array(before[found], pa.int32()), *tags, spaces, *place(start[found], text_at), _lists(held, attributes), content, pa.array(with_entity)]
     return of, dict(zip(["node", "parent", "depth", "tag", "prefix", "local_name", "namespace", "line", "column", "attributes", "text", "coded"], cells))
 
 
